@@ -29,7 +29,7 @@ from tessera.llm.common import columns_for
 MARK = "▁"
 CACHE = 700_000
 START = 0xFFFFF
-_SEGMENT = re.compile(rf"\n|{MARK}*[^\W\d_]+|{MARK}*(?:[\d_]|[^\w{MARK}\n])+|{MARK}+")
+_SEGMENT = re.compile(rf"\n|{MARK}*[^\W\d_¹²³]+|{MARK}*(?:[\d_¹²³]|[^\w{MARK}\n])+|{MARK}+")
 
 
 class PrefixCounter:
