@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bitpack, ngram, quality, tokencount, warc
+from tessera.llm import bitpack, neardup, ngram, quality, tokencount, warc
 from tessera.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.scores(documents(spark, sf_dir))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -48,7 +52,7 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_deleted_interpolation, op9_warc, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op9_warc, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
