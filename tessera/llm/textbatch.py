@@ -1,7 +1,7 @@
 """Words, word hashes and word shingles of many texts at once, as numpy arrays.
 
 The texts of an Arrow column lie one after the other in one buffer of UTF-8 bytes.  Everything here works on that
-buffer as a whole: a word is a run of bytes other than 0x20 and 0x09-0x0D inside one text, its hash is a polynomial
+buffer as a whole: a word is a run of bytes other than the separators (0x20 and 0x09-0x0D, unless said otherwise) inside one text, its hash is a polynomial
 over its bytes (ASCII letters folded to lower case) taken from one running sum, and a shingle's hash mixes the hashes
 of the words in a window.  Cost is a few nanoseconds a byte, without a Python object for each word.
 
@@ -19,6 +19,9 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators that also strip ASCII punctuation from words.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = True
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
@@ -56,10 +59,10 @@ class Words:
 
     __slots__ = ("data", "end", "first", "hash", "offsets", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
-        inside = ~SPACE[data]
+        inside = ~separators[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         before = np.empty(n, bool)
@@ -85,7 +88,7 @@ class Words:
         return len(self.first) - 1
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, separators: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first text, one past the last, their Words), for runs of whole texts of about `limit` bytes; one longer text is
     a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
@@ -100,7 +103,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Itera
     at = 0
     while at < n:
         to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
-        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], separators)
         at = to
 
 
