@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bitpack, neardup, ngram, quality, tokencount, warc
+from tessera.llm import bitpack, decontaminate, neardup, ngram, pii, quality, secrets, tokencount, warc
 from tessera.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.budgets(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
@@ -32,6 +36,16 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    findings, _ = secrets.scan(docs)
+    return secrets.report(docs, findings)
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -40,6 +54,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.write_and_read(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM documents),
+b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM d WHERE len(w) >= 5),
+bs AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM b WHERE len(w) >= 5),
+n AS (SELECT id, count(*) AS n_shingles FROM bs GROUP BY 1)
+SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
+FROM bs JOIN ds USING (s) JOIN n ON n.id = bs.id GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n_shingles)
+"""
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -52,8 +76,8 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op9_warc, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op9_warc": OP9_SQL}
