@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bitpack, decontaminate, neardup, ngram, pii, quality, secrets, tokencount, warc
+from tessera.llm import bitpack, decontaminate, mixing, neardup, ngram, pii, quality, secrets, tokencount, warc
 from tessera.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     findings, _ = secrets.scan(docs)
@@ -76,7 +80,9 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op6_source_mix, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
