@@ -59,8 +59,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM benchmark),
+WITH d AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+') IF x <> ''] AS w FROM documents),
+b AS (SELECT item_id AS id, [x FOR x IN string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+') IF x <> ''] AS w FROM benchmark),
 ds AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM d WHERE len(w) >= 5),
 bs AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM b WHERE len(w) >= 5),
 n AS (SELECT id, count(*) AS n_shingles FROM bs GROUP BY 1)
