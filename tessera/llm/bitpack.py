@@ -18,6 +18,7 @@ follow each other, ordered by their ids; an empty table makes no file.
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import uuid
 import zlib
@@ -34,7 +35,7 @@ from tessera.llm.common import columns_for, fresh_path, materialise
 HEADER = struct.Struct("<4sIIQQ")
 MAGIC, VERSION, BLOCK = b"TBPK", 1, 64
 NO_ID = -(2**63)
-CACHE = 400_000
+CACHE = 800_000
 
 
 def width_for(largest: int) -> int:
@@ -73,44 +74,82 @@ def unpack(data: bytes, width: int, first: int, last: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts under a tokenizer file whose pre-tokenizer drops white space, so that the pieces between
-    white space are encoded each by itself.  Each process keeps the ids of up to CACHE pieces."""
+    """Ids of whole texts under a tokenizer file whose pre-tokenizer drops white space, so that what stands between white
+    space is encoded by itself.  Of a word that ends in letters or digits and then TAIL characters, which the
+    pre-tokenizer puts in a piece of their own, the two parts are encoded by themselves too.  Each process keeps the ids
+    of up to CACHE words and as many parts; what is new is encoded in strings of many words at once."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.uint32(end_id).astype("<u4").tobytes()
-        self._known: dict[str, bytes] = {}
-        probe = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a b", "a", "b", "a\nb", " a  b ")]
-        if not probe[0] == probe[1] + probe[2] == probe[3] == probe[4]:
-            raise ValueError("this tokenizer keeps white space; pieces can't be encoded by themselves")
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        if not ids("a b") == ids("a") + ids("b") == ids("a\nb") == ids(" a  b ") or any(ids(f"ab{t}") != ids("ab") + ids(t) or ids(f"a1{t}") != ids("a1") + ids(t) for t in [*TAIL, TAIL]):
+            raise ValueError("this tokenizer joins what is encoded in parts here")
+        # a word of letters is one piece, and its last id, no other, is of a token that ends a word
+        self._ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self._ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
     @property
     def width(self) -> int:
         return width_for(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
-        split = [_ascii_split(x or "") for x in texts]
-        known = self._known
-        fresh = list({p for pieces in split for p in pieces if p not in known})
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            fresh = list({p for pieces in split for p in pieces})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
+    def _encode_parts(self, parts: list[str]) -> None:
+        plain = [p for p in parts if p.isalpha() and len(p) < 64]
+        other = [p for p in parts if not (p.isalpha() and len(p) < 64)]
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(group):
+                other += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, to in zip(group, (4 * ends).tolist(), strict=True):
+                self._parts[p] = raw[at:to]
+                at = to
+        for i in range(0, len(other), 20_000):
+            some = other[i : i + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) + self.end for pieces in split]
-
+                self._parts[p] = np.array(e.ids, "<u4").tobytes()
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
+        split = [_split(x) if x else [] for x in texts]
+        fresh = set().union(*split) - self._words.keys()
+        if len(self._words) + len(fresh) > CACHE:
+            self._words.clear()
+            fresh = set().union(*split)
+        if len(self._parts) > CACHE:
+            self._parts.clear()
+        cut = {}
+        for w in fresh:
+            core = w.rstrip(TAIL)
+            cut[w] = (core, w[len(core) :]) if core and core[-1].isalnum() else (w, "")
+        parts = self._parts
+        need = {p for pair in cut.values() for p in pair if p and p not in parts}
+        if need:
+            self._encode_parts(list(need))
+        for w, (core, tail) in cut.items():
+            self._words[w] = parts[core] + parts[tail] if tail else parts[core]
+        get = self._words.__getitem__
+        return [b"".join(map(get, words)) + self.end for words in split]
+
+
+#: Characters that may follow a word.
+TAIL = ".,;:!?|%&#$*"
 _TO_SPACE = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
-def _ascii_split(text: str) -> list[str]:
-    return [p for p in text.translate(_TO_SPACE).split(" ") if p]
+def _split(text: str) -> list[str]:
+    """At white space; where a text holds characters that only Python takes for it, at the ASCII kind."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [p for p in text.translate(_TO_SPACE).split(" ") if p]
+    return text.split()
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -144,10 +183,15 @@ class Reader:
         self.body = memoryview(data)[HEADER.size + 16 * self.n_docs :]
 
     def ids(self, at: int) -> np.ndarray:
-        """The ids of document `at` of this file."""
+        """The ids of document `at` of this file; only its blocks are unpacked."""
         return unpack(self.body, self.width, int(self.starts[at]), int(self.starts[at + 1]))
 
 
+    def all(self) -> np.ndarray:
+        """The ids of all documents, one after the other."""
+        return unpack(self.body, self.width, 0, self.n_ids)
+
+
 def put(uri: str, data: bytes) -> None:
     """A file at `uri`, complete or not there."""
     system, path = pafs.FileSystem.from_uri(uri)
@@ -228,10 +272,11 @@ def read(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 r = Reader(get(path))
-                crc = [zlib.crc32(r.ids(i).astype("<u4").tobytes()) for i in range(r.n_docs)]
+                raw, at = memoryview(r.all().astype("<u4").tobytes()), (4 * r.starts).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, pa.int64()), pa.array(r.starts[:-1] + before, pa.int64()), pa.array(np.diff(r.starts), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = starts.repartition(F.col("file"))
+    spread = starts.repartition(max(1, min(files.count(), 4096)))  # a task for each file, which no setting folds into one
     return spread.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
