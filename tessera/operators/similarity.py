@@ -146,30 +146,33 @@ def mean_pool_l2(units: DataFrame, keys: list[str], vec: str = "v") -> DataFrame
     return V.collected(V.by_dimension(unit, keys, "__u"), keys).select(*keys, V.l2_normalise(F.col("v")).alias("v"))
 
 
-def spatial_neighbours(spots: DataFrame, k: int, cell: float) -> DataFrame:
+def spatial_neighbours(spots: DataFrame, k: int) -> DataFrame:
     """(sample_id, unit_id, pos, neighbour): the unit itself at 0 and its k nearest others in the sample, by distance, then
-    id.  Units look into the nine grid cells around them; where the k-th is farther than a cell, the unit looks again on a
-    grid of twice the size, so the result is exact and no sample is crossed with itself."""
+    id.  Units look into the nine grid cells around them.  A sample's cell is sized from its extent and count so that a
+    circle of that radius holds several times k points; where the k-th is still farther than a cell, the unit looks again
+    on a grid of twice the size.  So the result is exact and no sample is crossed with itself."""
     spots = spots.select("sample_id", "unit_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    sizes = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    due, out = spots, None
+    extent = (F.max("x") - F.min("x") + 1e-9) * (F.max("y") - F.min("y") + 1e-9)
+    sizes = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), (F.sqrt(extent * (k + 1) / F.count(F.lit(1))) * 1.2).alias("cell"))
+    base = spots.join(sizes, "sample_id")
+    due, out, scale = base, None, 1.0
     w = Window.partitionBy("sample_id", "unit_id").orderBy("d2", "neighbour")
+    cell = lambda: F.col("cell") * F.lit(scale)
     for _ in range(60):
-        at = [F.floor(F.col(c) / cell).alias(f"c{c}") for c in "xy"]
-        own = spots.select("sample_id", F.col("unit_id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"), *at)
+        at = [F.floor(F.col(c) / cell()).alias(f"c{c}") for c in "xy"]
+        own = base.select("sample_id", F.col("unit_id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"), *at)
         shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
-        look = due.select("sample_id", "unit_id", "x", "y", *at, shifts).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")})
+        look = due.select("sample_id", "unit_id", "x", "y", "n", "cell", *at, shifts).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")})
         near = look.join(own, ["sample_id", "cx", "cy"]).where(F.col("unit_id") != F.col("neighbour"))
         d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-        ranked = near.select("sample_id", "unit_id", "neighbour", d2.alias("d2")).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-        state = ranked.groupBy("sample_id", "unit_id").agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("got"))
-        state = due.join(state, ["sample_id", "unit_id"], "left").join(sizes, "sample_id").select("sample_id", "unit_id", "x", "y", F.coalesce("got", F.lit(0)).alias("got"), "far", "n")
-        settled = ((F.col("got") == F.least(F.lit(k), F.col("n") - 1)) & ((F.col("far") <= cell * cell) | F.lit(False))) | (F.col("n") == 1)
-        done = state.where(F.coalesce(settled, F.lit(False)))
-        part = ranked.join(done.select("sample_id", "unit_id"), ["sample_id", "unit_id"], "left_semi").select("sample_id", "unit_id", "pos", "neighbour")
+        ranked = near.select("sample_id", "unit_id", "neighbour", "n", "cell", d2.alias("d2")).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+        both = Window.partitionBy("sample_id", "unit_id")
+        full = F.count(F.lit(1)).over(both) == F.least(F.lit(k), F.col("n") - 1)
+        ranked = ranked.withColumn("settled", full & (F.max("d2").over(both) <= cell() * cell())).where("settled")
+        part = ranked.select("sample_id", "unit_id", "pos", "neighbour")
         out = part if out is None else out.unionByName(part)
-        due = state.where(~F.coalesce(settled, F.lit(False))).select("sample_id", "unit_id", "x", "y")
+        due = due.where("n > 1").join(part.where("pos = 1").select("sample_id", "unit_id"), ["sample_id", "unit_id"], "left_anti")
         if due.isEmpty():
             break
-        cell *= 2
+        scale *= 2
     return out.unionByName(spots.select("sample_id", "unit_id", F.lit(0).alias("pos"), F.col("unit_id").alias("neighbour")))

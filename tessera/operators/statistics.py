@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NONE = Window.partitionBy()
-
 
 def draw(*parts: Column | str) -> Column:
     """A number below 2^32 from the md5 of the parts joined by colons."""

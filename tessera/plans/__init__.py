@@ -1 +1,37 @@
+"""Queries over the driver's tables, and the package made known to executors."""
 
+from __future__ import annotations
+
+import functools
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+_sent: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's executors, once, so that their Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    if sc.applicationId in _sent:
+        return
+    root = Path(__file__).resolve().parent.parent
+    at = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_package.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(at)
+    _sent.add(sc.applicationId)
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
