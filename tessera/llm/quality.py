@@ -130,7 +130,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _repeat_words(w: textbatch.Words) -> np.ndarray:
-    """Words of each text in windows of three that occur twice or more in it."""
+    """Words of each text, told apart by case, in windows of three that occur twice or more in it."""
     n = len(w.hash)
     out = np.zeros(len(w), np.int64)
     if n < 3:
@@ -193,7 +193,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), learned: dict | None = None)
                     bins = len(keys) + 1
                     histogram = np.bincount(place[owner][own] * bins + slot, minlength=len(mine) * bins).reshape(len(mine), bins)
                     by_word[mine] = distance(histogram, common)
-                repeats = _repeat_words(w)
+                repeats = _repeat_words(textbatch.Words(w.data, w.offsets, fold=False))
                 n_chars = classes.sum(axis=1)
                 failed = (n_words < rules.base_min_words) | (100 * repeats > rules.base_max_repeat_percent * n_words)
                 judged = (n_words >= rules.min_words) & (n_chars >= rules.min_chars)

@@ -2,7 +2,7 @@
 
 The texts of an Arrow column lie one after the other in one buffer of UTF-8 bytes.  Everything here works on that
 buffer as a whole: a word is a run of bytes other than the separators (0x20 and 0x09-0x0D, unless said otherwise) inside one text, its hash is a polynomial
-over its bytes (ASCII letters folded to lower case) taken from one running sum, and a shingle's hash mixes the hashes
+over its bytes (ASCII letters folded to lower case, unless said otherwise) taken from one running sum, and a shingle's hash mixes the hashes
 of the words in a window.  Cost is a few nanoseconds a byte, without a Python object for each word.
 
 Defined results: a null text counts as empty; a text without words has no word and no shingle; a text with fewer words
@@ -24,6 +24,7 @@ PUNCTUATION = SPACE.copy()
 PUNCTUATION[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = True
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_EXACT = _BYTE.copy()
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 2**64))
@@ -59,7 +60,7 @@ class Words:
 
     __slots__ = ("data", "end", "first", "hash", "offsets", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: bool = True):
         self.data, self.offsets = data, offsets
         n = len(data)
         inside = ~separators[data]
@@ -81,7 +82,7 @@ class Words:
         power, inverse = _power_tables(max(n, 1))
         with np.errstate(over="ignore"):
             running = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[data] * power[:n], out=running[1:])
+            np.cumsum((_BYTE if fold else _EXACT)[data] * power[:n], out=running[1:])
             self.hash = mix((running[self.end] - running[self.start]) * inverse[self.start])
 
     def __len__(self) -> int:
