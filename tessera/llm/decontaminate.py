@@ -29,8 +29,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D\p{Punct}]+"), "")
 
 
-def shingle_hash(at: Column, of: str = "words") -> Column:
-    return F.xxhash64(*[F.col(of)[at + i] for i in range(SIZE)])
+def _hashes(of: str) -> Column:
+    """Hashes of the shingles of a column of word hashes, in order."""
+    return F.transform(F.sequence(F.lit(0), F.size(of) - SIZE), lambda at: F.xxhash64(*[F.col(of)[at + i] for i in range(SIZE)]))
 
 
 def _shingles(of: str) -> Column:
@@ -46,7 +47,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     """(item_id, shingles, hashes): each item's distinct shingles, and their hashes in order."""
     rows = columns_for(benchmark, "item_id", "text").where("item_id is not null").select("item_id", words(F.col("text")).alias("words")).where(F.size("words") >= SIZE)
     rows = rows.select("item_id", F.array_distinct(_shingles("words")).alias("shingles"))
-    return rows.select("item_id", "shingles", F.array_sort(F.transform("shingles", lambda s: F.xxhash64(*[F.split(s, " ")[i] for i in range(SIZE)]))).alias("hashes"))
+    return rows.select("item_id", "shingles", F.array_sort(F.transform("shingles", lambda s: F.xxhash64(*[F.xxhash64(F.split(s, " ")[i]) for i in range(SIZE)]))).alias("hashes"))
 
 
 def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -62,11 +63,12 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         reach = F.when(F.col("class") == c, F.lit(h)).otherwise(reach)
 
     source = columns_for(docs, "doc_id", "text").where("doc_id is not null")
-    split = source.select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") >= SIZE)
-    split = split.select("doc_id", "words", _size_class(F.size("words")).alias("class"))
-    split = split.withColumn("reach", reach).where("reach is not null")
-    placed = split.select("doc_id", "words", "class", "reach", F.explode(F.sequence(F.lit(0), F.size("words") - SIZE)).alias("at"))
-    hashed = placed.select("doc_id", "class", "reach", shingle_hash(F.col("at")).alias("hash")).where("hash <= reach")
+    # arrays of numbers, not rows, until few shingles are left; the generator keeps the optimiser from putting the words'
+    # hashes into the lambda below, where they would be computed again for each shingle
+    split = source.select("doc_id", F.explode(F.array(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("words")).where(F.size("words") >= SIZE)
+    split = split.withColumn("class", _size_class(F.size("words"))).withColumn("reach", reach).where("reach is not null")
+    low = split.select("doc_id", "class", F.array_distinct(F.filter(_hashes("words"), lambda h: h <= F.col("reach"))).alias("low"))
+    hashed = low.select("doc_id", "class", F.explode("low").alias("hash"))
     pairs = hashed.join(maybe_broadcast(sketches), ["class", "hash"]).select("doc_id", "item_id").distinct()
     pairs = materialise(pairs, "contained-candidates")
 
