@@ -153,7 +153,7 @@ def spatial_neighbours(spots: DataFrame, k: int) -> DataFrame:
     on a grid of twice the size.  So the result is exact and no sample is crossed with itself."""
     spots = spots.select("sample_id", "unit_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     extent = (F.max("x") - F.min("x") + 1e-9) * (F.max("y") - F.min("y") + 1e-9)
-    sizes = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), (F.sqrt(extent * (k + 1) / F.count(F.lit(1))) * 1.2).alias("cell"))
+    sizes = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), (F.sqrt(extent * (k + 1) / F.count(F.lit(1))) * 2).alias("cell"))
     base = spots.join(sizes, "sample_id")
     due, out, scale = base, None, 1.0
     w = Window.partitionBy("sample_id", "unit_id").orderBy("d2", "neighbour")
