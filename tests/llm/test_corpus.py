@@ -160,6 +160,14 @@ def test_near_duplicates_against_brute_force(spark, docs, awkward):
     assert Counter(r["doc_id"] for r in one) == {1: 1, 2: 1, 4: 1, 6: 1, 8: 1, None: 1}
 
 
+def test_pairs_that_only_tf_links_are_found(spark):
+    """120 texts share 75 of their 91 shingles; the pairs (2i, 2i + 1) share 6 more, so tf links these and nothing else."""
+    passage = [f"shared{i}" for i in range(79)]
+    rows = [(i, " ".join([*passage, *(f"pair{i // 2}x{j}" for j in range(6)), *(f"own{i}x{j}" for j in range(10))])) for i in range(120)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 def test_weighted_samples_estimate_similarity():
     rng = np.random.default_rng(5)
     keys = rng.integers(1, 2**63, 400, dtype=np.uint64)
