@@ -3,9 +3,10 @@
 A document may belong to several sources.  Documents are aggregated by membership pattern, the set of their sources; a
 pattern can give its words once at no cost and again at a cost that grows with each repetition.  The cheapest flow from
 patterns through their sources to the sources' targets says how many words each pattern gives: a number of whole passes
-and a rest.  The rest is filled with whole documents in the order of a seeded hash, found by histograms of hash prefixes
-(PREFIX hex digits more at each level, a bounded number of rows for each pattern), and then with the largest documents
-that still fit.
+and a rest.  The rest is filled with whole documents in the order of a seeded hash: each that still fits is taken, until
+none does.  Histograms of hash prefixes (PREFIX hex digits more at each level, a bounded number of rows for each pattern)
+find where the order meets a document that doesn't fit; behind it the search goes on over those that do.  A pattern is
+settled one by one on the driver once so few documents are left to look at that all such patterns have at most FEW.
 
 What reaches the driver grows with the patterns, of which at most MAX_PATTERNS are taken, not with the documents.
 
@@ -27,7 +28,7 @@ from tessera.llm.common import SPACES, columns_for, materialise
 
 MAX_PATTERNS = 20_000
 PREFIX, KEY = 3, 32
-FILL_ROUNDS = 8
+FEW = 20_000
 
 
 class Network:
@@ -108,7 +109,7 @@ class Plan:
     passes: dict[str, int] = field(default_factory=dict)
     rest: dict[str, int] = field(default_factory=dict)
     flows: dict[tuple[str, str | None], int] = field(default_factory=dict)
-    below: dict[str, str] = field(default_factory=dict)
+    runs: dict[str, list[tuple[str, str, int]]] = field(default_factory=dict)
     picked: set[tuple[str, str]] = field(default_factory=set)
 
 
@@ -147,48 +148,69 @@ def _keyed(docs: DataFrame, members: Column, seed: int, each: bool) -> DataFrame
     return docs.withColumns({"__size": size, "__sources": sources, "__pattern": F.to_json(F.struct(sources.alias("s"))), "__key": key})
 
 
+def _after(key: str) -> str:
+    """Follows `key` and comes before every other key that follows it."""
+    return key + "0"
+
+
 def _choose(rows: DataFrame, plan: Plan) -> None:
-    """Fills plan.below and plan.picked: documents with a key before `below`, and single ones."""
+    """Fills plan.runs, the (from, below, most) of keys and sizes that are taken, and plan.picked, single keys.  Together
+    they are what one walk over the keys takes that takes all that fits; rows of one key go together."""
     spark = rows.sparkSession
-    due = {p: n for p, n in plan.rest.items() if n > 0}
-    prefix = dict.fromkeys(due, "")
-    left = dict(due)
-    plan.below = dict.fromkeys(plan.words, "")
-    for length in [*range(PREFIX, KEY, PREFIX), KEY]:
-        if not prefix:
-            break
-        at = spark.createDataFrame(list(prefix.items()), "__pattern string, __prefix string")
-        some = rows.join(F.broadcast(at), "__pattern").where(F.col("__key").startswith(F.col("__prefix")))
-        found = some.groupBy("__pattern", F.substring("__key", 1, length).alias("k")).agg(F.sum("__size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-        by: dict[str, list] = {}
-        for r in found:
-            by.setdefault(r["__pattern"], []).append((r["k"], r["n"], r["rows"]))
-        nextly = {}
-        for p, buckets in by.items():
-            for k, n, count in sorted(buckets):
-                if n > left[p]:
-                    plan.below[p] = k
-                    if count > 1 and left[p] > 0 and length < KEY:
-                        nextly[p] = k
-                    break
-                left[p] -= n
-            else:
-                plan.below[p] = prefix[p] + "g"  # after every hex digit
-        prefix = nextly
-    for _ in range(FILL_ROUNDS):
-        short = {p: n for p, n in left.items() if n > 0 and 1000 * n > plan.words[p]}
-        if not short:
-            break
-        at = spark.createDataFrame([(p, plan.below[p], n) for p, n in short.items()], "__pattern string, __below string, __left long")
-        some = rows.join(F.broadcast(at), "__pattern").where((F.col("__key") >= F.col("__below")) & F.col("__size").between(1, F.col("__left")))
-        if plan.picked:
-            some = some.join(F.broadcast(spark.createDataFrame(sorted(plan.picked), "__pattern string, __key string")), ["__pattern", "__key"], "left_anti")
-        best = some.groupBy("__pattern").agg(F.max(F.struct("__size", "__key")).alias("b")).collect()
-        if not best:
+    left = {p: n for p, n in plan.rest.items() if n > 0}
+    start = dict.fromkeys(left, "")
+    plan.runs = {p: [] for p in plan.words}
+
+    def fitting(some: list[str]) -> DataFrame:
+        at = spark.createDataFrame([(p, start[p], left[p]) for p in some], "__pattern string, __from string, __left long")
+        return rows.join(F.broadcast(at), "__pattern").where((F.col("__key") >= F.col("__from")) & F.col("__size").between(1, F.col("__left")))
+
+    while left:
+        counts = {r["__pattern"]: r["count"] for r in fitting(list(left)).groupBy("__pattern").count().collect()}
+        left = {p: n for p, n in left.items() if p in counts}
+        few, total = [], 0
+        for p in sorted(left, key=lambda p: (counts[p], p)):
+            total += counts[p]
+            if total > FEW:
+                break
+            few.append(p)
+        if few:
+            each = fitting(few).groupBy("__pattern", "__key").agg(F.sum("__size").alias("n")).collect()
+            for p, k, n in sorted((r["__pattern"], r["__key"], r["n"]) for r in each):
+                if n <= left[p]:
+                    plan.picked.add((p, k))
+                    left[p] -= n
+            for p in few:
+                del left[p]
+        if not left:
             break
-        for r in best:
-            plan.picked.add((r["__pattern"], r["b"]["__key"]))
-            left[r["__pattern"]] -= r["b"]["__size"]
+        most, prefix = dict(left), dict.fromkeys(left, "")
+        began = dict(start)
+        fits = fitting(list(left))  # by where the walk stands now
+        for length in [*range(PREFIX, KEY, PREFIX), KEY]:
+            if not prefix:
+                break
+            at = spark.createDataFrame(list(prefix.items()), "__pattern string, __prefix string")
+            some = fits.join(F.broadcast(at), "__pattern").where(F.col("__key").startswith(F.col("__prefix")))
+            found = some.groupBy("__pattern", F.substring("__key", 1, length).alias("k")).agg(F.sum("__size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+            by: dict[str, list] = {}
+            for r in found:
+                by.setdefault(r["__pattern"], []).append((r["k"], r["n"], r["rows"]))
+            deeper = {}
+            for p, buckets in by.items():
+                below = prefix[p] + "g"  # after every hex digit
+                for k, n, count in sorted(buckets):
+                    if n > left[p]:
+                        below = k
+                        if count > 1 and left[p] > 0 and length < KEY:
+                            deeper[p] = k
+                        break
+                    left[p] -= n
+                start[p] = _after(below) if len(below) == KEY else below
+                if p not in deeper:
+                    plan.runs[p].append((began[p], below, most[p]))
+            prefix = deeper
+        left = {p: n for p, n in left.items() if n > 0}
 
 
 def _planned(rows: DataFrame, weights: tuple[int, ...], percent: int, most: int) -> tuple[Plan, dict, dict]:
@@ -218,10 +240,11 @@ def _overlapping(sizes: dict, total: int, weights: tuple[int, ...], percent: int
 def _copies(rows: DataFrame, plan: Plan) -> DataFrame:
     """rows with __copies, how often each document is taken."""
     spark = rows.sparkSession
-    per = spark.createDataFrame([(p, plan.passes[p], plan.below[p]) for p in plan.words] or [("", 0, "")], "__pattern string, __passes int, __below string")
+    per = spark.createDataFrame([(p, plan.passes[p], plan.runs[p]) for p in plan.words] or [("", 0, [])], "__pattern string, __passes int, __runs array<struct<from:string,below:string,most:long>>")
     picked = spark.createDataFrame(sorted(plan.picked) or [("", "")], "__pattern string, __key string").withColumn("__picked", F.lit(1))
     out = rows.join(F.broadcast(per), "__pattern", "left").join(F.broadcast(picked), ["__pattern", "__key"], "left")
-    more = (F.col("__key") < F.col("__below")) | F.col("__picked").isNotNull()
+    taken = F.exists("__runs", lambda r: (F.col("__key") >= r["from"]) & (F.col("__key") < r["below"]) & F.col("__size").between(1, r["most"]))
+    more = taken | F.col("__picked").isNotNull()
     return out.withColumn("__copies", F.coalesce(F.col("__passes") + more.cast("int"), F.lit(0)))
 
 

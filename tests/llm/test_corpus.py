@@ -195,6 +195,25 @@ def test_mix_meets_targets(spark, awkward):
     assert mixing.mixed(awkward).columns == awkward.columns
 
 
+@pytest.mark.parametrize("few", [0, mixing.FEW])
+def test_mix_takes_all_that_fits(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    docs = spark.createDataFrame([(i, "w " * (2000 if i == 0 else 4), "s") for i in range(301)], "doc_id long, text string, source string")
+    assert sum(r["taken"] for r in mixing.mix(docs).collect()) == 3200 + 1200  # 1,600 are wanted again; 300 texts of 4 words fit
+    rng = np.random.default_rng(4)
+    sizes = np.ceil(rng.pareto(0.7, 60)).clip(1, 900).astype(int)
+    docs = spark.createDataFrame([(i, "w " * int(n), f"s{i % 2}") for i, n in enumerate([*sizes, *[5] * 6])], "doc_id long, text string, source string")
+    rows = mixing._keyed(docs, mixing.F.array("source"), 17, False).select("__size", "__sources", "__pattern", "__key").cache()
+    plan, _, _ = mixing._planned(rows, (3, 1, 2), 150, 2)
+    got = Counter((r["__pattern"], r["__key"]) for r in mixing._copies(rows, plan).collect() if r["__copies"] > plan.passes[r["__pattern"]])
+    want, left = Counter(), dict(plan.rest)
+    for p, k, n in sorted((r["__pattern"], r["__key"], r["__size"]) for r in rows.collect()):
+        if 0 < n <= left[p]:
+            want[p, k] += 1
+            left[p] -= n
+    assert got == want and len(want) > 0
+
+
 def test_flow_routes_overlapping_sources_at_least_cost():
     plan = mixing.route({"x": ("a",), "y": ("b",), "xy": ("a", "b")}, {"x": 10, "y": 10, "xy": 10}, {"a": 15, "b": 15})
     assert plan.passes == {"x": 1, "y": 1, "xy": 1} and plan.rest == {"x": 0, "y": 0, "xy": 0}
