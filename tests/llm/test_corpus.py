@@ -73,6 +73,17 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert shares[1]["avg(k)"] == 1.0 and shares[0]["avg(k)"] < 0.2
 
 
+def test_quality_rejects_a_wrong_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = quality.references(docs)
+    for _, keys, shares in learned.values():
+        assert quality.distance(np.append(np.zeros(len(keys)), 1.0)[None], shares)[0] > quality.Rules().max_word_distance
+    clean = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id", "left_semi")
+    wrong = clean.replace({"en": "es", "es": "fr", "fr": "de", "de": "en"}, subset=["lang"])
+    kept = [[r["kept"] for r in quality.judge(x, learned=learned).where("n_words >= 100").collect()] for x in (clean, wrong)]
+    assert all(kept[0]) and np.mean(kept[1]) < 0.2
+
+
 def test_decontamination_against_brute_force(spark, docs, awkward):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, None), (901, "short one"), (None, "one two three four five six"), (902, "ONE two, three four five six eight")], "item_id long, text string"))
     table = docs.select("doc_id", "text").union(awkward.select("doc_id", "text"))
