@@ -26,7 +26,11 @@ def permutation_test(nulls: DataFrame, observed: DataFrame, keys: list[str], tai
     p = (1 + as extreme) / (1 + n)."""
     v, o = F.col("value"), F.col("observed")
     beyond = {"greater": v >= o, "less": v <= o, "two-sided": F.abs(v) >= F.abs(o)}[tail]
-    rows = nulls.where(v.isNotNull() & ~F.isnan(v)).join(F.broadcast(observed.limit(100_000)), keys) if keys else nulls.where(v.isNotNull() & ~F.isnan(v)).crossJoin(F.broadcast(observed.limit(1)))
+    there = nulls.where(v.isNotNull() & ~F.isnan(v))
+    if keys:
+        rows = there.join(F.broadcast(observed) if observed.limit(100_001).count() <= 100_000 else observed, keys)
+    else:
+        rows = there.crossJoin(F.broadcast(observed.limit(1)))
     out = rows.groupBy(*keys, "observed").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.count_if(beyond).alias("b"))
     return out.select(*keys, "observed", "n", "mean", "sd", F.when(F.col("sd") > 0, (o - F.col("mean")) / F.col("sd")).alias("z"), ((1 + F.col("b")) / (1 + F.col("n"))).alias("p"))
 

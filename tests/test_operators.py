@@ -122,3 +122,9 @@ def test_sources(spark, tmp_path):
     np.save(tmp_path / "m" / "a.npy", np.arange(6.0).reshape(3, 2))
     index = spark.createDataFrame([("a.npy", i, f"u{i}") for i in range(3)], "file string, row long, unit string")
     assert {r["unit"]: r["vec"] for r in readers.load(spark, "npy_with_index", matrices=str(tmp_path / "m"), index=index).collect()}["u2"] == [4.0, 5.0]
+
+
+def test_permutation_test_keeps_every_key(spark):
+    observed = spark.range(100_010).selectExpr("id AS k", "1.0D AS observed")
+    nulls = spark.range(100_010).selectExpr("id AS k", "0.0D AS value")
+    assert statistics.permutation_test(nulls, observed, ["k"]).count() == 100_010
