@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these.
 SPACES = r"[\x20\x09-\x0D]"
-#: Rows below which a side may be broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast; larger sides are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 _own: dict[str, str] = {}
 
@@ -46,10 +46,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `limit` rows, which is counted; else unchanged, so that the join
-    shuffles.  `df` is to be cheap to compute twice."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `limit` rows of at most `most` bytes in all, which is measured; else
+    unchanged, so that the join shuffles.  `df` is to be cheap to compute twice."""
+    if not df.columns:
+        return df
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, held = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and held <= most else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
