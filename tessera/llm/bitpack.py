@@ -12,7 +12,7 @@ Files cover consecutive ranges of doc_id and are numbered in that order; in each
 temporary file and renames it, so a repeated task replaces equal bytes by equal bytes.
 
 Defined results: a null text is empty and has only the end id; a null doc_id sorts first; rows that share a doc_id
-follow each other, ordered by their ids; an empty table makes no file.
+follow each other, ordered by their text's hash; an empty table makes no file.
 """
 
 from __future__ import annotations
@@ -26,16 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import textbatch
 from tessera.llm.common import columns_for, fresh_path, materialise
 
 HEADER = struct.Struct("<4sIIQQ")
 MAGIC, VERSION, BLOCK = b"TBPK", 1, 64
 NO_ID = -(2**63)
 CACHE = 800_000
+#: Bytes of a word from which its hash is of the stronger kind, of text in a range of doc_ids, and of ids in a file.
+LONG, PART_BYTES, FILE_BYTES = 256, 8 << 20, 32 << 20
 
 
 def width_for(largest: int) -> int:
@@ -73,83 +77,127 @@ def unpack(data: bytes, width: int, first: int, last: int) -> np.ndarray:
     return out.reshape(-1)[first - b0 * BLOCK : last - b0 * BLOCK]
 
 
+#: Characters that may follow a word.
+TAIL = ".,;:!?|%&#$*"
+_TAIL = np.zeros(256, bool)
+_TAIL[list(TAIL.encode())] = True
+_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
+
+
+def _cut_tails(w: textbatch.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the words of `w`, those that end in an ASCII letter or digit and then TAIL characters as two."""
+    last = np.maximum.accumulate(np.where(_TAIL[w.data], -1, np.arange(len(w.data)))) if len(w.data) else np.zeros(0, np.int64)
+    core = last[w.end - 1] + 1
+    cut = (core > w.start) & (core < w.end)
+    cut[cut] = _ALNUM[w.data[core[cut] - 1]]
+    upto = np.concatenate([[0], np.cumsum(1 + cut)])
+    at = np.flatnonzero(cut)
+    start, end = np.repeat(w.start, 1 + cut), np.repeat(w.end, 1 + cut)
+    end[upto[at]] = start[upto[at] + 1] = core[at]
+    return start, end, upto[w.first]
+
+
 class Encoder:
     """Ids of whole texts under a tokenizer file whose pre-tokenizer drops white space, so that what stands between white
-    space is encoded by itself.  Of a word that ends in letters or digits and then TAIL characters, which the
-    pre-tokenizer puts in a piece of their own, the two parts are encoded by themselves too.  Each process keeps the ids
-    of up to CACHE words and as many parts; what is new is encoded in strings of many words at once."""
+    space is encoded by itself, and puts TAIL characters behind ASCII letters and digits in a piece of their own, so that
+    the two are encoded by themselves too.  Words are found and told apart as arrays, by 64-bit hashes of their bytes (of a
+    stronger kind from LONG bytes on, where a polynomial can be made to collide), so only words that are new to the process
+    become strings; ids are then gathered from a pool.  Each process keeps the ids of up to CACHE words; what is new is
+    encoded in strings of many words at once."""
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.uint32(end_id).astype("<u4").tobytes()
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self.end = np.uint32(end_id)
+        self._forget()
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        if not ids("a b") == ids("a") + ids("b") == ids("a\nb") == ids(" a  b ") or any(ids(f"ab{t}") != ids("ab") + ids(t) or ids(f"a1{t}") != ids("a1") + ids(t) for t in [*TAIL, TAIL]):
+        if not ids("a b") == ids("a") + ids("b") == ids("a\nb") == ids(" a  b ") or any(ids(f"a{c}{t}") != ids(f"a{c}") + ids(t) for t in [*TAIL, TAIL] for c in "bB1"):
             raise ValueError("this tokenizer joins what is encoded in parts here")
-        # a word of letters is one piece, and its last id, no other, is of a token that ends a word
+        # the last id of a piece, and no other, is of a token that ends a word
         self._ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self._ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
+    def _forget(self) -> None:
+        self._known = np.zeros(0, np.uint64)
+        self._start, self._count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._pool, self._held = np.zeros(1 << 16, np.uint32), 0
+
     @property
     def width(self) -> int:
         return width_for(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1)
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        plain = [p for p in parts if p.isalpha() and len(p) < 64]
-        other = [p for p in parts if not (p.isalpha() and len(p) < 64)]
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word.  Words of letters are joined by spaces: each has at least one piece, so that if there are
+        as many pieces as words, each word is one and the pieces' ends cut the ids."""
+        out: list = [None] * len(words)
+        plain = [i for i, x in enumerate(words) if x.isalpha() and len(x) < 64]
         groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self._ends[ids]) + 1
+        rest = [i for i, x in enumerate(words) if not (x.isalpha() and len(x) < 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = (np.flatnonzero(self._ends[ids]) + 1).tolist()
             if len(ends) != len(group):
-                other += group
+                rest += group
                 continue
-            raw, at = ids.tobytes(), 0
-            for p, to in zip(group, (4 * ends).tolist(), strict=True):
-                self._parts[p] = raw[at:to]
+            at = 0
+            for i, to in zip(group, ends, strict=True):
+                out[i] = ids[at:to]
                 at = to
-        for i in range(0, len(other), 20_000):
-            some = other[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._parts[p] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.uint32)
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Takes new words with their hashes, in sorted order, into the pool."""
+        made = self._encoded(words)
+        count, fresh = np.array([len(x) for x in made], np.int64), np.concatenate(made)
+        while self._held + len(fresh) > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        self._pool[self._held : self._held + len(fresh)] = fresh
+        at = np.searchsorted(self._known, hashes)
+        self._known = np.insert(self._known, at, hashes)
+        self._start = np.insert(self._start, at, self._held + np.cumsum(count) - count)
+        self._count = np.insert(self._count, at, count)
+        self._held += len(fresh)
+
+    def ids(self, w: textbatch.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of `w` one after the other, each with the end id, ids of each text)."""
+        from_, to, bounds = _cut_tails(w)
+        hashes = w.hash_of(from_, to)
+        for i in np.flatnonzero(to - from_ >= LONG):
+            hashes[i] = xxhash.xxh3_64_intdigest(w.data[from_[i] : to[i]].tobytes())
+        every, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self._known) + len(every) > CACHE:
+            self._forget()
+        slot = np.searchsorted(self._known, every)
+        new = np.ones(len(every), bool)
+        inside = slot < len(self._known)
+        new[inside] = self._known[slot[inside]] != every[inside]
+        if new.any():
+            raw = w.data.tobytes()
+            self._learn(every[new], [raw[a:b].decode() for a, b in zip(from_[first[new]].tolist(), to[first[new]].tolist(), strict=True)])
+            slot = np.searchsorted(self._known, every)
+        slot = slot[place]
+        start, count = self._start[slot], self._count[slot]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        per_text = upto[bounds[1:]] - upto[bounds[:-1]] + 1
+        out = np.full(int(upto[-1]) + len(per_text), self.end, np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(per_text) - 1] = False
+        out[inner] = self._pool[np.repeat(start - upto[:-1], count) + np.arange(upto[-1])]
+        return out, per_text
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
-        split = [_split(x) if x else [] for x in texts]
-        fresh = set().union(*split) - self._words.keys()
-        if len(self._words) + len(fresh) > CACHE:
-            self._words.clear()
-            fresh = set().union(*split)
-        if len(self._parts) > CACHE:
-            self._parts.clear()
-        cut = {}
-        for w in fresh:
-            core = w.rstrip(TAIL)
-            cut[w] = (core, w[len(core) :]) if core and core[-1].isalnum() else (w, "")
-        parts = self._parts
-        need = {p for pair in cut.values() for p in pair if p and p not in parts}
-        if need:
-            self._encode_parts(list(need))
-        for w, (core, tail) in cut.items():
-            self._words[w] = parts[core] + parts[tail] if tail else parts[core]
-        get = self._words.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
-
-
-#: Characters that may follow a word.
-TAIL = ".,;:!?|%&#$*"
-_TO_SPACE = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
-
-
-def _split(text: str) -> list[str]:
-    """At white space; where a text holds characters that only Python takes for it, at the ASCII kind."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [p for p in text.translate(_TO_SPACE).split(" ") if p]
-    return text.split()
+        out = []
+        for _, _, w in textbatch.chunks(pa.array(texts, pa.large_string()), fold=False):
+            ids, count = self.ids(w)
+            out += [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(count)[:-1])]
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -161,12 +209,11 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def _file(ids: list[int | None], packed: list[bytes], width: int) -> bytes:
-    arrays = [np.frombuffer(x, "<u4") for x in packed]
+def _file(ids: list[int | None], arrays: list[np.ndarray], width: int) -> bytes:
     index = np.empty((len(ids), 2), "<i8")
     index[:, 0] = [NO_ID if x is None else x for x in ids]
     index[:, 1] = [len(a) for a in arrays]
-    every = np.concatenate(arrays) if arrays else np.zeros(0, "<u4")
+    every = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
     return HEADER.pack(MAGIC, VERSION, width, len(ids), len(every)) + index.tobytes() + pack(every, width)
 
 
@@ -208,57 +255,66 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
-def _buckets(docs: DataFrame, rows: int) -> list[int]:
-    """Lower bounds of doc_id for files of about `rows` rows; read from the doc_id column alone."""
-    n = docs.count()
-    files = max(1, -(-n // rows))
-    if files == 1:
+def _bounds(marks: DataFrame, files: int) -> list[tuple]:
+    """The least (has an id, id, hash) of each of about `files` ranges of equal size but the first, in order."""
+    if files <= 1:
         return []
-    cuts = docs.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.2 / files)
-    return sorted({int(x) for x in cuts})
+    ranges = marks.select("doc_id", "hash").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "hash")
+    least = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), "hash")).alias("x"))
+    return sorted(tuple(r["x"]) for r in least.collect())[1:]
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, place: str | None = None, rows_in_file: int = 4096) -> DataFrame:
-    """Encodes `docs` and writes the files; a table (file, path, n_docs, n_ids) of them, in order by `file`."""
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, place: str | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Encodes `docs` and writes the files; a table (file, path, n_docs, n_ids) of them, in order by `file`.  Rows are dealt
+    by ranges of doc_id and, within one, of the text's hash, so that rows without an id or with one id share no task."""
     spark = docs.sparkSession
     place = place or fresh_path(spark, "tokens")
-    bounds = _buckets(docs.select("doc_id"), rows_in_file)
+    docs = columns_for(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    marks = materialise(docs.select("doc_id", "hash", F.octet_length("text").alias("size")), "token-marks")
+    parts = max(1, -(-(marks.agg(F.sum("size")).first()[0] or 0) // part_bytes))
+    bounds = _bounds(marks, parts)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path, end_id)
+        kind = "<u2" if own.width <= 16 else "<u4"
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = part.column("doc_id").to_pylist()
-                packed = [np.frombuffer(x, "<u4") for x in own.encode(part.column("text").to_pylist())]
-                small = [x.astype("<u2").tobytes() if own.width <= 16 else x.tobytes() for x in packed]
-                buckets = [0 if x is None else bisect.bisect_right(bounds, x) for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), part.column("doc_id").cast(pa.int64()), pa.array(small, pa.binary())], ["file", "doc_id", "ids"])
+            for at, to, w in textbatch.chunks(batch.column("text"), fold=False):
+                part = batch.slice(at, to - at)
+                ids, count = own.ids(w)
+                ends = np.concatenate([[0], np.cumsum(count)]) * np.dtype(kind).itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
+                doc_ids = part.column("doc_id").to_pylist()
+                keys = zip(doc_ids, part.column("hash").to_pylist(), strict=True)
+                buckets = [bisect.bisect_right(bounds, (i is not None, i or 0, h)) for i, h in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), part.column("doc_id"), part.column("hash"), packed.cast(pa.binary())], ["part", "doc_id", "hash", "ids"])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path, end_id)
-        held: tuple[int, list, list] | None = None
+        kind = "<u2" if own.width <= 16 else "<u4"
+        part, number, ids, packed, held = None, 0, [], [], 0
 
         def done() -> pa.RecordBatch:
-            number, ids, packed = held
-            path = f"{place}/{number:09d}.tbp"
-            put(path, _file(ids, packed, own.width))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([sum(map(len, packed)) // 4], pa.int64())], ["file", "path", "n_docs", "n_ids"])
+            name = part << 20 | number
+            path = f"{place}/{name:015d}.tbp"
+            arrays = [np.frombuffer(x, kind) for x in packed]
+            put(path, _file(ids, arrays, own.width))
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([sum(map(len, arrays))], pa.int64())], ["file", "path", "n_docs", "n_ids"])
 
         for batch in batches:
-            for number, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("file", "doc_id", "ids")), strict=True):
-                if held and held[0] != number:
+            for p, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
+                if ids and (p != part or held + len(raw) > FILE_BYTES):
                     yield done()
-                    held = None
-                held = held or (number, [], [])
-                held[1].append(doc_id)
-                held[2].append(np.frombuffer(ids, "<u2").astype("<u4").tobytes() if own.width <= 16 else ids)
-        if held:
+                    number, ids, packed, held = number + 1 if p == part else 0, [], [], 0
+                part = p
+                ids.append(doc_id)
+                packed.append(raw)
+                held += len(raw)
+        if ids:
             yield done()
 
-    rows = columns_for(docs, "doc_id", "text").mapInArrow(encoded, "file int, doc_id long, ids binary")
-    rows = rows.repartition("file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
-    return materialise(rows.mapInArrow(written, "file int, path string, n_docs long, n_ids long"), "token-files")
+    rows = docs.mapInArrow(encoded, "part long, doc_id long, hash long, ids binary")
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash", "ids")
+    return materialise(rows.mapInArrow(written, "file long, path string, n_docs long, n_ids long"), "token-files")
 
 
 def read(files: DataFrame) -> DataFrame:

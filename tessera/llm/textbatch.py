@@ -58,7 +58,7 @@ class Words:
     """The words of a run of texts: `hash` of each word, its byte `start` and `end` in `data`, and for text i the words
     `first[i]` up to `first[i + 1]`."""
 
-    __slots__ = ("data", "end", "first", "hash", "offsets", "start")
+    __slots__ = ("_inverse", "_running", "data", "end", "first", "hash", "offsets", "start")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: bool = True):
         self.data, self.offsets = data, offsets
@@ -79,17 +79,22 @@ class Words:
             after |= cut[1:]
         self.end = np.flatnonzero(inside & after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        power, inverse = _power_tables(max(n, 1))
+        power, self._inverse = _power_tables(max(n, 1))
+        self._running = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            running = np.zeros(n + 1, np.uint64)
-            np.cumsum((_BYTE if fold else _EXACT)[data] * power[:n], out=running[1:])
-            self.hash = mix((running[self.end] - running[self.start]) * inverse[self.start])
+            np.cumsum((_BYTE if fold else _EXACT)[data] * power[:n], out=self._running[1:])
+        self.hash = self.hash_of(self.start, self.end)
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes."""
+        with np.errstate(over="ignore"):
+            return mix((self._running[end] - self._running[start]) * self._inverse[start])
 
     def __len__(self) -> int:
         return len(self.first) - 1
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, separators: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
+def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, separators: np.ndarray = SPACE, fold: bool = True) -> Iterator[tuple[int, int, Words]]:
     """(first text, one past the last, their Words), for runs of whole texts of about `limit` bytes; one longer text is
     a run of its own."""
     if isinstance(texts, pa.ChunkedArray):
@@ -104,7 +109,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, separato
     at = 0
     while at < n:
         to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
-        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], separators)
+        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], separators, fold)
         at = to
 
 
