@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
+#: Matches that one inner fold takes: folds copy their array for each match, so long lists are folded in runs.
+RUN = 256
 
 
 def spans(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None, hint: Column | None = None) -> Column:
@@ -25,12 +27,20 @@ def spans(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column
         end = at + F.length(x["m"])
         span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("match"))
         good = x["m"].isNotNull() if keep is None else x["m"].isNotNull() & keep(x["m"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).cast(SPAN).alias("out"))
+        return F.struct(F.coalesce(end, at).alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).cast(SPAN).alias("out"))
+
+    def whole(every: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / RUN).cast("int")), lambda i: F.aggregate(F.slice(every, i * RUN + 1, F.lit(RUN)), start, step))
+        moved = lambda state, run: F.struct(
+            (state["at"] + run["at"]).alias("at"),
+            F.concat(state["out"], F.array(F.transform(run["out"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), s["kind"], (s["end"] + state["at"]).alias("end"), s["match"])))).alias("out"),
+        )
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), moved, lambda state: F.flatten(state["out"]))
 
     some = text.rlike(pattern)
     if hint is not None:
         some = hint & some
-    return F.when(some, F.aggregate(pieces, start, step, lambda state: state["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(some, whole(pieces)).otherwise(F.array().cast(SPAN))
 
 
 def joined(found: Column, names: list[str]) -> Column:
