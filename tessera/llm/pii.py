@@ -1,15 +1,16 @@
 """Personal data, by patterns and by information-theoretic sanitisation.
 
-Patterns find the protected entities: mail and network addresses, card and phone numbers.  Of the terms around them
-(words of at least TERM letters within REACH characters) the corpus tells how strongly they reveal an entity: with N
-documents, pointwise mutual information pmi(t, e) = ln(N * n(t, e) / (n(t) * n(e))) over the entity's own information
-ln(N / n(e)) is the share of the entity's information that the term discloses, at most 1.  A term near an entity that
-discloses at least GENERALISE of it is replaced by a general mark, and from REMOVE on it is removed.  As one document
-proves nothing, n(t, e) must rest on at least SUPPORT different texts.  All of it is DataFrame operations.
-
-Defined results: null counts as empty; spans are in code points, end exclusive; repeated rows each get their spans; terms
-are judged only in documents that hold the entity, so texts without personal data stay as they are; an empty table gives
-none.
+Patterns find the protected entities: mail and network addresses, card and phone numbers.  Of the terms in the same
+documents (words of at least TERM letters) the corpus tells how strongly they reveal an entity: of N texts, n(t) hold the
+term, n(e) the entity and n(t, e) both, and pointwise mutual information ln(N * n(t, e) / (n(t) * n(e))) over the entity's
+own information ln(N / n(e)) is the share of that information which the term discloses, at most 1.  Where the entity is, a
+term that discloses at least GENERALISE of it is replaced by a general mark everywhere in the document, and from REMOVE on
+it is removed.  All four counts are of different whole texts, so copies prove nothing; as one text doesn't either, n(t, e)
+must be at least SUPPORT, and so entities of fewer texts need no pairs.  All of it is DataFrame operations.
+
+Defined results: null counts as empty; spans are in code points, end exclusive; repeated rows and rows without a doc_id
+each get their spans; terms are judged only in documents that hold the entity, so texts without personal data stay as they
+are; a word that runs into a pattern's span is no term there; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from tessera.llm.spans import SPAN, count_of, joined, spans
 KINDS = ["email", "ip", "card", "phone", "term"]
 # The runs are written so that a matcher never backs up or recurses in them; they match what the plain forms match.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]+(?:\.[0-9]+){3}"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM, REACH, SUPPORT = 4, 60, 2
+TERM, SUPPORT = 4, 2
 GENERALISE, REMOVE = 0.75, 0.95
 WORD = r"\p{L}{4,}"
 
@@ -63,52 +64,59 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.when(span["kind"] >= 2, F.regexp_replace(span["match"], "[^0-9]", "")).otherwise(F.lower(span["match"])))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Words around a span, with their places; words that the window cuts are left out, and so are words of addresses."""
-    from_left = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.substr(text, from_left + 1, span["start"] - from_left)
-    right = F.substr(text, span["end"] + 1, F.lit(REACH))
-    inside = lambda side, first, whole: F.transform(F.filter(spans(side, WORD, 4), whole), lambda w: F.struct((w["start"] + first).alias("start"), (w["end"] + first).alias("end"), F.lower(w["match"]).alias("term")))
-    a = inside(left, from_left, lambda w: ((w["start"] > 0) | (from_left == 0)) & (w["end"] < F.length(left)))
-    b = inside(right, span["end"], lambda w: ((w["end"] < REACH) | (F.length(right) < REACH)) & (w["start"] > 0))
-    return F.concat(a, b)
+def _terms(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"\P{L}+")), lambda w: F.length(w) >= TERM)
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, found, near): pattern spans and the terms around them.  text_key tells texts apart."""
+    """(doc_id, text_key, found): pattern spans.  text_key tells texts apart."""
     text = F.coalesce("text", F.lit(""))
     rows = columns_for(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    rows = rows.withColumn("found", base_spans(F.col("text")))
-    near = F.flatten(F.transform("found", lambda s: F.transform(_near(F.col("text"), s), lambda w: F.struct(_entity(s).alias("entity"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))))
-    return rows.select("doc_id", "text_key", "found", near.alias("near"))
+    return rows.select("doc_id", "text_key", base_spans(F.col("text")).alias("found"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, share): how much of an entity each term near it discloses, from GENERALISE on."""
-    n = docs.count()
-    pairs = found.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.entity", "x.term")
-    together = pairs.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("texts"), F.countDistinct("doc_id", "text_key").alias("n_te")).where(F.col("texts") >= SUPPORT)
+    """(text_key, terms): of each text with an entity, the terms with the largest share that they disclose of one of its
+    entities, from GENERALISE on."""
+    texts = found.where(F.size("found") > 0).groupBy("text_key").agg(F.first("found").alias("found"))
+    n = found.select("text_key").distinct().count()
+    held = texts.select("text_key", F.explode(F.array_distinct(F.transform("found", lambda s: F.xxhash64(_entity(s))))).alias("entity"))
+    often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    held = materialise(held.join(maybe_broadcast(materialise(often, "entities")), "entity"), "held")
+    # the words of texts with such an entity, each text once
+    source = columns_for(docs, "text").where("text is not null").withColumn("text_key", F.xxhash64("text"))
+    keys = materialise(held.select("text_key").distinct(), "text-keys")
+    words = source.join(maybe_broadcast(keys), "text_key", "left_semi").select("text_key", F.explode(_terms(F.col("text"))).alias("term")).distinct()
+    words = materialise(words, "words")
+    together = words.join(held, "text_key").groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
     together = materialise(together, "together")
-    holders = found.select("doc_id", "text_key", F.explode("found").alias("s")).select("doc_id", "text_key", _entity(F.col("s")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     wanted = materialise(together.select("term").distinct(), "terms")
-    words = columns_for(docs, "text").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))).alias("term")).where(F.length("term") >= TERM)
-    occurs = words.join(maybe_broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    rows = together.join(holders, "entity").join(occurs, "term")
+    every = source.select("text_key", F.explode(_terms(F.col("text"))).alias("term")).join(maybe_broadcast(wanted, 2_000_000), "term", "left_semi")
+    occurs = every.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     own = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    return rows.select("entity", "term", F.when(own > 0, pmi / own).alias("share")).where(F.col("share") >= GENERALISE)
+    telling = together.join(occurs, "term").select("entity", "term", F.when(own > 0, pmi / own).alias("share")).where(F.col("share") >= GENERALISE)
+    telling = materialise(telling, "telling")
+    pairs = held.select("text_key", "entity").join(telling, "entity").join(words, ["text_key", "term"])
+    return pairs.groupBy("text_key", "term").agg(F.max("share").alias("share")).groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+
+
+TERMS = "array<struct<start:int,end:int,share:double>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, found, terms): pattern spans, and the disclosing terms as spans with their share."""
+    """(doc_id, text_key, found, terms): pattern spans, and the disclosing terms as spans with their share; a row for each
+    row of docs."""
     found = materialise(find(docs), "personal")
-    telling = disclosures(docs, found)
-    rows = found.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*").join(telling, ["entity", "term"])
-    terms = rows.groupBy("doc_id", "text_key", "start", "end").agg(F.max("share").alias("share"))
-    terms = terms.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    side = terms.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "terms")
-    joined_rows = found.join(side, found["doc_id"].eqNullSafe(side["d"]) & (found["text_key"] == side["k"]), "left")
-    return joined_rows.select("doc_id", "text_key", "found", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")).alias("terms"))
+    telling = materialise(disclosures(docs, found), "telling-terms")
+    text = F.coalesce("text", F.lit(""))
+    marked = columns_for(docs, "text").select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(maybe_broadcast(telling), "text_key")
+    at = F.transform(F.filter(spans(F.col("text"), WORD, 4), lambda w: F.map_contains_key("shares", F.lower(w["match"]))), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.col("shares")[F.lower(w["match"])].alias("share")))
+    marked = materialise(marked.groupBy("text_key").agg(F.first("text").alias("text"), F.first("shares").alias("shares")).select("text_key", at.alias("terms")), "term-spans")
+    rows = found.join(maybe_broadcast(marked), "text_key", "left")
+    clear = F.filter(F.coalesce("terms", F.array().cast(TERMS)), lambda t: ~F.exists("found", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return rows.select("doc_id", "text_key", "found", F.when(F.size("found") > 0, clear).otherwise(F.array().cast(TERMS)).alias("terms"))
 
 
 def report(docs: DataFrame) -> DataFrame:
