@@ -92,7 +92,10 @@ def exchanged(blocks: DataFrame, sends: Callable[[dict], list[tuple[np.ndarray,
                     out.append({"block": row["block"], "kind": kind, "part": int(part[a]), "keys": planes(steps), "counts": planes(np.ascontiguousarray(counts[:, a:b]).reshape(-1))})
                 yield from table(out, SENT).to_batches()
 
-    back = materialise(blocks.mapInArrow(send, SENT).groupBy("kind", "part").applyInArrow(_add_up, BACK), name)
+    # tasks of a few parts or blocks each, at any size of the corpus
+    parts = sum(1 << max(0, bits - f) for f in fewer)
+    sent = blocks.mapInArrow(send, SENT).repartition(max(1, parts // 2), "kind", "part")
+    back = materialise(sent.groupBy("kind", "part").applyInArrow(_add_up, BACK), name)
     sums: dict[int, dict] = {}
     for r in back.where("any is not null").groupBy("kind").agg(*[F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(2)]).alias(c) for c in ("sums", "positive")], F.sum("any").alias("any")).collect():
         sums[r["kind"]] = r.asDict()
@@ -109,7 +112,7 @@ def exchanged(blocks: DataFrame, sends: Callable[[dict], list[tuple[np.ndarray,
         return table([{"block": rows[0]["block"]}], "block long")
 
     n_fields = max((len([x for x in s["sums"] if x is not None]) for s in sums.values()), default=1)
-    back.select("block", "kind", "part", "counts", F.lit(n_fields).alias("fields")).groupBy("block").applyInArrow(store, "block long").count()
+    back.select("block", "kind", "part", "counts", F.lit(n_fields).alias("fields")).repartition(max(1, blocks.count() // 4), "block").groupBy("block").applyInArrow(store, "block long").count()
     return place, sums
 
 

@@ -6,10 +6,8 @@ documents one fold is left out of the counts, and its bigrams are the held-out c
 training documents.
 
 How it is spread: documents are tokenised once into blocks of about a million words (a sorted vocabulary and, for each
-word, its place there), written to the shared folder.  Each block sends every distinct word and bigram once, with its
-counts, to the part of the key space that owns it; the part adds up and sends the totals back in the order they came in.
-So a frequent bigram costs one entry a block, whatever its share of the text, and no table of the corpus is ever held
-whole.  Words and bigrams are told apart by 64-bit hashes.
+word, its place there), written to the shared folder.  Counts of words and bigrams are added up over blocks by
+`exchange`, and no table of the corpus is ever held whole.  Words and bigrams are told apart by 64-bit hashes.
 
 Defined results: null counts as empty, and an empty text has one token, the end; a null doc_id is in training, as its
 text is empty; repeated rows are learned from and scored one by one; without any training document all probability is
@@ -18,7 +16,6 @@ on the unknown word; without held-out bigrams the weights stay at DEFAULT.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,17 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbatch
-from tessera.llm.bitpack import get, put
-from tessera.llm.common import columns_for, fresh_path, materialise
+from tessera.llm.common import columns_for, materialise
+from tessera.llm.exchange import PART_KEYS, exchanged, rows_of, stored
 
 END, START = np.uint64(1), np.uint64(2)
 HELD_OUT, TUNE, FOLDS = 2, 3, 7
 DEFAULT = (0.4, 0.4, 0.2)
 BUCKETS = 65
 BLOCK_WORDS = 1_000_000
-PART_KEYS = 1_200_000
 
-BLOCK = "batch string, n_words long, doc_ids binary, missing binary, folds binary, lengths binary, vocabulary binary, places binary"
+BLOCK = "block long, n_words long, doc_ids binary, missing binary, folds binary, lengths binary, vocabulary binary, places binary"
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -46,6 +42,9 @@ def fold_of(doc_id: int | None) -> int:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 40
     ids: list = []
     lengths: list[np.ndarray] = []
     hashes: list[np.ndarray] = []
@@ -54,7 +53,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made() -> pa.RecordBatch:
         vocabulary, places = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
         row = {
-            "batch": uuid.uuid4().hex,
+            "block": number,
             "n_words": held,
             "doc_ids": np.array([0 if x is None else x for x in ids], "<i8").tobytes(),
             "missing": np.array([x is None for x in ids], np.uint8).tobytes(),
@@ -63,7 +62,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "vocabulary": vocabulary.astype("<u8").tobytes(),
             "places": places.astype("<u4").tobytes(),
         }
-        return pa.RecordBatch.from_pylist([row], schema=pa.schema([("batch", pa.string()), ("n_words", pa.int64()), *((k, pa.binary()) for k in list(row)[2:])]))
+        return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("n_words", pa.int64()), *((k, pa.binary()) for k in list(row)[2:])]))
 
     for batch in batches:
         doc_ids = batch.column("doc_id").to_pylist()
@@ -74,6 +73,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held += len(w.hash)
             if held >= BLOCK_WORDS:
                 yield made()
+                number += 1
                 ids, lengths, hashes, held = [], [], [], 0
     if ids:
         yield made()
@@ -83,7 +83,7 @@ class Block:
     """A block read back: its keys in sorted order, and the key of each token and bigram."""
 
     def __init__(self, row: dict):
-        self.batch = row["batch"]
+        self.block = row["block"]
         self.doc_ids = [None if m else int(x) for x, m in zip(np.frombuffer(row["doc_ids"], "<i8"), row["missing"], strict=True)]
         self.folds = np.frombuffer(row["folds"], np.uint8)
         words = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
@@ -116,49 +116,6 @@ class Block:
         return np.bincount(which[self.fit], minlength=size).astype(np.int64), np.bincount(which[self.tune], minlength=size).astype(np.int64)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of like weight side by side, so that a compressor sees runs of zeros."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
-
-
-SENT = "batch string, kind int, part int, keys binary, fit binary, tune binary"
-BACK = "batch string, kind int, part int, fit binary, tune binary, n_fit long, n_tune long, v_fit long, v_all long"
-
-
-def _table(rows: list[dict], ddl: str) -> pa.Table:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.Table.from_pylist(rows, schema=pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))]))
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """Totals of one part of the key space, for each block in the order of its keys."""
-    rows = table.to_pylist()
-    keys = [np.cumsum(_from_planes(r["keys"]), dtype=np.uint64) for r in rows]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = []
-    for name in ("fit", "tune"):
-        total = np.zeros(len(every), np.int64)
-        np.add.at(total, place, np.concatenate([_from_planes(r[name]) for r in rows]).astype(np.int64))
-        totals.append(total)
-    fit, tune = totals
-    out, at = [], 0
-    for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
-        own = place[at : at + len(k)]
-        at += len(k)
-        sums = [int(fit.sum()), int(tune.sum()), int((fit > 0).sum()), int((fit + tune > 0).sum())] if i == 0 else [0] * 4
-        out.append({"batch": r["batch"], "kind": r["kind"], "part": r["part"], "fit": _planes(fit[own]), "tune": _planes(tune[own])} | dict(zip(("n_fit", "n_tune", "v_fit", "v_all"), sums, strict=True)))
-    return _table(out, BACK)
-
-
 class Model:
     """What scoring needs: where each block's totals are, the weights by bucket, N and V."""
 
@@ -171,56 +128,31 @@ class Model:
 
 def count(docs: DataFrame) -> Model:
     """Tokenises and counts the corpus."""
-    spark = docs.sparkSession
     blocks = materialise(columns_for(docs, "doc_id", "text").mapInArrow(_blocks, BLOCK), "lm-blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = max(0, (total // PART_KEYS).bit_length())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                block = Block(row)
-                for kind, keys, which in ((0, block.words, block.token), (1, block.pairs, block.bigram)):
-                    fit, tune = block.counts(which, len(keys))
-                    order = np.argsort(keys)
-                    keys, fit, tune = keys[order], fit[order], tune[order]
-                    shift = 64 - max(0, bits - 2 * (kind == 0))
-                    part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
-                    cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                    out = []
-                    for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
-                        steps = keys[a:b].copy()
-                        steps[1:] -= keys[a : b - 1]
-                        out.append({"batch": block.batch, "kind": kind, "part": int(part[a]), "keys": _planes(steps), "fit": _planes(fit[a:b]), "tune": _planes(tune[a:b])})
-                    yield from _table(out, SENT).to_batches()
-
-    back = materialise(blocks.mapInArrow(send, SENT).groupBy("kind", "part").applyInArrow(_add_up, BACK), "lm-totals")
-    sums = back.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_fit", "n_tune", "v_fit", "v_all")]).first().asDict()
-    place = fresh_path(spark, "lm-block-totals")
-
-    def store(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"]))
-        arrays = [np.concatenate([_from_planes(r[name]) for r in rows if r["kind"] == kind]) for kind in (0, 1) for name in ("fit", "tune")]
-        data = b"".join(len(p).to_bytes(8, "little") + p for p in (zlib.compress(_planes(a), 1) for a in arrays))
-        put(f"{place}/{rows[0]['batch']}", data)
-        return _table([{"batch": rows[0]["batch"]}], "batch string")
-
-    back.select("batch", "kind", "part", "fit", "tune").groupBy("batch").applyInArrow(store, "batch string").count()
-    return Model(blocks, place, sums)
+    def sends(row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+        block, out = Block(row), []
+        for keys, which in ((block.words, block.token), (block.pairs, block.bigram)):
+            order = np.argsort(keys)
+            out.append((keys[order], np.stack(block.counts(which, len(keys)))[:, order]))
+        return out
+
+    place, sums = exchanged(blocks, sends, total, "lm-totals", fewer=(2, 0), part_keys=PART_KEYS)
+    words = sums.get(0, {"sums": [0, 0], "positive": [0, 0], "any": 0})
+    return Model(blocks, place, {"n_fit": words["sums"][0], "n_tune": words["sums"][1], "v_fit": words["positive"][0], "v_all": words["any"]})
 
 
 def _totals(place: str, block: Block) -> tuple[np.ndarray, ...]:
     """fit and tune totals of the block's words and bigrams, in its own order."""
-    data, at, out = get(f"{place}/{block.batch}"), 0, []
-    for keys in (block.words, block.words, block.pairs, block.pairs):
-        n = int.from_bytes(data[at : at + 8], "little")
-        got = _from_planes(zlib.decompress(data[at + 8 : at + 8 + n])).astype(np.int64)
-        at += 8 + n
-        if len(got) != len(keys):
+    out = []
+    for keys, got in zip((block.words, block.pairs), stored(place, block.block, 2, 2), strict=True):
+        if got.shape[1] != len(keys):
             raise ValueError("a block's totals don't fit its keys")
-        own = np.empty(len(keys), np.int64)
-        own[np.argsort(keys)] = got
-        out.append(own)
+        for x in got:
+            own = np.empty(len(keys), np.int64)
+            own[np.argsort(keys)] = x
+            out.append(own)
     for x in out[:2]:  # the start comes before as many tokens as there are ends
         x[-1] = x[-2]
     return tuple(out)
@@ -232,7 +164,7 @@ def learn(model: Model, rounds: int = 25, tolerance: float = 1e-4) -> Model:
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows_of([batch]):
                 block = Block(row)
                 word_fit, _, pair_fit, _ = _totals(place, block)
                 _, n = block.counts(block.bigram, len(block.pairs))
@@ -283,7 +215,7 @@ def score(model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows_of([batch]):
                 block = Block(row)
                 word_fit, word_tune, pair_fit, pair_tune = _totals(place, block)
                 word, pair = word_fit + word_tune, pair_fit + pair_tune
