@@ -12,7 +12,7 @@ are still returned, null without words); repeated rows are judged alike, each on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbatch
-from tessera.llm.common import columns_for, materialise
+from tessera.llm.common import columns_for, materialise, maybe_broadcast
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other_ascii", "latin", "beyond")
 
@@ -98,14 +98,12 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str | None, tupl
     counts = columns_for(docs, "text", "lang").mapInArrow(_reference_counts, "lang string, key long, n long")
     counts = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "language-counts")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum(F.when(F.col("key") >= 0, F.col("n")).otherwise(0)).alias("n")).collect()}
-    if not totals:
-        return {}
-    floor = F.lit(0.0)
-    for lang, n in totals.items():
-        floor = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(float(n) * rules.common_share)).otherwise(floor)
+    sizes = counts.groupBy("lang").agg(F.sum(F.when(F.col("key") >= 0, F.col("n")).otherwise(0)).alias("total")).withColumnRenamed("lang", "__lang")
+    counts = counts.join(maybe_broadcast(sizes), F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang")
+    kept = counts.where((F.col("key") < 0) | (F.col("n") >= F.col("total") * rules.common_share)).collect()
+    totals = {r["lang"]: r["total"] for r in kept}
     out: dict = {}
-    for r in counts.where((F.col("key") < 0) | (F.col("n") >= floor)).collect():
+    for r in kept:
         out.setdefault(r["lang"], []).append((r["key"], r["n"]))
     made = {}
     for lang, pairs in out.items():
@@ -162,11 +160,10 @@ def _dup_lines(text: str) -> int:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), learned: dict | None = None) -> DataFrame:
-    """A row for each document: its counts, its two distances, base_failed and kept."""
-    learned = references(docs, rules) if learned is None else learned
+def _judged(learned: dict, rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]]:
+    """A function from batches to pairs of batch and verdicts."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
         names = SCHEMA.replace(",", "").split()[::2]
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text")
@@ -207,13 +204,19 @@ def judge(docs: DataFrame, rules: Rules = Rules(), learned: dict | None = None)
             columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
             for i in (5, 6):
                 columns[i] = pa.array(np.concatenate([p[i] for p in parts]), from_pandas=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], names)
+            yield batch, pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], names)
+
+    return rows
 
-    return columns_for(docs, "doc_id", "text", "lang").mapInArrow(rows, SCHEMA)
+
+def judge(docs: DataFrame, rules: Rules = Rules(), learned: dict | None = None) -> DataFrame:
+    """A row for each document: its counts, its two distances, base_failed and kept."""
+    judged = _judged(references(docs, rules) if learned is None else learned, rules)
+    return columns_for(docs, "doc_id", "text", "lang").mapInArrow(lambda batches: (verdicts for _, verdicts in judged(batches)), SCHEMA)
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that `judge` keeps, with the columns of `docs`.  A doc_id is judged by its own rows; where rows
-    share a doc_id, all go if one goes."""
-    gone = judge(docs, rules).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows that `judge` keeps, with the columns of `docs`, in one pass: each is judged by itself, whatever its id."""
+    columns_for(docs, "doc_id", "text", "lang")
+    judged = _judged(references(docs, rules), rules)
+    return docs.mapInArrow(lambda batches: (batch.filter(verdicts.column("kept")) for batch, verdicts in judged(batches)), docs.schema)
