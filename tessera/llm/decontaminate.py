@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 A test item is the set of its five-word shingles; a document contains it if at least THRESHOLD of them are among the
-document's.  An item's sketch is its floor((1 - THRESHOLD) * n) + 1 smallest shingle hashes: a document that contains the
+document's.  An item's sketch is its floor((1 - THRESHOLD) * n) + 1 smallest shingle hashes, where shingles of more than
+COMMON items come after all others, so that what many items and documents share calls up few items: a document that contains the
 item lacks at most floor((1 - THRESHOLD) * n) shingles, so it has one of the sketch, and no containing document is
 missed however long it is.  Documents are partitioned by size, in powers of four of their words; an item is looked up
 only in the partitions whose documents can be large enough, and only with shingles whose hash is not above the largest
@@ -16,13 +17,14 @@ of them contains the item, with the largest containment; an empty table gives no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import columns_for, materialise, maybe_broadcast
 
 SIZE, THRESHOLD = 5, 0.8
 CLASSES = 16
+COMMON = 8
 
 
 def words(text: Column) -> Column:
@@ -55,8 +57,12 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialise(items_of(benchmark), "items")
     n = F.size("hashes")
     need = F.ceil(n * F.lit(THRESHOLD) - 1e-9).cast("int")
-    sketches = items.select("item_id", (need + SIZE - 1).alias("least_words"), F.explode(F.slice("hashes", 1, n - need + 1)).alias("hash"))
-    sketches = sketches.select("item_id", "hash", F.explode(F.sequence(_size_class(F.col("least_words")), F.lit(CLASSES - 1))).alias("class"))
+    each = items.select("item_id", (need + SIZE - 1).alias("least_words"), (n - need + 1).alias("take"), F.explode("hashes").alias("hash"))
+    common = each.groupBy("hash").agg((F.count(F.lit(1)) > COMMON).alias("common"))
+    order = Window.partitionBy("item_id", "least_words", "take").orderBy("common", "hash")
+    sketches = each.join(common, "hash").withColumn("i", F.row_number().over(order)).where("i <= take").select("item_id", "least_words", "hash")
+    sketches = sketches.distinct().select("item_id", "hash", F.explode(F.sequence(_size_class(F.col("least_words")), F.lit(CLASSES - 1))).alias("class"))
+    sketches = materialise(sketches, "sketches")
     highest = {r["class"]: r["h"] for r in sketches.groupBy("class").agg(F.max("hash").alias("h")).collect()}
     reach = F.lit(None).cast("long")
     for c, h in sorted(highest.items()):
@@ -81,5 +87,5 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item, with their columns."""
-    gone = contained(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = materialise(contained(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    return docs.join(maybe_broadcast(gone), docs["doc_id"] == F.col("__gone"), "left_anti").select(docs.columns)
