@@ -26,13 +26,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import columns_for, fresh_path, materialise
+from tessera.llm.common import columns_for, fresh_path, materialise, maybe_broadcast
 
 # The fields of header lines by version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+#: Bytes from which a task begins another archive.
+FILE_BYTES = 256 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -178,20 +180,31 @@ def write(pages: DataFrame, least: int = 100, date: str = "20240101000000", plac
     place = place or fresh_path(pages.sparkSession, "warc")
     rows = columns_for(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha2("html", 256))
     firsts = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(firsts, "digest", "left")
+    # the payloads of several pages only, as digests: broadcast if that is small, so that no page is moved
+    rows = rows.join(maybe_broadcast(materialise(firsts, "payloads")), "digest", "left")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         version = 1 + (TaskContext.get().partitionId() + 1) % 2
-        path, n, out = f"{place}/{uuid.uuid4().hex}.warc.gz", 0, None
+        n, held, out, path, local, system = 0, 0, None, "", "", None
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            system.move(f"{local}.tmp", local)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64).to_pylist()
+                if out is not None and held > FILE_BYTES:
+                    yield done()
+                    n, held, out = 0, 0, None
                 if out is None and part:
+                    path = f"{place}/{uuid.uuid4().hex}.warc.gz"
                     system, local = pafs.FileSystem.from_uri(path)
                     system.create_dir(local.rsplit("/", 1)[0], recursive=True)
-                    out = system.open_output_stream(local)
+                    out = system.open_output_stream(f"{local}.tmp", compression=None)
                 arc = io.BytesIO()
                 arc.write(arc_version_block(version, "pages.arc", date))
                 for r in part:
@@ -200,11 +213,12 @@ def write(pages: DataFrame, least: int = 100, date: str = "20240101000000", plac
                 arc.seek(0)
                 for r, record in zip(part, read_arc(arc), strict=True):
                     again = r["first"] is not None and r["first"] != r["page_id"]
-                    out.write(warc_bytes(to_warc(record, str(r["first"]) if again else None)))
+                    data = warc_bytes(to_warc(record, str(r["first"]) if again else None))
+                    out.write(data)
+                    held += len(data)
                     n += 1
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
+            yield done()
 
     return materialise(rows.mapInArrow(written, "path string, n_records long"), "warc-files")
 
@@ -221,7 +235,7 @@ def read(files: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 system, local = pafs.FileSystem.from_uri(path)
                 found: list[tuple] = []
-                with system.open_input_stream(local) as stream:
+                with system.open_input_stream(local, compression=None) as stream:
                     for r in read_warc(stream):
                         page, first = r.http.get("x-page-id"), r.headers.get("WARC-Refers-To-Page")
                         found.append((int(page) if page else None, int(r.http["content-length"]), r.headers["WARC-Payload-Digest"].removeprefix("sha256:"), r.headers["WARC-Type"], int(first) if first else None))
@@ -231,7 +245,8 @@ def read(files: DataFrame) -> DataFrame:
                 if found:
                     yield made(found)
 
-    return files.repartition("path").mapInArrow(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    spread = files.repartition(max(1, min(files.count(), 4096)))  # a task for each file, which no setting folds into one
+    return spread.mapInArrow(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def write_and_read(pages: DataFrame, least: int = 100) -> DataFrame:
