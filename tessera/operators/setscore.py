@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UNIT = ["sample_id", "unit_id"]
 
@@ -92,27 +97,65 @@ def set_bounds(sets: DataFrame, low: int, high: int) -> DataFrame:
     return sets.join(sizes.select("set_id"), "set_id", "left_semi")
 
 
+#: Memberships of sets that one pass carries to the tasks.
+SET_BLOCK = 2_000_000
+
+
 def rank_score(values: DataFrame, genes: DataFrame, sets: DataFrame) -> DataFrame:
     """(sample_id, unit_id, set_id, score): 1 - mean rank / (n - 1) of a set's genes among all n genes by value, highest
-    first, ties by gene.  Zeros are ranked without being stored: an absent gene comes after the unit's positive genes, by
-    its place among all genes less the positive ones before it."""
+    first, ties by gene.  Zeros are ranked without being stored: an absent gene comes after the unit's nz positive genes,
+    by its place among all genes less the positive ones before it.  So with g over a set's genes and h over the positive
+    ones, ranks add up to the sum of nz + place(g), less the number of genes of the set behind each h, plus, for each h of
+    the set, rank(h) - nz - place(h) + the positive ones before it.  Sets go out in blocks of SET_BLOCK memberships as
+    sorted places; units stay where they are."""
     universe = genes.select("gene").distinct()
     n = universe.count()
     order = universe.withColumn("idx", F.row_number().over(Window.orderBy("gene")) - 1)  # the gene axis, not the data
     w = Window.partitionBy(*UNIT)
-    held = values.where("value > 0").join(order, "gene").select(*UNIT, "gene", "idx", F.row_number().over(w.orderBy(F.col("value").desc(), "gene")).alias("pos"), F.row_number().over(w.orderBy("gene")).alias("upto"), F.count(F.lit(1)).over(w).alias("nz"))
-    sized = sets.join(order, "gene").select("set_id", "gene", "idx").distinct()
-    totals = sized.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"), F.sum("idx").alias("idx_sum"), F.array_sort(F.collect_list("idx")).alias("places"))
-    # ranks of absent genes sum to sum(nz + idx - positives before idx); positives before are counted from the positive side
-    units = held.groupBy(*UNIT).agg(F.max("nz").alias("nz"), F.collect_list(F.struct("idx", "pos")).alias("held"))
-    pairs = units.crossJoin(F.broadcast(totals)) if totals.count() <= 5_000 else units.crossJoin(totals)  # every unit is scored for every set
-    inside = F.filter("held", lambda h: F.array_contains("places", h["idx"]))
-    total = F.aggregate(inside, F.lit(0).cast("long"), lambda s, h: s + h["pos"] - 1)
-    hit = F.transform(inside, lambda h: h["idx"])
-    absent = F.array_except("places", hit)
-    before = F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + F.size(F.filter(absent, lambda p: p > h["idx"])))
-    rest = F.size(absent) * F.col("nz") + F.aggregate(absent, F.lit(0).cast("long"), lambda s, p: s + p) - before
-    return pairs.select(*UNIT, "set_id", (1 - (total + rest) / F.col("size") / (n - 1)).alias("score"))
+    held = values.where("value > 0").join(order, "gene").select(*UNIT, "idx", (F.row_number().over(w.orderBy(F.col("value").desc(), "gene")) - 1).alias("rank"), (F.row_number().over(w.orderBy("gene")) - 1).alias("upto"), F.count(F.lit(1)).over(w).alias("nz"))
+    units = held.groupBy(*UNIT).agg(F.first("nz").alias("nz"), F.collect_list(F.struct("idx", (F.col("rank") - F.col("nz") - F.col("idx") + F.col("upto")).alias("own"))).alias("held"))
+    units = units.select(*UNIT, "nz", F.col("held.idx").alias("idx"), F.col("held.own").alias("own"))
+    places = sets.join(order, "gene").select("set_id", "idx").distinct()
+    sizes = places.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    kinds, spark = {f.name: f.dataType.simpleString() for f in units.join(sets).schema.fields}, values.sparkSession
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*UNIT, "set_id"]) + ", score double"
+    out = None
+    for block in _blocks_of(sizes):
+        rows = places.join(F.broadcast(spark.createDataFrame([(s,) for s in block], sizes.select("set_id").schema)), "set_id").toPandas().sort_values(["set_id", "idx"])
+        shared = spark.sparkContext.broadcast([(s, g["idx"].to_numpy(np.int64)) for s, g in rows.groupby("set_id")])
+
+        def scored(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                nz = batch.column("nz").to_numpy().astype(np.int64)
+                idx, own = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("idx", "own"))
+                ends = np.cumsum(nz)
+                per_unit = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])  # noqa: E731, B023
+                for s, places in shared.value:
+                    to = np.searchsorted(places, idx, "right")
+                    inside = (to > 0) & (places[np.maximum(to, 1) - 1] == idx)
+                    total = len(places) * nz + places.sum() + per_unit(np.where(inside, own, 0) - (len(places) - to))
+                    columns = [*(batch.column(c) for c in UNIT), pa.array([s] * batch.num_rows), pa.array(1 - total / len(places) / (n - 1))]
+                    yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(columns, types, strict=True)], [*UNIT, "set_id", "score"])
+
+        types = [f.type for f in to_arrow_schema(spark.createDataFrame([], schema).schema)]
+        part = units.mapInArrow(scored, schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _blocks_of(sizes: DataFrame) -> Iterator[list]:
+    """Sets in blocks of at most SET_BLOCK memberships, at least one each; the driver holds the sets' names."""
+    block, held = [], 0
+    for r in sizes.orderBy("set_id").toLocalIterator():
+        if block and held + r["n"] > SET_BLOCK:
+            yield block
+            block, held = [], 0
+        block.append(r["set_id"])
+        held += r["n"]
+    if block:
+        yield block
 
 
 def closure(edges: DataFrame, roots: DataFrame | None = None, most: int = 64) -> DataFrame:

@@ -36,21 +36,22 @@ def gene_filter(spark: SparkSession, d: str) -> DataFrame:
     return setscore.drop_matching(counts(spark, d), "G1").groupBy("sample_id").agg(F.countDistinct("gene").alias("genes"), F.round(F.sum("count"), 4).alias("total"))
 
 
-def _mapping(spark: SparkSession) -> DataFrame:
-    return spark.range(300).where("id % 7 <> 3").select(F.concat(F.lit("G"), "id").alias("gene"), F.concat(F.lit("S"), F.col("id") % 40).alias("symbol"))
+def _mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Parts to brand and type; small parts have no symbol."""
+    return table(spark, d, "part").where("p_size > 7").select(F.concat(F.lit("G"), "p_partkey").alias("gene"), F.concat_ws("/", "p_brand", "p_type").alias("symbol"))
 
 
 def gene_axis_sum(spark: SparkSession, d: str) -> DataFrame:
     versioned = counts(spark, d).withColumn("gene", F.concat("gene", F.lit(".2")))
-    return setscore.gene_axis(versioned, _mapping(spark), "sum", "drop").groupBy("sample_id", "symbol").agg(F.round(F.sum("count"), 4).alias("count"))
+    return setscore.gene_axis(versioned, _mapping(spark, d), "sum", "drop").groupBy("sample_id", "symbol").agg(F.round(F.sum("count"), 4).alias("count"))
 
 
 def gene_axis_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _r(setscore.gene_axis(counts(spark, d), _mapping(spark), "mean", "keep"), ["count"])
+    return _r(setscore.gene_axis(counts(spark, d), _mapping(spark, d), "mean", "keep"), ["count"])
 
 
 def niche_qc(spark: SparkSession, d: str) -> DataFrame:
-    return setscore.niche_qc(counts(spark, d), 300.0, 12).groupBy("cause").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    return setscore.niche_qc(counts(spark, d), 60.0, 3).groupBy("cause").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
 def library_normalise(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +59,11 @@ def library_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ring(spark: SparkSession, d: str) -> DataFrame:
-    """Each unit with the two after it on its sample's ring."""
+    """Each unit with the two that follow it in its sample."""
+    w = Window.partitionBy("sample_id").orderBy("unit_id")
     u = counts(spark, d).select("sample_id", "unit_id").distinct()
-    return u.select("sample_id", "unit_id", F.posexplode(F.array(*[(F.col("unit_id") + i) % 200 for i in range(3)])).alias("pos", "member"))
+    u = u.select("sample_id", "unit_id", F.array("unit_id", F.lead("unit_id", 1).over(w), F.lead("unit_id", 2).over(w)).alias("l"))
+    return u.select("sample_id", "unit_id", F.posexplode("l").alias("pos", "member")).where("member IS NOT NULL")
 
 
 def niche_sum(spark: SparkSession, d: str) -> DataFrame:
@@ -76,9 +79,8 @@ def robust_cv_topfrac(spark: SparkSession, d: str) -> DataFrame:
 def set_score_rank(spark: SparkSession, d: str) -> DataFrame:
     c = counts(spark, d)
     values = setscore.log_normalise(c, 1e4).withColumn("value", F.round("value", 9))
-    genes = spark.range(300).select(F.concat(F.lit("G"), "id").alias("gene"))
-    sets = genes.select((F.substring("gene", 2, 9).cast("int") % 9).alias("set_id"), "gene").where("set_id < 5")
-    bounded = setscore.set_bounds(sets, 10, 40)
+    parts = table(spark, d, "part").select(F.col("p_brand").alias("set_id"), F.concat(F.lit("G"), "p_partkey").alias("gene"))
+    genes, bounded = parts.select("gene"), setscore.set_bounds(parts, 2, 5000)
     return _r(setscore.rank_score(values, genes, bounded), ["score"])
 
 
@@ -194,7 +196,8 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bars(spark: SparkSession) -> DataFrame:
-    return spark.range(8).selectExpr("id AS task_id", "explode(array(0, 1)) AS axis").select("task_id", "axis", F.when(F.col("axis") == 0, 3000.0).when(F.col("task_id") % 2 == 0, 4000.0).alias("floor"))
+    b = spark.range(8).selectExpr("id AS task_id", "explode(array(0, 1)) AS axis")
+    return b.select("task_id", "axis", F.when(F.col("axis") == 0, 3000.0).when(F.col("task_id") % 2 == 0, 4000.0).alias("floor"), F.when(F.col("axis") == 0, 5500.0).alias("reference"))
 
 
 def _contra(spark: SparkSession) -> DataFrame:
@@ -205,8 +208,13 @@ def propose_task(spark: SparkSession, d: str) -> DataFrame:
     return rules.propose(_candidates(spark, d), _bars(spark))
 
 
+def _requests(spark: SparkSession) -> DataFrame:
+    """Each task without a proposal and with each method proposed, of which the odd ones insist."""
+    return spark.range(11).selectExpr("id AS task_id", "explode(array(-1L, 0L, 1L, 2L, 3L)) AS p").selectExpr("task_id * 10 + p + 1 AS request_id", "task_id", "CASE WHEN p >= 0 THEN p END AS proposed", "p % 2 = 1 AS override")
+
+
 def route_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return rules.resolve(spark.range(11).select(F.col("id").alias("task_id")), _candidates(spark, d), _bars(spark), _contra(spark))
+    return rules.resolve(_requests(spark), spark.range(10).select(F.col("id").alias("task_id")), _candidates(spark, d).where("task_id <> 8"), _bars(spark), _contra(spark))
 
 
 def matrix_admissibility(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +224,7 @@ def matrix_admissibility(spark: SparkSession, d: str) -> DataFrame:
 def _guard_evidence(spark: SparkSession, d: str) -> DataFrame:
     s, k = table(spark, d, "supplier"), F.col("s_suppkey")
     some = lambda m, c: F.when(k % m != 0, c)
-    return s.select(k.alias("method_id"), some(11, (k % 10) / 10).alias("nmi"), F.lit(0.8).alias("within"), some(13, 0.8 - (k % 7) / 10).alias("across"), some(17, (k % 5) / 2).alias("ratio"), F.lit(0.5).alias("ratio_floor"), some(19, (k % 20) / 20).alias("off_cosine"), ((k % 12) / 100).alias("p"), (k % 60).alias("n_nulls"), (k % 6 == 0).alias("circular"))
+    return s.select(k.alias("method_id"), some(11, (k % 10) / 10).alias("nmi"), F.when(k % 4 == 0, 0.0).otherwise(0.8).alias("within"), some(13, 0.8 - (k % 7) / 10).alias("across"), some(17, (k % 5) / 2).alias("biology_z"), (k % 3).cast("double").alias("confounder_z"), some(7, F.lit(1.2)).alias("ratio_floor"), some(19, (k % 20) / 20).alias("off_cosine"), ((k % 12) / 100).alias("p"), (k % 60).alias("n_nulls"), (k % 6 == 0).alias("circular"))
 
 
 def guard_statuses(spark: SparkSession, d: str) -> DataFrame:
@@ -224,13 +232,33 @@ def guard_statuses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def guard_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return rules.verdicts(rules.guards(_guard_evidence(spark, d)))
+    """Guards that have not run leave no row here; suppliers of the first region have none at all."""
+    e = _guard_evidence(spark, d)
+    s = table(spark, d, "supplier").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
+    some = s.where("n_regionkey > 0").select(F.col("s_suppkey").alias("method_id"))
+    statuses = rules.guards(e).where("status <> 'not_run'").join(some, "method_id", "left_semi")
+    return rules.verdicts(statuses, s.select(F.col("s_suppkey").alias("method_id"), (F.col("s_acctbal") > 0).alias("ran")))
+
+
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as the checks of their brand."""
+    size = F.col("p_size")
+    rule = F.element_at(F.create_map(*[F.lit(x) for pair in [("ECONOMY", "is_true"), ("SMALL", "is_false"), ("MEDIUM", "present_and_positive"), ("LARGE", "resolved_string"), ("STANDARD", "all_encoders_assessed"), ("PROMO", "other")] for x in pair]), F.col("p_type"))
+    fit = F.when(size > 40, "out_of_class").when(size > 25, "uncertain").otherwise("in_class")
+    value = F.when(size == 50, None).when(rule.isin("is_true", "is_false"), F.when(size > 30, "true").otherwise("false")).when(rule == "present_and_positive", (size - 20).cast("string")).when(rule == "resolved_string", F.when(size > 15, F.col("p_name")).otherwise("")).otherwise(F.concat(F.lit('{"a": "in_class", "b": "'), fit, F.lit('"}')))
+    authority = F.when(F.col("p_name").like("small%"), "advisory").when(F.col("p_name").like("red%"), "cohort_calibrated").otherwise("gate")
+    return table(spark, d, "part").select(F.col("p_brand").alias("cohort"), F.col("p_partkey").alias("check_id"), rule.alias("rule"), authority.alias("authority"), (F.col("p_retailprice") > 950).alias("required"), (size != 49).alias("present"), value.alias("value"), F.col("p_name").like("%ring").alias("calibrated"))
 
 
 def eda_gate(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    checks = table(spark, d, "part").select("p_brand", F.col("p_brand").alias("cohort"), k.alias("check_id"), F.when(k % 3 == 0, "gate").otherwise("advisory").alias("authority"), (k % 41 != 0).alias("measured"), (k % 29 != 0).alias("passed"), (k % 37 != 0).alias("calibrated"))
-    return rules.admissibility(checks.where("check_id < 400"))
+    risks = table(spark, d, "part").where("p_size = 1").select(F.col("p_brand").alias("cohort"))
+    return rules.admissibility(_checks(spark, d), risks)
+
+
+def eda_gate_by_part(spark: SparkSession, d: str) -> DataFrame:
+    """The same rules with a cohort for each name and size, so that every gate occurs."""
+    checks = _checks(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("check_id"), "p_name", "p_size"), "check_id")
+    return rules.admissibility(checks.withColumn("cohort", F.concat_ws(":", "p_name", "p_size")))
 
 
 def pack_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -252,9 +280,8 @@ def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tfidf_route(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark")
-    tasks = b.where("item_id < 12").select(F.col("item_id").alias("task_id"), "text")
-    asked = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), "text")
+    tasks = table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), "text")
+    asked = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), "text")
     return textroute.route(asked, tasks).select("question_id", "task_id", F.round("score", 5).alias("score"))
 
 
@@ -299,7 +326,7 @@ def sample_intersection(spark: SparkSession, d: str) -> DataFrame:
 def schema_violations(spark: SparkSession, d: str) -> DataFrame:
     li, orders, part, docs = (table(spark, d, n) for n in ("lineitem", "orders", "part", "documents"))
     return constraints.violations([
-        constraints.foreign_key(orders, "o_custkey", table(spark, d, "customer").where("c_custkey % 50 <> 0"), "c_custkey", "order has customer"),
+        constraints.foreign_key(orders, "o_custkey", table(spark, d, "customer").where("c_acctbal > -500"), "c_custkey", "order has customer"),
         constraints.foreign_key(table(spark, d, "labels"), "doc_id", docs, "doc_id", "label has document"),
         constraints.unique(li, ["l_orderkey", "l_linenumber"], "line is unique"),
         constraints.condition(part, "p_size > 0", "size is positive"),
@@ -320,6 +347,6 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     count_stats, marker_expression, gene_filter, gene_axis_sum, gene_axis_mean, niche_qc, library_normalise, niche_sum, robust_cv_topfrac, set_score_rank, score_zscore, pseudobulk, differential_markers,
     dag_closure, ari_nmi, welch_contrast, perm_test, null_shape, bh_fdr, bootstrap_ci, ratio_ci, hanley_mcneil, spearman_by_sample, f1_scores, gini_topmass, compartment_stats, wide_report, propose_task,
-    route_resolve, matrix_admissibility, guard_statuses, guard_verdicts, eda_gate, pack_diff, grid_coverage, outcome_counts, tfidf_route, ledger_dedupe, ledger_summary, ledger_last, first_record,
+    route_resolve, matrix_admissibility, guard_statuses, guard_verdicts, eda_gate, eda_gate_by_part, pack_diff, grid_coverage, outcome_counts, tfidf_route, ledger_dedupe, ledger_summary, ledger_last, first_record,
     stratified_cap, key_transform, sample_intersection, schema_violations, stream_windows,
 ]

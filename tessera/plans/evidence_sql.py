@@ -5,14 +5,14 @@ from __future__ import annotations
 from tessera.plans.tables import with_
 
 _C = with_("counts")
-_MAP = "map AS (SELECT 'G' || i AS gene, 'S' || (i % 40) AS symbol FROM range(300) r(i) WHERE i % 7 <> 3)"
+_MAP = "map AS (SELECT 'G' || p_partkey AS gene, p_brand || '/' || p_type AS symbol FROM part WHERE p_size > 7)"
 _LIB = "lib AS (SELECT *, ln(1 + count * 1e4 / greatest(sum(count) OVER (PARTITION BY sample_id, unit_id), 1)) AS value FROM counts)"
-_RING = "ring AS (SELECT sample_id, unit_id, (unit_id + i) % 200 AS member FROM (SELECT DISTINCT sample_id, unit_id FROM counts) CROSS JOIN range(3) r(i))"
+_RING = "ru AS (SELECT sample_id, unit_id, [unit_id, lead(unit_id) OVER w, lead(unit_id, 2) OVER w] AS l FROM (SELECT DISTINCT sample_id, unit_id FROM counts) WINDOW w AS (PARTITION BY sample_id ORDER BY unit_id)), ring AS (SELECT * FROM (SELECT sample_id, unit_id, unnest(l) AS member FROM ru) WHERE member IS NOT NULL)"
 _SCORE = _C + "," + _LIB + """,
-genes AS (SELECT 'G' || i AS gene, i FROM range(300) r(i)), sets AS (SELECT i % 9 AS set_id, gene FROM genes WHERE i % 9 < 5),
-ranked AS (SELECT u.sample_id, u.unit_id, g.gene, row_number() OVER (PARTITION BY u.sample_id, u.unit_id ORDER BY coalesce(round(l.value, 9), 0) DESC, g.gene) - 1 AS r
+genes AS (SELECT 'G' || p_partkey AS gene, p_brand AS set_id, count(*) OVER () AS n, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
+ranked AS (SELECT u.sample_id, u.unit_id, g.gene, g.set_id, n, size, row_number() OVER (PARTITION BY u.sample_id, u.unit_id ORDER BY coalesce(round(l.value, 9), 0) DESC, g.gene) - 1 AS r
   FROM (SELECT DISTINCT sample_id, unit_id FROM counts) u CROSS JOIN genes g LEFT JOIN lib l USING (sample_id, unit_id, gene)),
-score AS (SELECT sample_id, unit_id, set_id::INT AS set_id, round(1 - avg(r) / 299, 6) AS score FROM ranked JOIN sets USING (gene) GROUP BY 1, 2, 3)"""
+score AS (SELECT sample_id, unit_id, set_id, round(1 - avg(r) / (any_value(n) - 1), 6) AS score FROM ranked WHERE size BETWEEN 2 AND 5000 GROUP BY 1, 2, 3)"""
 _PER = """WITH per AS (SELECT c_nationkey AS k, sum(c_acctbal) AS s, count(*) AS n, c_nationkey % 2 AS label FROM customer GROUP BY 1),
 b AS (SELECT *, row_number() OVER (ORDER BY k) AS place FROM per),
 o AS (SELECT perm, k, row_number() OVER (PARTITION BY perm ORDER BY md5('7:' || perm || ':' || k), k) AS place FROM b CROSS JOIN range(1, 201) r(perm)),
@@ -26,19 +26,36 @@ contra(method_id, task_id, applies) AS (VALUES (0, 1, true), (1, 1, true), (1, 1
 p AS (SELECT c.*, floor, floor IS NULL OR CASE WHEN hib THEN value > floor ELSE value < floor END AS passes FROM cand c LEFT JOIN bars USING (task_id, axis)),
 q AS (SELECT *, row_number() OVER w AS pos, first_value(value) OVER w AS fv, first_value(lo) OVER w AS fl, first_value(hi) OVER w AS fh FROM p WHERE passes WINDOW w AS (PARTITION BY task_id, axis ORDER BY CASE WHEN hib THEN -value ELSE value END, method_id))
 """
-_RESOLVE = _CAND + """, lead AS (SELECT * FROM q WHERE pos = 1 OR CASE WHEN lo IS NOT NULL AND fl IS NOT NULL THEN lo <= fh AND fl <= hi ELSE value = fv END),
-ax AS (SELECT task_id, count(DISTINCT axis) AS axes FROM cand GROUP BY 1), led AS (SELECT task_id, count(DISTINCT axis) AS led FROM lead GROUP BY 1),
-ev AS (SELECT task_id, method_id FROM lead JOIN ax USING (task_id) GROUP BY 1, 2, axes HAVING count(DISTINCT axis) = axes), cm AS (SELECT task_id, count(*) AS n, min(method_id) AS m FROM ev GROUP BY 1),
-r AS (SELECT t AS task_id, m, CASE WHEN axes IS NULL THEN 'no_evidence' WHEN coalesce(led, 0) < axes THEN 'axis_without_leader' WHEN n IS NULL THEN 'axes_disagree' WHEN n > 1 THEN 'several_lead'
-  WHEN (m, t) IN (SELECT (method_id, task_id) FROM contra WHERE applies) THEN 'contraindicated' ELSE 'leads_every_axis' END AS reason FROM range(11) z(t) LEFT JOIN ax ON ax.task_id = t LEFT JOIN led ON led.task_id = t LEFT JOIN cm ON cm.task_id = t),
-res AS (SELECT task_id, CASE WHEN reason IN ('no_evidence', 'axis_without_leader', 'contraindicated') THEN 'refuse' WHEN reason = 'axes_disagree' THEN 'escalate' WHEN reason = 'several_lead' THEN 'tie' ELSE 'recommend' END AS outcome, reason, CASE WHEN reason = 'leads_every_axis' THEN m END AS method_id FROM r)
+_RESOLVE = _CAND.rstrip() + """, ban AS (SELECT DISTINCT method_id, task_id FROM contra WHERE applies), ev AS (SELECT * FROM cand WHERE task_id <> 8),
+ok AS (SELECT * FROM p WHERE passes AND task_id <> 8 AND (method_id, task_id) NOT IN (SELECT (method_id, task_id) FROM ban)),
+best AS (SELECT *, first_value(value) OVER w AS bv, first_value(lo) OVER w AS bl, first_value(hi) OVER w AS bh, row_number() OVER w AS i FROM ok WINDOW w AS (PARTITION BY task_id, axis ORDER BY CASE WHEN hib THEN -value ELSE value END, method_id)),
+lead AS (SELECT * FROM best WHERE i = 1 OR CASE WHEN lo IS NOT NULL AND bl IS NOT NULL THEN lo <= bh AND bl <= hi ELSE value = bv END),
+ax AS (SELECT task_id, count(DISTINCT axis) AS axes FROM ev GROUP BY 1), led AS (SELECT task_id, count(DISTINCT axis) AS led FROM lead GROUP BY 1),
+cm AS (SELECT task_id, count(*) AS n, min(method_id) AS m FROM (SELECT task_id, method_id FROM lead JOIN ax USING (task_id) GROUP BY 1, 2, axes HAVING count(DISTINCT axis) = axes) GROUP BY 1),
+sh AS (SELECT task_id, NOT value > 5500 AS short FROM lead WHERE i = 1 AND axis = 0 AND task_id < 8),
+rq AS (SELECT t * 10 + p + 1 AS request_id, t AS task_id, CASE WHEN p >= 0 THEN p END AS proposed, p % 2 = 1 AS override FROM range(11) z(t) CROSS JOIN range(-1, 4) y(p)),
+rb AS (SELECT rq.*, b.method_id IS NOT NULL AS bad FROM rq LEFT JOIN ban b ON b.method_id = proposed AND b.task_id = rq.task_id),
+r AS (SELECT rq.*, m, short, CASE WHEN rq.task_id > 9 THEN 'unknown_family' WHEN axes IS NULL THEN 'no_evidence'
+  WHEN proposed IS NOT NULL AND bad AND override THEN 'against_the_evidence' WHEN proposed IS NOT NULL AND bad THEN 'contraindicated' WHEN coalesce(led, 0) < axes THEN 'axis_without_leader'
+  WHEN n IS NULL THEN 'axes_disagree' WHEN n > 1 THEN 'several_lead' ELSE 'leads_every_axis' END AS reason FROM rb rq LEFT JOIN ax USING (task_id) LEFT JOIN led USING (task_id) LEFT JOIN cm USING (task_id) LEFT JOIN sh USING (task_id)),
+o AS (SELECT *, CASE reason WHEN 'unknown_family' THEN 'escalate' WHEN 'no_evidence' THEN 'escalate' WHEN 'axes_disagree' THEN 'escalate' WHEN 'against_the_evidence' THEN 'override' WHEN 'contraindicated' THEN 'refuse'
+  WHEN 'axis_without_leader' THEN 'refuse' WHEN 'several_lead' THEN 'tie' ELSE 'recommend' END AS outcome FROM r),
+res AS (SELECT request_id, task_id, outcome, reason, CASE outcome WHEN 'recommend' THEN m WHEN 'override' THEN proposed END AS method_id, outcome IN ('recommend', 'tie') AND coalesce(short, false) AS shortfall FROM o)
 """
-_GUARD = """WITH e AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 <> 0 THEN (s_suppkey % 10)::DOUBLE / 10 END AS nmi, CASE WHEN s_suppkey % 13 <> 0 THEN 0.8::DOUBLE - (s_suppkey % 7)::DOUBLE / 10 END AS across,
-CASE WHEN s_suppkey % 17 <> 0 THEN (s_suppkey % 5)::DOUBLE / 2 END AS ratio, CASE WHEN s_suppkey % 19 <> 0 THEN (s_suppkey % 20)::DOUBLE / 20 END AS oc, (s_suppkey % 12)::DOUBLE / 100 AS p, s_suppkey % 60 AS nn, s_suppkey % 6 = 0 AS circ FROM supplier),
-t AS (SELECT k, 'G1' AS guard, nmi <= 0.5 AS ok FROM e UNION ALL SELECT k, 'G2', (0.8::DOUBLE - across) / 0.8::DOUBLE <= 0.5 FROM e UNION ALL SELECT k, 'G3', ratio >= 1 AND ratio >= 0.5 FROM e UNION ALL SELECT k, 'G4', oc <= 0.9 FROM e
+_GUARD = """WITH e AS (SELECT s_suppkey AS k, s_nationkey AS nk, s_acctbal AS bal, CASE WHEN s_suppkey % 11 <> 0 THEN (s_suppkey % 10)::DOUBLE / 10 END AS nmi, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 0.8 END::DOUBLE AS wi, CASE WHEN s_suppkey % 13 <> 0 THEN 0.8::DOUBLE - (s_suppkey % 7)::DOUBLE / 10 END AS across,
+CASE WHEN s_suppkey % 17 <> 0 THEN (s_suppkey % 5)::DOUBLE / 2 END AS b, (s_suppkey % 3)::DOUBLE AS c, CASE WHEN s_suppkey % 7 <> 0 THEN 1.2::DOUBLE END AS fl, CASE WHEN s_suppkey % 19 <> 0 THEN (s_suppkey % 20)::DOUBLE / 20 END AS oc, (s_suppkey % 12)::DOUBLE / 100 AS p, s_suppkey % 60 AS nn, s_suppkey % 6 = 0 AS circ FROM supplier),
+t AS (SELECT k, 'G1' AS guard, nmi <= 0.5 AS ok FROM e UNION ALL SELECT k, 'G2', CASE WHEN across IS NULL THEN NULL WHEN wi = 0 THEN true ELSE (wi - across) / wi <= 0.5 END FROM e
+UNION ALL SELECT k, 'G3', CASE WHEN b IS NULL THEN NULL WHEN c = 0 THEN true ELSE b >= c AND (fl IS NULL OR b / c >= fl) END FROM e UNION ALL SELECT k, 'G4', oc <= 0.5 FROM e
 UNION ALL SELECT k, 'G5', CASE WHEN nn >= 20 THEN p < 0.05 END FROM e UNION ALL SELECT k, 'G6', NOT circ FROM e),
 g AS (SELECT k AS method_id, guard, CASE WHEN ok THEN 'pass' WHEN NOT ok THEN 'fail' ELSE 'not_run' END AS status FROM t)
 """
+_CHECKS = """WITH c AS (SELECT p_brand, p_name, p_size AS z, p_type AS t, p_name LIKE 'small%' AS adv, p_name LIKE 'red%' AS calib, p_retailprice > 950 AS req, p_name LIKE '%ring' AS done FROM part),
+s AS (SELECT *, CASE WHEN t = 'LARGE' THEN CASE WHEN z = 50 OR z <= 15 THEN 'fail' ELSE 'pass' END WHEN t NOT IN ('ECONOMY', 'SMALL', 'MEDIUM', 'STANDARD') THEN 'not_run' WHEN z = 50 THEN 'not_run' WHEN t = 'ECONOMY' THEN CASE WHEN z > 30 THEN 'pass' ELSE 'fail' END
+  WHEN t = 'SMALL' THEN CASE WHEN z > 30 THEN 'fail' ELSE 'pass' END WHEN t = 'MEDIUM' THEN CASE WHEN z > 20 THEN 'pass' ELSE 'fail' END ELSE CASE WHEN z > 40 THEN 'fail' ELSE 'pass' END END AS status FROM c),
+k AS (SELECT *, CASE WHEN calib AND NOT done THEN 'escalate' WHEN NOT req AND z = 50 THEN CASE WHEN adv THEN 'note' ELSE 'caution' END WHEN z = 49 THEN CASE WHEN adv THEN 'note' WHEN req THEN 'violation' ELSE 'caution' END
+  WHEN adv THEN CASE WHEN status <> 'pass' OR t = 'STANDARD' AND z BETWEEN 26 AND 40 THEN 'note' END WHEN status <> 'pass' THEN CASE WHEN req THEN 'violation' ELSE 'caution' END WHEN t = 'STANDARD' AND z BETWEEN 26 AND 40 THEN 'caution' END AS kind FROM s),
+v AS (SELECT *, p_name || ':' || z AS pz FROM k)
+"""
 _REC = """WITH r AS (SELECT substr(sha256(user_id || '|' || event_type || '|' || value), 1, 12) AS record_id, event_type AS kind, 's' || (user_id % 5) AS step, CASE WHEN value > 5 THEN 'pass' ELSE 'fail' END AS status,
 CASE WHEN event_id % 9 <> 0 THEN value END AS duration, event_id AS "at" FROM events)
 """
@@ -51,7 +68,7 @@ ORACLE = {
     "gene_axis_sum": _C + "," + _MAP + " SELECT sample_id, symbol, round(sum(count), 4) AS count FROM counts JOIN map USING (gene) GROUP BY 1, 2",
     "gene_axis_mean": _C + "," + _MAP + """, j AS (SELECT sample_id, unit_id, gene, coalesce(symbol, gene) AS symbol, count FROM counts LEFT JOIN map USING (gene)), i AS (SELECT symbol, count(DISTINCT gene) AS ids FROM j GROUP BY 1)
         SELECT sample_id, unit_id, symbol, round(sum(count) / any_value(ids), 6) AS count FROM j JOIN i USING (symbol) GROUP BY 1, 2, 3""",
-    "niche_qc": _C + ", u AS (SELECT sum(count) AS t, count(*) FILTER (count > 0) AS dt FROM counts GROUP BY sample_id, unit_id) SELECT CASE WHEN t < 300 THEN 'total' WHEN dt < 12 THEN 'detected' END AS cause, count(*) AS n, round(sum(t), 4) AS total FROM u GROUP BY 1",
+    "niche_qc": _C + ", u AS (SELECT sum(count) AS t, count(*) FILTER (count > 0) AS dt FROM counts GROUP BY sample_id, unit_id) SELECT CASE WHEN t < 60 THEN 'total' WHEN dt < 3 THEN 'detected' END AS cause, count(*) AS n, round(sum(t), 4) AS total FROM u GROUP BY 1",
     "library_normalise": _C + "," + _LIB + " SELECT sample_id, unit_id, gene, round(value, 6) AS value FROM lib",
     "niche_sum": _C + "," + _RING + ", m AS (SELECT r.sample_id, r.unit_id, gene, sum(count) AS c FROM ring r JOIN counts c ON c.sample_id = r.sample_id AND c.unit_id = r.member GROUP BY 1, 2, 3) SELECT sample_id, unit_id, count(*) AS genes, round(sum(c), 4) AS total FROM m GROUP BY 1, 2",
     "robust_cv_topfrac": _C + "," + _LIB + "," + _RING + """, m AS (SELECT r.sample_id, r.unit_id, gene, list(value) AS l FROM ring r JOIN lib c ON c.sample_id = r.sample_id AND c.unit_id = r.member GROUP BY 1, 2, 3),
@@ -99,15 +116,17 @@ ORACLE = {
     "matrix_admissibility": _CAND + """, b AS (SELECT method_id, task_id, bool_or(NOT passes) AS below FROM p GROUP BY 1, 2), m AS (SELECT method_id, task_id, bool_or(applies) AS on_, bool_or(NOT applies) AS off FROM contra GROUP BY 1, 2)
         SELECT method_id, task_id, CASE WHEN off THEN 'does_not_apply' WHEN on_ THEN 'contraindicated' WHEN below THEN 'below_floor' ELSE 'admissible' END AS cell FROM b LEFT JOIN m USING (method_id, task_id)""",
     "guard_statuses": _GUARD + "SELECT guard, status, count(*) AS n FROM g GROUP BY 1, 2",
-    "guard_verdicts": _GUARD + "SELECT method_id, CASE WHEN count(*) FILTER (status <> 'not_run') = 0 THEN 'not_run' WHEN count(*) FILTER (status = 'fail') > 0 THEN 'diagnostic' WHEN count(*) FILTER (status = 'not_run') > 0 THEN 'unguarded' ELSE 'biological' END AS verdict FROM g GROUP BY 1",
-    "eda_gate": """WITH c AS (SELECT p_brand AS cohort, p_partkey % 3 = 0 AS gating, CASE WHEN p_partkey % 41 = 0 THEN 'not_run' WHEN p_partkey % 37 = 0 THEN 'escalate' WHEN p_partkey % 29 <> 0 THEN 'pass' ELSE 'fail' END AS s FROM part WHERE p_partkey < 400),
-        g AS (SELECT cohort, count(*) FILTER (gating AND s = 'fail') AS violations, count(*) FILTER (s = 'fail' AND NOT gating OR s = 'not_run') AS cautions, count(*) FILTER (gating AND s = 'escalate') AS o FROM c GROUP BY 1)
-        SELECT cohort, violations, cautions, CASE WHEN violations > 0 THEN 'stop' WHEN o > 0 THEN 'escalate' WHEN cautions > 0 THEN 'proceed_with_caution' ELSE 'proceed' END AS gate FROM g""",
+    "guard_verdicts": _GUARD + """, s AS (SELECT method_id, count(*) FILTER (status = 'fail') AS f FROM g JOIN e ON k = method_id JOIN nation ON n_nationkey = nk WHERE n_regionkey > 0 AND status <> 'not_run' GROUP BY 1)
+        SELECT k AS method_id, CASE WHEN NOT bal > 0 THEN 'not_run' WHEN f > 0 THEN 'diagnostic' WHEN f = 0 THEN 'biological' ELSE 'unguarded' END AS verdict FROM e LEFT JOIN s ON method_id = k""",
+    "eda_gate": _CHECKS + """SELECT *, CASE WHEN violations > 0 THEN 'stop' WHEN cautions > 0 THEN 'proceed_with_caution' ELSE 'proceed' END AS gate FROM (SELECT p_brand AS cohort, count(*) FILTER (kind = 'violation') AS violations,
+        count(*) FILTER (kind IN ('caution', 'escalate')) + max((z = 1)::INT) AS cautions, count(*) FILTER (kind = 'escalate') AS escalations, count(*) FILTER (kind = 'note') AS notes FROM v GROUP BY 1)""",
+    "eda_gate_by_part": _CHECKS + """SELECT *, CASE WHEN violations > 0 THEN 'stop' WHEN cautions > 0 THEN 'proceed_with_caution' ELSE 'proceed' END AS gate FROM (SELECT pz AS cohort, count(*) FILTER (kind = 'violation') AS violations,
+        count(*) FILTER (kind IN ('caution', 'escalate')) AS cautions, count(*) FILTER (kind = 'escalate') AS escalations, count(*) FILTER (kind = 'note') AS notes FROM v GROUP BY 1)""",
     "pack_diff": _CAND + """, a AS (SELECT * FROM cand WHERE axis = 0 AND (method_id <> 0 OR task_id < 6)), b AS (SELECT * FROM cand WHERE axis = 0 AND (method_id <> 3 OR task_id > 4))
         SELECT task_id, method_id, CASE WHEN a.axis IS NULL THEN 'absent_from_curated' WHEN b.axis IS NULL THEN 'not_reachable_by_rebuild' WHEN task_id = 2 THEN 'value_moved' WHEN task_id = 5 THEN 'interval_moved' ELSE 'same' END AS change FROM a FULL JOIN b USING (task_id, method_id)""",
     "grid_coverage": _CAND + """, d AS (SELECT t, m FROM range(9) r(t) CROSS JOIN (VALUES (0), (1), (2), (5)) v(m)), s AS (SELECT DISTINCT task_id AS t, method_id AS m FROM cand)
         SELECT (SELECT count(*) FROM d) AS declared, (SELECT count(*) FROM s) AS scored, (SELECT count(*) FROM (SELECT t::BIGINT, m::BIGINT FROM d EXCEPT SELECT t::BIGINT, m::BIGINT FROM s)) AS missing, (SELECT count(*) FROM (SELECT t::BIGINT, m::BIGINT FROM s EXCEPT SELECT t::BIGINT, m::BIGINT FROM d)) AS undeclared""",
-    "tfidf_route": r"""WITH t AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM benchmark WHERE item_id < 12), a AS (SELECT conv_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM conversations WHERE turn = 0),
+    "tfidf_route": r"""WITH t AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM benchmark), a AS (SELECT conv_id || ':' || turn AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM conversations),
         tt AS (SELECT id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS x FROM t), ax AS (SELECT id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS x FROM a),
         idf AS (SELECT x, ln((1 + (SELECT count(*) FROM t))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS idf FROM tt GROUP BY 1),
         tw AS (SELECT id, x, (1 + ln(count(*))) * any_value(idf) AS w FROM tt JOIN idf USING (x) GROUP BY 1, 2), aw AS (SELECT id, x, (1 + ln(count(*))) * any_value(idf) AS w FROM ax JOIN idf USING (x) GROUP BY 1, 2),
@@ -121,7 +140,7 @@ ORACLE = {
     "stratified_cap": "SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('3:' || c_custkey), c_custkey) AS i FROM customer) WHERE i <= 40",
     "key_transform": "SELECT c_custkey, split_part(c_name, '#', 2) AS plain, c_name AS unversioned, c_nationkey || '::' || c_custkey AS both FROM customer",
     "sample_intersection": "SELECT c_nationkey AS sample_id FROM customer INTERSECT SELECT s_nationkey FROM supplier INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey < 3",
-    "schema_violations": """SELECT 'order has customer' AS rule, count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0) UNION ALL SELECT 'label has document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+    "schema_violations": """SELECT 'order has customer' AS rule, count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -500) UNION ALL SELECT 'label has document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
         UNION ALL SELECT 'line is unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'size is positive', count(*) FROM part WHERE NOT p_size > 0 UNION ALL SELECT 'brand pattern', count(*) FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3]')
         UNION ALL SELECT 'language is known', count(*) FROM documents WHERE lang NOT IN ('en', 'de', 'fr', 'es') UNION ALL SELECT 'conditional rule', count(*) FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice > 50000""",
 }

@@ -17,7 +17,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    return nichejoin.neighbourhood(_edges(spark, d), spots(spark, d).where("unit_id % 10 <> 3"), K)
+    return nichejoin.neighbourhood(_edges(spark, d), spots(spark, d).where("value >= 0"), K)
 
 
 def spatial_knn(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,8 @@ def niche_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _assay(spark: SparkSession, d: str) -> DataFrame:
-    return spots(spark, d).where("unit_id % 7 <> 2").select("sample_id", "unit_id", F.col("value").alias("a"), F.when(F.col("unit_id") % 9 == 0, F.lit(float("nan"))).otherwise((F.col("unit_id") % 100).cast("double")).alias("b"))
+    """An assay that lacks a market segment's customers, with values of which some are not a number."""
+    return spots(spark, d).where("label <> 'MACHINERY'").select("sample_id", "unit_id", F.col("value").alias("a"), F.when(F.col("value") > 9000, F.lit(float("nan"))).otherwise((F.col("unit_id") % 100).cast("double")).alias("b"))
 
 
 def niche_pool(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +39,7 @@ def niche_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def niche_tokens(spark: SparkSession, d: str) -> DataFrame:
-    assay = spots(spark, d).where("unit_id % 7 <> 2").select("sample_id", "unit_id", F.array("value", (F.col("unit_id") % 5).cast("double")).alias("vec"))
+    assay = spots(spark, d).where("label <> 'MACHINERY'").select("sample_id", "unit_id", F.array("value", (F.col("unit_id") % 5).cast("double")).alias("vec"))
     t = nichejoin.tokens(_members(spark, d), assay, "vec")
     return t.select("sample_id", "unit_id", F.posexplode("tokens").alias("pos", "t")).select("sample_id", "unit_id", F.col("pos").cast("long").alias("pos"), F.col("t")[0].alias("t0"), F.col("t")[1].alias("t1"))
 
@@ -71,7 +72,8 @@ def centre_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subject_resolution(spark: SparkSession, d: str) -> DataFrame:
-    subjects = table(spark, d, "nation").where("n_nationkey % 6 <> 5").select(F.col("n_nationkey").alias("sample_id"), F.col("n_regionkey").alias("subject_id"))
+    rich = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    subjects = table(spark, d, "nation").join(rich, "n_nationkey", "left_semi").select(F.col("n_nationkey").alias("sample_id"), F.col("n_regionkey").alias("subject_id"))
     return nichejoin.subject_resolution(spots(spark, d), subjects, "mark").groupBy("subject_id", "subject__present").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -84,7 +86,7 @@ def zscore_group_samp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_funnel(spark: SparkSession, d: str) -> DataFrame:
-    stages = [("positive", "value > 0"), ("segment", "label <> 'BUILDING'"), ("covered", "unit_id % 10 <> 3")]
+    stages = [("positive", "value > 0"), ("segment", "label <> 'BUILDING'"), ("covered", "value < 9000")]
     return nichejoin.funnel(spots(spark, d), stages)
 
 
@@ -205,19 +207,19 @@ g AS (SELECT a.i, b.i AS j, sum(a.z * b.z) AS c FROM x a JOIN x b USING (unit_id
 ORACLE = {
     "spatial_knn": with_("spots", "knn") + "SELECT * FROM knn",
     "niche_members": with_("spots", "knn", "members") + "SELECT * FROM members",
-    "niche_pool": with_("spots", "knn", "members") + """SELECT m.sample_id, m.unit_id, count(s.unit_id) AS support, round(avg(s.value), 6) AS a, round(avg(CASE WHEN s.unit_id % 9 <> 0 THEN (s.unit_id % 100)::DOUBLE END), 6) AS b
-        FROM members m LEFT JOIN (SELECT * FROM spots WHERE unit_id % 7 <> 2) s ON s.sample_id = m.sample_id AND s.unit_id = m.member GROUP BY 1, 2""",
+    "niche_pool": with_("spots", "knn", "members") + """SELECT m.sample_id, m.unit_id, count(s.unit_id) AS support, round(avg(s.value), 6) AS a, round(avg(CASE WHEN s.value <= 9000 THEN (s.unit_id % 100)::DOUBLE END), 6) AS b
+        FROM members m LEFT JOIN (SELECT * FROM spots WHERE label <> 'MACHINERY') s ON s.sample_id = m.sample_id AND s.unit_id = m.member GROUP BY 1, 2""",
     "niche_tokens": with_("spots", "knn", "members") + """SELECT m.sample_id, m.unit_id, m.pos, s.value AS t0, (s.unit_id % 5)::DOUBLE AS t1 FROM members m JOIN spots s ON s.sample_id = m.sample_id AND s.unit_id = m.member
-        WHERE (m.sample_id, m.unit_id) NOT IN (SELECT (sample_id, unit_id) FROM members WHERE member % 7 = 2)""",
+        WHERE (m.sample_id, m.unit_id) NOT IN (SELECT (sample_id, unit_id) FROM members WHERE member IN (SELECT unit_id FROM spots WHERE label = 'MACHINERY'))""",
     "unit_inventory": with_("spots") + "SELECT n_in, n_out, n_in - n_out AS dropped, 'pass' AS status FROM (SELECT (SELECT count(*) FROM spots) AS n_in, (SELECT count(*) FROM spots WHERE value > 0 AND unit_id IN (SELECT o_custkey FROM orders)) AS n_out)",
     "anchor_drop": with_("spots") + "SELECT sample_id, count(*) AS n, round(sum(value), 4) AS total FROM spots WHERE value > 1000 GROUP BY 1",
     "anchor_dropped": with_("spots") + "SELECT sample_id, unit_id FROM spots WHERE NOT coalesce(value > 1000, false)",
     "anchor_mark": with_("spots") + "SELECT sample_id, unit_id, coalesce(value > 1000, false) AS covered FROM spots",
     "centre_labels": "SELECT d.doc_id AS unit_id, lang, quality, quality IS NOT NULL AS quality__present FROM documents d LEFT JOIN labels USING (doc_id)",
-    "subject_resolution": "SELECT n_regionkey AS subject_id, n_regionkey IS NOT NULL AS subject__present, count(*) AS n FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 6 <> 5 GROUP BY 1, 2",
+    "subject_resolution": "SELECT n_regionkey AS subject_id, n_regionkey IS NOT NULL AS subject__present, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)) ON n_nationkey = c_nationkey GROUP BY 1, 2",
     "zscore_group_pop": with_("spots") + "SELECT unit_id, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w < 1e-8 THEN 1 ELSE stddev_pop(value) OVER w END, 6) AS z FROM spots WINDOW w AS (PARTITION BY sample_id)",
     "zscore_group_samp": with_("spots") + "SELECT unit_id, round((value - avg(value) OVER w) / (coalesce(stddev_samp(value) OVER w, 0) + 1e-9), 6) AS z FROM spots WINDOW w AS (PARTITION BY sample_id)",
-    "join_funnel": with_("spots") + """, c AS (SELECT count(*) AS a, count(*) FILTER (value > 0) AS b, count(*) FILTER (value > 0 AND label <> 'BUILDING') AS c, count(*) FILTER (value > 0 AND label <> 'BUILDING' AND unit_id % 10 <> 3) AS d FROM spots)
+    "join_funnel": with_("spots") + """, c AS (SELECT count(*) AS a, count(*) FILTER (value > 0) AS b, count(*) FILTER (value > 0 AND label <> 'BUILDING') AS c, count(*) FILTER (value > 0 AND label <> 'BUILDING' AND value < 9000) AS d FROM spots)
         SELECT *, n_in - n_out AS dropped FROM (SELECT 0 AS stage, 'positive' AS name, a AS n_in, b AS n_out FROM c UNION ALL SELECT 1, 'segment', b, c FROM c UNION ALL SELECT 2, 'covered', c, d FROM c)""",
     "drop_distribution": with_("spots") + """, g AS (SELECT sample_id, count(*) AS n, sum((value < 0)::INT)::DOUBLE AS d FROM spots GROUP BY 1), r AS (SELECT *, d / n AS r, sum(d) OVER () / sum(n) OVER () AS p FROM g)
         SELECT count(*) AS groups, sum(n)::BIGINT AS units, round(any_value(p), 6) AS rate, round(min(r), 6) AS min_rate, round(max(r), 6) AS max_rate, round(stddev_pop(r), 6) AS sd_rate,

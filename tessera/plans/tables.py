@@ -10,9 +10,9 @@ SQL = {
     "knn": """knn AS (SELECT sample_id, unit_id, neighbour, pos FROM (SELECT a.sample_id, a.unit_id, b.unit_id AS neighbour, row_number() OVER (PARTITION BY a.sample_id, a.unit_id
         ORDER BY CASE WHEN a.unit_id = b.unit_id THEN 0 ELSE 1 END, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.unit_id) - 1 AS pos FROM spots a JOIN spots b USING (sample_id)) WHERE pos <= 6)""",
     "units": "units AS (SELECT vec_id AS unit_id, vec_id % 8 AS sample_id, vec_id % 14 AS subject_id, label, embedding::DOUBLE[] AS v FROM embeddings)",
-    "counts": "counts AS (SELECT l_suppkey % 10 AS sample_id, l_orderkey % 200 AS unit_id, 'G' || (l_partkey % 300) AS gene, sum(l_quantity) AS count FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2, 3)",
-    "members": """members AS (SELECT u.sample_id, u.unit_id, p.pos, coalesce(n.neighbour, u.unit_id) AS member FROM (SELECT * FROM spots WHERE unit_id % 10 <> 3) u CROSS JOIN range(0, 7) p(pos)
-        LEFT JOIN (SELECT sample_id, unit_id, neighbour, row_number() OVER (PARTITION BY sample_id, unit_id ORDER BY pos) AS pos FROM knn WHERE pos > 0 AND neighbour % 10 <> 3) n ON n.sample_id = u.sample_id AND n.unit_id = u.unit_id AND n.pos = p.pos)""",
+    "counts": "counts AS (SELECT c_nationkey AS sample_id, l_orderkey AS unit_id, 'G' || l_partkey AS gene, sum(l_quantity) AS count FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3)",
+    "members": """members AS (SELECT u.sample_id, u.unit_id, p.pos, coalesce(n.neighbour, u.unit_id) AS member FROM (SELECT * FROM spots WHERE value >= 0) u CROSS JOIN range(0, 7) p(pos)
+        LEFT JOIN (SELECT sample_id, unit_id, neighbour, row_number() OVER (PARTITION BY sample_id, unit_id ORDER BY pos) AS pos FROM knn WHERE pos > 0 AND neighbour IN (SELECT unit_id FROM spots WHERE value >= 0)) n ON n.sample_id = u.sample_id AND n.unit_id = u.unit_id AND n.pos = p.pos)""",
 }
 
 
@@ -40,5 +40,8 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
-    return rows.groupBy((F.col("l_suppkey") % 10).alias("sample_id"), (F.col("l_orderkey") % 200).alias("unit_id"), F.concat(F.lit("G"), F.col("l_partkey") % 300).alias("gene")).agg(F.sum("l_quantity").alias("count"))
+    """Orders as units of their customer's nation, parts as genes."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_custkey").alias("c_custkey"))
+    units = orders.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("sample_id")), "c_custkey").drop("c_custkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.concat(F.lit("G"), "l_partkey").alias("gene"), "l_quantity")
+    return rows.join(units, "unit_id").groupBy("sample_id", "unit_id", "gene").agg(F.sum("l_quantity").alias("count"))

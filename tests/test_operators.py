@@ -97,10 +97,41 @@ def test_tie_rules_differ(spark):
     assert df.select(rules.ties_with(*c, False)).first()[0] is False
 
 
+EVIDENCE = "method_id int, nmi double, within double, across double, biology_z double, confounder_z double, ratio_floor double, off_cosine double, p double, n_nulls int, circular boolean"
+
+
 def test_circular_evidence_fails_its_guard(spark):
-    e = spark.createDataFrame([(1, None, None, None, None, None, None, None, 0, True)], "method_id int, nmi double, within double, across double, ratio double, ratio_floor double, off_cosine double, p double, n_nulls int, circular boolean")
-    got = {r["guard"]: r["status"] for r in rules.guards(e).collect()}
-    assert got["G6"] == "fail" and {v for k, v in got.items() if k != "G6"} == {"not_run"}
+    e = spark.createDataFrame([(1, None, None, None, None, None, None, None, None, 0, True), (2, 0.5, 0.0, -1.0, 1.0, 0.0, 9.0, 0.51, 0.04, 20, False)], EVIDENCE)
+    got = {(r["method_id"], r["guard"]): r["status"] for r in rules.guards(e).collect()}
+    assert got[1, "G6"] == "fail" and {v for k, v in got.items() if k[0] == 1 and k[1] != "G6"} == {"not_run"}
+    assert [got[2, f"G{i}"] for i in range(1, 7)] == ["pass", "pass", "pass", "fail", "pass", "pass"]
+
+
+def test_banned_methods_never_lead_and_proposals_refuse(spark):
+    c = spark.createDataFrame([("t", 0, True, m, v, None, None) for m, v in (("a", 3.0), ("b", 2.0), ("c", 1.0))], "task_id string, axis int, higher_is_better boolean, method_id string, value double, ci_lo double, ci_hi double")
+    bars = spark.createDataFrame([("t", 0, 0.5, 2.5)], "task_id string, axis int, floor double, reference double")
+    ban = spark.createDataFrame([("a", "t", True)], "method_id string, task_id string, applies boolean")
+    requests = spark.createDataFrame([(1, "t", None, False), (2, "t", "a", False), (3, "t", "a", True), (4, "u", None, False), (5, "t", "b", False), (6, "v", None, False)], "request_id int, task_id string, proposed string, override boolean")
+    families = spark.createDataFrame([("t",), ("v",)], "task_id string")
+    got = {r["request_id"]: (r["outcome"], r["method_id"], r["shortfall"]) for r in rules.resolve(requests, families, c, bars, ban).collect()}
+    assert got == {1: ("recommend", "b", True), 2: ("refuse", None, False), 3: ("override", "a", False), 4: ("escalate", None, False), 5: ("recommend", "b", True), 6: ("escalate", None, False)}
+
+
+def test_verdicts_have_four_states(spark):
+    s = spark.createDataFrame([(1, "G1", "pass"), (1, "G2", "not_run"), (2, "G1", "fail"), (2, "G2", "pass"), (3, "G1", "not_run"), (4, "G1", "pass")], "method_id int, guard string, status string")
+    ran = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False), (5, True)], "method_id int, ran boolean")
+    assert {r["method_id"]: r["verdict"] for r in rules.verdicts(s, ran).collect()} == {1: "biological", 2: "diagnostic", 3: "unguarded", 4: "not_run", 5: "unguarded"}
+
+
+def test_advisory_checks_never_gate(spark):
+    def gate(*rows):
+        df = spark.createDataFrame([("c", i, *r) for i, r in enumerate(rows)], "cohort string, check_id int, rule string, authority string, required boolean, present boolean, value string, calibrated boolean")
+        return rules.admissibility(df).first()["gate"]
+
+    assert gate(("is_true", "advisory", True, True, "false", True)) == "proceed"
+    assert gate(("is_true", "gate", True, True, None, True)) == "stop" == gate(("is_true", "gate", True, False, None, True))
+    assert gate(("is_true", "cohort_calibrated", True, True, "true", False)) == "proceed_with_caution" == gate(("is_true", "gate", False, True, "false", True))
+    assert gate(("all_encoders_assessed", "gate", True, True, '{"x": "uncertain"}', True)) == "proceed_with_caution" and gate(("all_encoders_assessed", "gate", True, True, '{"x": "no"}', True)) == "stop"
 
 
 def test_constraints_ignore_missing_keys(spark):
