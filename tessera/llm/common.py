@@ -37,12 +37,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows_in_file: int = 0) -> DataFrame:
     """`df` written as a table in the shared folder and read back: lineage ends here, and a lost executor costs only
-    the tasks that it ran."""
+    the tasks that it ran.  rows_in_file: bounds what a reader holds at once of a table with rows of megabytes."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_in_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

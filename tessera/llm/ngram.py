@@ -32,7 +32,7 @@ END, START = np.uint64(1), np.uint64(2)
 HELD_OUT, TUNE, FOLDS = 2, 3, 7
 DEFAULT = (0.4, 0.4, 0.2)
 BUCKETS = 65
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS, BLOCKS_IN_FILE = 1_000_000, 8
 
 BLOCK = "block long, n_words long, doc_ids binary, missing binary, folds binary, lengths binary, vocabulary binary, places binary"
 
@@ -128,7 +128,7 @@ class Model:
 
 def count(docs: DataFrame) -> Model:
     """Tokenises and counts the corpus."""
-    blocks = materialise(columns_for(docs, "doc_id", "text").mapInArrow(_blocks, BLOCK), "lm-blocks")
+    blocks = materialise(columns_for(docs, "doc_id", "text").mapInArrow(_blocks, BLOCK), "lm-blocks", BLOCKS_IN_FILE)
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
 
     def sends(row: dict) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -45,13 +45,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
+    """Powers of _P and of its inverse; those that chunks of the usual size need are kept."""
+    tables = _powers
+    if len(tables[0]) < n:
         with np.errstate(over="ignore"):
-            for at, base in enumerate((_P, _P_INV)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                _powers[at] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+            steps = [np.full(n, base, np.uint64) for base in (_P, _P_INV)]
+            for x in steps:
+                x[0] = 1
+            tables = [np.cumprod(x) for x in steps]
+        if n <= 4 * CHUNK_BYTES:
+            _powers[:] = tables
+    return tables[0][:n], tables[1][:n]
 
 
 class Words:
