@@ -451,6 +451,17 @@ def test_token_files(spark, docs, awkward):
     assert want == seen
 
 
+def test_every_letter_encodes_as_the_whole():
+    """Letters whose normal form ends in a mark, among all others and the marks themselves, before what may follow a word."""
+    e = bitpack.encoder(WORDS, 1)
+    letters = [c for c in map(chr, range(0x80, 0x1F000)) if unicodedata.category(c)[0] in "LMN" and not 0x3400 <= ord(c) < 0xD800]
+    texts = [f"{c}. x{c}, {c}{c}!? {c}" for c in letters]
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4")[:-1].tolist() for x in e.encode(texts)]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == [] and len(texts) > 14_000
+
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(st.sampled_from(list("aBé'st .,|#<>1²漢\n\x1c\x85ΣİǺ")), max_size=30))
 def test_parts_encode_as_the_whole(text):
