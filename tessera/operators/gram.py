@@ -68,10 +68,10 @@ def _root(c: np.ndarray, floor: float) -> np.ndarray:
     return vectors / np.sqrt(np.maximum(values, floor)) @ vectors.T
 
 
-def ridge_cca(df: DataFrame, left: str, right: str, k: int, reg: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ridge_cca(df: DataFrame, left: str, right: str, k: int, reg: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(correlations, left directions, right directions) of canonical correlation with a ridge; at most n - 1 of them."""
     n, sums, products, (a, b) = moments(df, [left, right])
-    c = centred(n, sums, products) / max(n - 1, 1)
+    c = centred(n, sums, products) / max(n, 1)
     x, y = _root(c[:a, :a] + reg * np.eye(a), reg), _root(c[a:, a:] + reg * np.eye(b), reg)
     u, s, vt = np.linalg.svd(x @ c[:a, a:] @ y)
     k = min(k, a, b, n - 1)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def stable_id(*parts: str) -> Column:
-    """The first twelve hex digits of the SHA-256 of the parts; equal content has equal ids."""
-    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256), 1, 12)
+    """The first twelve hex digits of the SHA-256 of the parts as JSON, sorted by name; equal content has equal ids, and
+    neither a missing part nor where one part ends can be mistaken."""
+    row = F.struct(*[F.col(p).cast("string").alias(p) for p in sorted(parts)])
+    return F.substring(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256), 1, 12)
 
 
 def append_new(ledger: DataFrame, records: DataFrame) -> DataFrame:

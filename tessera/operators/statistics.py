@@ -30,7 +30,7 @@ def permutation_test(nulls: DataFrame, observed: DataFrame, keys: list[str], tai
     if keys:
         rows = there.join(F.broadcast(observed) if observed.limit(100_001).count() <= 100_000 else observed, keys)
     else:
-        rows = there.crossJoin(F.broadcast(observed.limit(1)))
+        rows = there.crossJoin(observed)  # one row
     out = rows.groupBy(*keys, "observed").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.count_if(beyond).alias("b"))
     return out.select(*keys, "observed", "n", "mean", "sd", F.when(F.col("sd") > 0, (o - F.col("mean")) / F.col("sd")).alias("z"), ((1 + F.col("b")) / (1 + F.col("n"))).alias("p"))
 
@@ -86,14 +86,16 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.when(most == expected, 1.0).otherwise((F.col("sij") - expected) / (most - expected)).alias("ari"), F.when(F.col("ha") + F.col("hb") == 0, 1.0).otherwise(2 * F.col("mi") / (F.col("ha") + F.col("hb"))).alias("nmi"))
 
 
-def welch(df: DataFrame, group: str, value: str, first: object, second: object) -> DataFrame:
-    """(n1, n2, mean1, mean2, z) of two groups, sample variances."""
+def welch(df: DataFrame, group: str, value: str, first: object, second: object, tail: str = "greater") -> DataFrame:
+    """(n1, n2, mean1, mean2, z) of two groups, sample variances; tail less turns the sign; null without a standard
+    error."""
     def of(g: object, i: int) -> list[Column]:
         v = F.when(F.col(group) == F.lit(g), F.col(value).cast("double"))
         return [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.var_samp(v).alias(f"v{i}")]
 
     r = df.agg(*of(first, 1), *of(second, 2))
-    return r.select("n1", "n2", "mean1", "mean2", ((F.col("mean1") - F.col("mean2")) / F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2"))).alias("z"))
+    se, sign = F.sqrt(F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")), -1.0 if tail == "less" else 1.0
+    return r.select("n1", "n2", "mean1", "mean2", F.when(se > 0, sign * (F.col("mean1") - F.col("mean2")) / se).alias("z"))
 
 
 def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,15 +121,33 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return df.select(*keys, ranks(a).alias("ra"), ranks(b).alias("rb")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho"))
 
 
-def auc(scores: DataFrame, digits: int = 4) -> DataFrame:
-    """(n_pos, n_neg, auc) by midranks.  Scores (score in [-1, 1], positive) are counted by their rounded value first, so
-    what is ranked is at most 2 * 10^digits + 1 rows, whatever the number of scores."""
-    bins = scores.groupBy(F.round("score", digits).alias("s")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    below = F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    wins = bins.select("p", "q", F.coalesce(below, F.lit(0)).alias("below"))
+def auc(scores: DataFrame) -> DataFrame:
+    """(n_pos, n_neg, auc) by midranks of scores (score, positive).  Equal scores are counted together first; ranges of
+    scores are then counted, and a running sum over the ranges, which are few, places each score's own range."""
+    bins = scores.groupBy(F.col("score").alias("s")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
+    placed = bins.withColumn("range", F.floor(F.col("s") * 4096))
+    ranges = placed.groupBy("range").agg(F.sum("q").alias("all"))
+    ranges = ranges.select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("before"))  # one row a range
+    below = F.sum("q").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    wins = placed.join(ranges, "range").select("p", "q", (F.col("before") + F.coalesce(below, F.lit(0))).alias("below"))
     return wins.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
+def ari_bootstrap(df: DataFrame, group: str, a: str, b: str, reps: int, seed: int) -> DataFrame:
+    """(rep, ari): agreement of two labellings when groups are drawn again; the counts of each group are taken once."""
+    cells = df.groupBy(group, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    places = cells.select(group).distinct().withColumn("place", F.row_number().over(Window.orderBy(group)) - 1)  # one row a group
+    g = places.count()
+    draws = df.sparkSession.range(1, reps + 1).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(g - 1, 0)))).alias("i"))
+    draws = draws.select("rep", (draw(F.lit(seed), "rep", "i") % max(g, 1)).cast("int").alias("place")).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("m"))
+    n = draws.join(places, "place").join(cells, group).groupBy("rep", "a", "b").agg(F.sum(F.col("m") * F.col("n")).cast("double").alias("n"))
+    two = lambda c: c * (c - 1) / 2
+    pairs = lambda *k: n.groupBy("rep", *k).agg(F.sum("n").alias("x")).groupBy("rep").agg(F.sum(two(F.col("x"))).alias("s_" + "_".join(["t", *k])))
+    s = pairs("a", "b").join(pairs("a"), "rep").join(pairs("b"), "rep").join(pairs(), "rep")
+    expected, most = F.col("s_t_a") * F.col("s_t_b") / F.col("s_t"), (F.col("s_t_a") + F.col("s_t_b")) / 2
+    return s.select("rep", F.when(most == expected, 1.0).otherwise((F.col("s_t_a_b") - expected) / (most - expected)).alias("ari"))
+
+
 def ratio_interval(df: DataFrame, a: str, b: str) -> DataFrame:
     """df with ratio, lo and hi: a / b with the interval of two z-scores' ratio; null where b is 0."""
     r = F.when(F.col(b) != 0, F.col(a) / F.col(b))

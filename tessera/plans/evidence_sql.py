@@ -56,7 +56,7 @@ k AS (SELECT *, CASE WHEN calib AND NOT done THEN 'escalate' WHEN NOT req AND z
   WHEN adv THEN CASE WHEN status <> 'pass' OR t = 'STANDARD' AND z BETWEEN 26 AND 40 THEN 'note' END WHEN status <> 'pass' THEN CASE WHEN req THEN 'violation' ELSE 'caution' END WHEN t = 'STANDARD' AND z BETWEEN 26 AND 40 THEN 'caution' END AS kind FROM s),
 v AS (SELECT *, p_name || ':' || z AS pz FROM k)
 """
-_REC = """WITH r AS (SELECT substr(sha256(user_id || '|' || event_type || '|' || value), 1, 12) AS record_id, event_type AS kind, 's' || (user_id % 5) AS step, CASE WHEN value > 5 THEN 'pass' ELSE 'fail' END AS status,
+_REC = """WITH r AS (SELECT substr(sha256('{"event_type":"' || event_type || '","user_id":"' || user_id || '","value":"' || value || '"}'), 1, 12) AS record_id, event_type AS kind, 's' || (user_id % 5) AS step, CASE WHEN value > 5 THEN 'pass' ELSE 'fail' END AS status,
 CASE WHEN event_id % 9 <> 0 THEN value END AS duration, event_id AS "at" FROM events)
 """
 

@@ -115,8 +115,8 @@ def retrieval_auc(spark: SparkSession, d: str) -> DataFrame:
     ids = v.select("unit_id", "left").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(10))))
     other = F.when(F.col("j") == 0, F.col("unit_id")).otherwise(statistics.draw(F.lit(0), "unit_id", "j") % n)
     pairs = ids.withColumn("o", other).where((F.col("j") == 0) | (F.col("o") != F.col("unit_id")))
-    scored = pairs.join(v.select(F.col("unit_id").alias("o"), "right"), "o").select((F.col("j") == 0).alias("positive"), V.cosine(F.col("left"), F.col("right")).alias("score"))
-    return statistics.auc(scored, 4).select("n_pos", "n_neg", F.round("auc", 6).alias("auc"))
+    scored = pairs.join(v.select(F.col("unit_id").alias("o"), "right"), "o").select((F.col("j") == 0).alias("positive"), F.round(V.cosine(F.col("left"), F.col("right")), 12).alias("score"))
+    return statistics.auc(scored).select("n_pos", "n_neg", F.round("auc", 6).alias("auc"))
 
 
 def biology_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ def participation_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_correlations(spark: SparkSession, d: str) -> DataFrame:
-    s, _, _ = gram.ridge_cca(views(spark, d), "left", "right", 10, 1e-3)
+    s, _, _ = gram.ridge_cca(views(spark, d), "left", "right", 10)
     return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(s)], "pos long, correlation double")
 
 
@@ -231,7 +231,7 @@ ORACLE = {
         SELECT count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS r1, round(avg((rank <= 5)::INT), 6) AS r5, round(avg((rank <= 10)::INT), 6) AS r10, round(median(rank), 6) AS median_rank, round(avg(m) - avg(o), 6) AS gap FROM r""",
     "retrieval_auc": with_("units") + "," + _LR + """, n AS (SELECT count(*) AS n FROM units),
         d AS (SELECT unit_id, a, j, CASE WHEN j = 0 THEN unit_id ELSE ('0x' || substr(md5('0:' || unit_id || ':' || j), 1, 8))::BIGINT % n END AS o FROM n2 CROSS JOIN range(0, 11) r(j) CROSS JOIN n),
-        s AS (SELECT d.j = 0 AS pos, round(greatest(-1, least(1, list_dot_product(d.a, c.b))), 4) AS s FROM d JOIN n2 c ON c.unit_id = d.o WHERE d.j = 0 OR d.o <> d.unit_id),
+        s AS (SELECT d.j = 0 AS pos, round(greatest(-1, least(1, list_dot_product(d.a, c.b))), 12) AS s FROM d JOIN n2 c ON c.unit_id = d.o WHERE d.j = 0 OR d.o <> d.unit_id),
         b AS (SELECT s, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q FROM s GROUP BY 1), w AS (SELECT *, coalesce(sum(q) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b)
         SELECT sum(p)::BIGINT AS n_pos, sum(q)::BIGINT AS n_neg, round((sum(p * (below + q / 2)) / (sum(p)::DOUBLE * sum(q)))::DOUBLE, 6) AS auc FROM w""",
     "biology_delta": with_("units") + "," + _PAIRS + " SELECT round(avg(c) FILTER (l AND NOT s), 6) AS same, round(avg(c) FILTER (NOT l AND NOT s), 6) AS different, round(avg(c) FILTER (l AND NOT s) - avg(c) FILTER (NOT l AND NOT s), 6) AS delta FROM p",

@@ -7,12 +7,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.plans import evidence, space
+from tessera.plans import evidence, space, studies
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {q.__name__: q for part in (space, evidence) for q in part.QUERIES}
-SQL = {**space.ORACLE, **evidence.ORACLE}
+QUERIES = {q.__name__: q for part in (space, evidence, studies) for q in part.QUERIES}
+SQL = {**space.ORACLE, **evidence.ORACLE, **studies.ORACLE}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
