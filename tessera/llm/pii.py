@@ -92,8 +92,10 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     together = words.join(held, "text_key").groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
     together = materialise(together, "together")
     wanted = materialise(together.select("term").distinct(), "terms")
-    every = source.select("text_key", F.explode(_terms(F.col("text"))).alias("term")).join(maybe_broadcast(wanted, 2_000_000), "term", "left_semi")
-    occurs = every.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # each of a text's copies counts for its part, so that terms are added up where they are found
+    copies = materialise(found.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    every = source.join(maybe_broadcast(copies), "text_key", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(_terms(F.col("text"))).alias("term"))
+    occurs = every.join(maybe_broadcast(wanted, 2_000_000), "term", "left_semi").groupBy("term").agg(F.round(F.sum(1 / F.col("copies"))).cast("long").alias("n_t"))
     pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     own = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
     telling = together.join(occurs, "term").select("entity", "term", F.when(own > 0, pmi / own).alias("share")).where(F.col("share") >= GENERALISE)
