@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.operators.tables import materialise
+
 UNIT = ["sample_id", "unit_id"]
 
 
@@ -165,7 +167,7 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, most: int = 64) ->
     out = level = start
     for depth in range(1, most + 1):
         below = level.join(edges, level["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        level = below.join(out.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        level = materialise(below.join(out.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():
             return out
         out = out.unionByName(level)

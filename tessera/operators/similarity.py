@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators.tables import materialise
 
 QUERY_BLOCK = 8192
 
 
-def _query_blocks(queries: DataFrame, vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of a query set, QUERY_BLOCK at a time; the driver holds one block."""
+def _query_blocks(queries: DataFrame, vec: str, *more: str) -> Iterator[tuple]:
+    """Ids, unit vectors and further columns of a query set, QUERY_BLOCK at a time; the driver holds one block."""
     n = queries.count()
     parts = max(1, -(-n // QUERY_BLOCK))
     for i in range(parts):
-        rows = queries.select("unit_id", vec).where(F.pmod(F.xxhash64("unit_id"), F.lit(parts)) == i).toPandas()
+        rows = queries.select("unit_id", vec, *more).where(F.pmod(F.xxhash64("unit_id"), F.lit(parts)) == i).toPandas()
         if len(rows):
             x = np.stack([np.asarray(v, float) for v in rows[vec]])
-            yield rows["unit_id"].to_numpy(np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            yield rows["unit_id"].to_numpy(np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), *(rows[c].to_numpy() for c in more)
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -76,11 +77,10 @@ def retrieval(units: DataFrame, left: str, right: str) -> DataFrame:
     all right vectors by cosine (1 is best; ties take the best rank)."""
     spark = units.sparkSession
     both = units.select("unit_id", left, right)
-    matched = both.select("unit_id", V.cosine(F.col(left), F.col(right)).alias("matched"))
+    both = both.withColumn("matched", V.cosine(F.col(left), F.col(right)))
     out = None
-    for ids, q in _query_blocks(both, left):
-        own = {r["unit_id"]: r["matched"] for r in matched.where(F.col("unit_id").isin(ids.tolist()) if len(ids) <= 500 else F.lit(True)).collect()}
-        held = spark.sparkContext.broadcast((ids, q, np.array([own[i] for i in ids])))
+    for ids, q, own in _query_blocks(both, left, "matched"):
+        held = spark.sparkContext.broadcast((ids, q, own))
 
         def counts(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q, m = held.value
@@ -150,15 +150,18 @@ def spatial_neighbours(spots: DataFrame, k: int) -> DataFrame:
     """(sample_id, unit_id, pos, neighbour): the unit itself at 0 and its k nearest others in the sample, by distance, then
     id.  Units look into the nine grid cells around them.  A sample's cell is sized from its extent and count so that a
     circle of that radius holds several times k points; where the k-th is still farther than a cell, the unit looks again
-    on a grid of twice the size.  So the result is exact and no sample is crossed with itself."""
+    on a grid of twice the size.  So the result is exact and no sample is crossed with itself.  Units without finite
+    coordinates have only themselves and are nobody's neighbour."""
     spots = spots.select("sample_id", "unit_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    placed = F.abs("x") < float("inf"), F.abs("y") < float("inf")
+    known = spots.where(placed[0] & placed[1])  # neither null nor nan nor infinite
     extent = (F.max("x") - F.min("x") + 1e-9) * (F.max("y") - F.min("y") + 1e-9)
-    sizes = spots.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), (F.sqrt(extent * (k + 1) / F.count(F.lit(1))) * 2).alias("cell"))
-    base = spots.join(sizes, "sample_id")
-    due, out, scale = base, None, 1.0
+    sizes = known.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), (F.sqrt(extent * (k + 1) / F.count(F.lit(1))) * 2).alias("cell"))
+    base = materialise(known.join(sizes, "sample_id"), "spots")
+    due, out, scale = base.where("n > 1"), None, 1.0
     w = Window.partitionBy("sample_id", "unit_id").orderBy("d2", "neighbour")
     cell = lambda: F.col("cell") * F.lit(scale)
-    for _ in range(60):
+    for _ in range(200):
         at = [F.floor(F.col(c) / cell()).alias(f"c{c}") for c in "xy"]
         own = base.select("sample_id", F.col("unit_id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"), *at)
         shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
@@ -169,10 +172,12 @@ def spatial_neighbours(spots: DataFrame, k: int) -> DataFrame:
         both = Window.partitionBy("sample_id", "unit_id")
         full = F.count(F.lit(1)).over(both) == F.least(F.lit(k), F.col("n") - 1)
         ranked = ranked.withColumn("settled", full & (F.max("d2").over(both) <= cell() * cell())).where("settled")
-        part = ranked.select("sample_id", "unit_id", "pos", "neighbour")
+        part = materialise(ranked.select("sample_id", "unit_id", "pos", "neighbour"), "neighbours")
         out = part if out is None else out.unionByName(part)
-        due = due.where("n > 1").join(part.where("pos = 1").select("sample_id", "unit_id"), ["sample_id", "unit_id"], "left_anti")
+        due = materialise(due.join(part.where("pos = 1").select("sample_id", "unit_id"), ["sample_id", "unit_id"], "left_anti"), "unsettled")
         if due.isEmpty():
             break
         scale *= 2
+    else:
+        raise RuntimeError("neighbours did not settle")
     return out.unionByName(spots.select("sample_id", "unit_id", F.lit(0).alias("pos"), F.col("unit_id").alias("neighbour")))

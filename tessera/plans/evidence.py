@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import constraints, ledger, nichejoin, rules, setscore, statistics, textroute
+from tessera.operators.tables import fresh_path
 from tessera.plans.evidence_sql import ORACLE as ORACLE
 from tessera.plans.tables import counts, spots, table
 from tessera.sources.readers import samples
@@ -338,8 +336,7 @@ def schema_violations(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Extension: hourly windows of the events as a stream, run to its end."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = fresh_path(spark, "stream")
     out = streams.windowed(streams.source(spark, d))
     return streams.run_to_table(out, f"{place}/out", f"{place}/state").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 

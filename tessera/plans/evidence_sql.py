@@ -143,4 +143,6 @@ ORACLE = {
     "schema_violations": """SELECT 'order has customer' AS rule, count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -500) UNION ALL SELECT 'label has document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
         UNION ALL SELECT 'line is unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'size is positive', count(*) FROM part WHERE NOT p_size > 0 UNION ALL SELECT 'brand pattern', count(*) FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3]')
         UNION ALL SELECT 'language is known', count(*) FROM documents WHERE lang NOT IN ('en', 'de', 'fr', 'es') UNION ALL SELECT 'conditional rule', count(*) FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice > 50000""",
+    "stream_windows": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY date_trunc('hour', ts), event_type
+        HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
 }
