@@ -20,19 +20,22 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass, field
 from fractions import Fraction
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACES, columns_for, materialise
 
-MAX_PATTERNS = 20_000
+#: Patterns whose flow the driver solves, some hundred bytes each; more are an error, never left out.
+MAX_PATTERNS = 1_000_000
 PREFIX, KEY = 3, 32
 FEW = 20_000
 
 
 class Network:
-    """Min-cost flow by successive shortest paths, in whole numbers."""
+    """Min-cost flow in whole numbers, by phases: shortest distances under potentials, then a blocking flow along all
+    shortest paths at once.  Phases are as many as path lengths there are, which the few repetition costs keep small."""
 
     def __init__(self) -> None:
         self.to: list[int] = []
@@ -49,32 +52,67 @@ class Network:
             self.cost.append(c)
         return at
 
+    def _distances(self, source: int, price: dict[int, int]) -> dict[int, int]:
+        best, heap = {source: 0}, [(0, source)]
+        while heap:
+            d, x = heappop(heap)
+            if d > best[x]:
+                continue
+            for e in self.out[x]:
+                y, far = self.to[e], d + self.cost[e] + price[x] - price[self.to[e]]
+                if self.room[e] > 0 and far < best.get(y, far + 1):
+                    best[y] = far
+                    heappush(heap, (far, y))
+        return best
+
+    def _block(self, source: int, sink: int, price: dict[int, int]) -> int:
+        """Flow along arcs of reduced cost 0 and rising level, until no such path is left."""
+        flat = lambda x, e: self.room[e] > 0 and self.cost[e] + price[x] == price[self.to[e]]
+        level, queue = {source: 0}, deque([source])
+        while queue:
+            x = queue.popleft()
+            for e in self.out[x]:
+                if self.to[e] not in level and flat(x, e):
+                    level[self.to[e]] = level[x] + 1
+                    queue.append(self.to[e])
+        if sink not in level:
+            return 0
+        sent, path, at = 0, [], dict.fromkeys(self.out, 0)
+        x = source
+        while True:
+            if x == sink:
+                step = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= step
+                    self.room[e ^ 1] += step
+                sent += step
+                path, x = [], source
+            elif at[x] < len(self.out[x]):
+                e = self.out[x][at[x]]
+                if flat(x, e) and level.get(self.to[e], -1) == level[x] + 1:
+                    path.append(e)
+                    x = self.to[e]
+                else:
+                    at[x] += 1
+            elif path:
+                x = self.to[path.pop() ^ 1]
+                at[x] += 1
+            else:
+                return sent
+
     def run(self, source: int, sink: int) -> tuple[int, int]:
         """(flow, cost) of the cheapest largest flow; `room` of an arc's twin is then what flows through it."""
-        flow = paid = 0
-        while True:
-            best, via, queue, queued = {source: 0}, {}, deque([source]), {source}
-            while queue:
-                x = queue.popleft()
-                queued.discard(x)
-                for e in self.out.get(x, ()):
-                    y, c = self.to[e], best[x] + self.cost[e]
-                    if self.room[e] > 0 and c < best.get(y, c + 1):
-                        best[y], via[y] = c, e
-                        if y not in queued:
-                            queued.add(y)
-                            queue.append(y)
-            if sink not in via:
-                return flow, paid
-            path, x = [], sink
-            while x != source:
-                path.append(via[x])
-                x = self.to[via[x] ^ 1]
-            step = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= step
-                self.room[e ^ 1] += step
-            flow, paid = flow + step, paid + step * best[sink]
+        price, flow, paid = dict.fromkeys(self.out, 0), 0, 0
+        for x in (source, sink):
+            self.out.setdefault(x, [])
+            price.setdefault(x, 0)
+        while sink in (far := self._distances(source, price)):
+            most = far[sink]
+            for x in price:
+                price[x] += min(far.get(x, most), most)
+            while sent := self._block(source, sink, price):
+                flow, paid = flow + sent, paid + sent * (price[sink] - price[source])
+        return flow, paid
 
 
 def in_order(sources: list[str | None]) -> list[str | None]:

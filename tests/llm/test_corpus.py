@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import json
 import math
 import re
@@ -302,6 +303,57 @@ def test_flow_routes_overlapping_sources_at_least_cost():
     assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 200, "b": Fraction(250, 3), None: Fraction(500, 3)}
 
 
+def cheapest(sources, words, wanted, most=2):
+    """(flow, cost) by trying every allocation."""
+    names = sorted(wanted)
+    best = (0, 0)
+    choices = [[x for x in itertools.product(*[range(most * words[p] + 1) if s in sources[p] else range(1) for s in names]) if sum(x) <= most * words[p]] for p in sources]
+    for some in itertools.product(*choices):
+        if all(sum(x[i] for x in some) <= wanted[s] for i, s in enumerate(names)):
+            cost = sum(max(0, sum(x) - words[p]) for p, x in zip(sources, some))
+            best = max(best, (sum(map(sum, some)), -cost))
+    return best[0], -best[1]
+
+
+def test_flow_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(25):
+        sources = {f"p{i}": tuple(s for s in "ab" if rng.random() < 0.6) or ("a",) for i in range(3)}
+        words = {p: int(rng.integers(0, 3)) for p in sources}
+        wanted = {s: int(rng.integers(0, 6)) for s in "ab"}
+        plan = mixing.route(sources, words, wanted)
+        given = {p: plan.passes[p] * words[p] + plan.rest[p] for p in sources}
+        assert (sum(plan.flows.values()), sum(max(0, given[p] - words[p]) for p in sources)) == cheapest(sources, words, wanted)
+        for p in sources:
+            assert given[p] == sum(n for (q, _), n in plan.flows.items() if q == p)
+        assert all(sum(n for (_, t), n in plan.flows.items() if t == s) <= wanted[s] for s in "ab")
+
+
+def test_overlapping_sources_through_spark(spark):
+    """Documents of several sources: what the mix takes of each pattern is what the cheapest flow sends through it."""
+    rows = [(i, "w " * (1 + i % 3), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b", None]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, members array<string>")
+    got = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(docs, members=mixing.F.col("members")).collect()}
+    words, sources = Counter(), {}
+    for i, t, m in rows:
+        words[str(m)] += len(t.split())
+        sources[str(m)] = tuple(m)
+    sizes = Counter()
+    for p, some in sources.items():
+        for s in some:
+            sizes[s] += words[p]
+    scale = Fraction(sum(words.values()), sum(sizes.values()))
+    wanted = {s: round(t * scale) for s, t in mixing.targets(dict(sizes), (3, 1, 2), 150, 2).items()}
+    plan = mixing.route(sources, dict(words), wanted)
+    for p in sources:
+        mine = [i for i, _, m in rows if str(m) == p]
+        taken = sum(got[i][1] for i in mine)
+        assert plan.passes[p] * words[p] <= taken <= plan.passes[p] * words[p] + plan.rest[p] < taken + 3
+    assert all(t <= 2 * n and t % n == 0 for n, t in got.values())
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(5), members=mixing.F.col("members")).collect()}
+    assert again == {i: t for i, (_, t) in got.items()}
+
+
 def spans_of(text, rules):
     out = []
     for k, (name, pattern, good) in enumerate(rules):
