@@ -109,7 +109,7 @@ class PrefixCounter:
         mark in front of the text."""
         if not text:
             return b""
-        if text[0] == " " or text[-1] == " " or "  " in text:
+        if text[0] == " " or text[-1] == " " or "  " in text or MARK in text:  # marks side by side are one segment
             made = self._marked_steps(MARK + text.replace(" ", MARK))
         else:
             known, make = self._words, self._word_steps

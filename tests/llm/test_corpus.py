@@ -13,7 +13,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
@@ -69,6 +69,61 @@ def test_quality_distance():
     assert d[0] == 0 and np.isnan(d[1]) and d[2] == pytest.approx(math.sqrt(0.5 * math.log2(1 / 0.75) + 0.5 * (0.5 * math.log2(0.5 / 0.75) + 0.5 * math.log2(0.5 / 0.25))))
 
 
+def plain_distance(p, q):
+    """Jensen-Shannon distance, base 2, of two mappings of counts."""
+    a, b = sum(p.values()), sum(q.values())
+    total = 0.0
+    for k in {*p, *q}:
+        x, y = p.get(k, 0) / a, q.get(k, 0) / b
+        m = (x + y) / 2
+        total += (x * math.log2(x / m) if x else 0) / 2 + (y * math.log2(y / m) if y else 0) / 2
+    return math.sqrt(max(0.0, min(1.0, total)))
+
+
+def char_class(c):
+    kinds = (("stop", ".,;:!?'\"()-"), ("symbol", "#*$%&|<>"), ("space", " \t\n\x0b\x0c\r"))
+    for name, some in kinds:
+        if c in some:
+            return name
+    if c < "\x80":
+        return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "other"
+    return "latin" if c < "\u0280" else "beyond"
+
+
+def plain_quality(rows):
+    """{row: (char distance, word distance, base failed, kept)} of rows (row, text, lang), by the definitions."""
+    classes, words, out = {}, {}, {}
+    for _, t, lang in rows:
+        classes.setdefault(lang, Counter()).update(map(char_class, t or ""))
+        words.setdefault(lang, Counter()).update(folded(t))
+    for i, t, lang in rows:
+        w, total = folded(t), sum(words[lang].values())
+        common = {x for x, n in words[lang].items() if n >= 0.001 * total}
+        reference = Counter({x: words[lang][x] for x in common} | {None: sum(n for x, n in words[lang].items() if x not in common)})
+        chars = plain_distance(Counter(map(char_class, t)), classes[lang]) if t else None
+        by_word = plain_distance(Counter(x if x in common else None for x in w), reference) if w else None
+        plain = words_of(t)
+        triples = Counter(zip(plain, plain[1:], plain[2:]))
+        hit = {j + d for j, x in enumerate(zip(plain, plain[1:], plain[2:])) if triples[x] > 1 for d in range(3)}
+        failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+        far = len(w) >= 100 and len(t or "") >= 400 and (chars > 0.3 or by_word > 0.4)
+        out[i] = (chars, by_word, failed, not failed and not far)
+    return out
+
+
+def test_quality_against_brute_force(spark, awkward):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang <> 'fr'")
+    table = docs.select("doc_id", "text", "lang").union(awkward.selectExpr("doc_id + 100000 AS doc_id", "text", "lang").where("doc_id is not null").dropDuplicates(["doc_id"]))
+    want = plain_quality([(r["doc_id"], r["text"], r["lang"]) for r in table.collect()])
+    got = {r["doc_id"]: r for r in quality.judge(table).collect()}
+    for i, (chars, by_word, failed, kept) in want.items():
+        r = got[i]
+        assert (r["base_failed"], r["kept"]) == (failed, kept) and r["char_distance"] == pytest.approx(chars, abs=1e-9) and r["word_distance"] == pytest.approx(by_word, abs=1e-9)
+    assert 0 < sum(w[3] for w in want.values()) < len(want)
+    assert Counter(r["doc_id"] for r in quality.keep(table).collect()) == Counter(i for i, w in want.items() if w[3])
+    assert quality.keep(awkward).columns == awkward.columns
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     shares = {r["quality"]: r for r in quality.judge(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("n_words >= 100").selectExpr("quality", "cast(kept as int) k").groupBy("quality").avg("k").collect()}
@@ -103,7 +158,20 @@ def test_decontamination_against_brute_force(spark, docs, awkward):
     assert decontaminate.clean(table, bench).count() == sum((r["doc_id"] not in {d for d, _ in want}) for r in table.collect())
 
 
-@settings(max_examples=60, deadline=None)
+def test_stored_steps_answer_questions(spark, awkward):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for r, t in zip(tokencount.prefix_steps(awkward, PIECES).collect(), awkward.collect(), strict=True):
+        text = t["text"] or ""
+        assert (r["doc_id"], r["n_bytes"], r["n_chars"]) == (t["doc_id"], len(text.encode()), len(text)) and len(r["steps"]) == len(text)
+        assert int(np.frombuffer(r["steps"], np.int8).sum(dtype=np.int64)) == len(m.encode(text))
+        at = tokencount.longest_within(r["steps"], 7)
+        assert len(m.encode(text[:at])) <= 7 and (at == len(text) or len(m.encode(text[: at + 1])) > 7 or len(m.encode(text)) > 7)
+
+
+@example("▁ 1")
+@settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from(list("ab eh.tTn\n▁é漢😀1²'_-")), max_size=40))
 def test_every_prefix_has_its_token_count(text):
     c = tokencount.counter(PIECES)
@@ -529,6 +597,50 @@ def test_empty_tables(spark):
         assert made.count() == 0
 
 
+def test_pipeline_against_brute_force(spark, docs):
+    """Each stage on what its predecessor kept: by plain Python, but for the mix, whose taken words are near the targets."""
+    from tokenizers import Tokenizer
+
+    stages, columns, table = dict(corpus_pipeline.STAGES), docs.columns, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in table.collect()]
+    verdicts = plain_quality([(r[0], r[1], r[2]) for r in rows])
+    rows = [r for r in rows if verdicts[r[0]][3]]
+    table = corpus_pipeline.materialise(stages["quality rules"](spark, table, SF), "test")
+    assert Counter(map(tuple, table.collect())) == Counter(rows)
+    of = similar_classes([(r[0], r[1]) for r in rows])
+    rows = [r for r in rows if of[r[0]] == r[0]]
+    table = corpus_pipeline.materialise(stages["near-duplicates"](spark, table, SF), "test")
+    assert Counter(map(tuple, table.collect())) == Counter(rows) and table.columns == columns
+    cut = lambda t: [w for w in re.split(r"[\x20\x09-\x0d!-/:-@\[-`{-~]+", (t or "").lower()) if w]
+    grams = lambda t: set(zip(*[cut(t)[i:] for i in range(5)]))
+    items = [grams(r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    rows = [r for r in rows if not any(s and len(s & grams(r[1])) >= 0.8 * len(s) for s in items)]
+    table = corpus_pipeline.materialise(stages["decontamination"](spark, table, "/root/testdata/sf0.01"), "test")
+    assert Counter(map(tuple, table.collect())) == Counter(rows)
+    table = corpus_pipeline.materialise(stages["source mix"](spark, table, SF), "test")
+    mixed = [tuple(r) for r in table.collect()]
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(words_of(r[1]))
+    for r in mixed:
+        taken[r[3]] += len(words_of(r[1]))
+    wanted = mixing.targets(dict(sizes))
+    assert set(mixed) <= set(rows) and max(Counter(mixed).values()) <= 2 and all(abs(taken[s] - wanted[s]) <= 0.05 * wanted[s] for s in wanted)
+    t = Tokenizer.from_file(WORDS)
+    last = stages["token files"](spark, table, SF).collect()
+    want = Counter((r[0], zlib.crc32(np.array([*t.encode(r[1], add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in mixed)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in last) == want
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward):
+    for table in (awkward, awkward.where("false")):
+        columns, n = table.columns, table.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            table = corpus_pipeline.materialise(stage(spark, table, SF), "test-stage")
+            assert table.columns == columns and table.count() <= max(2 * n, 0), name
+        assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() == table.count()
+
+
 def test_pipeline_stages(spark, docs):
     table, columns = docs, docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
