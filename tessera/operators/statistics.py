@@ -130,7 +130,7 @@ def auc(scores: DataFrame) -> DataFrame:
     ranges = ranges.select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("before"))  # one row a range
     below = F.sum("q").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
     wins = placed.join(ranges, "range").select("p", "q", (F.col("before") + F.coalesce(below, F.lit(0))).alias("below"))
-    return wins.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return wins.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def ari_bootstrap(df: DataFrame, group: str, a: str, b: str, reps: int, seed: int) -> DataFrame:
