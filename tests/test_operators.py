@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import constraints, gram, nichejoin, rules, setscore, similarity, statistics
+from tessera.operators import constraints, evidence, gram, learning, nichejoin, nulls, rules, setscore, similarity, statistics, units
 from tessera.sources import readers
 
 
@@ -159,3 +159,81 @@ def test_permutation_test_keeps_every_key(spark):
     observed = spark.range(100_010).selectExpr("id AS k", "1.0D AS observed")
     nulls = spark.range(100_010).selectExpr("id AS k", "0.0D AS value")
     assert statistics.permutation_test(nulls, observed, ["k"]).count() == 100_010
+
+
+def _blobs(spark, n=240):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 6, (3, 5))
+    rows = [(i, i % 12, i % 3, (centres[i % 3] + rng.normal(0, 0.5, 5)).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "unit_id long, subject_id int, label int, v array<double>"), np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+
+
+def test_clusters_and_probe_find_planted_classes(spark):
+    df, x, y = _blobs(spark)
+    r = learning.cluster_agreement(df, "label", 3, 1).first()
+    assert r["ari"] == pytest.approx(1.0) and r["nmi"] == pytest.approx(1.0)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    a = np.array([d2[i][(y == y[i]) & (np.arange(len(y)) != i)].mean() for i in range(len(y))])
+    b = np.array([min(d2[i][y == c].mean() for c in range(3) if c != y[i]) for i in range(len(y))])
+    assert r["silhouette"] == pytest.approx(np.mean((b - a) / np.maximum(a, b)))
+    split = units.split_subjects(df.withColumn("s", F.lit(0)), "s", 0.25, 3)
+    parts = {p["subject_id"]: p["part"] for p in split.collect()}
+    p = learning.linear_probe(df, "label", split).first()
+    assert sum(v == "test" for v in parts.values()) == 3 and p["accuracy"] == 1.0 and p["n_test"] == 60 and p["chance"] < 0.7
+
+
+def test_directions_are_fitted_on_train_and_scored_on_test(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 4))
+    y = x @ [1.0, -2.0, 0.0, 0.5] + rng.normal(0, 0.5, 150)
+    df = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "k long, v array<double>, y double")
+    train, test = df.where("k < 100"), df.where("k >= 100")
+    got, fitted = learning.transfer_correlation(train, test, "v", "y")
+    w = np.linalg.lstsq(x[:100] - x[:100].mean(0), y[:100] - y[:100].mean(), rcond=None)[0]
+    assert got == pytest.approx(np.corrcoef(x[100:] @ w, y[100:])[0, 1]) and fitted == pytest.approx(np.corrcoef(x[:100] @ w, y[:100])[0, 1])
+    nulls_ = [r["value"] for r in learning.transfer_nulls(train, test, "k", "v", "y", 20, 3).collect()]
+    assert len(nulls_) == 20 and np.abs(nulls_).max() < got
+    views_ = df.select("k", F.slice("v", 1, 2).alias("a"), F.array("y").alias("b"))
+    c = learning.cca_scores(views_, views_, "a", "b", 1, 1e-9).agg(F.corr(F.col("cca_left")[0], F.col("cca_right")[0])).first()[0]
+    best = np.linalg.lstsq(x[:, :2] - x[:, :2].mean(0), y - y.mean(), rcond=None)[0]
+    assert c == pytest.approx(abs(np.corrcoef(x[:, :2] @ best, y)[0, 1]), abs=1e-6)
+    same = learning.weighted_cka(df.select((F.col("k") % 5).alias("g"), F.col("v").alias("a"), F.col("v").alias("b")), "g", "a", "b", 5, 1)
+    assert same == [pytest.approx(1.0)] * 5
+
+
+def test_units_without_coordinates_are_nobodys_neighbour(spark):
+    rows = [(0, 1, 0.0, 0.0), (0, 2, 1.0, 0.0), (0, 3, None, 0.0), (0, 4, float("nan"), 1.0), (0, 5, float("inf"), 1.0), (1, 6, None, None)]
+    got = {(r["unit_id"], r["pos"]): r["neighbour"] for r in similarity.spatial_neighbours(spark.createDataFrame(rows, "sample_id int, unit_id long, x double, y double"), 2).collect()}
+    assert got == {(i, 0): i for i in range(1, 7)} | {(1, 1): 2, (2, 1): 1}
+
+
+def test_splits_are_of_whole_subjects(spark):
+    df = spark.createDataFrame([(i, "a" if i < 8 else "b") for i in range(10) for _ in range(3)], "subject_id int, kind string")
+    got = units.split_subjects(df, "kind", 0.25, 7).collect()
+    assert {k: sum(r["part"] == "test" for r in got if r["stratum"] == k) for k in "ab"} == {"a": 2, "b": 1} and len(got) == 10
+    lone = units.split_subjects(df.where("subject_id < 9"), "kind", 0.25, 7).collect()
+    assert sum(r["part"] == "test" for r in lone) == 3
+
+
+def test_untestable_nulls_say_why(spark):
+    p = spark.createDataFrame([(0, 0, "x", [1.0, 0.0]), (1, 1, "y", [0.0, 1.0])], "sample_id int, subject_id int, label string, v array<double>")
+    pair = nulls.pairs(p)
+    r = nulls.test(*nulls.subject(pair, p, 25, 1), "patient").first()
+    assert r["untestable"] == "no pairs of a kind" and r["delta"] is None and r["p"] <= 1
+    b = nulls.test(*nulls.biology(pair, p.select("subject_id", "label"), 25, 1), "biology").first()
+    assert b["n_different"] == 1 and b["untestable"] == "no pairs of a kind"
+
+
+def test_readers_are_declared(spark):
+    with pytest.raises(KeyError):
+        evidence.read("no such reader", spark.range(1))
+    assert len(evidence.readers()) == 7
+    df = spark.createDataFrame([(1, "z_he", 2.26, False), (2, "z_he", 2.26, None), (3, "z_st", 1.0, True)], "method_id int, view string, z double, significant boolean")
+    assert {r["method_id"]: r["value"] for r in evidence.read("signature_z", df).collect()} == {1: 0.0, 2: 2.3}
+
+
+def test_roles_name_all_that_is_missing(spark):
+    with pytest.raises(ValueError, match="a .x., b .y."):
+        units.mapped(spark.range(1), {"a": "x", "b": "y", "c": "id"})
+    df = spark.createDataFrame([(0.2, 0.5, None), (0.3, 0.3, 0.4), (None, None, None), (0.6, 0.6, 0.1)], "p double, q double, r double")
+    assert [r[0] for r in df.select(units.dominant({c: F.col(c) for c in "pqr"}, 0.45)).collect()] == ["q", "mixed", None, "p"]
