@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bitpack, decontaminate, mixing, neardup, ngram, pii, quality, secrets, tokencount, warc
+from tessera.llm import bitpack, decontaminate, divergence, mixing, neardup, ngram, pii, quality, secrets, tokencount, warc
 from tessera.llm.common import documents
 
 
@@ -59,6 +59,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.write_and_read(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+') IF x <> ''] AS w FROM documents),
 b AS (SELECT item_id AS id, [x FOR x IN string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+') IF x <> ''] AS w FROM benchmark),
@@ -80,11 +84,31 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+z AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (z.n + 5 * v.v)::HUGEINT AS BIGINT) AS p,
+             CAST(1 + (1000000000::HUGEINT * (k.n + 5)) // (v.n + 5 * v.v)::HUGEINT AS BIGINT) AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN z USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM x QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op6_source_mix, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op6_source_mix, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files, op12_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op9_warc": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op9_warc": OP9_SQL, "op12_source_divergence": OP12_SQL}
