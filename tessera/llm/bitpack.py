@@ -164,9 +164,12 @@ class Encoder:
         self._count = np.insert(self._count, at, count)
         self._held += len(fresh)
 
+    def pieces_of(self, w: textbatch.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _cut_tails(w)
+
     def ids(self, w: textbatch.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of `w` one after the other, each with the end id, ids of each text)."""
-        from_, to, bounds = _cut_tails(w)
+        from_, to, bounds = self.pieces_of(w)
         hashes = w.hash_of(from_, to)
         for i in np.flatnonzero(to - from_ >= LONG):
             hashes[i] = xxhash.xxh3_64_intdigest(w.data[from_[i] : to[i]].tobytes())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bitpack, decontaminate, divergence, mixing, neardup, ngram, pii, quality, secrets, tokencount, warc
+from tessera.llm import bitpack, decontaminate, divergence, mixing, neardup, ngram, packing, pii, quality, secrets, tokencount, warc
 from tessera.llm.common import documents
 
 
@@ -63,6 +63,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.places(packing.sequences(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2, capacity=1024))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+') IF x <> ''] AS w FROM documents),
 b AS (SELECT item_id AS id, [x FOR x IN string_split_regex(lower(text), '[\x20\x09-\x0D!-/:-@\[-`{-~]+') IF x <> ''] AS w FROM benchmark),
@@ -107,7 +111,7 @@ FROM x QUALIFY part = 'pair' OR rank <= 50
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op6_source_mix, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files, op12_source_divergence)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op6_source_mix, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files, op12_source_divergence, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
