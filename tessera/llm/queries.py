@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bitpack, decontaminate, divergence, mixing, neardup, ngram, packing, pii, quality, secrets, tokencount, warc
+from tessera.llm import align, bitpack, decontaminate, divergence, mixing, neardup, ngram, packing, pii, quality, secrets, tokencount, warc
 from tessera.llm.common import documents
 
 
@@ -59,6 +59,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.write_and_read(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(align.align(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
@@ -111,7 +115,7 @@ FROM x QUALIFY part = 'pair' OR rank <= 50
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op6_source_mix, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files, op12_source_divergence, op13_best_fit_packing)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_token_counts, op4_deleted_interpolation, op5_near_duplicates, op6_source_mix, op7_secret_scans, op8_personal_data, op9_warc, op10_token_files, op11_cross_tokenizer_alignment, op12_source_divergence, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
