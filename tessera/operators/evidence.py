@@ -122,12 +122,16 @@ def pathway_gate(results: DataFrame, circular: DataFrame, view: str = "z_he", al
 
 
 def capacity(plans: DataFrame, disk_share: float = 0.9, memory_share: float = 0.8) -> DataFrame:
-    """plans (plan_id, disk_gb, free_gb, memory_gb, available_gb, hours, limit_hours) with the first gate that stops each:
-    strictly below the shares, within the time; a limit that isn't known is not run."""
-    test = lambda name, known, ok: F.when(~known, f"{name}:not_run").when(~ok, name)
+    """plans (plan_id, disk_gb, free_gb, memory_gb, available_gb, hours, limit_hours) with checks (resource, fits) of what
+    has a limit, all strictly below it, and verdict, blocked_by and not_checked of them.  Disk or memory without a figure
+    was not looked at; a walltime without one has no limit and needs no look."""
     c = F.col
-    checks = [test("disk", c("free_gb").isNotNull(), c("disk_gb") < disk_share * c("free_gb")), test("memory", c("available_gb").isNotNull(), c("memory_gb") < memory_share * c("available_gb")), test("walltime", c("limit_hours").isNotNull(), c("hours") <= c("limit_hours"))]
-    return plans.withColumn("stopped_by", F.coalesce(*checks))
+    some = lambda name, known, ok: F.when(known, F.struct(F.lit(name).alias("resource"), ok.alias("fits")))
+    limited = c("limit_hours").isNotNull() & (c("limit_hours") != 0)
+    checks = F.array_compact(F.array(some("disk", c("free_gb").isNotNull(), c("disk_gb") < disk_share * c("free_gb")), some("memory", c("available_gb").isNotNull(), c("memory_gb") < memory_share * c("available_gb")), some("walltime", limited, c("hours") < c("limit_hours"))))
+    blocked = F.transform(F.filter("checks", lambda x: ~x["fits"]), lambda x: x["resource"])
+    missing = F.array_except(F.array(F.lit("disk"), F.lit("memory")), F.transform("checks", lambda x: x["resource"]))
+    return plans.withColumn("checks", checks).withColumns({"blocked_by": blocked, "not_checked": missing}).withColumn("verdict", F.when(F.size("blocked_by") == 0, "fits").otherwise("does_not_fit"))
 
 
 def ablations(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,13 +143,19 @@ def ablations(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("with_id", "without_id", "task_id", "axis", F.round(F.col("with_value") - F.col("without_value"), 6).alias("delta"), apart.alias("separated"))
 
 
-def fit(encoders: DataFrame, supplied: DataFrame) -> DataFrame:
-    """(encoder, ratio, fit) of encoders (encoder, modality, least, most) and what a cohort supplies (modality, amount): in
-    class within the bounds, uncertain without one of them, out of class else or without supply."""
-    rows = encoders.join(supplied, "modality", "left")
-    inside = (F.col("amount") >= F.col("least")) & (F.col("amount") <= F.col("most"))
-    verdict = F.when(F.col("amount").isNull(), "out_of_class").when(inside, "in_class").when(inside.isNull() & F.coalesce(F.col("amount") >= F.col("least"), F.lit(True)) & F.coalesce(F.col("amount") <= F.col("most"), F.lit(True)), "uncertain").otherwise("out_of_class")
-    return rows.select("encoder", F.round(F.col("amount") / F.col("least"), 6).alias("ratio"), verdict.alias("fit"))
+def fit(declared: DataFrame, encoders: DataFrame, platforms: DataFrame, samples: DataFrame) -> DataFrame:
+    """(encoder, platform, n_samples, relation, ratio, shortfall_pct) of what each declared encoder was built on and each
+    platform supplies.  encoders: encoder, modality (he, st), expects, footprint, classes; platforms: platform, tile, class;
+    samples: platform.  A tile encoder's unit differs by a margin, which is stated as a ratio and never judged; a molecular
+    one's by kind, which membership decides.  An encoder that nobody knows, or that expects nothing, has one row."""
+    known = declared.select("encoder").join(encoders, "encoder", "left")
+    pairs = known.join(platforms.select("platform", "tile", "class"), F.coalesce("expects", F.lit(False)), "left")  # a grid: what is declared against what there is
+    tile = F.when(F.col("tile").isNull(), "not_stated").when(F.col("footprint").isNull(), "encoder_states_none").otherwise("comparable")
+    kind = F.when(F.col("class").isNull(), "not_stated").when(F.array_contains("classes", F.col("class")), "in_class").otherwise("out_of_class")
+    relation = F.when(F.col("modality").isNull(), "undeclared_encoder").when(~F.col("expects"), "encoder_states_none").when(F.col("modality") == "he", tile).otherwise(kind)
+    ratio = F.col("tile") / F.col("footprint")
+    made = pairs.withColumn("relation", relation).withColumns({"ratio": F.when(F.col("relation") == "comparable", F.round(ratio, 3)), "shortfall_pct": F.when(F.col("relation") == "comparable", F.when(ratio < 1, F.round((1 - ratio) * 100, 1)).otherwise(0.0))})
+    return made.join(samples.groupBy("platform").agg(F.count(F.lit(1)).alias("n_samples")), "platform", "left").select("encoder", "platform", "n_samples", "relation", "ratio", "shortfall_pct")
 
 
 def union(tables: list[DataFrame]) -> DataFrame:

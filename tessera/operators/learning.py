@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -13,43 +16,70 @@ from tessera.functions import vectors as V
 from tessera.operators import gram, statistics
 
 
-def clusters(units: DataFrame, k: int, seed: int, vec: str = "v") -> DataFrame:
-    """units with a column cluster."""
+def clusters(units: DataFrame, k: int, seed: int, vec: str = "v", n_init: int = 1) -> DataFrame:
+    """units with a column cluster, of the best of `n_init` starts."""
     rows = units.withColumn("__f", array_to_vector(F.col(vec)))
-    return KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="cluster", maxIter=50).fit(rows).transform(rows).drop("__f")
-
-
-def silhouette(units: DataFrame, cluster: str, vec: str = "v") -> DataFrame:
-    """(silhouette): the mean over units of (b - a) / max(a, b) on squared distances, which come from the clusters' sums, so
-    that no pair is formed; a unit alone in its cluster has 0."""
-    sums = V.collected(V.by_dimension(units, [cluster], vec, "sum"), [cluster], "s")
-    own = units.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(V.dot(F.col(vec), F.col(vec))).alias("q"))
-    table = sums.join(own, cluster).select(F.col(cluster).alias("c"), "s", "n", "q")  # one row a cluster
-    held = table.agg(F.collect_list(F.struct("c", "s", "n", "q")).alias("t"))
-    rows = units.select(F.col(cluster).alias("own"), F.col(vec).alias("x"), V.dot(F.col(vec), F.col(vec)).alias("xx")).crossJoin(F.broadcast(held))
-    total = lambda t: t["n"] * F.col("xx") + t["q"] - 2 * V.dot(t["s"], F.col("x"))  # noqa: E731  summed squared distance to a cluster
-    mine = F.filter("t", lambda t: t["c"] == F.col("own"))[0]
-    a = F.when(mine["n"] > 1, total(mine) / (mine["n"] - 1))
-    b = F.array_min(F.transform(F.filter("t", lambda t: t["c"] != F.col("own")), lambda t: total(t) / t["n"]))
-    return rows.select(F.coalesce((b - a) / F.greatest(a, b), F.lit(0.0)).alias("s")).agg(F.avg("s").alias("silhouette"))
-
-
-def cluster_agreement(units: DataFrame, label: str, k: int, seed: int, vec: str = "v") -> DataFrame:
-    """(ari, nmi, silhouette) of k clusters against a label."""
-    made = clusters(units, k, seed, vec)
-    return statistics.agreement(made, "cluster", label).crossJoin(silhouette(made, "cluster", vec))  # one row each
-
-
-def linear_probe(units: DataFrame, label: str, split: DataFrame, vec: str = "v") -> DataFrame:
-    """(n_train, n_test, accuracy, chance) of a linear classifier of `label` (0, 1, ...) fitted on the subjects of part train
-    and scored on those of part test; chance is the share of the commonest label among the tested."""
+    fits = (KMeans(k=k, seed=seed + i, featuresCol="__f", predictionCol="cluster", maxIter=50).fit(rows) for i in range(n_init))
+    return min(fits, key=lambda m: m.summary.trainingCost).transform(rows).drop("__f")
+
+
+def label_silhouette(units: DataFrame, key: str, label: str, most: int, seed: int, vec: str = "v") -> float:
+    """The mean silhouette of a label on Euclidean distances, over the first `most` units in seeded hash order: their
+    distances are what the definition asks for, so the bound is part of it.  A unit alone in its class has 0."""
+    drawn = units.orderBy(F.md5(F.concat_ws(":", F.lit(seed), key)), key).limit(most).select(label, vec)
+    held = drawn.toPandas()  # `most` rows
+    names, code = np.unique(held[label].to_numpy(), return_inverse=True)
+    x = np.stack([np.asarray(v, float) for v in held[vec]])
+    if len(names) < 2:
+        return float("nan")
+    member = np.eye(len(names))[code]
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("id").to_numpy()
+            for some in np.array_split(at, max(1, len(at) // 256)):
+                if not len(some):
+                    continue
+                apart = np.sqrt(np.maximum((x[some] ** 2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x[some] @ x.T, 0))
+                apart[np.arange(len(some)), some] = 0
+                total, n, own = apart @ member, member.sum(axis=0), code[some]
+                a = total[np.arange(len(some)), own] / np.maximum(n[own] - 1, 1)
+                mean = total / n
+                mean[np.arange(len(some)), own] = np.inf
+                b = mean.min(axis=1)
+                top = np.maximum(a, b)
+                s = np.where((n[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(s)], ["s"])
+
+    return units.sparkSession.range(len(x)).mapInArrow(scores, "s double").agg(F.avg("s")).first()[0]
+
+
+def cluster_agreement(units: DataFrame, label: str, k: int, seed: int, n_init: int = 3, silhouette_sample: int = 2000, key: str = "unit_id", vec: str = "v") -> DataFrame:
+    """(n, k, n_silhouette, ari, nmi, silhouette, reason): k clusters against a label, and the label's own silhouette on a
+    sample of units.  With one class, or fewer units than clusters, the figures are nan and reason says so."""
+    n, classes = units.agg(F.count(F.lit(1)), F.countDistinct(label)).first()
+    schema = "n long, k long, n_silhouette long, ari double, nmi double, silhouette double, reason string"
+    if classes < 2 or n < k:
+        return units.sparkSession.createDataFrame([(n, k, 0, float("nan"), float("nan"), float("nan"), "fewer than two classes, or fewer units than k")], schema)
+    ari, nmi = statistics.agreement(clusters(units, k, seed, vec, n_init), "cluster", label).first()
+    return units.sparkSession.createDataFrame([(n, k, min(n, silhouette_sample), ari, nmi, label_silhouette(units, key, label, silhouette_sample, seed, vec), "")], schema)
+
+
+def linear_probe(units: DataFrame, label: str, split: DataFrame, vec: str = "v", c: float = 1.0) -> DataFrame:
+    """(n_train, n_test, train_groups, test_groups, accuracy, chance, reason) of a linear classifier of `label` (0, 1, ...)
+    fitted on the subjects of part train and scored on those of part test; chance is the share of the commonest label among
+    the tested.  The penalty is half the squared weights against `c` times the sum of losses, features as they are.  Where
+    no subject is left on a side, or the fitted side has one class, accuracy is nan and reason says so."""
     rows = units.join(split.select("subject_id", "part"), "subject_id").withColumns({"__f": array_to_vector(F.col(vec)), "__l": F.col(label).cast("double")})
-    model = LogisticRegression(featuresCol="__f", labelCol="__l", predictionCol="__p", maxIter=100, regParam=1e-3).fit(rows.where("part = 'train'"))
-    tested = model.transform(rows.where("part = 'test'"))
-    most = tested.groupBy("__l").count().agg(F.max("count").alias("most"))
-    n = rows.where("part = 'train'").agg(F.count(F.lit(1)).alias("n_train"))
-    score = tested.agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("__p") == F.col("__l")).cast("double")).alias("accuracy"))
-    return n.crossJoin(score).crossJoin(most).select("n_train", "n_test", "accuracy", (F.col("most") / F.col("n_test")).alias("chance"))  # one row each
+    on = lambda part, x: F.when(F.col("part") == part, x)
+    n, m, groups, held, classes = rows.agg(F.count(on("train", F.lit(1))), F.count(on("test", F.lit(1))), F.countDistinct(on("train", F.col("subject_id"))), F.countDistinct(on("test", F.col("subject_id"))), F.countDistinct(on("train", F.col("__l")))).first()
+    reason = "no subject on a side" if not groups or not held else "one class in the train split" if classes < 2 else ""
+    accuracy = chance = float("nan")
+    if not reason:
+        model = LogisticRegression(featuresCol="__f", labelCol="__l", predictionCol="__p", maxIter=100, regParam=1 / (c * n), standardization=False).fit(rows.where("part = 'train'"))
+        by = model.transform(rows.where("part = 'test'")).groupBy("__l").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__p") == F.col("__l")).alias("right"))
+        accuracy, chance = by.agg(F.sum("right") / F.sum("n"), F.max("n") / F.sum("n")).first()
+    return units.sparkSession.createDataFrame([(n, m, groups, held, accuracy, chance, reason)], "n_train long, n_test long, train_groups long, test_groups long, accuracy double, chance double, reason string")
 
 
 def project(df: DataFrame, vec: str, direction: np.ndarray, name: str) -> DataFrame:

@@ -92,7 +92,8 @@ def normal_tail(z: Column) -> Column:
 
 def morans_test(values: DataFrame, edges: DataFrame, n: int, seed: int) -> DataFrame:
     """(sample_id, n, moran, null_mean, null_sd, z, p): Moran's I, its nulls by dealing a sample's values to its units anew,
-    and p from the normal tail.  A sample whose nulls don't
+    and p
+    from both tails of the normal distribution.  A sample whose nulls don't
     vary, as one that is constant or of mutual neighbours only, has z 0 and p 1."""
     w = Window.partitionBy("sample_id")
     z = values.select("sample_id", "unit_id", (F.col("value") - F.avg("value").over(w)).alias("z"), F.row_number().over(w.orderBy("unit_id")).alias("place"))
@@ -107,4 +108,4 @@ def morans_test(values: DataFrame, edges: DataFrame, n: int, seed: int) -> DataF
     i = cross.join(own, "sample_id").select("perm", "sample_id", "n", F.when(F.col("zz") > 0, F.col("n") / F.col("s0") * F.col("c") / F.col("zz")).otherwise(0.0).alias("i"))
     g = i.groupBy("sample_id", "n").agg(F.max(F.when(F.col("perm") == 0, F.col("i"))).alias("moran"), F.avg(F.when(F.col("perm") > 0, F.col("i"))).alias("null_mean"), F.stddev_pop(F.when(F.col("perm") > 0, F.col("i"))).alias("null_sd"))
     score = F.when(F.col("null_sd") > 1e-9, (F.col("moran") - F.col("null_mean")) / F.col("null_sd")).otherwise(0.0)
-    return g.withColumn("z", score).withColumn("p", F.when(F.col("null_sd") > 1e-9, normal_tail(F.col("z"))).otherwise(1.0))
+    return g.withColumn("z", score).withColumn("p", F.when(F.col("null_sd") > 1e-9, 2 * normal_tail(F.abs(F.col("z")))).otherwise(1.0))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import vectors as V
+
 UNIT = ["sample_id", "unit_id"]
 
 
@@ -59,31 +61,58 @@ def expanded(templates: DataFrame, column: str, values: DataFrame, name: str) ->
     return some.withColumn(column, F.replace(F.col(column), hole, F.col(name).cast("string"))).unionByName(plain)
 
 
-def slice_difference(a: DataFrame, b: DataFrame, keys: list[str], vec: str) -> DataFrame:
-    """One row on two encodings of the same rows: rows in both, in one only, the largest absolute difference, the largest
-    relative difference of norms, and the least cosine."""
+def slice_difference(computed: DataFrame, cached: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """One row on an encoding against the cached one of the same rows: rows in both and in one only, the largest and the
+    mean absolute difference of elements, the largest one over its cached row's norm, and the least and mean cosine."""
     side = lambda df, x: df.select(*keys, F.col(vec).alias(f"__{x}"))
-    both = side(a, "a").join(side(b, "b"), keys, "full_outer")
+    both = side(computed, "a").join(side(cached, "b"), keys, "full_outer")
     dot = lambda x, y: F.aggregate(F.zip_with(F.col(x), F.col(y), lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    norm_a, norm_b = F.sqrt(dot("__a", "__a")), F.sqrt(dot("__b", "__b"))
     there = F.col("__a").isNotNull() & F.col("__b").isNotNull()
-    most = F.array_max(F.zip_with("__a", "__b", lambda p, q: F.abs(p - q)))
-    return both.agg(
-        F.count_if(there).alias("rows"), F.count_if(F.col("__b").isNull()).alias("only_first"), F.count_if(F.col("__a").isNull()).alias("only_second"), F.max(F.when(there, most)).alias("max_abs"),
-        F.max(F.when(there & (norm_a > 0), F.abs(norm_a - norm_b) / norm_a)).alias("norm_rel"), F.min(F.when(there & (norm_a > 0) & (norm_b > 0), dot("__a", "__b") / (norm_a * norm_b))).alias("min_cosine"),
+    apart = F.zip_with("__a", "__b", lambda p, q: F.abs(p - q))
+    row = F.greatest(F.sqrt(dot("__b", "__b")), F.lit(1e-12))
+    each = both.select(
+        F.col("__a").isNull().alias("no_a"), F.col("__b").isNull().alias("no_b"), F.when(there, F.array_max(apart)).alias("most"), F.when(there, F.aggregate(apart, F.lit(0.0), lambda s, x: s + x)).alias("total"),
+        F.when(there, F.size("__a")).alias("width"), F.when(there, row).alias("row"), F.when(there, dot("__a", "__b") / F.greatest(F.sqrt(dot("__a", "__a")) * row, F.lit(1e-12))).alias("cosine"),
+    )
+    return each.agg(
+        F.count("most").alias("rows"), F.count_if("no_b").alias("only_computed"), F.count_if("no_a").alias("only_cached"), F.max("most").alias("max_abs"), (F.sum("total") / F.sum("width")).alias("mean_abs"),
+        F.max(F.col("most") / F.col("row")).alias("max_rel"), F.min("cosine").alias("min_cosine"), F.avg("cosine").alias("mean_cosine"),
+    )
+
+
+def neighbour_agreement(computed: DataFrame, cached: DataFrame, cached_vectors: DataFrame, tolerance: float = 1e-6, vec: str = "v") -> DataFrame:
+    """(unit_id, same, tied, ordered): whether the two lists of neighbours (unit_id, pos, neighbour) of a unit are one set,
+    whether they differ by ties only, and whether they agree in order.  A tie is judged in the cached space: every
+    neighbour that one list alone has must be as similar there as the cached list's last one, within `tolerance`."""
+    a, b = (df.select("unit_id", "neighbour", F.col("pos").alias(x)) for df, x in ((computed, "pa"), (cached, "pb")))
+    both = a.join(b, ["unit_id", "neighbour"], "full_outer")
+    last = F.max("pb").over(Window.partitionBy("unit_id")) == F.col("pb")
+    due = both.withColumn("last", F.coalesce(last, F.lit(False)))
+    # similarities of what the lists don't share, and of the boundary
+    asked = due.where("pa IS NULL OR pb IS NULL OR last").select("unit_id", "neighbour")
+    held = cached_vectors.select("unit_id", V.l2_normalise(F.col(vec)).alias("u"))
+    near = asked.join(held, "unit_id").join(held.select(F.col("unit_id").alias("neighbour"), F.col("u").alias("w")), "neighbour").select("unit_id", "neighbour", V.dot(F.col("u"), F.col("w")).alias("s"))
+    rows = due.join(near, ["unit_id", "neighbour"], "left")
+    edge = F.max(F.when(F.col("last"), F.col("s"))).over(Window.partitionBy("unit_id"))
+    one_only = F.col("pa").isNull() | F.col("pb").isNull()
+    g = rows.withColumn("edge", edge).groupBy("unit_id").agg(
+        F.every(~one_only).alias("same"), F.every(~one_only | F.coalesce(F.abs(F.col("s") - F.col("edge")) <= tolerance, F.lit(False))).alias("close"), F.every(F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))).alias("ordered")
     )
+    return g.select("unit_id", "same", (~F.col("same") & F.col("close")).alias("tied"), "ordered")
+
+
+def agreement_shares(agreement: DataFrame) -> DataFrame:
+    """(rows, set_agreement, set_exact, by_tie, ordered) over all units: ties count as agreed, and are told apart."""
+    share = lambda c: F.avg(c.cast("double"))
+    return agreement.agg(F.count(F.lit(1)).alias("rows"), share(F.col("same") | F.col("tied")).alias("set_agreement"), share(F.col("same")).alias("set_exact"), F.count_if("tied").alias("by_tie"), share(F.col("ordered")).alias("ordered"))
 
 
-def neighbour_agreement(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
-    """(unit_id, agree, settled_by_tie) of two lists of neighbours (unit_id, neighbour, similarity) of equal length: a
-    neighbour in one list only is agreed if its similarity is within `tolerance` of the least in that list, a tie at the
-    boundary."""
-    low = lambda df: df.groupBy("unit_id").agg(F.min("similarity").alias("low"))
-    mark = lambda df, x: df.join(low(df), "unit_id").select("unit_id", "neighbour", (F.col("similarity") - F.col("low") <= tolerance).alias(f"edge_{x}"))
-    both = mark(a, "a").join(mark(b, "b"), ["unit_id", "neighbour"], "full_outer")
-    common = F.col("edge_a").isNotNull() & F.col("edge_b").isNotNull()
-    tie = F.coalesce(F.when(~common, F.coalesce("edge_a", "edge_b")), F.lit(False))
-    return both.groupBy("unit_id").agg(F.every(common | tie).alias("agree"), F.count_if(tie).alias("settled_by_tie"))
+def accepted(difference: DataFrame, shares: DataFrame, most_drift: float = 1e-5, least_cosine: float = 1 - 1e-6, least_agreement: float = 0.999) -> DataFrame:
+    """(accepted, failed) of an encoding: bounded drift over the row norm, cosines, and neighbours kept, each on its own."""
+    row = difference.select("max_rel", "min_cosine").crossJoin(shares.select("set_agreement"))  # one row each
+    tests = {"drift": F.col("max_rel") <= most_drift, "cosine": F.col("min_cosine") >= least_cosine, "neighbours": F.col("set_agreement") >= least_agreement}
+    failed = F.concat_ws(",", *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in tests.items()])
+    return row.select((failed == "").alias("accepted"), failed.alias("failed"))
 
 
 def split_subjects(units: DataFrame, stratum: str, share: float, seed: int) -> DataFrame:
@@ -111,11 +140,12 @@ def attention_profile(df: DataFrame, group: str, weights: str) -> DataFrame:
 
 
 def per_section(checks: DataFrame, rule: str, fraction: float = 1.0) -> DataFrame:
-    """(check_id, measured, passed, status): one status for a cohort from its sections' (check_id, passed; null is not
-    measured).  rule all: every measured section passes; fraction: at least that share of them."""
-    g = checks.groupBy("check_id").agg(F.count("passed").alias("measured"), F.count_if(F.coalesce("passed", F.lit(False))).alias("passed"))
+    """(check_id, sections, measured, passed, status): one status for a cohort from its sections' (check_id, passed; null is
+    not measured).  rule all: every measured section passes; fraction: at least that share of them.  Where no section
+    could be measured nothing is said of the cohort: not_applicable."""
+    g = checks.groupBy("check_id").agg(F.count(F.lit(1)).alias("sections"), F.count("passed").alias("measured"), F.count_if(F.coalesce("passed", F.lit(False))).alias("passed"))
     ok = F.col("passed") == F.col("measured") if rule == "all" else F.col("passed") >= F.col("measured") * fraction
-    return g.withColumn("status", F.when(F.col("measured") == 0, "not_run").when(ok, "pass").otherwise("fail"))
+    return g.withColumn("status", F.when(F.col("measured") == 0, "not_applicable").when(ok, "pass").otherwise("fail"))
 
 
 def trace(records: DataFrame) -> DataFrame:

@@ -104,10 +104,10 @@ def pathway_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def capacity_gate(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    size = F.col("p_size").cast("double")
-    plans = p.select(F.col("p_partkey").alias("plan_id"), size.alias("disk_gb"), F.when(F.col("p_type") != "SMALL", F.lit(50.0)).alias("free_gb"), (size / 2).alias("memory_gb"), F.when(F.col("p_type") != "LARGE", F.lit(20.0)).alias("available_gb"), (F.col("p_retailprice") / 100).alias("hours"), F.lit(10.0).alias("limit_hours"))
-    return evidence.capacity(plans).groupBy("stopped_by").agg(F.count(F.lit(1)).alias("n"))
+    size, known = F.col("p_size").cast("double"), lambda kind, x: F.when(F.col("p_type") != kind, F.lit(x))
+    plans = table(spark, d, "part").select(F.col("p_partkey").alias("plan_id"), size.alias("disk_gb"), known("SMALL", 50.0).alias("free_gb"), (size / 2).alias("memory_gb"), known("LARGE", 20.0).alias("available_gb"), (F.col("p_retailprice") / 100).alias("hours"), known("PROMO", 10.0).alias("limit_hours"))
+    r = evidence.capacity(plans)
+    return r.groupBy("verdict", F.concat_ws(",", "blocked_by").alias("blocked_by"), F.concat_ws(",", "not_checked").alias("not_checked"), F.size("checks").alias("checks")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ablation_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -119,9 +119,12 @@ def ablation_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encoder_fit(spark: SparkSession, d: str) -> DataFrame:
-    encoders = table(spark, d, "part").select(F.col("p_partkey").alias("encoder"), F.col("p_type").alias("modality"), F.when(F.col("p_size") != 7, F.col("p_size") * 10.0).alias("least"), F.when(F.col("p_size") != 9, F.col("p_size") * 20.0).alias("most"))
-    supplied = table(spark, d, "part").where("p_type <> 'PROMO'").groupBy(F.col("p_type").alias("modality")).agg(F.round(F.avg("p_size") * 14, 2).alias("amount"))
-    return evidence.fit(encoders, supplied)
+    """Parts as encoders, some of them unknown or without expectations, against nations as platforms."""
+    p, size = table(spark, d, "part"), F.col("p_size")
+    encoders = p.where(size % 13 != 4).select(F.col("p_partkey").alias("encoder"), F.when(F.col("p_type").isin("SMALL", "LARGE"), "he").otherwise("st").alias("modality"), (size % 7 != 5).alias("expects"), F.when(size % 10 != 3, size * 4.0).alias("footprint"), F.when(size % 2 == 0, F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).otherwise(F.array(F.lit("FURNITURE"))).alias("classes"))
+    region = F.col("n_regionkey")
+    platforms = table(spark, d, "nation").select(F.col("n_nationkey").alias("platform"), F.when(region != 1, 20.0 + 3 * F.col("n_nationkey")).alias("tile"), F.when(region == 0, "BUILDING").when(region == 2, "FURNITURE").when(region == 3, "AUTOMOBILE").when(region == 4, "MACHINERY").alias("class"))
+    return evidence.fit(p.select(F.col("p_partkey").alias("encoder")), encoders, platforms, table(spark, d, "customer").select(F.col("c_nationkey").alias("platform")))
 
 
 def task_families(spark: SparkSession, d: str) -> DataFrame:
@@ -156,18 +159,29 @@ def parsed_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slice_difference(spark: SparkSession, d: str) -> DataFrame:
-    """A space against itself with some vectors moved and some missing."""
-    a = vectors(spark, d)
-    b = a.where("label <> 3").withColumn("v", F.when(F.col("label") == 5, F.transform("v", lambda x: x * 1.5)).otherwise(F.transform("v", lambda x: x + 0.25)))
-    return _r(units.slice_difference(a, b, ["unit_id"], "v"), ["max_abs", "norm_rel", "min_cosine"])
+    """A space against itself with vectors moved and some missing."""
+    cached = vectors(spark, d)
+    moved = cached.where("label <> 3").withColumn("v", F.when(F.col("label") == 5, F.transform("v", lambda x: x * 1.5)).otherwise(F.transform("v", lambda x: x + 0.25)))
+    return _r(units.slice_difference(moved, cached, ["unit_id"], "v"), ["max_abs", "mean_abs", "max_rel", "min_cosine", "mean_cosine"])
+
+
+def _coarse(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A space encoded with one digit, the space itself, and how their neighbours agree."""
+    cached = vectors(spark, d)
+    computed = cached.withColumn("v", F.transform("v", lambda x: F.round(x, 1)))
+    near = lambda u: similarity.nearest_vectors(u, 6)
+    return computed, cached, units.agreement_shares(units.neighbour_agreement(near(computed), near(cached), cached))
 
 
 def neighbour_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest neighbours in two halves of a space, ties at the boundary settled."""
-    v = views(spark, d)
-    near = lambda c: similarity.nearest_vectors(v.select("unit_id", F.col(c).alias("v")), 6).select("unit_id", "neighbour", F.round("similarity", 9).alias("similarity"))
-    r = units.neighbour_agreement(near("left"), near("right"), 0.02)
-    return r.groupBy("agree", "settled_by_tie").agg(F.count(F.lit(1)).alias("n"))
+    return _r(_coarse(spark, d)[2], ["set_agreement", "set_exact", "ordered"])
+
+
+def slice_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """The coarse encoding by the declared limits, and by loose ones."""
+    computed, cached, shares = _coarse(spark, d)
+    diff = units.slice_difference(computed, cached, ["unit_id"], "v")
+    return units.accepted(diff, shares).withColumn("rule", F.lit("strict")).unionByName(units.accepted(diff, shares, 1.0, 0.5, 0.0).withColumn("rule", F.lit("loose")))
 
 
 def attention_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +195,8 @@ def projection_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_status(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "part").select(F.col("p_brand").alias("check_id"), F.when(F.col("p_size") > 5, F.col("p_size") > 15).alias("passed"))
+    """Brands as checks; small parts are sections that couldn't be measured, and make up whole checks."""
+    c = table(spark, d, "part").select(F.concat("p_brand", (F.col("p_size") <= 5).cast("int")).alias("check_id"), F.when(F.col("p_size") > 5, F.col("p_size") > 15).alias("passed"))
     return units.per_section(c, "all").withColumn("rule", F.lit("all")).unionByName(units.per_section(c, "fraction", 0.75).withColumn("rule", F.lit("fraction")))
 
 
@@ -239,6 +254,6 @@ def cka_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     biology_perm_test, patient_perm_test, paired_perm_test, geometric_faithfulness, morans_test, ari_bootstrap, evidence_readers, pathway_fdr, pathway_gate, capacity_gate, ablation_pairs, encoder_fit,
-    task_families, carry_per_unit, patient_split, dominant_class, parsed_keys, slice_difference, neighbour_agreement, attention_profile, projection_profile, section_status, ordered_trace, loaded_features,
+    task_families, carry_per_unit, patient_split, dominant_class, parsed_keys, slice_difference, neighbour_agreement, slice_acceptance, attention_profile, projection_profile, section_status, ordered_trace, loaded_features,
     cluster_agreement, linear_probe, transfer_test, cca_transfer, cka_bootstrap,
 ]

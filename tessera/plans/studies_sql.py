@@ -43,6 +43,12 @@ def _bh(name: str, source: str, where: str) -> str:
 
 _TWO = lambda c: f"({c} * ({c} - 1) / 2)"
 
+_AGREE = with_("units") + """, b AS (SELECT unit_id, v AS w, list_transform(v, lambda x: round(x, 1)) AS c FROM units), n2 AS (SELECT unit_id, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-12)) AS a, list_transform(w, lambda x: x / greatest(sqrt(list_dot_product(w, w)), 1e-12)) AS b FROM b),
+        s AS (SELECT p.unit_id AS u, q.unit_id AS v, list_dot_product(p.a, q.a) AS sa, list_dot_product(p.b, q.b) AS sb FROM n2 p JOIN n2 q ON p.unit_id <> q.unit_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(sa, 12) DESC, v) AS pa, row_number() OVER (PARTITION BY u ORDER BY round(sb, 12) DESC, v) AS pb FROM s),
+        e AS (SELECT *, max(sb) FILTER (pb = 6) OVER (PARTITION BY u) AS edge FROM k QUALIFY pa <= 6 OR pb <= 6), r AS (SELECT u, bool_and((pa <= 6) = (pb <= 6)) AS same, bool_and((pa <= 6) = (pb <= 6) OR abs(sb - edge) <= 1e-6) AS close, bool_and(pa = pb) AS ordered FROM e GROUP BY 1),
+        sh AS (SELECT count(*) AS rows, avg((same OR close)::INT) AS sa, avg(same::INT) AS se, count(*) FILTER (close AND NOT same) AS tie, avg(ordered::INT) AS o FROM r)"""
+
 ORACLE = {
     "biology_perm_test": "WITH " + _pool("x", "") + ",\n" + _dealt("(SELECT DISTINCT subject_id, label FROM xs)", "subject_id", "label", 200, 5) + ",\n" + _biology_null("x") + ", nl AS (SELECT * FROM xn), " + _OBS.format(same="la = lb", rows="xv") + "\n" + _STATS.format(kind="biology"),
     "patient_perm_test": "WITH " + _pool("x", "") + ",\n" + _dealt("xs", "sample_id", "subject_id", 200, 6) + ",\nnl AS (SELECT f.perm, round(avg(c) FILTER (f.l = g.l) - avg(c) FILTER (f.l <> g.l), 9) AS v FROM xp JOIN dealt f ON f.k = a JOIN dealt g ON g.k = b AND g.perm = f.perm GROUP BY 1), " + _OBS.format(same="sa = sb", rows="xp") + "\n" + _STATS.format(kind="patient"),
@@ -61,7 +67,7 @@ ORACLE = {
         zz AS (SELECT sample_id, sum(z * z) AS zz, count(*) AS n FROM z GROUP BY 1), i AS (SELECT perm, sample_id, n, n / s0 * c / zz AS i FROM c JOIN zz USING (sample_id)),
         g AS (SELECT sample_id, n, max(i) FILTER (perm = 0) AS moran, avg(i) FILTER (perm > 0) AS m, stddev_pop(i) FILTER (perm > 0) AS sd FROM i GROUP BY 1, 2), h AS (SELECT *, (moran - m) / sd AS z, 1 / (1 + 0.2316419::DOUBLE * abs((moran - m) / sd)) AS t FROM g),
         k AS (SELECT *, exp(-z * z / 2) / 2.5066282746310002::DOUBLE * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) AS tail FROM h)
-        SELECT sample_id, n, round(moran, 5) AS moran, round(m, 5) AS null_mean, round(sd, 5) AS null_sd, round(CASE WHEN sd > 1e-9 THEN z ELSE 0 END, 5) AS z, round(CASE WHEN NOT sd > 1e-9 THEN 1 WHEN z >= 0 THEN tail ELSE 1 - tail END, 5) AS p FROM k""",
+        SELECT sample_id, n, round(moran, 5) AS moran, round(m, 5) AS null_mean, round(sd, 5) AS null_sd, round(CASE WHEN sd > 1e-9 THEN z ELSE 0 END, 5) AS z, round(CASE WHEN NOT sd > 1e-9 THEN 1 ELSE 2 * tail END, 5) AS p FROM k""",
     "ari_bootstrap": f"""WITH c AS (SELECT l_suppkey % 20 AS g, l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2, 3), pl AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS k FROM (SELECT DISTINCT g FROM c)),
         dr AS (SELECT rep, ('0x' || substr(md5('4:' || rep || ':' || i), 1, 8))::BIGINT % (SELECT max(k) FROM pl) AS place FROM range(1, 51) r(rep) CROSS JOIN range(0, 1000) q(i) WHERE i < (SELECT max(k) FROM pl)),
         w AS (SELECT rep, a, b, sum(n)::DOUBLE AS n FROM dr JOIN pl USING (place) JOIN c USING (g) GROUP BY 1, 2, 3), x AS (SELECT rep, sum({_TWO('n')}) AS sij FROM w GROUP BY 1),
@@ -77,11 +83,18 @@ ORACLE = {
     "pathway_fdr": _RES + ", " + _bh("h", "t", "AND view = 'z_he' AND testable") + ", " + _bh("e", "t", "") + " SELECT method_id, view, test, testable, p, round(h.q, 6) AS q_headline, round(e.q, 6) AS q_all FROM t LEFT JOIN h USING (method_id, view, test) LEFT JOIN e USING (method_id, view, test)",
     "pathway_gate": _RES + """, c AS (SELECT s_suppkey AS method_id FROM supplier WHERE s_acctbal < 0) SELECT method_id, count(*) FILTER (testable) AS n_testable, count(*) FILTER (testable AND p < 0.5) AS n_significant, true AS same_split, method_id IN (SELECT method_id FROM c) AS circular,
         CASE WHEN method_id IN (SELECT method_id FROM c) THEN 'fail' ELSE 'pass' END AS status FROM t WHERE view = 'z_he' GROUP BY 1""",
-    "capacity_gate": "SELECT CASE WHEN p_type = 'SMALL' THEN 'disk:not_run' WHEN p_size >= 45 THEN 'disk' WHEN p_type = 'LARGE' THEN 'memory:not_run' WHEN p_size::DOUBLE / 2 >= 16 THEN 'memory' WHEN p_retailprice / 100 > 10 THEN 'walltime' END AS stopped_by, count(*) AS n FROM part GROUP BY 1",
+    "capacity_gate": """WITH c AS (SELECT p_partkey, [CASE WHEN p_type <> 'SMALL' THEN {'resource': 'disk', 'fits': p_size < 45} END, CASE WHEN p_type <> 'LARGE' THEN {'resource': 'memory', 'fits': p_size::DOUBLE / 2 < 16} END, CASE WHEN p_type <> 'PROMO' THEN {'resource': 'walltime', 'fits': p_retailprice / 100 < 10} END] AS c FROM part),
+        l AS (SELECT array_to_string([x.resource FOR x IN c IF x IS NOT NULL AND NOT x.fits], ',') AS blocked_by, array_to_string([r FOR r IN ['disk', 'memory'] IF NOT list_contains([x.resource FOR x IN c IF x IS NOT NULL], r)], ',') AS not_checked, len([x FOR x IN c IF x IS NOT NULL]) AS checks FROM c)
+        SELECT CASE WHEN blocked_by = '' THEN 'fits' ELSE 'does_not_fit' END AS verdict, blocked_by, not_checked, checks, count(*) AS n FROM l GROUP BY 1, 2, 3, 4""",
     "ablation_pairs": """WITH n AS (SELECT s_suppkey AS w, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS o FROM supplier) SELECT w AS with_id, o AS without_id, 0 AS task_id, 0 AS axis, round(a.s_acctbal - b.s_acctbal, 6) AS delta,
         a.s_acctbal - 2000 > b.s_acctbal + 2000 OR b.s_acctbal - 2000 > a.s_acctbal + 2000 AS separated FROM n JOIN supplier a ON a.s_suppkey = w JOIN supplier b ON b.s_suppkey = o""",
-    "encoder_fit": """WITH s AS (SELECT p_type AS t, round(avg(p_size) * 14, 2) AS amount FROM part WHERE p_type <> 'PROMO' GROUP BY 1), e AS (SELECT p_partkey, amount, CASE WHEN p_size <> 7 THEN p_size * 10.0::DOUBLE END AS lo, CASE WHEN p_size <> 9 THEN p_size * 20.0::DOUBLE END AS hi FROM part LEFT JOIN s ON t = p_type)
-        SELECT p_partkey AS encoder, round(amount / lo, 6) AS ratio, CASE WHEN amount IS NULL THEN 'out_of_class' WHEN amount >= lo AND amount <= hi THEN 'in_class' WHEN (lo IS NULL AND amount <= hi) OR (hi IS NULL AND amount >= lo) THEN 'uncertain' ELSE 'out_of_class' END AS fit FROM e""",
+    "encoder_fit": """WITH e AS (SELECT p_partkey AS encoder, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN 'he' ELSE 'st' END AS modality, CASE WHEN p_size % 10 <> 3 THEN p_size * 4.0::DOUBLE END AS footprint, CASE WHEN p_size % 2 = 0 THEN ['BUILDING', 'MACHINERY'] ELSE ['FURNITURE'] END AS classes, p_size % 7 <> 5 AS expects FROM part WHERE p_size % 13 <> 4),
+        d AS (SELECT p_partkey AS encoder FROM part), s AS (SELECT c_nationkey AS platform, count(*) AS n_samples FROM customer GROUP BY 1),
+        p AS (SELECT n_nationkey AS platform, CASE WHEN n_regionkey <> 1 THEN 20.0::DOUBLE + 3 * n_nationkey END AS tile, CASE n_regionkey WHEN 0 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'AUTOMOBILE' WHEN 4 THEN 'MACHINERY' END AS class FROM nation),
+        f AS (SELECT d.encoder, modality, expects, footprint, classes, platform, tile, class FROM d LEFT JOIN e USING (encoder) LEFT JOIN p ON e.expects),
+        r AS (SELECT encoder, platform, CASE WHEN modality IS NULL THEN 'undeclared_encoder' WHEN NOT expects THEN 'encoder_states_none' WHEN modality = 'he' THEN CASE WHEN tile IS NULL THEN 'not_stated' WHEN footprint IS NULL THEN 'encoder_states_none' ELSE 'comparable' END
+              ELSE CASE WHEN class IS NULL THEN 'not_stated' WHEN list_contains(classes, class) THEN 'in_class' ELSE 'out_of_class' END END AS relation, tile / footprint AS q FROM f)
+        SELECT encoder, r.platform, n_samples, relation, CASE WHEN relation = 'comparable' THEN round(q, 3) END AS ratio, CASE WHEN relation = 'comparable' THEN CASE WHEN q < 1 THEN round((1 - q) * 100, 1) ELSE 0 END END AS shortfall_pct FROM r LEFT JOIN s ON s.platform = r.platform""",
     "task_families": "SELECT n_nationkey AS task_id, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) AS routable FROM nation",
     "carry_per_unit": "SELECT d.doc_id AS unit_id, quality, CASE WHEN quality = 1 THEN toxic END AS toxic, quality IS NOT NULL AS quality__present, CASE WHEN quality = 1 THEN toxic END IS NOT NULL AS toxic__present FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "patient_split": """WITH s AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42:' || c_custkey), c_custkey) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
@@ -91,18 +104,16 @@ ORACLE = {
     "parsed_keys": """WITH p AS (SELECT CASE WHEN p_size > 25 THEN p_type END AS suffix, CASE WHEN p_size > 40 THEN 'true' WHEN p_size > 10 THEN 'false' END AS yes, 'runs/' || p_type AS pre FROM part)
         SELECT suffix, yes, pre || '/' || r_name || '.json' AS file, r_name AS run, count(*) AS n FROM p CROSS JOIN region GROUP BY 1, 2, 3, 4 UNION ALL SELECT suffix, yes, 'table.tsv', NULL, count(*) FROM p GROUP BY 1, 2""",
     "slice_difference": with_("units") + """, b AS (SELECT unit_id, v, CASE WHEN label = 5 THEN list_transform(v, lambda x: x * 1.5) ELSE list_transform(v, lambda x: x + 0.25) END AS w FROM units WHERE label <> 3),
-        n AS (SELECT *, sqrt(list_dot_product(v, v)) AS nv, sqrt(list_dot_product(w, w)) AS nw, list_max([abs(v[i] - w[i]) FOR i IN range(1, 65)]) AS m FROM b)
-        SELECT count(*) AS rows, (SELECT count(*) FROM units WHERE NOT coalesce(label <> 3, false)) AS only_first, 0 AS only_second, round(max(m), 6) AS max_abs, round(max(abs(nv - nw) / nv), 6) AS norm_rel, round(min(list_dot_product(v, w) / (nv * nw)), 6) AS min_cosine FROM n""",
-    "neighbour_agreement": with_("units") + """, n2 AS (SELECT unit_id, list_transform(v[1:32], lambda x: x / greatest(sqrt(list_dot_product(v[1:32], v[1:32])), 1e-12)) AS a, list_transform(v[33:64], lambda x: x / greatest(sqrt(list_dot_product(v[33:64], v[33:64])), 1e-12)) AS b FROM units),
-        s AS (SELECT p.unit_id AS u, q.unit_id AS v, list_dot_product(p.a, q.a) AS sa, list_dot_product(p.b, q.b) AS sb FROM n2 p JOIN n2 q ON p.unit_id <> q.unit_id),
-        ta AS (SELECT * FROM (SELECT u, v, round(sa, 9) AS s, row_number() OVER (PARTITION BY u ORDER BY round(sa, 12) DESC, v) AS i FROM s) WHERE i <= 6), tb AS (SELECT * FROM (SELECT u, v, round(sb, 9) AS s, row_number() OVER (PARTITION BY u ORDER BY round(sb, 12) DESC, v) AS i FROM s) WHERE i <= 6),
-        ea AS (SELECT u, v, s - min(s) OVER (PARTITION BY u) <= 0.02::DOUBLE AS e FROM ta), eb AS (SELECT u, v, s - min(s) OVER (PARTITION BY u) <= 0.02::DOUBLE AS e FROM tb),
-        j AS (SELECT coalesce(ea.u, eb.u) AS u, ea.e IS NOT NULL AND eb.e IS NOT NULL AS c, coalesce(ea.e, eb.e) AS e FROM ea FULL JOIN eb ON ea.u = eb.u AND ea.v = eb.v),
-        r AS (SELECT u, bool_and(c OR e) AS agree, count(*) FILTER (NOT c AND e) AS settled_by_tie FROM j GROUP BY 1) SELECT agree, settled_by_tie, count(*) AS n FROM r GROUP BY 1, 2""",
+        n AS (SELECT *, sqrt(list_dot_product(v, v)) AS nv, sqrt(list_dot_product(w, w)) AS nw, [abs(v[i] - w[i]) FOR i IN range(1, 65)] AS m FROM b)
+        SELECT count(*) AS rows, 0 AS only_computed, (SELECT count(*) FROM units WHERE NOT coalesce(label <> 3, false)) AS only_cached, round(max(list_max(m)), 6) AS max_abs, round(sum(list_sum(m)) / (64 * count(*)), 6) AS mean_abs, round(max(list_max(m) / greatest(nv, 1e-12)), 6) AS max_rel,
+               round(min(list_dot_product(v, w) / greatest(nv * nw, 1e-12)), 6) AS min_cosine, round(avg(list_dot_product(v, w) / greatest(nv * nw, 1e-12)), 6) AS mean_cosine FROM n""",
+    "neighbour_agreement": _AGREE + " SELECT rows, round(sa, 6) AS set_agreement, round(se, 6) AS set_exact, tie AS by_tie, round(o, 6) AS ordered FROM sh",
+    "slice_acceptance": _AGREE + """, d AS (SELECT unit_id, v, list_transform(v, lambda x: round(x, 1)) AS w FROM units), x AS (SELECT max(list_max([abs(v[i] - w[i]) FOR i IN range(1, 65)]) / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS rel, min(list_dot_product(v, w) / greatest(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)), 1e-12)) AS c FROM d),
+        t AS (SELECT rel <= g.a AND x.c >= g.b AND sa >= g.c AS accepted, concat_ws(',', CASE WHEN NOT rel <= g.a THEN 'drift' END, CASE WHEN NOT x.c >= g.b THEN 'cosine' END, CASE WHEN NOT sa >= g.c THEN 'neighbours' END) AS failed, g.rule FROM x, sh, (VALUES ('strict', 1e-5, 1 - 1e-6, 0.999), ('loose', 1, 0.5, 0)) g(rule, a, b, c)) SELECT rule, accepted, failed FROM t""",
     "attention_profile": with_("units") + "SELECT label, i - 1 AS pos, count(v[i]) AS n, round(avg(v[i]), 6) AS mean, round(stddev_samp(v[i]), 6) AS std FROM units CROSS JOIN range(1, 8) r(i) GROUP BY 1, 2",
     "projection_profile": with_("units") + ", g AS (SELECT label, count(*) AS n, avg(round(v[1] + v[2], 9)) AS m, stddev_samp(round(v[1] + v[2], 9)) AS s FROM units GROUP BY 1) SELECT label, n, round(m, 6) AS mean, round(s, 6) AS std, row_number() OVER (ORDER BY abs(m) DESC, label) AS pos FROM g",
-    "section_status": """WITH g AS (SELECT p_brand AS check_id, count(*) FILTER (p_size > 5) AS measured, count(*) FILTER (p_size > 15) AS passed FROM part GROUP BY 1)
-        SELECT *, CASE WHEN measured = 0 THEN 'not_run' WHEN passed = measured THEN 'pass' ELSE 'fail' END AS status, 'all' AS rule FROM g UNION ALL SELECT *, CASE WHEN measured = 0 THEN 'not_run' WHEN passed >= measured * 0.75 THEN 'pass' ELSE 'fail' END, 'fraction' FROM g""",
+    "section_status": """WITH g AS (SELECT p_brand || (p_size <= 5)::INT AS check_id, count(*) AS sections, count(*) FILTER (p_size > 5) AS measured, count(*) FILTER (p_size > 15) AS passed FROM part GROUP BY 1)
+        SELECT *, CASE WHEN measured = 0 THEN 'not_applicable' WHEN passed = measured THEN 'pass' ELSE 'fail' END AS status, 'all' AS rule FROM g UNION ALL SELECT *, CASE WHEN measured = 0 THEN 'not_applicable' WHEN passed >= measured * 0.75 THEN 'pass' ELSE 'fail' END, 'fraction' FROM g""",
     "ordered_trace": """WITH g AS (SELECT event_type AS step, min(event_id) AS f, count(*) AS n, round(sum(CASE WHEN value < 9 THEN value END), 4) AS duration, count(*) FILTER (NOT coalesce(value < 9, false)) AS untimed FROM events GROUP BY 1) SELECT step, n, duration, untimed, row_number() OVER (ORDER BY f, step) AS place FROM g""",
     "loaded_features": with_("units") + "SELECT unit_id AS unit, round(sqrt(list_dot_product(v[1:4], v[1:4])), 6) AS norm, CASE WHEN label = 2 THEN 0.5 ELSE 0.25 END::DOUBLE AS w0, 4::BIGINT AS width FROM units WHERE label IS DISTINCT FROM 4",
 }

@@ -172,16 +172,104 @@ def test_clusters_and_probe_find_planted_classes(spark):
     df, x, y = _blobs(spark)
     r = learning.cluster_agreement(df, "label", 3, 1).first()
     assert r["ari"] == pytest.approx(1.0) and r["nmi"] == pytest.approx(1.0)
-    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d2 = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     a = np.array([d2[i][(y == y[i]) & (np.arange(len(y)) != i)].mean() for i in range(len(y))])
     b = np.array([min(d2[i][y == c].mean() for c in range(3) if c != y[i]) for i in range(len(y))])
     assert r["silhouette"] == pytest.approx(np.mean((b - a) / np.maximum(a, b)))
+    # the silhouette is the label's own, not the clusters'
+    crossed = df.withColumn("label", (F.col("unit_id") % 2).cast("int"))
+    r = learning.cluster_agreement(crossed, "label", 3, 1).first()
+    z = np.arange(len(y)) % 2
+    a = np.array([d2[i][(z == z[i]) & (np.arange(len(z)) != i)].mean() for i in range(len(z))])
+    b = np.array([d2[i][z != z[i]].mean() for i in range(len(z))])
+    assert r["silhouette"] == pytest.approx(np.mean((b - a) / np.maximum(a, b))) and abs(r["ari"]) < 0.1
+    few = learning.cluster_agreement(df.limit(2), "label", 3, 1).first()
+    assert np.isnan(few["ari"]) and np.isnan(few["silhouette"]) and few["reason"]
     split = units.split_subjects(df.withColumn("s", F.lit(0)), "s", 0.25, 3)
     parts = {p["subject_id"]: p["part"] for p in split.collect()}
     p = learning.linear_probe(df, "label", split).first()
     assert sum(v == "test" for v in parts.values()) == 3 and p["accuracy"] == 1.0 and p["n_test"] == 60 and p["chance"] < 0.7
 
 
+def test_probe_names_why_it_cannot_answer(spark):
+    df, _, _ = _blobs(spark, 24)
+    one = spark.createDataFrame([(i, "train") for i in range(12)], "subject_id int, part string")
+    assert learning.linear_probe(df, "label", one).first()["reason"] == "no subject on a side"
+    two = one.withColumn("part", F.when(F.col("subject_id") < 3, "test").otherwise("train"))
+    r = learning.linear_probe(df.withColumn("label", F.lit(1)), "label", two).first()
+    assert r["reason"] == "one class in the train split" and np.isnan(r["accuracy"])
+
+
+def test_moran_p_has_both_tails(spark):
+    side = 8
+    cells = [(0, i * side + j, float(i), float(j), float((i + j) % 2)) for i in range(side) for j in range(side)]
+    board = spark.createDataFrame(cells, "sample_id long, unit_id long, x double, y double, value double")
+    edges = [(0, a[1], b[1]) for a in cells for b in cells if abs(a[2] - b[2]) + abs(a[3] - b[3]) == 1]
+    r = nulls.morans_test(board, spark.createDataFrame(edges, "sample_id long, unit_id long, neighbour long"), 40, 1).first()
+    assert r["moran"] == pytest.approx(-1.0) and r["z"] < -5 and r["p"] < 1e-6
+
+
+def test_slices_differ_by_their_largest_element(spark):
+    schema = "unit_id int, v array<double>"
+    computed, cached = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0])], schema), spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 4.0]), (4, [1.0, 1.0])], schema)
+    r = units.slice_difference(computed, cached, ["unit_id"], "v").first()
+    assert (r["rows"], r["only_computed"], r["only_cached"]) == (2, 1, 1) and r["max_abs"] == 2.0 and r["mean_abs"] == pytest.approx(1.0) and r["max_rel"] == pytest.approx(1.0)
+    assert r["min_cosine"] == pytest.approx(0.0) and r["mean_cosine"] == pytest.approx(0.5)
+    empty = units.slice_difference(computed.limit(0), cached.limit(0), ["unit_id"], "v")
+    assert empty.first()["rows"] == 0
+
+
+def test_neighbours_that_tie_in_the_cached_space_agree(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 4))
+    x[3:7] = x[3]  # one point four times: which of them is in a list is the sort's doing
+    cached = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "unit_id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -np.inf)
+    ours = np.lexsort((-np.broadcast_to(np.arange(12), sim.shape), -np.round(sim, 12)), axis=1)[:, :3]  # ties by the larger id
+    ours[0] = [11, 10, 9]
+    lists = lambda a: spark.createDataFrame([(i, p + 1, int(n)) for i, row in enumerate(a) for p, n in enumerate(row)], "unit_id long, pos int, neighbour long")
+    theirs = np.lexsort((np.broadcast_to(np.arange(12), sim.shape), -np.round(sim, 12)), axis=1)[:, :3]
+    got = {r["unit_id"]: r for r in units.neighbour_agreement(lists(ours), lists(theirs), cached).collect()}
+    for i in range(12):
+        a, b = set(ours[i].tolist()), set(theirs[i].tolist())
+        tied = a != b and all(abs(sim[i, m] - sim[i, theirs[i, -1]]) <= 1e-6 for m in a ^ b)
+        assert (got[i]["same"], got[i]["tied"], got[i]["ordered"]) == (a == b, tied, ours[i].tolist() == theirs[i].tolist())
+    shares = units.agreement_shares(units.neighbour_agreement(lists(ours), lists(theirs), cached))
+    same = units.slice_difference(cached, cached, ["unit_id"], "v")
+    assert units.accepted(same, units.agreement_shares(units.neighbour_agreement(lists(theirs), lists(theirs), cached))).first()["accepted"]
+    r = units.accepted(same, shares).first()
+    assert not r["accepted"] and r["failed"] == "neighbours"
+
+
+def test_capacity_lists_every_check(spark):
+    rows = [(1, 89.0, 100.0, 7.9, 10.0, 5.0, None), (2, 90.0, 100.0, 8.0, 10.0, 5.0, 5.0), (3, 1.0, None, 1.0, 10.0, 1.0, 0.0), (4, 500.0, None, 9.0, None, 1.0, 2.0)]
+    got = {r["plan_id"]: r for r in evidence.capacity(spark.createDataFrame(rows, "plan_id int, disk_gb double, free_gb double, memory_gb double, available_gb double, hours double, limit_hours double")).collect()}
+    assert got[1]["verdict"] == "fits" and [c["resource"] for c in got[1]["checks"]] == ["disk", "memory"] and got[1]["not_checked"] == []
+    assert got[2]["blocked_by"] == ["disk", "memory", "walltime"] and got[2]["verdict"] == "does_not_fit"
+    assert got[3]["verdict"] == "fits" and got[3]["not_checked"] == ["disk"]
+    assert got[4]["verdict"] == "fits" and got[4]["not_checked"] == ["disk", "memory"]
+
+
+def test_encoder_fit_states_ratios_and_kinds(spark):
+    declared = spark.createDataFrame([("tile",), ("any",), ("cell",), ("free",), ("new",)], "encoder string")
+    encoders = spark.createDataFrame([("tile", "he", True, 50.0, None), ("any", "he", True, None, None), ("cell", "st", True, None, ["cell"]), ("free", "st", False, None, None)], "encoder string, modality string, expects boolean, footprint double, classes array<string>")
+    platforms = spark.createDataFrame([("a", 40.0, "cell"), ("b", 60.0, "spot"), ("c", None, None)], "platform string, tile double, class string")
+    got = {(r["encoder"], r["platform"]): r for r in evidence.fit(declared, encoders, platforms, spark.createDataFrame([("a",), ("a",)], "platform string")).collect()}
+    assert len(got) == 11 and got["tile", "a"]["ratio"] == 0.8 and got["tile", "a"]["shortfall_pct"] == 20.0 and got["tile", "a"]["n_samples"] == 2
+    assert got["tile", "b"]["ratio"] == 1.2 and got["tile", "b"]["shortfall_pct"] == 0.0 and got["tile", "c"]["relation"] == "not_stated"
+    assert got["any", "a"]["relation"] == "encoder_states_none" and got["any", "c"]["relation"] == "not_stated"
+    assert [got["cell", p]["relation"] for p in "abc"] == ["in_class", "out_of_class", "not_stated"]
+    assert got["free", None]["relation"] == "encoder_states_none" and got["new", None]["relation"] == "undeclared_encoder"
+
+
+def test_checks_that_no_section_measured_are_not_applicable(spark):
+    rows = spark.createDataFrame([("a", None), ("a", None), ("b", True), ("b", None), ("c", True), ("c", False)], "check_id string, passed boolean")
+    assert {r["check_id"]: (r["sections"], r["measured"], r["status"]) for r in units.per_section(rows, "all").collect()} == {"a": (2, 0, "not_applicable"), "b": (2, 1, "pass"), "c": (2, 2, "fail")}
+    assert {r["check_id"]: r["status"] for r in units.per_section(rows, "fraction", 0.5).collect()}["c"] == "pass"
+
+
 def test_directions_are_fitted_on_train_and_scored_on_test(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(150, 4))
