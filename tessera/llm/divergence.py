@@ -7,7 +7,7 @@ by pair, which start on the map side, add them up.  A source's share of a term i
 (N + 5 V)), N its occurrences of kept terms and V the number of these; a pair's divergence is the sum of absolute
 differences of shares.  Terms of a source stand out by how much its share exceeds the language's.
 
-A text's terms and a marked copy of each different one are counted together by language, source and term, which gives
+A text's terms, and behind them each different one again, are counted together by language, source and term, which gives
 occurrences and documents in one pass; a frequent term or source is one row a task from there on.  Rows emitted are
 terms x pairs of sources of the language, whatever the size of the corpus.
 
@@ -25,8 +25,6 @@ from tessera.llm.common import columns_for, materialise, maybe_broadcast
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands before the copy of a term that counts documents; no term holds it.
-MARK = "\x01"
 SMOOTH, STEP = 5, 1000
 
 
@@ -57,13 +55,12 @@ def axes(docs: DataFrame) -> DataFrame:
 def term_vectors(docs: DataFrame, axis: DataFrame, least: int = 30) -> DataFrame:
     """(lang, term, counts): occurrences of each kept term in each source of its language."""
     own = groups(docs).select("lang", "source", terms(F.col("text")).alias("found"))
-    marked = F.concat("found", F.transform(F.array_distinct("found"), lambda t: F.concat(F.lit(MARK), t)))
-    counted = own.select("lang", "source", F.explode(marked).alias("entry")).groupBy("lang", "source", "entry").agg(F.count(F.lit(1)).alias("n"))
-    of_docs = F.col("entry").startswith(MARK)
+    both = own.select("lang", "source", F.size("found").alias("size"), F.posexplode(F.concat("found", F.array_distinct("found"))).alias("at", "term"))
+    counted = both.groupBy("lang", "source", "term").agg(F.count_if(F.col("at") < F.col("size")).alias("n"), F.count_if(F.col("at") >= F.col("size")).alias("docs"))
     by_term = (
-        counted.select("lang", "source", "n", of_docs.alias("docs"), F.when(of_docs, F.expr(f"substring(entry, {len(MARK) + 1})")).otherwise(F.col("entry")).alias("term"))
+        counted
         .groupBy("lang", "term")
-        .agg(F.sum(F.when(F.col("docs"), F.col("n"))).alias("in_docs"), F.map_from_entries(F.collect_list(F.when(~F.col("docs"), F.struct("source", "n")))).alias("held"))
+        .agg(F.sum("docs").alias("in_docs"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("held"))
         .where(F.col("in_docs") >= least)
     )
     return by_term.join(maybe_broadcast(axis), "lang").select("lang", "term", F.transform("sources", lambda s: F.coalesce(F.try_element_at("held", s), F.lit(0))).alias("counts"))
