@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import gram, statistics
+from tessera.operators import cells, gram, permute, statistics
+from tessera.operators.permute import numbered
+from tessera.operators.tables import materialise
 
 
 def clusters(units: DataFrame, k: int, seed: int, vec: str = "v", n_init: int = 1) -> DataFrame:
@@ -95,48 +97,42 @@ def transfer_correlation(train: DataFrame, test: DataFrame, vec: str, target: st
     return r(test), r(train)
 
 
-def transfer_nulls(train: DataFrame, test: DataFrame, key: str, vec: str, target: str, n: int, seed: int) -> DataFrame:
-    """(perm, value): test correlations of directions fitted to the train targets dealt anew.  The train side needs one
-    Gram matrix and, for each permutation, the sums of vector times dealt target, added up in one pass."""
-    spark = train.sparkSession
-    count, sums, products, _ = gram.moments(train, [vec])
-    inverse = np.linalg.pinv(gram.centred(count, sums, products))
-    dealt = statistics.permuted(train.select(key, F.col(target).cast("double").alias("y")), key, "y", n, seed)
-    mean = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
-    long = dealt.join(train.select(key, F.posexplode(vec).alias("dim", "x")), key)
-    crosses = long.groupBy("perm", "dim").agg(F.sum((F.col("y") - F.lit(mean)) * F.col("x")).alias("c")).toPandas()
-    each = crosses.pivot(index="perm", columns="dim", values="c").sort_index(axis=1)
-    w = each.to_numpy() @ inverse
-    w = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-    directions = spark.createDataFrame([(int(p), [float(x) for x in row]) for p, row in zip(each.index, w, strict=True)], "perm long, w array<double>")
-    scored = test.select(vec, F.col(target).cast("double").alias("y")).crossJoin(F.broadcast(directions))  # n rows a tested unit
-    return scored.groupBy("perm").agg(F.corr(V.dot(F.col(vec), F.col("w")), F.col("y")).alias("value"))
-
-
 def cca_scores(df: DataFrame, test: DataFrame, left: str, right: str, k: int, reg: float) -> DataFrame:
-    """test with arrays cca_left and cca_right: its rows along the directions fitted on df."""
+    """test with arrays cca_left and cca_right: its rows along the directions fitted on df, scaled to length one; a zero
+    vector stays zero."""
     _, a, b = gram.ridge_cca(df, left, right, k, reg)
     n, sums, _, (width, _) = gram.moments(df, [left, right])
     mean = sums / max(n, 1)
 
     def along(vec: str, centre: np.ndarray, d: np.ndarray):
         shifted = F.zip_with(F.col(vec), F.array(*[F.lit(float(x)) for x in centre]), lambda x, m: x - m)
-        return F.array(*[V.dot(shifted, F.array(*[F.lit(float(x)) for x in d[:, i]])) for i in range(d.shape[1])])
+        return V.l2_normalise(F.array(*[V.dot(shifted, F.array(*[F.lit(float(x)) for x in d[:, i]])) for i in range(d.shape[1])]), policy="keep")
 
     return test.withColumns({"cca_left": along(left, mean[:width], a), "cca_right": along(right, mean[width:], b)})
 
 
-def weighted_cka(df: DataFrame, group: str, left: str, right: str, reps: int, seed: int) -> list[float]:
-    """CKA of bootstrap draws of groups: each group's moments once, weighted by how often it is drawn; means are those of
-    all rows and are not taken again."""
-    groups = sorted(r[0] for r in df.select(group).distinct().collect())
-    parts, (n, sums, _, (a, _)) = [], gram.moments(df, [left, right])
+def cka_draws(df: DataFrame, key: str, left: str, right: str, reps: int, seed: int) -> DataFrame:
+    """(rep, value): CKA of bootstrap draws of rows.  How often a draw has a row is Poisson with mean one, from the row's
+    number and the draw's, so rows needn't know of each other and no draw moves them (CKA doesn't change with the total);
+    means are those of all rows and are not taken again.  All draws' products are added up in one pass."""
+    place = materialise(numbered(df.where(f"{left} IS NOT NULL AND {right} IS NOT NULL").select(key, left, right), [], [key]), "cka-rows")
+    n, sums, _, (a, _) = gram.moments(place, [left, right])
     mean = sums / max(n, 1)
-    for g in groups:
-        m, s, p, _ = gram.moments(df.where(F.col(group) == g), [left, right])
-        parts.append(p - np.outer(s, mean) - np.outer(mean, s) + m * np.outer(mean, mean))
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(reps):
-        c = sum(w * p for w, p in zip(np.bincount(rng.integers(0, len(groups), len(groups)), minlength=len(groups)), parts, strict=True))
-        out.append(float((c[:a, a:] ** 2).sum() / (np.linalg.norm(c[:a, :a]) * np.linalg.norm(c[a:, a:]) + 1e-12)))
-    return out
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = cells.Open()
+        for batch in (x for x in batches if x.num_rows):
+            x = np.concatenate([cells.matrix(batch.column(c)) for c in (left, right)], axis=1) - mean
+            good = np.isfinite(x).all(axis=1)
+            at, x = batch.column("place").to_numpy()[good], x[good]
+            for rep in range(1, reps + 1):
+                held.add(("", "cka", rep), len(x), a, np.zeros(0), x.T @ (x * permute.poisson(at, rep, seed)[:, None]))
+        if held.sums:
+            yield held.taken()
+
+    def value(rows: pa.Table) -> pa.Table:
+        c = np.asarray(rows.column("products")[0].as_py())
+        c = c.reshape(len(mean), len(mean))
+        return pa.table({"rep": pa.array([rows.column("perm")[0].as_py()], pa.int32()), "value": pa.array([float((c[:a, a:] ** 2).sum() / (np.linalg.norm(c[:a, :a]) * np.linalg.norm(c[a:, a:]) + 1e-12))])})
+
+    return cells.added(place.select("place", left, right).mapInArrow(partial, cells.SUMS)).groupBy("perm").applyInArrow(value, "rep int, value double")

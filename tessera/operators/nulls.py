@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators.permute import numbered, partner
 from tessera.operators.statistics import null_shape, permuted
+from tessera.operators.tables import materialise
 
 
 def pairs(samples: DataFrame, vec: str = "v") -> DataFrame:
@@ -91,20 +93,19 @@ def normal_tail(z: Column) -> Column:
 
 
 def morans_test(values: DataFrame, edges: DataFrame, n: int, seed: int) -> DataFrame:
-    """(sample_id, n, moran, null_mean, null_sd, z, p): Moran's I, its nulls by dealing a sample's values to its units anew,
-    and p
-    from both tails of the normal distribution.  A sample whose nulls don't
-    vary, as one that is constant or of mutual neighbours only, has z 0 and p 1."""
-    w = Window.partitionBy("sample_id")
-    z = values.select("sample_id", "unit_id", (F.col("value") - F.avg("value").over(w)).alias("z"), F.row_number().over(w.orderBy("unit_id")).alias("place"))
-    perms = values.sparkSession.range(0, n + 1).withColumnRenamed("id", "perm")  # 0 is the observed order
-    to = F.row_number().over(Window.partitionBy("perm", "sample_id").orderBy(F.when(F.col("perm") == 0, F.lit("")).otherwise(F.md5(F.concat_ws(":", F.lit(seed), "perm", "unit_id"))), "unit_id"))
-    order = z.select("sample_id", "unit_id").crossJoin(F.broadcast(perms)).withColumn("place", to)  # n rows a unit: the permutations themselves
+    """(sample_id, n, moran, null_mean, null_sd, z, p): Moran's I, its nulls by dealing a sample's values to its units anew (a
+    unit's partner is computed, see `permute`), and p from both tails of the normal distribution.  A sample whose nulls
+    don't vary, as one that is constant or of mutual neighbours only, has z 0 and p 1."""
+    z = materialise(numbered(values.select("sample_id", "unit_id", "value"), ["sample_id"], ["unit_id"]), "moran-values")
+    means = z.groupBy("sample_id").agg(F.avg("value").alias("mean"))
+    z = z.join(means, "sample_id").select("sample_id", "unit_id", "place", "n", (F.col("value") - F.col("mean")).alias("z"))
+    perms = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("perm")  # 0 is the observed order
+    order = z.select("sample_id", "unit_id", "place", "n", perms).select("perm", "sample_id", "unit_id", partner(F.col("place"), F.col("n"), F.col("perm"), seed).alias("place"))
     dealt = order.join(z.select("sample_id", "place", "z"), ["sample_id", "place"]).select("perm", "sample_id", "unit_id", "z")
     weights = edges.where("unit_id <> neighbour").withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("sample_id", "unit_id")))
     other = dealt.select("perm", "sample_id", F.col("unit_id").alias("neighbour"), F.col("z").alias("zn"))
     cross = weights.join(dealt, ["sample_id", "unit_id"]).join(other, ["perm", "sample_id", "neighbour"]).groupBy("perm", "sample_id").agg(F.sum(F.col("w") * F.col("z") * F.col("zn")).alias("c"), F.sum("w").alias("s0"))
-    own = z.groupBy("sample_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.count(F.lit(1)).alias("n"))
+    own = z.groupBy("sample_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.first("n").alias("n"))
     i = cross.join(own, "sample_id").select("perm", "sample_id", "n", F.when(F.col("zz") > 0, F.col("n") / F.col("s0") * F.col("c") / F.col("zz")).otherwise(0.0).alias("i"))
     g = i.groupBy("sample_id", "n").agg(F.max(F.when(F.col("perm") == 0, F.col("i"))).alias("moran"), F.avg(F.when(F.col("perm") > 0, F.col("i"))).alias("null_mean"), F.stddev_pop(F.when(F.col("perm") > 0, F.col("i"))).alias("null_sd"))
     score = F.when(F.col("null_sd") > 1e-9, (F.col("moran") - F.col("null_mean")) / F.col("null_sd")).otherwise(0.0)

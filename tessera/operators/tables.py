@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -34,3 +35,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def maybe_broadcast(df: DataFrame, rows: int = 200_000, most: int = 64 << 20) -> DataFrame:
+    """`df`, a written table, with a broadcast hint if it is small in rows and bytes, which is measured; else unchanged."""
+    if not df.columns:
+        return df
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= most else df

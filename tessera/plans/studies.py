@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import evidence, learning, nulls, similarity, statistics, units
+from tessera.operators import cells, evidence, learning, nulls, similarity, statistics, units
 from tessera.plans.space import _edges
 from tessera.plans.studies_sql import ORACLE as ORACLE
 from tessera.plans.tables import spots, table, views
@@ -227,15 +227,25 @@ def linear_probe(spark: SparkSession, d: str) -> DataFrame:
     return learning.linear_probe(u, "label", units.split_subjects(u.withColumn("one", F.lit(1)), "one", 0.3, 1))
 
 
+def _parts(spark: SparkSession, d: str, u: DataFrame) -> DataFrame:
+    """`u` with part: test for four subjects of all runs' union."""
+    out = cells.held_out(u, "subject_id", 4, 1).withColumn("part", F.lit("test"))
+    return u.join(out, "subject_id", "left").withColumn("part", F.coalesce("part", F.lit("train")))
+
+
 def transfer_test(spark: SparkSession, d: str) -> DataFrame:
-    """A direction fitted to a target on some subjects, tested on others, against dealt targets."""
-    u = vectors(spark, d).withColumn("y", F.col("label").cast("double"))
-    s = units.split_subjects(u.withColumn("one", F.lit(1)), "one", 0.3, 1)
-    train, test = (u.join(s.where(F.col("part") == p).select("subject_id"), "subject_id") for p in ("train", "test"))
-    r_test, r_train = learning.transfer_correlation(train, test, "v", "y")
-    null = learning.transfer_nulls(train, test, "unit_id", "v", "y", 40, 9)
-    observed = spark.createDataFrame([(r_test, r_train)], "observed double, r_train double")
-    return statistics.permutation_test(null, observed.select("observed"), []).crossJoin(observed.select("r_train"))  # one row each
+    """A direction fitted to the label on some subjects, tested on others, against permuted labels: one cell of all dimensions."""
+    u = _parts(spark, d, vectors(spark, d)).select("unit_id", "part", F.col("v").alias("z"), F.array(F.col("label").cast("double")).alias("y"))
+    return _r(cells.study(u, [], "unit_id", 40, 9), ["r_full", "r_train", "r_test", "z_full", "z_test"])
+
+
+def cca_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs, two views, two targets: each cell's correlation over all its units and on held-out subjects, against nulls."""
+    u = _parts(spark, d, views(spark, d)).withColumn("run", F.col("label") % 2)
+    z = F.explode(F.create_map(F.lit("left"), F.slice("left", 1, 2), F.lit("right"), F.slice("right", 1, 2))).alias("view", "z")
+    y = F.explode(F.create_map(F.lit("third"), F.array(F.col("v")[2]), F.lit("sum"), F.array(F.col("v")[0] + F.col("v")[39]))).alias("target", "y")
+    rows = u.select("unit_id", "run", "part", "v", z).select("unit_id", "run", "part", "view", "z", y)
+    return _r(cells.study(rows, ["run", "view", "target"], "unit_id", 20, 7), ["r_full", "r_train", "r_test", "z_full", "p_full", "z_test", "p_test"], 5)
 
 
 def cca_transfer(spark: SparkSession, d: str) -> DataFrame:
@@ -248,12 +258,13 @@ def cca_transfer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cka_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    x = learning.weighted_cka(views(spark, d), "subject_id", "left", "right", 100, 2)
-    return spark.createDataFrame([(v,) for v in x], "v double").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
+    """Each draw's CKA of three dimensions of either view."""
+    v = views(spark, d).select("unit_id", F.slice("left", 1, 3).alias("left"), F.slice("right", 1, 3).alias("right"))
+    return _r(learning.cka_draws(v, "unit_id", "left", "right", 30, 2), ["value"])
 
 
 QUERIES = [
     biology_perm_test, patient_perm_test, paired_perm_test, geometric_faithfulness, morans_test, ari_bootstrap, evidence_readers, pathway_fdr, pathway_gate, capacity_gate, ablation_pairs, encoder_fit,
     task_families, carry_per_unit, patient_split, dominant_class, parsed_keys, slice_difference, neighbour_agreement, slice_acceptance, attention_profile, projection_profile, section_status, ordered_trace, loaded_features,
-    cluster_agreement, linear_probe, transfer_test, cca_transfer, cka_bootstrap,
+    cluster_agreement, linear_probe, transfer_test, cca_cells, cca_transfer, cka_bootstrap,
 ]

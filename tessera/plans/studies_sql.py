@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans.tables import with_
+from tessera.operators import permute
+from tessera.plans.tables import SQL, with_
 
 _UNIT = "(SELECT vec_id % 40 AS sample_id, (embedding::DOUBLE[]){part} AS v FROM embeddings)"
 
@@ -43,6 +44,30 @@ def _bh(name: str, source: str, where: str) -> str:
 
 _TWO = lambda c: f"({c} * ({c} - 1) / 2)"
 
+def _cells() -> str:
+    """Two-dimensional z and one-dimensional y: the inverse of a 2 x 2 matrix in closed form."""
+    moments = lambda rows, y: f"count(*) AS n, var_pop(z1) AS a, covar_pop(z1, z2) AS b, var_pop(z2) AS c, covar_pop(z1, {y}) AS d, covar_pop(z2, {y}) AS e, var_pop({y}) AS f"
+    fit = "sqrt((c * d * d - 2 * b * d * e + a * e * e) / (a * c - b * b) / f)"
+    score = lambda m, t: f"(({m}.c * {m}.d - {m}.b * {m}.e) * {t}.d + ({m}.a * {m}.e - {m}.b * {m}.d) * {t}.e) / sqrt((pow({m}.c * {m}.d - {m}.b * {m}.e, 2) * {t}.a + 2 * ({m}.c * {m}.d - {m}.b * {m}.e) * ({m}.a * {m}.e - {m}.b * {m}.d) * {t}.b + pow({m}.a * {m}.e - {m}.b * {m}.d, 2) * {t}.c) * {t}.f)"
+    k = "run, view, target"
+    dealt = lambda name, seed: permute.sql(f"{name}_rows", k, 20, seed, name)
+    return f"""WITH RECURSIVE {SQL['units']}, ho AS (SELECT subject_id FROM (SELECT DISTINCT subject_id FROM units) ORDER BY md5('1:' || subject_id), subject_id LIMIT 4),
+        base AS (SELECT unit_id, label % 2 AS run, CASE WHEN subject_id IN (SELECT subject_id FROM ho) THEN 'test' ELSE 'train' END AS part, v FROM units),
+        rw AS (SELECT run, view, target, unit_id, part, v[CASE view WHEN 'left' THEN 1 ELSE 33 END] AS z1, v[CASE view WHEN 'left' THEN 2 ELSE 34 END] AS z2, CASE target WHEN 'third' THEN v[3] ELSE v[1] + v[40] END AS y FROM base CROSS JOIN (VALUES ('left'), ('right')) a(view) CROSS JOIN (VALUES ('third'), ('sum')) b(target)),
+        pl AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY part = 'test', unit_id) - 1 AS place FROM rw),
+        pf_rows AS (SELECT {k}, count(*) AS n FROM pl GROUP BY ALL), pt_rows AS (SELECT {k}, count(*) AS n FROM pl WHERE part = 'train' GROUP BY ALL),
+        {dealt('pf', 7)}, {dealt('pt', 8)},
+        xf AS (SELECT {', '.join('p.' + x for x in k.split(', '))}, perm, {moments('', 'q.y')} FROM (SELECT {k}, place, z1, z2 FROM pl) p JOIN pf USING ({k}, place) JOIN (SELECT {k}, place AS partner, y FROM pl) q USING ({k}, partner) GROUP BY ALL),
+        xt AS (SELECT {', '.join('p.' + x for x in k.split(', '))}, perm, {moments('', 'q.y')} FROM (SELECT {k}, place, z1, z2 FROM pl WHERE part = 'train') p JOIN pt USING ({k}, place) JOIN (SELECT {k}, place AS partner, y FROM pl WHERE part = 'train') q USING ({k}, partner) GROUP BY ALL),
+        te AS (SELECT {k}, {moments('', 'y')} FROM pl WHERE part = 'test' GROUP BY ALL),
+        rf AS (SELECT {k}, perm, n, {fit} AS r FROM xf), rt AS (SELECT {k}, xt.perm, xt.n, te.n AS n_test, {score('xt', 'te')} AS r, CASE WHEN xt.perm = 0 THEN sqrt((xt.c * xt.d * xt.d - 2 * xt.b * xt.d * xt.e + xt.a * xt.e * xt.e) / (xt.a * xt.c - xt.b * xt.b) / xt.f) END AS r_train FROM xt JOIN te USING ({k})),
+        of AS (SELECT {k}, n, r FROM rf WHERE perm = 0), ot AS (SELECT {k}, n, n_test, r, r_train FROM rt WHERE perm = 0),
+        gf AS (SELECT {k}, avg(rf.r) AS m, stddev_pop(rf.r) AS s, count(*) AS c, count(*) FILTER (rf.r >= of.r) AS b FROM rf JOIN of USING ({k}) WHERE perm > 0 GROUP BY ALL),
+        gt AS (SELECT {k}, avg(rt.r) AS m, stddev_pop(rt.r) AS s, count(*) AS c, count(*) FILTER (abs(rt.r) >= abs(ot.r)) AS b FROM rt JOIN ot USING ({k}) WHERE perm > 0 GROUP BY ALL)
+        SELECT {k}, of.n AS n_full, ot.n AS n_train, n_test, round(of.r, 5) AS r_full, round(r_train, 5) AS r_train, round(ot.r, 5) AS r_test, round((of.r - gf.m) / (gf.s + 1e-12), 5) AS z_full, round((1 + gf.b)::DOUBLE / (1 + gf.c), 5) AS p_full, round((ot.r - gt.m) / (gt.s + 1e-12), 5) AS z_test, round((1 + gt.b)::DOUBLE / (1 + gt.c), 5) AS p_test
+        FROM of JOIN ot USING ({k}) JOIN gf USING ({k}) JOIN gt USING ({k})"""
+
+
 _AGREE = with_("units") + """, b AS (SELECT unit_id, v AS w, list_transform(v, lambda x: round(x, 1)) AS c FROM units), n2 AS (SELECT unit_id, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-12)) AS a, list_transform(w, lambda x: x / greatest(sqrt(list_dot_product(w, w)), 1e-12)) AS b FROM b),
         s AS (SELECT p.unit_id AS u, q.unit_id AS v, list_dot_product(p.a, q.a) AS sa, list_dot_product(p.b, q.b) AS sb FROM n2 p JOIN n2 q ON p.unit_id <> q.unit_id),
         k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(sa, 12) DESC, v) AS pa, row_number() OVER (PARTITION BY u ORDER BY round(sb, 12) DESC, v) AS pb FROM s),
@@ -60,9 +85,8 @@ ORACLE = {
         o AS (SELECT count(*) AS n_pairs, round(corr(rx.r, ry.r), 9) AS rho, corr(rx.c, ry.c) AS pearson FROM rx JOIN ry USING (a, b)),
         nl AS (SELECT f.perm, round(corr(rx.r, ry.r), 9) AS v FROM ry JOIN dealt f ON f.k = ry.a JOIN dealt g ON g.k = ry.b AND g.perm = f.perm JOIN rx ON rx.a = least(f.l, g.l) AND rx.b = greatest(f.l, g.l) GROUP BY 1)
         SELECT round(any_value(rho), 4) AS observed, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS sd, round((any_value(rho) - avg(v)) / stddev_pop(v), 4) AS z, round((1 + count(*) FILTER (v >= rho))::DOUBLE / (1 + count(*)), 4) AS p, any_value(n_pairs) AS n_pairs, round(any_value(pearson), 4) AS pearson FROM nl, o""",
-    "morans_test": with_("spots", "knn") + """, z AS (SELECT sample_id, unit_id, value - avg(value) OVER (PARTITION BY sample_id) AS z, row_number() OVER (PARTITION BY sample_id ORDER BY unit_id) AS place FROM spots),
-        od AS (SELECT perm, sample_id, unit_id, row_number() OVER (PARTITION BY perm, sample_id ORDER BY CASE WHEN perm = 0 THEN '' ELSE md5('3:' || perm || ':' || unit_id) END, unit_id) AS place FROM z CROSS JOIN range(0, 21) r(perm)),
-        dl AS (SELECT perm, od.sample_id, od.unit_id, z.z FROM od JOIN z USING (sample_id, place)), e AS (SELECT sample_id, unit_id, neighbour, 1.0::DOUBLE / count(*) OVER (PARTITION BY sample_id, unit_id) AS w FROM knn WHERE unit_id <> neighbour),
+    "morans_test": "WITH RECURSIVE " + SQL["spots"] + ", " + SQL["knn"] + """, z AS (SELECT sample_id, unit_id, value - avg(value) OVER (PARTITION BY sample_id) AS z, row_number() OVER (PARTITION BY sample_id ORDER BY unit_id) - 1 AS place, count(*) OVER (PARTITION BY sample_id) AS n FROM spots),
+        """ + permute.sql("z", "sample_id", 20, 3, "pm") + """, dl AS (SELECT perm, pm.sample_id, o.unit_id, z.z FROM pm JOIN z ON z.sample_id = pm.sample_id AND z.place = partner JOIN z o ON o.sample_id = pm.sample_id AND o.place = pm.place), e AS (SELECT sample_id, unit_id, neighbour, 1.0::DOUBLE / count(*) OVER (PARTITION BY sample_id, unit_id) AS w FROM knn WHERE unit_id <> neighbour),
         c AS (SELECT f.perm, e.sample_id, sum(w * f.z * g.z) AS c, sum(w) AS s0 FROM e JOIN dl f ON f.sample_id = e.sample_id AND f.unit_id = e.unit_id JOIN dl g ON g.sample_id = e.sample_id AND g.unit_id = e.neighbour AND g.perm = f.perm GROUP BY 1, 2),
         zz AS (SELECT sample_id, sum(z * z) AS zz, count(*) AS n FROM z GROUP BY 1), i AS (SELECT perm, sample_id, n, n / s0 * c / zz AS i FROM c JOIN zz USING (sample_id)),
         g AS (SELECT sample_id, n, max(i) FILTER (perm = 0) AS moran, avg(i) FILTER (perm > 0) AS m, stddev_pop(i) FILTER (perm > 0) AS sd FROM i GROUP BY 1, 2), h AS (SELECT *, (moran - m) / sd AS z, 1 / (1 + 0.2316419::DOUBLE * abs((moran - m) / sd)) AS t FROM g),
@@ -107,6 +131,11 @@ ORACLE = {
         n AS (SELECT *, sqrt(list_dot_product(v, v)) AS nv, sqrt(list_dot_product(w, w)) AS nw, [abs(v[i] - w[i]) FOR i IN range(1, 65)] AS m FROM b)
         SELECT count(*) AS rows, 0 AS only_computed, (SELECT count(*) FROM units WHERE NOT coalesce(label <> 3, false)) AS only_cached, round(max(list_max(m)), 6) AS max_abs, round(sum(list_sum(m)) / (64 * count(*)), 6) AS mean_abs, round(max(list_max(m) / greatest(nv, 1e-12)), 6) AS max_rel,
                round(min(list_dot_product(v, w) / greatest(nv * nw, 1e-12)), 6) AS min_cosine, round(avg(list_dot_product(v, w) / greatest(nv * nw, 1e-12)), 6) AS mean_cosine FROM n""",
+    "cka_bootstrap": with_("units") + """, p AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS place, list_concat(v[1:3], v[33:35]) AS x FROM units), m AS (SELECT i, avg(x[i]) AS m FROM p CROSS JOIN range(1, 7) t(i) GROUP BY 1),
+        c AS (SELECT place, i, x[i] - m AS z FROM p CROSS JOIN m), w AS (SELECT place, rep::INT AS rep, """ + permute.poisson_sql("place", "rep", 2) + """ AS w FROM p CROSS JOIN range(1, 31) t(rep)),
+        g AS (SELECT rep, a.i, b.i AS j, sum(w * a.z * b.z) AS c FROM w JOIN c a USING (place) JOIN c b USING (place) GROUP BY 1, 2, 3)
+        SELECT rep, round(sum(c * c) FILTER (i <= 3 AND j > 3) / (sqrt(sum(c * c) FILTER (i <= 3 AND j <= 3)) * sqrt(sum(c * c) FILTER (i > 3 AND j > 3)) + 1e-12), 6) AS value FROM g GROUP BY 1""",
+    "cca_cells": _cells(),
     "neighbour_agreement": _AGREE + " SELECT rows, round(sa, 6) AS set_agreement, round(se, 6) AS set_exact, tie AS by_tie, round(o, 6) AS ordered FROM sh",
     "slice_acceptance": _AGREE + """, d AS (SELECT unit_id, v, list_transform(v, lambda x: round(x, 1)) AS w FROM units), x AS (SELECT max(list_max([abs(v[i] - w[i]) FOR i IN range(1, 65)]) / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS rel, min(list_dot_product(v, w) / greatest(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)), 1e-12)) AS c FROM d),
         t AS (SELECT rel <= g.a AND x.c >= g.b AND sa >= g.c AS accepted, concat_ws(',', CASE WHEN NOT rel <= g.a THEN 'drift' END, CASE WHEN NOT x.c >= g.b THEN 'cosine' END, CASE WHEN NOT sa >= g.c THEN 'neighbours' END) AS failed, g.rule FROM x, sh, (VALUES ('strict', 1e-5, 1 - 1e-6, 0.999), ('loose', 1, 0.5, 0)) g(rule, a, b, c)) SELECT rule, accepted, failed FROM t""",
