@@ -5,12 +5,15 @@ doesn't (see `segments`), and no piece of B holds a space mark or line feed behi
 normaliser for which this isn't so is refused.  Segments recur, so each one in the corpus is tokenised and aligned once,
 and documents are put together from their segments' alignments:
 
-1. Blocks of some documents number their distinct segments; a document is then a list of numbers.
-2. Segments are counted over all blocks, each is aligned, and its links are counted with it.
-3. Counts of id pairs, and the highest count of each B id, come from segments with their counts, and go back to them.
-4. A block's distinct segments fetch their alignment, and the block's documents are composed.
-
-So a frequent segment is one row a block, and a frequent pair one row a segment.  A reads a space and the text, B the
+1. Blocks of documents number their distinct segments; a document is then a list of numbers.
+2. A block's distinct segments go, with how often it has them, to where the segment belongs, in order; there each is
+   aligned when it first comes by, and is written with the places that want it, HOMES of them in a row.
+3. Id pairs are counted over the segments with their counts.
+4. With the pairs' counts, alignments go back to the blocks that want them, where documents are composed.
+
+So a frequent segment is one entry a block and streams past, a frequent pair is one row a segment, and a task holds a
+block.
+A reads a space and the text, B the
 text, before which it puts a space itself.  A group is the span between offsets where tokens of both end; a link is a
 pair of occurrences whose bytes overlap.
 
@@ -22,10 +25,13 @@ aren't read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +41,19 @@ from tessera.llm.segments import byte_lengths, encoded, load
 
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-#: Code points of text in a block, and copies of the pair counts among which a frequent pair's segments are dealt.
-BLOCK_CHARS, DEAL = 4_000_000, 16
+#: Code points of text in a block.
+BLOCK_CHARS = 16_000_000
+#: Pairs whose counts every task may hold (17 bytes each); beyond that they are joined, where a pair that more than WIDE
+#: segments have is dealt among DEAL copies of its count.
+MANY_PAIRS, WIDE, DEAL = 2_000_000, 100_000, 16
+#: Places of a segment in a row of the table of segments.
+HOMES = 4096
 #: A pair of ids is a * PAIR + b.
 PAIR = 1 << 32
 
 BLOCKS = "block long, doc_id long, places binary, at int, segment string, n long"
-ALIGNED = "sid long, segment string, n long, groups string, n_a int, n_b int, n_groups int, n_links int, pairs array<long>, times array<long>"
+ALIGNED = "sid long, n long, data binary, pairs array<long>, times array<long>, block array<long>, at array<int>"
+WANTED = "block long, at int, data binary, n_best long, count_sum long"
 DOCUMENTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -114,15 +126,36 @@ class Aligner:
             yield a, b, sizes, links
 
 
-def spelled(a: list[int], b: list[int], sizes: list[int]) -> str:
-    """Groups as a1,a2|b1;a3|b2,b3."""
-    if len(sizes) == 2:
-        return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-    out, i, j = [], 0, 0
+def written(a: list[int], b: list[int], sizes: list[int], n_links: int) -> bytes:
+    """An alignment as the width of its numbers, then links, groups, the groups' sizes and the ids."""
+    every = [n_links, len(sizes) // 2, *sizes, *a, *b]
+    width = 2 if max(every) < 1 << 16 else 4
+    return bytes([width]) + np.array(every, f"<u{width}").tobytes()
+
+
+def spelled(data: bytes) -> tuple[str, int, int, int, int]:
+    """(groups as a1,a2|b1;a3|b2,b3, A's ids, B's ids, groups, links) of an alignment."""
+    n_links, n_groups, *x = np.frombuffer(data, f"<u{data[0]}", offset=1).tolist()
+    sizes, ids = x[: 2 * n_groups], x[2 * n_groups :]
+    n_a = sum(sizes[::2])
+    names = list(map(str, ids))
+    if n_groups == 1:
+        return f"{','.join(names[:n_a])}|{','.join(names[n_a:])}", n_a, len(ids) - n_a, 1, n_links
+    out, i, j = [], 0, n_a
     for n, m in zip(sizes[::2], sizes[1::2], strict=True):
-        out.append(f"{','.join(map(str, a[i : i + n]))}|{','.join(map(str, b[j : j + m]))}")
+        out.append(f"{','.join(names[i : i + n])}|{','.join(names[j : j + m])}")
         i, j = i + n, j + m
-    return ";".join(out)
+    return ";".join(out), n_a, len(ids) - n_a, n_groups, n_links
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 in few bytes: bytes of like weight side by side, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -146,12 +179,13 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             n, m = len(held), len(known)
-            every = np.concatenate([x for _, x in held]) if held else np.zeros(0, np.int32)
-            counts = np.bincount(every, minlength=m)
+            counts = np.bincount(np.concatenate([x for _, x in held]), minlength=m)
+            rank = np.empty(m, np.uint32)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(m)  # frequent segments have small numbers
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n + m, block)), pa.array([i for i, _ in held] + [None] * m, pa.int64()), pa.array([x.tobytes() for _, x in held] + [None] * m, pa.binary()),
-                    pa.array([None] * n + list(range(m)), pa.int32()), pa.array([None] * n + list(known), pa.string()), pa.array([None] * n + counts.tolist(), pa.int64()),
+                    pa.array(np.full(n + m, block)), pa.array([i for i, _ in held] + [None] * m, pa.int64()), pa.array([packed(rank[x]) for _, x in held] + [None] * m, pa.binary()),
+                    pa.array([None] * n + rank.tolist(), pa.int32()), pa.array([None] * n + list(known), pa.string()), pa.array([None] * n + counts.tolist(), pa.int64()),
                 ],
                 ["block", "doc_id", "places", "at", "segment", "n"],
             )
@@ -172,84 +206,111 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return columns_for(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, BLOCKS)
 
 
-def aligned(counted: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Distinct segments (segment, n) with their alignment, as ALIGNED; each link pair of a segment once with `times`."""
+def aligned(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Distinct segments of `blocks` with their alignment and places, as ALIGNED: `n` is how often these places have the
+    segment; each link pair of a segment is there once with `times`."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sid = aligner(path_a, path_b), TaskContext.get().partitionId() << 40
+        last = None  # (segment, its alignment) that the next batch may go on with
         for batch in (x for x in batches if x.num_rows):
-            groups, sums, bounds, pairs, times = [], [], [0], [], []
-            for a, b, sizes, links in own.aligned(batch.column("segment").to_pylist()):
-                groups.append(spelled(a, b, sizes))
-                sums.append((len(a), len(b), len(sizes) // 2, len(links)))
-                distinct: dict[int, int] = {}
-                for x, y in links:
-                    distinct[x * PAIR + y] = distinct.get(x * PAIR + y, 0) + 1
-                pairs += distinct
-                times += distinct.values()
-                bounds.append(len(pairs))
-            n, at = batch.num_rows, pa.array(bounds, pa.int32())
+            segment = batch.column("segment")
+            runs = pc.run_end_encode(segment, run_end_type=pa.int32())
+            names, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            known = names[0] == last[0] if last else False
+            made = [last[1]] if known else []
+            for a, b, sizes, links in own.aligned(names[len(made) :]):
+                made.append((written(a, b, sizes, len(links)), Counter(x * PAIR + y for x, y in links)))
+            last = names[-1], made[-1]
+            starts = np.append(0, ends[:-1])
+            # a run of more than HOMES places is several rows
+            cuts = [range(a, b, HOMES) for a, b in zip(starts.tolist(), ends.tolist())]
+            which = np.repeat(np.arange(len(names)), [len(x) for x in cuts])
+            first = np.array([i for x in cuts for i in x], np.int32)
+            bounds = pa.array(np.append(first, len(segment)), pa.int32())
+            n = np.add.reduceat(batch.column("n").to_numpy(), first)
+            pairs, times = [made[i][1].keys() for i in which.tolist()], [made[i][1].values() for i in which.tolist()]
+            lists = pa.array(np.append(0, np.cumsum([len(x) for x in pairs])), pa.int32())
+            flat = lambda parts: pa.array([v for x in parts for v in x], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(sid, sid + n)), batch.column("segment"), batch.column("n"), pa.array(groups), *[pa.array(x, pa.int32()) for x in zip(*sums, strict=True)],
-                    pa.ListArray.from_arrays(at, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(at, pa.array(times, pa.int64())),
+                    pa.array(np.arange(sid, sid + len(which))), pa.array(n, pa.int64()), pa.array([made[i][0] for i in which.tolist()], pa.binary()), pa.ListArray.from_arrays(lists, flat(pairs)), pa.ListArray.from_arrays(lists, flat(times)),
+                    pa.ListArray.from_arrays(bounds, batch.column("block")), pa.ListArray.from_arrays(bounds, batch.column("at")),
                 ],
                 [x.split()[0] for x in ALIGNED.split(", ")],
             )
-            sid += n
+            sid += len(which)
 
-    return counted.select("segment", "n").mapInArrow(rows, ALIGNED)
+    dealt = rows.where("segment is not null").select("segment", "block", "at", "n").repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(found, ALIGNED)
 
 
 def pair_counts(segments: DataFrame) -> DataFrame:
-    """(pair, count, best): how many links of the corpus an id pair has, and whether no pair of its B id has more."""
+    """(pair, count, held, best): how many links of the corpus an id pair has, how many distinct segments have it, and
+    whether no pair of its B id has more links (1 or 0)."""
     links = segments.select("n", F.explode(F.arrays_zip("pairs", "times")).alias("x"))
-    counts = links.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum(F.col("n") * F.col("x.times")).alias("count"))
+    counts = links.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum(F.col("n") * F.col("x.times")).alias("count"), F.count(F.lit(1)).alias("held"))
     counts = materialise(counts.withColumn("b", F.col("pair") % PAIR), "pair-counts")
-    return counts.join(counts.groupBy("b").agg(F.max("count").alias("top")), "b").select("pair", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
+    tops = counts.groupBy("b").agg(F.max("count").alias("top"))  # a row for each B id
+    return counts.join(tops, "b").select("pair", "count", "held", (F.col("count") == F.col("top")).cast("long").alias("best"))
+
+
+def wanted(segments: DataFrame, counts: DataFrame) -> DataFrame:
+    """A row for each place that wants a segment's alignment, with its links' sums, as WANTED."""
+    if counts.limit(MANY_PAIRS + 1).count() > MANY_PAIRS:
+        return _joined_counts(segments, counts)
+    found = counts.select("pair", "count", "best").toPandas().sort_values("pair")
+    held = segments.sparkSession.sparkContext.broadcast((found["pair"].to_numpy(), found["count"].to_numpy(), found["best"].to_numpy(np.int8)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, count, best = held.value
+        for batch in (x for x in batches if x.num_rows):
+            at = np.searchsorted(pair, batch.column("pairs").flatten().to_numpy())
+            times, n = batch.column("times").flatten().to_numpy(), np.diff(batch.column("pairs").offsets.to_numpy())
+            first = np.cumsum(n) - n  # every segment has a pair
+            sums = [np.add.reduceat(times * x[at], first) for x in (best, count)]
+            which = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(batch.column("at").offsets.to_numpy())))
+            yield pa.RecordBatch.from_arrays([batch.column("block").flatten(), batch.column("at").flatten(), batch.column("data").take(which), *[pa.array(x, pa.int64()).take(which) for x in sums]], ["block", "at", "data", "n_best", "count_sum"])
+
+    return segments.select("data", "pairs", "times", "block", "at").mapInArrow(rows, WANTED)
 
 
-def with_counts(segments: DataFrame, counts: DataFrame) -> DataFrame:
-    """(segment, groups, n_a, n_b, n_groups, n_links, n_best, count_sum) of distinct segments."""
+def _joined_counts(segments: DataFrame, counts: DataFrame) -> DataFrame:
+    """`wanted` for any number of pairs."""
     links = segments.select("sid", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("sid", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    small = maybe_broadcast(counts, limit=2_000_000)
-    if small is counts:  # a pair that many segments hold is dealt among DEAL copies of its count
-        links = links.withColumn("deal", F.pmod("sid", F.lit(DEAL)).cast("int"))
-        joined = links.join(counts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))), ["pair", "deal"])
-    else:
-        joined = links.join(small, "pair")
+    wide = maybe_broadcast(counts.where(F.col("held") > WIDE).select("pair", F.lit(True).alias("wide")))
+    links = links.join(wide, "pair", "left").select("sid", "pair", "times", F.when(F.col("wide"), F.pmod("sid", F.lit(DEAL)).cast("int")).otherwise(0).alias("deal"))
+    copies = counts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.when(F.col("held") > WIDE, DEAL - 1).otherwise(0))))
+    joined = links.join(copies, ["pair", "deal"])
     sums = joined.groupBy("sid").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    return segments.join(sums, "sid").select("segment", "groups", *SUMS)
+    places = segments.select("sid", "data", F.explode(F.arrays_zip("block", "at")).alias("x"))
+    return places.join(sums, "sid").select("x.block", "x.at", "data", "n_best", "count_sum")
 
 
-def documents(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """The documents of `blocks` put together from their segments, as DOCUMENTS."""
-    own = rows.where("segment is not null").select("block", "at", "segment")
-    # a frequent segment's rows, one a block, are dealt by block too
-    dealt = own.join(segments, "segment").select("block", "at", "groups", *SUMS)
+def documents(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of `blocks` put together from what their segments' places got (WANTED), as DOCUMENTS."""
     texts = rows.where("segment is null").select(F.col("block").alias("home"), "doc_id", "places")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("at").to_numpy())
-        groups = right.column("groups").take(pa.array(order)).to_pylist()
-        sums = np.array([right.column(c).to_numpy()[order] for c in SUMS], np.int64).reshape(len(SUMS), -1)
-        found, spelt = [], []
+        groups, *small = list(zip(*map(spelled, right.column("data").take(pa.array(order)).to_pylist()), strict=True)) or [()] * 5
+        sums = np.array([*small, *[right.column(c).to_numpy()[order] for c in SUMS[4:]]], np.int64).reshape(len(SUMS), -1)
+        totals, spelt = [], []
         for places in left.column("places").to_pylist():
-            at = np.frombuffer(places, np.int32)
-            found.append(sums[:, at].sum(axis=1))
+            at = unpacked(places)
+            totals.append(sums[:, at].sum(axis=1))
             spelt.append(";".join([groups[i] for i in at.tolist()]))
-        totals = np.array(found, np.int64).reshape(-1, len(SUMS))
-        return pa.table({"doc_id": left.column("doc_id"), **{c: pa.array(totals[:, i]) for i, c in enumerate(SUMS)}, "groups": pa.array(spelt, pa.string())})
+        total = np.array(totals, np.int64).reshape(-1, len(SUMS))
+        return pa.table({"doc_id": left.column("doc_id"), **{c: pa.array(total[:, i]) for i, c in enumerate(SUMS)}, "groups": pa.array(spelt, pa.string())})
 
-    return texts.groupBy("home").cogroup(dealt.groupBy("block")).applyInArrow(put_together, DOCUMENTS)
+    return texts.groupBy("home").cogroup(found.groupBy("block")).applyInArrow(put_together, DOCUMENTS)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Each document's tokens, groups and links under the two tokenizer files, as DOCUMENTS."""
     rows = materialise(blocks(docs, block_chars), "segment-blocks")
-    counted = rows.where("segment is not null").groupBy("segment").agg(F.sum("n").alias("n"))
-    segments = materialise(aligned(counted, path_a, path_b), "aligned-segments")
-    return documents(rows, with_counts(segments, pair_counts(segments)))
+    segments = materialise(aligned(rows, path_a, path_b), "aligned-segments")
+    return documents(rows, wanted(segments, pair_counts(segments)))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -118,16 +118,24 @@ def test_alignment_of_whole_tables(spark, docs, awkward, plain):
         check_aligned(align.digests(align.align(table, BYTES, PIECES)).collect(), [(r["doc_id"], r["text"]) for r in table.collect()], plain)
 
 
-def test_alignment_in_small_blocks(spark, plain):
+def test_alignment_in_small_blocks(spark, plain, monkeypatch):
+    monkeypatch.setattr(align, "HOMES", 3)
     texts = list(enumerate(mixed(1500, 5)))
     table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     check_aligned(align.digests(align.align(table, BYTES, PIECES, block_chars=700)).collect(), texts, plain)
 
 
-def test_frequent_pairs_dealt_among_copies(spark, plain, monkeypatch):
-    monkeypatch.setattr(align, "maybe_broadcast", lambda df, limit=0: df)
+def test_pairs_beyond_what_a_task_holds(spark, plain, monkeypatch):
     texts = list(enumerate(mixed(300, 6)))
-    check_aligned(align.digests(align.align(spark.createDataFrame(texts, "doc_id long, text string"), BYTES, PIECES)).collect(), texts, plain)
+    monkeypatch.setattr(align, "MANY_PAIRS", 10)
+    for wide in (5, 10**6):
+        monkeypatch.setattr(align, "WIDE", wide)
+        check_aligned(align.digests(align.align(spark.createDataFrame(texts, "doc_id long, text string"), BYTES, PIECES)).collect(), texts, plain)
+
+
+def test_numbers_survive_packing():
+    for x in ([], [0], [5, 2**32 - 1, 0, 7] * 100):
+        assert align.unpacked(align.packed(np.array(x, np.uint32))).tolist() == x
 
 
 def test_groups_are_texts_of_ids(spark):
