@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -146,38 +146,85 @@ def mean_pool_l2(units: DataFrame, keys: list[str], vec: str = "v") -> DataFrame
     return V.collected(V.by_dimension(unit, keys, "__u"), keys).select(*keys, V.l2_normalise(F.col("v")).alias("v"))
 
 
+#: Halvings of a sample's box, and how many widths of its bulk the box reaches beyond it; what lies farther counts to the
+#: outermost cells, which are open outwards.
+DEPTH, REACH = 30, 4096
+
+
+def _spread(c: Column) -> Column:
+    """The bits of a number below 2^30 at every other place."""
+    for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        c = c.bitwiseOR(F.shiftleft(c, by)).bitwiseAND(F.lit(mask))
+    return c
+
+
+def _shared_level(a: Column, b: Column) -> Column:
+    """The finest level on which two cell codes are in one cell."""
+    x = a.bitwiseXOR(b)
+    return F.floor((2 * DEPTH - F.when(x == 0, 0).otherwise(F.length(F.bin(x)))) / 2).cast("int")
+
+
+def _located(known: DataFrame, k: int) -> DataFrame:
+    """(sample_id, x, y, ids, ix, iy, side, level): distinct places with their k + 1 smallest ids, which are all that any
+    unit can have as neighbours there, cell numbers on the finest grid, and the finest level on which the place's cell holds
+    k + 1 places."""
+    by = Window.partitionBy("sample_id", "x", "y").orderBy("unit_id")  # each task keeps k + 1 of a place before the shuffle
+    few = known.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= k + 1)
+    places = few.groupBy("sample_id", "x", "y").agg(F.array_sort(F.collect_list("unit_id")).alias("ids"))
+    box = places.groupBy("sample_id").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("least", F.min), ("most", F.max))], *[F.percentile_approx(c, [0.01, 0.99], 1000).alias(f"bulk_{c}") for c in "xy"])
+    width = F.greatest(*[F.col(f"bulk_{c}")[1] - F.col(f"bulk_{c}")[0] for c in "xy"])
+    reach = F.when(width > 0, width * REACH).otherwise(F.lit(float("inf")))
+    low = {c: F.greatest(F.col(f"least_{c}"), F.col(f"bulk_{c}")[0] - reach) for c in "xy"}
+    high = {c: F.least(F.col(f"most_{c}"), F.col(f"bulk_{c}")[1] + reach) for c in "xy"}
+    side = F.greatest(*[high[c] - low[c] for c in "xy"]) * (1 + 1e-9) + 1e-300
+    boxes = box.select("sample_id", low["x"].alias("x0"), low["y"].alias("y0"), side.alias("side"))  # one row a sample
+    last = (1 << DEPTH) - 1
+    at = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(float(last)), F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * float(1 << DEPTH)).cast("double"))).cast("long")
+    celled = places.join(boxes, "sample_id").select("sample_id", "x", "y", "ids", at("x").alias("ix"), at("y").alias("iy"), "side")
+    coded = celled.withColumn("code", _spread(F.col("ix")).bitwiseOR(F.shiftleft(_spread(F.col("iy")), 1)))
+    order = Window.partitionBy("sample_id").orderBy("code")
+    run = coded.withColumn("__l", _shared_level(F.col("code"), F.lead("code", k).over(order)))
+    level = F.coalesce(F.max("__l").over(order.rowsBetween(-k, 0)), F.lit(0))
+    return run.withColumn("level", level).drop("__l", "code")
+
+
+def _around(due: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs of `due` places and places in the nine cells of their level around them."""
+    cell = lambda c: F.call_function("shiftright", F.col(c), F.lit(DEPTH) - F.col("level"))
+    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
+    look = due.select("sample_id", "place", "x", "y", "level", "side", cell("ix").alias("cx"), cell("iy").alias("cy"), shifts).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}).drop("s")
+    levels = due.groupBy("sample_id").agg(F.collect_set("level").alias("levels"))  # at most DEPTH a sample
+    held = places.join(levels, "sample_id").select("sample_id", F.explode("levels").alias("level"), "ix", "iy", F.col("x").alias("nx"), F.col("y").alias("ny"), "ids")
+    return look.join(held.select("sample_id", "level", cell("ix").alias("cx"), cell("iy").alias("cy"), "nx", "ny", "ids"), ["sample_id", "level", "cx", "cy"])
+
+
+def _searched(due: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """`due` places with `near`, the k + 1 nearest ids as (d2, id) in order, among the nine cells of their level around them,
+    and whether nothing outside can be nearer."""
+    near = _around(due, places)
+    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
+    rows = near.select("sample_id", "place", "level", "side", d2.alias("d2"), F.explode("ids").alias("id"))
+    best = Window.partitionBy("sample_id", "place").orderBy("d2", "id")
+    top = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    g = top.groupBy("sample_id", "place").agg(F.array_sort(F.collect_list(F.struct("d2", "id"))).alias("near"), F.first("level").alias("level"), F.first("side").alias("side"), F.max("d2").alias("far"))
+    size = F.col("side") / F.pow(F.lit(2.0), F.col("level"))
+    return g.select("sample_id", "place", "near", ((F.col("level") == 0) | ((F.size("near") == k + 1) & (F.col("far") <= size * size))).alias("settled"))
+
+
 def spatial_neighbours(spots: DataFrame, k: int) -> DataFrame:
     """(sample_id, unit_id, pos, neighbour): the unit itself at 0 and its k nearest others in the sample, by distance, then
-    id.  Units look into the nine grid cells around them.  A sample's cell is sized from its extent and count so that a
-    circle of that radius holds several times k points; where the k-th is still farther than a cell, the unit looks again
-    on a grid of twice the size.  So the result is exact and no sample is crossed with itself.  Units without finite
-    coordinates have only themselves and are nobody's neighbour."""
-    spots = spots.select("sample_id", "unit_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    placed = F.abs("x") < float("inf"), F.abs("y") < float("inf")
-    known = spots.where(placed[0] & placed[1])  # neither null nor nan nor infinite
-    extent = (F.max("x") - F.min("x") + 1e-9) * (F.max("y") - F.min("y") + 1e-9)
-    sizes = known.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), (F.sqrt(extent * (k + 1) / F.count(F.lit(1))) * 2).alias("cell"))
-    base = materialise(known.join(sizes, "sample_id"), "spots")
-    due, out, scale = base.where("n > 1"), None, 1.0
-    w = Window.partitionBy("sample_id", "unit_id").orderBy("d2", "neighbour")
-    cell = lambda: F.col("cell") * F.lit(scale)
-    for _ in range(200):
-        at = [F.floor(F.col(c) / cell()).alias(f"c{c}") for c in "xy"]
-        own = base.select("sample_id", F.col("unit_id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"), *at)
-        shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
-        look = due.select("sample_id", "unit_id", "x", "y", "n", "cell", *at, shifts).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")})
-        near = look.join(own, ["sample_id", "cx", "cy"]).where(F.col("unit_id") != F.col("neighbour"))
-        d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-        ranked = near.select("sample_id", "unit_id", "neighbour", "n", "cell", d2.alias("d2")).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-        both = Window.partitionBy("sample_id", "unit_id")
-        full = F.count(F.lit(1)).over(both) == F.least(F.lit(k), F.col("n") - 1)
-        ranked = ranked.withColumn("settled", full & (F.max("d2").over(both) <= cell() * cell())).where("settled")
-        part = materialise(ranked.select("sample_id", "unit_id", "pos", "neighbour"), "neighbours")
-        out = part if out is None else out.unionByName(part)
-        due = materialise(due.join(part.where("pos = 1").select("sample_id", "unit_id"), ["sample_id", "unit_id"], "left_anti"), "unsettled")
-        if due.isEmpty():
-            break
-        scale *= 2
-    else:
-        raise RuntimeError("neighbours did not settle")
-    return out.unionByName(spots.select("sample_id", "unit_id", F.lit(0).alias("pos"), F.col("unit_id").alias("neighbour")))
+    id.  Units at one place share a search, for the k + 1 smallest ids there.  A place looks into the nine cells around it
+    on the finest of the halved grids on which its own cell holds k + 1 places; if the farthest found is farther than a
+    cell, once more on the next coarser grid, where that can't be.  So the result is exact, cells follow the local density,
+    a point far out or a heap of points changes no other unit's cost, and no sample is crossed with itself.  Units without
+    finite coordinates have only themselves and are nobody's neighbour."""
+    spots = spots.select("sample_id", "unit_id", (F.col("x").cast("double") + 0.0).alias("x"), (F.col("y").cast("double") + 0.0).alias("y"))
+    known = spots.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))  # neither null nor nan nor infinite
+    places = materialise(_located(known, k).withColumn("place", F.monotonically_increasing_id()), "places")
+    first = materialise(_searched(places, places, k), "neighbours")
+    again = places.join(first.where("NOT settled").select("sample_id", "place"), ["sample_id", "place"], "left_semi").withColumn("level", F.greatest(F.col("level") - 1, F.lit(0)))
+    lists = first.where("settled").select("sample_id", "place", "near").unionByName(_searched(again, places, k).select("sample_id", "place", "near"))
+    found = lists.join(places.select("sample_id", "place", "x", "y"), ["sample_id", "place"]).select("sample_id", "x", "y", "near")
+    own = F.slice(F.filter("near", lambda s: s["id"] != F.col("unit_id")), 1, k)
+    rows = known.join(found, ["sample_id", "x", "y"]).select("sample_id", "unit_id", F.posexplode(own).alias("pos", "s"))
+    return rows.select("sample_id", "unit_id", (F.col("pos") + 1).alias("pos"), F.col("s.id").alias("neighbour")).unionByName(spots.select("sample_id", "unit_id", F.lit(0).alias("pos"), F.col("unit_id").alias("neighbour")))

@@ -29,6 +29,31 @@ def test_spatial_neighbours_are_exact_for_uneven_points(spark):
         assert found[u] == {0: u} | {i + 1: q[1] for i, q in enumerate(near)}
 
 
+def _near(points, i, k):
+    d = ((points - points[i]) ** 2).sum(axis=1)
+    return [int(j) for j in np.lexsort((np.arange(len(points)), d)) if j != i][:k]
+
+
+def test_no_point_far_out_nor_heap_changes_what_is_compared(spark):
+    rng = np.random.default_rng(1)
+    flat = rng.uniform(0, 100, (1500, 2))
+    cases = {
+        "flat": flat, "far": np.vstack([flat, [[1e7, 1e7]]]), "very far": np.vstack([flat, [[1e15, -1e15]]]), "heap": np.vstack([flat, np.full((1500, 2), 50.0)]), "dense": np.vstack([flat, rng.normal(50, 1e-4, (1500, 2))]),
+        "twice": np.vstack([flat, flat]), "line": np.stack([np.arange(700.0), np.zeros(700)], 1), "lattice": np.stack([np.arange(900) % 30, np.arange(900) // 30], 1).astype(float),
+    }
+    rows = [(s, i, float(x), float(y)) for s, name in enumerate(cases) for i, (x, y) in enumerate(cases[name])]
+    df = spark.createDataFrame(rows, "sample_id long, unit_id long, x double, y double").repartition(4)
+    places = similarity._located(df, 6).withColumn("place", F.monotonically_increasing_id()).persist()
+    pairs = {r["sample_id"]: r["n"] for r in similarity._around(places, places).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(pairs[s] < 300 * len(cases[name]) for s, name in enumerate(cases)), pairs
+    found = {}
+    for r in similarity.spatial_neighbours(df, 6).where("pos > 0").collect():
+        found.setdefault((r["sample_id"], r["unit_id"]), {})[r["pos"]] = r["neighbour"]
+    for s, name in enumerate(cases):
+        for i in [*range(0, len(cases[name]), 37), len(cases[name]) - 1]:
+            assert [found[s, i][p] for p in range(1, 7)] == _near(cases[name], i, 6), (name, i)
+
+
 def test_gram_statistics(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 6))
