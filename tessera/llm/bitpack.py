@@ -40,6 +40,8 @@ NO_ID = -(2**63)
 CACHE = 800_000
 #: Bytes of a word from which its hash is of the stronger kind, of text in a range of doc_ids, and of ids in a file.
 LONG, PART_BYTES, FILE_BYTES = 256, 8 << 20, 32 << 20
+#: Most ranges of doc_id; beyond that they grow, and a task sorts with spills and writes several files.
+MOST_PARTS = 10_000
 
 
 def width_for(largest: int) -> int:
@@ -259,7 +261,7 @@ def get(uri: str) -> bytes:
 
 
 def _bounds(marks: DataFrame, files: int) -> list[tuple]:
-    """The least (has an id, id, hash) of each of about `files` ranges of equal size but the first, in order."""
+    """The least (has an id, id, hash) of each of about `files` (at most MOST_PARTS) ranges of equal size but the first."""
     if files <= 1:
         return []
     ranges = marks.select("doc_id", "hash").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "hash")
@@ -274,7 +276,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, place: str | None =
     place = place or fresh_path(spark, "tokens")
     docs = columns_for(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     marks = materialise(docs.select("doc_id", "hash", F.octet_length("text").alias("size")), "token-marks")
-    parts = max(1, -(-(marks.agg(F.sum("size")).first()[0] or 0) // part_bytes))
+    parts = max(1, min(MOST_PARTS, -(-(marks.agg(F.sum("size")).first()[0] or 0) // part_bytes)))
     bounds = _bounds(marks, parts)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +318,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, place: str | None =
             yield done()
 
     rows = docs.mapInArrow(encoded, "part long, doc_id long, hash long, ids binary")
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash", "ids")
+    rows = rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash", "ids")
     return materialise(rows.mapInArrow(written, "file long, path string, n_docs long, n_ids long"), "token-files")
 
 

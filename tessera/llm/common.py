@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,41 @@ SPACES = r"[\x20\x09-\x0D]"
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 _own: dict[str, str] = {}
+_scopes: list[Scope] = []
+
+
+class Scope:
+    """Tables and folders made while it is open; all but the kept ones are deleted when it closes.  For steps whose result
+    is a written table: what led there isn't read again, whatever executors are lost later."""
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> Scope:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        _scopes.remove(self)
+        if kind is None:
+            for path in self.made:
+                if path not in self.kept:
+                    delete(path)
+        for outer in _scopes[-1:]:
+            outer.made += self.kept
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """`table`, which `materialise` made, stays."""
+        self.kept.add(table.written_at)
+        return table
+
+
+def delete(path: str) -> None:
+    """Deletes a folder, if it is there."""
+    system, at = pafs.FileSystem.from_uri(path)
+    if system.get_file_info(at).type == pafs.FileType.Directory:
+        system.delete_dir(at)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +70,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    for scope in _scopes[-1:]:
+        scope.made.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str, rows_in_file: int = 0) -> DataFrame:
@@ -43,7 +82,9 @@ def materialise(df: DataFrame, name: str, rows_in_file: int = 0) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_in_file).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:

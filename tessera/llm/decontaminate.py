@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import columns_for, materialise, maybe_broadcast
+from tessera.llm.common import Scope, columns_for, materialise, maybe_broadcast
 
 SIZE, THRESHOLD = 5, 0.8
 CLASSES = 16
@@ -87,5 +87,6 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item, with their columns."""
-    gone = materialise(contained(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    with Scope() as made:
+        gone = made.keep(materialise(contained(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated"))
     return docs.join(maybe_broadcast(gone), docs["doc_id"] == F.col("__gone"), "left_anti").select(docs.columns)

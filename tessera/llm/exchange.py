@@ -2,26 +2,79 @@
 
 A table of blocks holds the corpus in rows of about a million words.  Each block sends every distinct key once, with its
 counts, to the part of the key space that owns it; the part adds up and sends the totals back in the order they came in,
-and a file for each block in the shared folder takes them.  So a frequent key costs one entry a block, whatever its share
+and files in the shared folder, each of some blocks, take them.  So a frequent key costs one entry a block, whatever its share
 of the text.  A row goes from a block to a part only if it holds a key, so there are never more rows than keys sent.
-Parts hold about PART_KEYS keys of any corpus, so a task's memory doesn't grow with it.
+Parts hold about PART_KEYS keys of any corpus, so a task's memory doesn't grow with it; beyond REDUCERS tasks a task has
+several parts, one after the other, so that there are never more shuffle files than that many for each mapper.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bitpack import get, put
-from tessera.llm.common import fresh_path, materialise
+from tessera.llm.bitpack import put
+from tessera.llm.common import delete, fresh_path, materialise
 
 PART_KEYS = 1_200_000
+#: Most tasks that rows are dealt to, and blocks in a file.
+REDUCERS, BLOCKS_IN_FILE = 10_000, 16
+
+
+def several(pieces: dict[int, bytes]) -> bytes:
+    """A file of the pieces of some blocks: how many, where each is, and the pieces."""
+    at, index = 4 + 24 * len(pieces), []
+    for block, piece in pieces.items():
+        index.append(struct.pack("<qQQ", block, at, len(piece)))
+        at += len(piece)
+    return struct.pack("<I", len(pieces)) + b"".join(index) + b"".join(pieces.values())
+
+
+def piece_of(folder: str, block: int) -> bytes | None:
+    """A block's piece in a folder's files (their number is in its name); only its bytes are read.  None without one."""
+    system, path = pafs.FileSystem.from_uri(f"{folder}/{place_of(block, int(folder.rsplit('-', 1)[-1]))}")
+    if system.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    with system.open_input_file(path) as f:
+        (n,) = struct.unpack("<I", f.read(4))
+        for own, at, size in struct.iter_unpack("<qQQ", f.read(24 * n)):
+            if own == block:
+                f.seek(at)
+                return f.read(size)
+    return None
+
+
+def file_of(block: Column, files: int) -> Column:
+    return block % 2147483647 * 48271 % 2147483647 % files
+
+
+def place_of(block: int, files: int) -> str:
+    """A block's file, in one of a thousand folders."""
+    number = block % 2147483647 * 48271 % 2147483647 % files
+    return f"{number % 1000:03d}/{number}"
+
+
+def put_pieces(rows: DataFrame, files: int, name: str, piece: Callable[[pa.Table], bytes]) -> str:
+    """Groups `rows` by block, makes a piece of each block's and writes them to about `files` files; the folder."""
+    folder = f"{fresh_path(rows.sparkSession, name)}/of-{files}"
+
+    def store(found: pa.Table) -> pa.Table:
+        blocks = np.unique(found.column("block").to_numpy())
+        made = {int(b): piece(found.filter(pc.equal(found.column("block"), int(b)))) for b in blocks}
+        put(f"{folder}/{place_of(int(blocks[0]), files)}", several(made))
+        return table([{"block": int(b)} for b in blocks], "block long")
+
+    dealt = rows.withColumn("file", file_of(F.col("block"), files)).repartition(max(1, min(files // 2, REDUCERS)), "file")
+    dealt.groupBy("file").applyInArrow(store, "block long").count()
+    return folder
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -74,7 +127,7 @@ def exchanged(blocks: DataFrame, sends: Callable[[dict], list[tuple[np.ndarray,
     """blocks: rows with a column block.  sends gives for each kind of key a block's distinct keys in sorted order and
     their counts (field, key).  keys: about how many there are in all; fewer: how many bits fewer a kind needs.
 
-    (a folder with a file of totals for each block, {kind: sums, positive (how many keys have a count), any})."""
+    (a folder with the totals of each block, {kind: sums, positive (how many keys have a count), any})."""
     bits = max(0, (keys // (part_keys or PART_KEYS)).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,33 +145,33 @@ def exchanged(blocks: DataFrame, sends: Callable[[dict], list[tuple[np.ndarray,
                     out.append({"block": row["block"], "kind": kind, "part": int(part[a]), "keys": planes(steps), "counts": planes(np.ascontiguousarray(counts[:, a:b]).reshape(-1))})
                 yield from table(out, SENT).to_batches()
 
-    # tasks of a few parts or blocks each, at any size of the corpus
     parts = sum(1 << max(0, bits - f) for f in fewer)
-    sent = blocks.mapInArrow(send, SENT).repartition(max(1, parts // 2), "kind", "part")
+    sent = blocks.mapInArrow(send, SENT).repartition(max(1, min(parts // 2, REDUCERS)), "kind", "part")
     back = materialise(sent.groupBy("kind", "part").applyInArrow(_add_up, BACK), name)
     sums: dict[int, dict] = {}
     for r in back.where("any is not null").groupBy("kind").agg(*[F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(2)]).alias(c) for c in ("sums", "positive")], F.sum("any").alias("any")).collect():
         sums[r["kind"]] = r.asDict()
-    place = fresh_path(blocks.sparkSession, name)
+    n_fields = max((len([x for x in s["sums"] if x is not None]) for s in sums.values()), default=1)
 
-    def store(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        kinds = []
+    def piece(rows: pa.Table) -> bytes:
+        rows = sorted(rows.to_pylist(), key=lambda r: r["part"])
+        out = b""
         for kind in range(len(fewer)):
-            own = [from_planes(zlib.decompress(r["counts"])) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])]
-            fields = max((r["fields"] for r in rows), default=1)
-            kinds.append(np.concatenate([x.reshape(fields, -1) for x in own], axis=1).reshape(-1) if own else np.zeros(0, np.uint64))
-        put(f"{place}/{rows[0]['block']}", b"".join(len(p).to_bytes(8, "little") + p for p in (zlib.compress(planes(x), 1) for x in kinds)))
-        return table([{"block": rows[0]["block"]}], "block long")
+            own = [from_planes(zlib.decompress(r["counts"])).reshape(n_fields, -1) for r in rows if r["kind"] == kind]
+            data = zlib.compress(planes(np.concatenate(own, axis=1).reshape(-1) if own else np.zeros(0, np.uint64)), 1)
+            out += len(data).to_bytes(8, "little") + data
+        return out
 
-    n_fields = max((len([x for x in s["sums"] if x is not None]) for s in sums.values()), default=1)
-    back.select("block", "kind", "part", "counts", F.lit(n_fields).alias("fields")).repartition(max(1, blocks.count() // 4), "block").groupBy("block").applyInArrow(store, "block long").count()
-    return place, sums
+    folder = put_pieces(back.select("block", "kind", "part", "counts"), max(1, blocks.count() // BLOCKS_IN_FILE), name, piece)
+    delete(back.written_at)
+    return folder, sums
 
 
 def stored(place: str, block: int, fields: int, kinds: int) -> list[np.ndarray]:
     """(field, key) totals of each kind of a block's keys."""
-    data, at, out = get(f"{place}/{block}"), 0, []
+    data, at, out = piece_of(place, block), 0, []
+    if data is None:
+        raise FileNotFoundError(f"no totals of block {block} in {place}")
     for _ in range(kinds):
         n = int.from_bytes(data[at : at + 8], "little")
         out.append(from_planes(zlib.decompress(data[at + 8 : at + 8 + n])).astype(np.int64).reshape(fields, -1))
@@ -127,21 +180,11 @@ def stored(place: str, block: int, fields: int, kinds: int) -> list[np.ndarray]:
 
 
 def deliver(rows: DataFrame, name: str) -> str:
-    """rows (block, place): a file for each block with the places of it that are wanted."""
-    folder = fresh_path(rows.sparkSession, name)
-
-    def store(found: pa.Table) -> pa.Table:
-        block = found.column("block")[0].as_py()
-        put(f"{folder}/{block}", np.unique(found.column("place").to_numpy()).astype("<i8").tobytes())
-        return table([{"block": block}], "block long")
-
-    rows.select("block", "place").groupBy("block").applyInArrow(store, "block long").count()
-    return folder
+    """rows (block, place): a folder with the places of each block that are wanted."""
+    blocks = rows.select("block").distinct().count()
+    return put_pieces(rows.select("block", "place"), max(1, blocks // BLOCKS_IN_FILE), name, lambda found: np.unique(found.column("place").to_numpy()).astype("<i8").tobytes())
 
 
 def delivered(folder: str, block: int) -> np.ndarray:
-    """The places of a block, none if it has no file."""
-    system, path = pafs.FileSystem.from_uri(f"{folder}/{block}")
-    if system.get_file_info(path).type == pafs.FileType.NotFound:
-        return np.zeros(0, np.int64)
-    return np.frombuffer(get(f"{folder}/{block}"), "<i8")
+    """The places of a block, none if it has none."""
+    return np.frombuffer(piece_of(folder, block) or b"", "<i8")
