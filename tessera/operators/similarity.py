@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,58 +12,66 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators.tables import materialise
 
-QUERY_BLOCK = 8192
+#: Bytes of vectors on either side of a cell of a search, and rows of one product inside it.
+SIDE_BYTES, STRIPE = 16 << 20, 1024
 
 
-def _query_blocks(queries: DataFrame, vec: str, *more: str) -> Iterator[tuple]:
-    """Ids, unit vectors and further columns of a query set, QUERY_BLOCK at a time; the driver holds one block."""
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    for i in range(parts):
-        rows = queries.select("unit_id", vec, *more).where(F.pmod(F.xxhash64("unit_id"), F.lit(parts)) == i).toPandas()
-        if len(rows):
-            x = np.stack([np.asarray(v, float) for v in rows[vec]])
-            yield rows["unit_id"].to_numpy(np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), *(rows[c].to_numpy() for c in more)
+def _groups(df: DataFrame, vec: str) -> int:
+    """Into how many groups a side of a search is dealt: as its bytes ask for, and a few for the cores of any cluster."""
+    n, width = df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vec)), F.lit(0))).first()
+    return max(1, -(-n * width * 8 // SIDE_BYTES), min(4, -(-n // 2048)))
 
 
-def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    column = batch.column(name)
+def _in_cells(queries: DataFrame, units: DataFrame, vec: str, unit_vec: str, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """`work` on every cell of query groups and unit groups: each query meets every unit once, in a task that holds one group
+    of either.  A side is copied once for each group of the other, so rows moved grow with both."""
+    nq, nu = _groups(queries, vec), _groups(units, unit_vec)
+    group = lambda n: F.pmod(F.xxhash64("unit_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("qg", group(nq)).withColumn("ug", every(nu))
+    right = units.select(*[F.col(c).alias(f"__{c}") for c in units.columns], group(nu).alias("__ug"), every(nq).alias("__qg"))  # names of its own, as both sides may be one table
+    cell = lambda q, u: work(q, u.rename_columns([c.removeprefix("__") for c in u.column_names]))
+    return left.groupBy("qg", "ug").cogroup(right.groupBy("__qg", "__ug")).applyInArrow(cell, schema)
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def nearest_vectors(units: DataFrame, k: int, queries: DataFrame | None = None, vec: str = "v") -> DataFrame:
-    """(unit_id, pos, neighbour, similarity): the k most similar other units by cosine, ties by id.  Queries go out in
-    blocks; each partition multiplies a block with its own vectors and sends k candidates for each query."""
-    spark = units.sparkSession
-    out = None
-    for ids, q in _query_blocks(units if queries is None else queries, vec):
-        held = spark.sparkContext.broadcast((ids, q))
-
-        def candidates(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            best_s = np.full((len(ids), 0), 0.0)
-            best_i = np.full((len(ids), 0), 0, np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column("unit_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                s = q @ _matrix(batch, vec).T
-                s[ids[:, None] == own[None, :]] = -np.inf
-                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
-                order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            good = np.isfinite(best_s)
-            if good.any():
-                rows = np.repeat(ids, good.sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(best_i[good]), pa.array(best_s[good])], ["unit_id", "neighbour", "similarity"])
-
-        part = units.select("unit_id", vec).mapInArrow(candidates, "unit_id long, neighbour long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "unit_id long, pos int, neighbour long, similarity double")
+    """(unit_id, pos, neighbour, similarity): the k most similar other units by cosine, ties by id.  Exact: executors pair
+    groups of queries with groups of units and send k candidates for each query and group."""
+    found = "unit_id long, neighbour long, similarity double"
+
+    def best(q: pa.Table, u: pa.Table) -> pa.Table:
+        ids, own, out = q.column("unit_id").to_numpy(), u.column("unit_id").to_numpy(), []
+        if len(ids) and len(own):
+            a, b = _matrix(q, vec), _matrix(u, vec).T
+            by_id = np.argsort(own, kind="stable")
+            own, b = own[by_id], b[:, by_id]
+            for at in range(0, len(ids), STRIPE):
+                s = a[at : at + STRIPE] @ b
+                s[ids[at : at + STRIPE, None] == own[None, :]] = -np.inf
+                r = np.round(s, 12)
+                if s.shape[1] > 4 * k:  # all that reach the k-th are ordered, so that ties stay
+                    least = np.partition(r, -k, axis=1)[:, -k]
+                    row, col = np.nonzero(r >= least[:, None])
+                else:
+                    row, col = np.nonzero(np.isfinite(s))
+                order = np.lexsort((col, -r[row, col], row))
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, np.arange(len(s)))
+                keep = (np.arange(len(row)) - first[row] < k) & np.isfinite(s[row, col])
+                out.append((ids[at + row[keep]], own[col[keep]], s[row[keep], col[keep]]))
+        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"unit_id": pa.array(parts[0], pa.int64()), "neighbour": pa.array(parts[1], pa.int64()), "similarity": pa.array(parts[2], pa.float64())})
+
+    asked = (units if queries is None else queries).select(F.col("unit_id").cast("long").alias("unit_id"), vec)
+    rows = _in_cells(asked, units.select(F.col("unit_id").cast("long").alias("unit_id"), vec), vec, vec, best, found)
     w = Window.partitionBy("unit_id").orderBy(F.round("similarity", 12).desc(), "neighbour")
-    return out.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("unit_id", "pos", "neighbour", "similarity")
+    return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("unit_id", "pos", "neighbour", "similarity")
 
 
 def purity(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
@@ -72,35 +80,42 @@ def purity(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return neighbours.join(a, "unit_id").join(b, "neighbour").groupBy("unit_id", "label").agg(F.avg((F.col("label") == F.col("other")).cast("double")).alias("purity"))
 
 
-def retrieval(units: DataFrame, left: str, right: str) -> DataFrame:
-    """(unit_id, matched, rank, n_tied, mean_other): for each unit's left vector, how its own right vector ranks among
-    all right vectors by cosine (1 is best; ties take the best rank)."""
-    spark = units.sparkSession
-    both = units.select("unit_id", left, right)
-    both = both.withColumn("matched", V.cosine(F.col(left), F.col(right)))
-    out = None
-    for ids, q, own in _query_blocks(both, left, "matched"):
-        held = spark.sparkContext.broadcast((ids, q, own))
-
-        def counts(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q, m = held.value
-            above, tied, total, n = (np.zeros(len(ids), t) for t in (np.int64, np.int64, float, np.int64))
-            for batch in batches:
-                if batch.num_rows:
-                    names = batch.column("unit_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                    s = np.clip(q @ _matrix(batch, right).T, -1, 1)
-                    other = ids[:, None] != names[None, :]
-                    above += ((s > m[:, None] + 1e-12) & other).sum(axis=1)
-                    tied += ((np.abs(s - m[:, None]) <= 1e-12) & other).sum(axis=1)
-                    total += np.where(other, s, 0).sum(axis=1)
-                    n += other.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(m), pa.array(above), pa.array(tied), pa.array(total), pa.array(n)], ["unit_id", "matched", "above", "tied", "total", "n"])
-
-        part = units.select("unit_id", right).mapInArrow(counts, "unit_id long, matched double, above long, tied long, total double, n long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "unit_id long, matched double, rank long, n_tied long, mean_other double")
-    return out.groupBy("unit_id", "matched").agg((1 + F.sum("above")).alias("rank"), F.sum("tied").alias("n_tied"), (F.sum("total") / F.sum("n")).alias("mean_other"))
+def retrieval(units: DataFrame, left: str, right: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, unit_id, matched, rank, n_tied, mean_other): for each unit's left vector, how its own right vector ranks among
+    the right vectors of all units, or of those with its `keys`, by cosine (1 is best; ties take the best rank)."""
+    keys = keys or []
+    both = units.select(*keys, F.col("unit_id").cast("long").alias("unit_id"), left, F.round(V.cosine(F.col(left), F.col(right)), 12).alias("matched"))
+    counted = "unit_id long, above long, tied long, total double, n long"
+    code = F.xxhash64(F.to_json(F.struct(*keys))) if keys else F.lit(0).cast("long")
+
+    def counts(q: pa.Table, u: pa.Table) -> pa.Table:
+        ids, m, own = q.column("unit_id").to_numpy(), q.column("matched").to_numpy(), u.column("unit_id").to_numpy()
+        kq, ku = q.column("k").to_numpy(), u.column("k").to_numpy()
+        out = [np.zeros(len(ids), t) for t in (np.int64, np.int64, float, np.int64)]
+        if len(ids) and len(own):
+            a, b = _matrix(q, left), _matrix(u, right).T
+            for at in range(0, len(ids), STRIPE):
+                part = slice(at, at + STRIPE)
+                s = np.clip(a[part] @ b, -1, 1)
+                other = (ids[part, None] != own[None, :]) & (kq[part, None] == ku[None, :])
+                apart = np.round(s, 12) - m[part, None]
+                for x, y in zip(out, ((apart > 1e-12) & other, (np.abs(apart) <= 1e-12) & other, np.where(other, s, 0), other), strict=True):
+                    x[part] = y.sum(axis=1)
+        return pa.table({"unit_id": pa.array(ids, pa.int64()), **{c: pa.array(x) for c, x in zip(("above", "tied", "total", "n"), out, strict=True)}})
+
+    asked = both.select("unit_id", left, "matched", code.alias("k"))
+    rows = _in_cells(asked, units.select(F.col("unit_id").cast("long").alias("unit_id"), right, code.alias("k")), left, right, counts, counted)
+    g = rows.groupBy("unit_id").agg((1 + F.sum("above")).alias("rank"), F.sum("tied").alias("n_tied"), (F.sum("total") / F.sum("n")).alias("mean_other"))
+    return both.select(*keys, "unit_id", "matched").join(g, "unit_id").select(*keys, "unit_id", "matched", "rank", "n_tied", "mean_other")
+
+
+def retrieval_baselines(ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mrr, r1, r5, random_mrr, random_r1, random_r5) of ranks within keys, beside what a random order gives."""
+    at = lambda k: F.avg((F.col("rank") <= k).cast("double")).alias(f"r{k}")
+    g = ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(1 / F.col("rank")).alias("mrr"), at(1), at(5))
+    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda s, i: s + 1 / i)
+    chance = lambda k: F.least(F.lit(1.0), F.lit(float(k)) / F.col("n")).alias(f"random_r{k}")
+    return g.select(*keys, "n", "mrr", "r1", "r5", (harmonic / F.col("n")).alias("random_mrr"), chance(1), chance(5))
 
 
 def retrieval_metrics(ranks: DataFrame) -> DataFrame:

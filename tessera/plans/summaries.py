@@ -110,12 +110,12 @@ def declarations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks of each unit's other view among its own sample's."""
-    v = views(spark, d)
-    a = v.select("sample_id", "unit_id", V.l2_normalise(F.col("left")).alias("a"), F.round(V.cosine(F.col("left"), F.col("right")), 12).alias("m"))
-    b = v.select("sample_id", F.col("unit_id").alias("other"), V.l2_normalise(F.col("right")).alias("b"))
-    ranks = a.join(b, "sample_id").groupBy("sample_id", "unit_id").agg((1 + F.count_if((F.col("unit_id") != F.col("other")) & (F.round(V.dot(F.col("a"), F.col("b")), 12) > F.col("m")))).alias("rank"))
-    return ranks.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), F.round(F.avg((F.col("rank") <= 5).cast("double")), 6).alias("r5"))
+    """Ranks of each unit's other view among its own sample's, in both directions, beside a random order."""
+    v, out = views(spark, d), None
+    for way, (a, b) in {"forth": ("left", "right"), "back": ("right", "left")}.items():
+        r = similarity.retrieval_baselines(similarity.retrieval(v, a, b, ["sample_id"]), ["sample_id"]).withColumn("way", F.lit(way))
+        out = r if out is None else out.unionByName(r)
+    return _r(out, ["mrr", "r1", "r5", "random_mrr", "random_r1", "random_r5"])
 
 
 QUERIES = [
@@ -173,6 +173,8 @@ ORACLE = {
     "declarations": """WITH l AS (SELECT n_nationkey AS key, n_name AS value, 0 AS layer FROM nation UNION ALL SELECT s_nationkey, min(s_name), 1 FROM supplier GROUP BY 1 UNION ALL SELECT c_nationkey, min(c_name), 2 FROM customer WHERE c_acctbal > 9900 GROUP BY 1)
         SELECT key, arg_max(value, layer) AS value, max(layer) AS layer FROM l GROUP BY 1""",
     "sample_retrieval": with_("units") + """, n2 AS (SELECT sample_id, unit_id, list_transform(v[1:32], lambda x: x / greatest(sqrt(list_dot_product(v[1:32], v[1:32])), 1e-12)) AS a, list_transform(v[33:64], lambda x: x / greatest(sqrt(list_dot_product(v[33:64], v[33:64])), 1e-12)) AS b FROM units),
-        s AS (SELECT p.sample_id, p.unit_id AS q, q.unit_id AS c, round(list_dot_product(p.a, q.b), 12) AS s FROM n2 p JOIN n2 q ON p.sample_id = q.sample_id), m AS (SELECT q, s AS m FROM s WHERE q = c), r AS (SELECT sample_id, q, 1 + count(*) FILTER (c <> q AND s > m) AS rank FROM s JOIN m USING (q) GROUP BY 1, 2)
-        SELECT sample_id, count(*) AS n, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg((rank <= 5)::INT), 6) AS r5 FROM r GROUP BY 1""",
+        s AS (SELECT p.sample_id, p.unit_id AS q, q.unit_id AS c, round(list_dot_product(p.a, q.b), 12) AS s FROM n2 p JOIN n2 q ON p.sample_id = q.sample_id), w AS (SELECT 'forth' AS way, sample_id, q, c, s FROM s UNION ALL SELECT 'back', sample_id, c, q, s FROM s),
+        m AS (SELECT way, q, s AS m FROM w WHERE q = c), r AS (SELECT way, sample_id, q, 1 + count(*) FILTER (c <> q AND s - m > 1e-12) AS rank FROM w JOIN m USING (way, q) GROUP BY 1, 2, 3),
+        g AS (SELECT way, sample_id, count(*) AS n, avg(1.0::DOUBLE / rank) AS mrr, avg((rank <= 1)::INT) AS r1, avg((rank <= 5)::INT) AS r5 FROM r GROUP BY 1, 2)
+        SELECT way, sample_id, n, round(mrr, 6) AS mrr, round(r1, 6) AS r1, round(r5, 6) AS r5, round(list_sum([1.0::DOUBLE / i FOR i IN range(1, n + 1)]) / n, 6) AS random_mrr, round(least(1, 1.0::DOUBLE / n), 6) AS random_r1, round(least(1, 5.0::DOUBLE / n), 6) AS random_r5 FROM g""",
 }
