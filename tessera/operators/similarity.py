@@ -22,7 +22,7 @@ def _groups(df: DataFrame, vec: str) -> int:
     return max(1, -(-n * width * 8 // SIDE_BYTES), min(4, -(-n // 2048)))
 
 
-def _in_cells(queries: DataFrame, units: DataFrame, vec: str, unit_vec: str, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def in_cells(queries: DataFrame, units: DataFrame, vec: str, unit_vec: str, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """`work` on every cell of query groups and unit groups: each query meets every unit once, in a task that holds one group
     of either.  A side is copied once for each group of the other, so rows moved grow with both."""
     nq, nu = _groups(queries, vec), _groups(units, unit_vec)
@@ -69,7 +69,7 @@ def nearest_vectors(units: DataFrame, k: int, queries: DataFrame | None = None,
         return pa.table({"unit_id": pa.array(parts[0], pa.int64()), "neighbour": pa.array(parts[1], pa.int64()), "similarity": pa.array(parts[2], pa.float64())})
 
     asked = (units if queries is None else queries).select(F.col("unit_id").cast("long").alias("unit_id"), vec)
-    rows = _in_cells(asked, units.select(F.col("unit_id").cast("long").alias("unit_id"), vec), vec, vec, best, found)
+    rows = in_cells(asked, units.select(F.col("unit_id").cast("long").alias("unit_id"), vec), vec, vec, best, found)
     w = Window.partitionBy("unit_id").orderBy(F.round("similarity", 12).desc(), "neighbour")
     return rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select("unit_id", "pos", "neighbour", "similarity")
 
@@ -104,7 +104,7 @@ def retrieval(units: DataFrame, left: str, right: str, keys: list[str] | None =
         return pa.table({"unit_id": pa.array(ids, pa.int64()), **{c: pa.array(x) for c, x in zip(("above", "tied", "total", "n"), out, strict=True)}})
 
     asked = both.select("unit_id", left, "matched", code.alias("k"))
-    rows = _in_cells(asked, units.select(F.col("unit_id").cast("long").alias("unit_id"), right, code.alias("k")), left, right, counts, counted)
+    rows = in_cells(asked, units.select(F.col("unit_id").cast("long").alias("unit_id"), right, code.alias("k")), left, right, counts, counted)
     g = rows.groupBy("unit_id").agg((1 + F.sum("above")).alias("rank"), F.sum("tied").alias("n_tied"), (F.sum("total") / F.sum("n")).alias("mean_other"))
     return both.select(*keys, "unit_id", "matched").join(g, "unit_id").select(*keys, "unit_id", "matched", "rank", "n_tied", "mean_other")
 

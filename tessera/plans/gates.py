@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import batches, promotion
-from tessera.plans.tables import counts, table, with_
+from tessera.operators import batches, hierarchy, promotion, similarity
+from tessera.plans.tables import counts, table, units, with_
 
 
 def _r(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
@@ -82,10 +82,10 @@ def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nations as samples: their region is technical, a third of their keys biological, and one variable is the same for all."""
     n = table(spark, d, "nation")
     c = counts(spark, d)
-    units = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("sample_id")), "o_custkey").select("sample_id", F.col("o_orderkey").alias("unit_id"))
+    held = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("sample_id")), "o_custkey").select("sample_id", F.col("o_orderkey").alias("unit_id"))
     one = lambda name, kind, value: n.select(F.col("n_nationkey").alias("sample_id"), F.lit(name).alias("variable"), F.lit(kind).alias("kind"), value.cast("string").alias("value"))
     v = one("region", "technical", F.when(F.col("n_nationkey") != 4, F.col("n_regionkey"))).unionByName(one("third", "biological", F.col("n_nationkey") % 3)).unionByName(one("flat", "technical", F.lit("x")))
-    return batches.batch_structure(c, units, v, most_components=100)
+    return batches.batch_structure(c, held, v, most_components=100)
 
 
 def batch_structure(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,17 @@ def batch_verdict(spark: SparkSession, d: str) -> DataFrame:
     return _batches(spark, d)[1].select("n_samples", "n_components", "status", "reason")
 
 
-QUERIES = [task_guards, guarded_proposals, hypothesis_gates, pathway_runs, pathway_guards, pack_provenance, batch_structure, batch_verdict]
+def kruskal_test(spark: SparkSession, d: str) -> DataFrame:
+    return _r(hierarchy.kruskal(table(spark, d, "customer").select("c_mktsegment", F.round("c_acctbal", -1).alias("x")), "c_mktsegment", "x"), ["statistic", "p"])
+
+
+def ward_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled samples merged by Ward's rule, with each merge's height."""
+    samples = similarity.mean_pool_l2(units(spark, d).withColumn("sample_id", F.col("unit_id") % 40), ["sample_id"]).select(F.col("sample_id").alias("unit_id"), "v")
+    return hierarchy.ward(samples).select("kept", "gone", "size", F.round("height", 6).alias("height"))
+
+
+QUERIES = [kruskal_test, ward_tree, task_guards, guarded_proposals, hypothesis_gates, pathway_runs, pathway_guards, pack_provenance, batch_structure, batch_verdict]
 
 _METHODS = """g AS (SELECT s_nationkey % 9 AS task_id, s_suppkey % 5 AS method_id, round(avg(s_acctbal), 2) AS m, count(*) AS n FROM supplier GROUP BY 1, 2),
 gt AS (SELECT DISTINCT n_nationkey % 9 AS task_id FROM nation), gi AS (SELECT g.task_id, method_id, CASE WHEN task_id % 4 = 0 OR task_id % 4 = 1 THEN 'G3' WHEN task_id % 4 = 2 THEN 'G4' END AS guard, CASE WHEN task_id % 3 = 0 THEN 1.5 END AS floor, m / 1000 AS b, CASE WHEN method_id <> 4 THEN (n % 5)::DOUBLE END AS c FROM g JOIN gt USING (task_id)),
@@ -112,6 +122,9 @@ lb AS (SELECT vr.* FROM vr JOIN un ON un.sample_id = k WHERE v IS NOT NULL), mn
 sl AS (SELECT variable, kind, k, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM mn GROUP BY 1, 2, 3), sv AS (SELECT variable, kind, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS s FROM sl GROUP BY 1, 2)"""
 
 ORACLE = {
+    "kruskal_test": """WITH v AS (SELECT c_mktsegment AS g, round(c_acctbal, -1) AS x FROM customer), t AS (SELECT x, count(*) AS t FROM v GROUP BY 1), k AS (SELECT x, t, sum(t) OVER (ORDER BY x) - t + (t + 1) / 2 AS r FROM t),
+        s AS (SELECT g, sum(r) AS r, count(*) AS n FROM v JOIN k USING (x) GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM v), h AS (SELECT (12 / (n * (n + 1)) * (SELECT sum(r * r / n) FROM s) - 3 * (n + 1)) / (1 - (SELECT sum(pow(t, 3) - t) FROM t) / (pow(n, 3) - n)) AS h, n FROM n)
+        SELECT n::BIGINT AS n, 5 AS groups, round(h, 6) AS statistic, round(exp(-h / 2) * (1 + h / 2), 6) AS p FROM h""",
     "task_guards": f"WITH {_METHODS} SELECT task_id, method_id, guard, round(value, 6) AS value, status, status = 'fail' AS contraindicated FROM gu",
     "guarded_proposals": f"""WITH {_METHODS}, c AS (SELECT g.task_id, g.method_id, m AS value, round(m - 1500 / sqrt(n), 2) AS lo, round(m + 1500 / sqrt(n), 2) AS hi, g.task_id % 2 = 0 AS up, CASE g.task_id % 3 WHEN 0 THEN 4800 WHEN 1 THEN 4000 END AS floor, coalesce(status = 'fail', false) AS blocked FROM g LEFT JOIN gu USING (task_id, method_id)),
         p AS (SELECT *, floor IS NULL OR CASE WHEN up THEN value > floor ELSE value < floor END AS clears, CASE WHEN up THEN -value ELSE value END AS o FROM c),
