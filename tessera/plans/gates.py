@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import batches, hierarchy, promotion, similarity
+from tessera.operators import artifacts, batches, coherence, hierarchy, permute, promotion, similarity
+from tessera.operators.tables import fresh_path
 from tessera.plans.tables import counts, table, units, with_
 
 
@@ -106,7 +107,60 @@ def ward_tree(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.ward(samples).select("kept", "gone", "size", F.round("height", 6).alias("height"))
 
 
-QUERIES = [kruskal_test, ward_tree, task_guards, guarded_proposals, hypothesis_gates, pathway_runs, pathway_guards, pack_provenance, batch_structure, batch_verdict]
+def stratified_draw(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 9900, "rare").otherwise(F.col("c_mktsegment")).alias("class"))
+    return coherence.stratified(c, "class", "c_custkey", 60, 3).select("c_custkey", "class")
+
+
+def coherence_z(spark: SparkSession, d: str) -> DataFrame:
+    u = units(spark, d).withColumn("label", F.col("label") % 4)
+    return _r(coherence.coherence(u, "label", "unit_id", 120, 30, 6), ["same", "different", "delta", "null_mean", "null_sd", "z", "p"], 5)
+
+
+def random_control(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings through a random projection to three dimensions."""
+    z = coherence.random_projection(units(spark, d).select("unit_id", "v"), "v", 3, 17)
+    return z.select("unit_id", *[F.round(F.col("z")[i], 6).alias(f"z{i}") for i in range(3)])
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as small files, addressed by content."""
+    place = fresh_path(spark, "artifacts")
+    n = table(spark, d, "nation").where("n_nationkey <> 3").select(F.concat(F.lit("run"), "n_regionkey").alias("run"), F.concat(F.lit("m"), "n_nationkey").alias("name"), F.concat("n_name", F.lit("|"), "n_nationkey").alias("text"))
+
+    def put(batches):
+        from pyarrow import fs as pafs
+
+        system, root = pafs.FileSystem.from_uri(place)
+        for batch in batches:
+            for run, name, text in zip(*(batch.column(c).to_pylist() for c in ("run", "name", "text")), strict=True):
+                system.create_dir(f"{root}/{run}", recursive=True)
+                with system.open_output_stream(f"{root}/{run}/{name}.txt") as f:
+                    f.write(text.encode())
+            yield batch.select(["name"])
+
+    n.mapInArrow(put, "name string").count()
+    return artifacts.addressed(spark, place)
+
+
+def pinned_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Pins of nations: some changed, one missing, some undeclared, some without content."""
+    key = F.col("n_nationkey")
+    want = F.sha2(F.concat(F.when(key % 5 == 1, F.lit("other")).otherwise(F.col("n_name")), F.lit("|"), "n_nationkey"), 256)
+    declared = table(spark, d, "nation").where(key % 7 != 6).select(F.concat(F.lit("run"), "n_regionkey", F.lit("/m"), "n_nationkey", F.lit(".txt")).alias("path"), F.when(key % 5 != 2, want).alias("sha256"))
+    return artifacts.pins(declared, _files(spark, d))
+
+
+def grid_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as runs and nations as metrics; a metric's artifact lies with the run of its own region."""
+    n = table(spark, d, "nation")
+    grid = table(spark, d, "region").select(F.concat(F.lit("run"), "r_regionkey").alias("run")).join(n.select(F.concat(F.lit("m"), "n_nationkey").alias("metric")))  # a grid
+    templates = n.where("n_nationkey % 6 <> 5").select(F.concat(F.lit("m"), "n_nationkey").alias("metric"), F.concat(F.lit("{run}/m"), "n_nationkey", F.lit(".txt")).alias("template"))
+    off = n.where("n_nationkey % 8 = 7").select(F.concat(F.lit("m"), "n_nationkey").alias("metric"), F.lit("not measured").alias("reason"))
+    return artifacts.scope(grid, templates, off, _files(spark, d)).withColumn("lacking", F.concat_ws(",", "lacking"))
+
+
+QUERIES = [stratified_draw, coherence_z, random_control, pinned_artifacts, grid_scope, kruskal_test, ward_tree, task_guards, guarded_proposals, hypothesis_gates, pathway_runs, pathway_guards, pack_provenance, batch_structure, batch_verdict]
 
 _METHODS = """g AS (SELECT s_nationkey % 9 AS task_id, s_suppkey % 5 AS method_id, round(avg(s_acctbal), 2) AS m, count(*) AS n FROM supplier GROUP BY 1, 2),
 gt AS (SELECT DISTINCT n_nationkey % 9 AS task_id FROM nation), gi AS (SELECT g.task_id, method_id, CASE WHEN task_id % 4 = 0 OR task_id % 4 = 1 THEN 'G3' WHEN task_id % 4 = 2 THEN 'G4' END AS guard, CASE WHEN task_id % 3 = 0 THEN 1.5 END AS floor, m / 1000 AS b, CASE WHEN method_id <> 4 THEN (n % 5)::DOUBLE END AS c FROM g JOIN gt USING (task_id)),
@@ -121,7 +175,28 @@ vr AS (SELECT n_nationkey AS k, 'region' AS variable, 'technical' AS kind, CASE
 lb AS (SELECT vr.* FROM vr JOIN un ON un.sample_id = k WHERE v IS NOT NULL), mn AS (SELECT p.variable, p.kind, p.k, p.v AS own, q.v AS other, avg(d) AS d FROM lb p JOIN lb q ON q.variable = p.variable AND q.k <> p.k JOIN ds ON ds.a = p.k AND ds.b = q.k GROUP BY 1, 2, 3, 4, 5),
 sl AS (SELECT variable, kind, k, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM mn GROUP BY 1, 2, 3), sv AS (SELECT variable, kind, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS s FROM sl GROUP BY 1, 2)"""
 
+_P = permute.PRIME
+
+
+def _uniform(at: str, key: int) -> str:
+    mixed = lambda x, k: f"((((({x}) + {k}) % {_P} * {permute.FIRST}) % {_P}) * ((({x}) + {k}) % {_P} * {permute.FIRST} % {_P}) % {_P} * {permute.SECOND} + {k}) % {_P}"
+    return f"(({mixed(mixed(at, key), 40503)}) + 1)::DOUBLE / {_P + 1}"
+
+
 ORACLE = {
+    "stratified_draw": """WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal > 9900 THEN 'rare' ELSE c_mktsegment END AS class FROM customer), q AS (SELECT *, count(*) OVER (PARTITION BY class) AS n, count(*) OVER () AS a, row_number() OVER (PARTITION BY class ORDER BY md5('3:' || c_custkey), c_custkey) AS r FROM c)
+        SELECT c_custkey, class FROM q WHERE r <= least(n, greatest(2, round_even(n * (60.0::DOUBLE / a), 0)))""",
+    "coherence_z": "WITH RECURSIVE " + with_("units")[5:] + """, c AS (SELECT unit_id, label % 4 AS c, v FROM units WHERE label IS NOT NULL), q AS (SELECT *, count(*) OVER (PARTITION BY c) AS k, count(*) OVER () AS a, row_number() OVER (PARTITION BY c ORDER BY md5('6:' || unit_id), unit_id) AS r FROM c),
+        s AS (SELECT unit_id, c, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u, row_number() OVER (ORDER BY unit_id) - 1 AS place, count(*) OVER () AS n, 0 AS one FROM q WHERE r <= least(k, greatest(2, round_even(k * (120.0::DOUBLE / a), 0)))),
+        """ + permute.sql("s", "one", 30, 6, "pm") + """, lb AS (SELECT perm, pm.place, s.c FROM pm JOIN s ON s.place = partner), pr AS (SELECT a.place AS a, b.place AS b, list_dot_product(a.u, b.u) AS d FROM s a JOIN s b ON a.place < b.place),
+        g AS (SELECT x.perm, avg(d) FILTER (x.c = y.c) AS same, avg(d) FILTER (x.c <> y.c) AS different, count(*) FILTER (x.c = y.c) AS ns, count(*) FILTER (x.c <> y.c) AS nd FROM pr JOIN lb x ON x.place = a JOIN lb y ON y.place = b AND y.perm = x.perm GROUP BY 1),
+        o AS (SELECT *, same - different AS delta FROM g WHERE perm = 0), z AS (SELECT avg(g.same - g.different) AS m, stddev_pop(g.same - g.different) AS sd, (1 + count(*) FILTER (abs(g.same - g.different) >= abs(o.delta)))::DOUBLE / (1 + count(*)) AS p FROM g, o WHERE g.perm > 0)
+        SELECT (SELECT count(*) FROM s) AS n, round(same, 5) AS same, round(different, 5) AS different, round(delta, 5) AS delta, ns AS n_same, nd AS n_different, round(m, 5) AS null_mean, round(sd, 5) AS null_sd, round((delta - m) / (sd + 1e-12), 5) AS z, round(p, 5) AS p FROM o, z""",
+    "random_control": with_("units") + f""", g AS (SELECT a // 3 + 1 AS i, a % 3 AS j, sqrt(-2 * ln({_uniform('a', 35)})) * cos(2 * pi() * {_uniform('a', 36)}) / sqrt(3) AS w FROM range(0, 192) t(a)), x AS (SELECT unit_id, j, sum(v[i] * w) AS z FROM units CROSS JOIN g GROUP BY 1, 2),
+        n AS (SELECT unit_id, sqrt(sum(z * z)) AS n FROM x GROUP BY 1) SELECT unit_id, round(max(z / n) FILTER (j = 0), 6) AS z0, round(max(z / n) FILTER (j = 1), 6) AS z1, round(max(z / n) FILTER (j = 2), 6) AS z2 FROM x JOIN n USING (unit_id) GROUP BY 1""",
+    "pinned_artifacts": """SELECT 'run' || n_regionkey || '/m' || n_nationkey || '.txt' AS path, CASE WHEN n_nationkey % 7 = 6 THEN 'undeclared' WHEN n_nationkey = 3 THEN 'missing' WHEN n_nationkey % 5 = 2 THEN 'unpinned' WHEN n_nationkey % 5 = 1 THEN 'changed' ELSE 'pinned' END AS status FROM nation""",
+    "grid_scope": """SELECT 'run' || r_regionkey AS run, 'm' || n_nationkey AS metric, CASE WHEN n_nationkey % 8 = 7 THEN 'not_available' WHEN n_nationkey % 6 = 5 THEN 'undeclared' WHEN n_regionkey = r_regionkey AND n_nationkey <> 3 THEN 'fillable' ELSE 'missing' END AS status,
+        CASE WHEN n_nationkey % 6 = 5 OR (n_regionkey = r_regionkey AND n_nationkey <> 3) THEN '' ELSE 'run' || r_regionkey || '/m' || n_nationkey || '.txt' END AS lacking FROM region CROSS JOIN nation""",
     "kruskal_test": """WITH v AS (SELECT c_mktsegment AS g, round(c_acctbal, -1) AS x FROM customer), t AS (SELECT x, count(*) AS t FROM v GROUP BY 1), k AS (SELECT x, t, sum(t) OVER (ORDER BY x) - t + (t + 1) / 2 AS r FROM t),
         s AS (SELECT g, sum(r) AS r, count(*) AS n FROM v JOIN k USING (x) GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM v), h AS (SELECT (12 / (n * (n + 1)) * (SELECT sum(r * r / n) FROM s) - 3 * (n + 1)) / (1 - (SELECT sum(pow(t, 3) - t) FROM t) / (pow(n, 3) - n)) AS h, n FROM n)
         SELECT n::BIGINT AS n, 5 AS groups, round(h, 6) AS statistic, round(exp(-h / 2) * (1 + h / 2), 6) AS p FROM h""",
