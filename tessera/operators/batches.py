@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import gram
+from tessera.functions import vectors as V
+from tessera.operators import gram, similarity
 
 SCHEMA = "variable string, kind string, n_groups int, silhouette double, note string"
 STATUS = "n_samples long, n_components int, max_technical double, max_biological double, status string, reason string"
@@ -76,3 +77,33 @@ def batch_structure(counts: DataFrame, units: DataFrame, variables: DataFrame, m
     ok = tech is not None and (tech <= most_silhouette or bio is not None and tech <= bio)
     reason = "no technical variable was assessable" if tech is None else ""
     return spark.createDataFrame(found, SCHEMA), spark.createDataFrame([(len(names), x.shape[1], tech, bio, "pass" if ok else "fail", reason)], STATUS)
+
+
+def effect_ratio(units: DataFrame, subject: str, vec: str = "v") -> DataFrame:
+    """(subjects, inter, intra, ratio): mean cosine distance between subjects' centres over the mean distance of a subject's
+    units to its centre.  Both come from sums by subject, so no pair is formed."""
+    rows = units.where(F.col(subject).isNotNull()).select(F.col(subject).alias("g"), F.col(vec).cast("array<double>").alias("v"))
+    centres = V.collected(V.by_dimension(rows, ["g"], "v"), ["g"], "c")
+    sums = V.collected(V.by_dimension(rows.select("g", V.l2_normalise(F.col("v")).alias("u")), ["g"], "u", "sum"), ["g"], "s")
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    both = centres.join(sums, "g").join(sizes, "g")
+    intra = both.agg(F.count(F.lit(1)).alias("subjects"), F.avg(1 - V.dot(F.col("s"), F.col("c")) / (F.col("n") * F.greatest(V.norm(F.col("c")), F.lit(1e-12)))).alias("intra"))
+    inter = similarity.pair_sums(centres.withColumnRenamed("c", "v"), []).select((1 - F.col("total") / F.when(F.col("pairs") > 0, F.col("pairs"))).alias("inter"))
+    return intra.crossJoin(inter).select("subjects", "inter", "intra", (F.col("inter") / F.col("intra")).alias("ratio"))  # one row each
+
+
+def cosine_silhouettes(units: DataFrame, label: str, keys: list[str], vec: str = "v", least: int = 10) -> DataFrame:
+    """(keys, n, classes, silhouette) of a label by cosine distance, within each of `keys` or over all units: a unit's mean
+    distance to a class follows from the class's sum of unit vectors, so the cost is units times classes.  Keys with fewer
+    than `least` units or two classes are left out; a unit alone in its class has 0."""
+    rows = units.where(F.col(label).isNotNull()).select(*keys, F.col(label).alias("__own"), V.l2_normalise(F.col(vec)).alias("__u"))
+    by = [*keys, "__own"]
+    sums = V.collected(V.by_dimension(rows, by, "__u", "sum"), by, "__s").join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__m")), by)
+    held = sums.groupBy(*keys).agg(F.collect_list(F.struct("__own", "__s", "__m")).alias("__t"), F.count(F.lit(1)).alias("classes"), F.sum("__m").alias("n")).where((F.col("classes") > 1) & (F.col("n") >= least))  # a place for each class
+    both = rows.join(held, keys) if keys else rows.crossJoin(held)  # held is one row without keys
+    own, u = F.col("__own"), F.col("__u")
+    mine = F.filter("__t", lambda t: t["__own"] == own)[0]
+    a = F.when(mine["__m"] > 1, 1 - (V.dot(u, mine["__s"]) - V.dot(u, u)) / (mine["__m"] - 1))
+    b = F.array_min(F.transform(F.filter("__t", lambda t: t["__own"] != own), lambda t: 1 - V.dot(u, t["__s"]) / t["__m"]))
+    top = F.greatest(a, b)
+    return both.select(*keys, "n", "classes", F.when(a.isNull() | (top == 0), 0.0).otherwise((b - a) / top).alias("__x")).groupBy(*keys, "n", "classes").agg(F.avg("__x").alias("silhouette"))

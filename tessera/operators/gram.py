@@ -63,7 +63,7 @@ def participation_ratio(df: DataFrame, vec: str) -> float:
     return float(np.trace(c) ** 2 / (c**2).sum()) if n > 1 else float("nan")
 
 
-def _root(c: np.ndarray, floor: float) -> np.ndarray:
+def inverse_root(c: np.ndarray, floor: float) -> np.ndarray:
     values, vectors = np.linalg.eigh(c)
     return vectors / np.sqrt(np.maximum(values, floor)) @ vectors.T
 
@@ -72,7 +72,7 @@ def ridge_cca(df: DataFrame, left: str, right: str, k: int, reg: float = 1e-4) -
     """(correlations, left directions, right directions) of canonical correlation with a ridge; at most n - 1 of them."""
     n, sums, products, (a, b) = moments(df, [left, right])
     c = centred(n, sums, products) / max(n, 1)
-    x, y = _root(c[:a, :a] + reg * np.eye(a), reg), _root(c[a:, a:] + reg * np.eye(b), reg)
+    x, y = inverse_root(c[:a, :a] + reg * np.eye(a), reg), inverse_root(c[a:, a:] + reg * np.eye(b), reg)
     u, s, vt = np.linalg.svd(x @ c[:a, a:] @ y)
     k = min(k, a, b, n - 1)
     return np.clip(s[:k], 0, 1), x @ u[:, :k], y @ vt[:k].T

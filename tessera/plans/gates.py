@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import artifacts, batches, coherence, hierarchy, permute, promotion, similarity
+from tessera.functions import vectors as V
+from tessera.operators import alignment, artifacts, batches, coherence, hierarchy, permute, promotion, similarity
 from tessera.operators.tables import fresh_path
-from tessera.plans.tables import counts, table, units, with_
+from tessera.plans.tables import counts, table, units, views, with_
 
 
 def _r(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
@@ -160,7 +161,31 @@ def grid_scope(spark: SparkSession, d: str) -> DataFrame:
     return artifacts.scope(grid, templates, off, _files(spark, d)).withColumn("lacking", F.concat_ws(",", "lacking"))
 
 
-QUERIES = [stratified_draw, coherence_z, random_control, pinned_artifacts, grid_scope, kruskal_test, ward_tree, task_guards, guarded_proposals, hypothesis_gates, pathway_runs, pathway_guards, pack_provenance, batch_structure, batch_verdict]
+def aligned_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out units' two views after Procrustes and CCA fitted on the others, two dimensions each."""
+    v = views(spark, d).select("unit_id", "subject_id", F.slice("left", 1, 2).alias("left"), F.slice("right", 1, 2).alias("right"))
+    train, test = v.where("subject_id > 3"), v.where("subject_id <= 3")
+    fit = alignment.fitted(train, "left", "right", "procrustes", 2)
+    return alignment.transformed(test.select("unit_id", "left", "right"), fit, "left", "right").select("unit_id", F.round(V.dot(F.col("z_left"), F.col("z_right")), 6).alias("cosine"))
+
+
+def three_way_split(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), "c_mktsegment")
+    return alignment.three_way_split(c, "c_mktsegment", 0.2, 0.25, 7)
+
+
+def batch_effect(spark: SparkSession, d: str) -> DataFrame:
+    return _r(batches.effect_ratio(units(spark, d), "subject_id"), ["inter", "intra", "ratio"])
+
+
+def cosine_silhouettes(spark: SparkSession, d: str) -> DataFrame:
+    """Of the label within each sample and over all."""
+    u = units(spark, d)
+    within = batches.cosine_silhouettes(u, "label", ["sample_id"])
+    return _r(within.unionByName(batches.cosine_silhouettes(u, "label", []).withColumn("sample_id", F.lit(None).cast("long"))), ["silhouette"])
+
+
+QUERIES = [aligned_cosines, three_way_split, batch_effect, cosine_silhouettes, stratified_draw, coherence_z, random_control, pinned_artifacts, grid_scope, kruskal_test, ward_tree, task_guards, guarded_proposals, hypothesis_gates, pathway_runs, pathway_guards, pack_provenance, batch_structure, batch_verdict]
 
 _METHODS = """g AS (SELECT s_nationkey % 9 AS task_id, s_suppkey % 5 AS method_id, round(avg(s_acctbal), 2) AS m, count(*) AS n FROM supplier GROUP BY 1, 2),
 gt AS (SELECT DISTINCT n_nationkey % 9 AS task_id FROM nation), gi AS (SELECT g.task_id, method_id, CASE WHEN task_id % 4 = 0 OR task_id % 4 = 1 THEN 'G3' WHEN task_id % 4 = 2 THEN 'G4' END AS guard, CASE WHEN task_id % 3 = 0 THEN 1.5 END AS floor, m / 1000 AS b, CASE WHEN method_id <> 4 THEN (n % 5)::DOUBLE END AS c FROM g JOIN gt USING (task_id)),
@@ -184,6 +209,19 @@ def _uniform(at: str, key: int) -> str:
 
 
 ORACLE = {
+    "aligned_cosines": with_("units") + """, t AS (SELECT unit_id, subject_id, v[1] AS a, v[2] AS b, v[33] AS c, v[34] AS d FROM units), m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(d) AS md, covar_pop(a, c) AS p, covar_pop(a, d) AS q, covar_pop(b, c) AS r, covar_pop(b, d) AS s FROM t WHERE subject_id > 3),
+        w AS (SELECT *, CASE WHEN p * s - q * r > 0 THEN atan2(q - r, p + s) ELSE atan2(q + r, p - s) END AS f, CASE WHEN p * s - q * r > 0 THEN 1 ELSE -1 END AS g FROM m),
+        z AS (SELECT unit_id, (a - ma) * cos(f) + (b - mb) * (CASE WHEN g > 0 THEN -sin(f) ELSE sin(f) END) AS x, (a - ma) * sin(f) + (b - mb) * g * cos(f) AS y, c - mc AS u, d - md AS v FROM t, w WHERE subject_id <= 3)
+        SELECT unit_id, round((x * u + y * v) / sqrt((x * x + y * y) * (u * u + v * v)), 6) AS cosine FROM z""",
+    "three_way_split": """WITH s AS (SELECT c_custkey AS k, c_mktsegment AS g, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('7:' || c_custkey), c_custkey) AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer), a AS (SELECT *, i <= ceil(n * 0.25::DOUBLE) AS t FROM s),
+        r AS (SELECT k, row_number() OVER (PARTITION BY g ORDER BY md5('8:' || k), k) AS i, count(*) OVER (PARTITION BY g) AS n FROM a WHERE NOT t)
+        SELECT k AS subject_id, g AS stratum, CASE WHEN t THEN 'test' WHEN r.i <= ceil(r.n * (0.2::DOUBLE / 0.75)) THEN 'validation' ELSE 'train' END AS part FROM a LEFT JOIN r USING (k)""",
+    "batch_effect": with_("units") + """, m AS (SELECT subject_id AS g, i, avg(v[i]) AS m FROM units CROSS JOIN range(1, 65) t(i) GROUP BY 1, 2), c AS (SELECT g, list(m ORDER BY i) AS c FROM m GROUP BY 1), n AS (SELECT g, c, sqrt(list_dot_product(c, c)) AS n FROM c),
+        o AS (SELECT avg(1 - list_dot_product(a.c, b.c) / (a.n * b.n)) AS inter FROM n a JOIN n b ON a.g < b.g), w AS (SELECT g, avg(1 - list_dot_product(v, c) / (sqrt(list_dot_product(v, v)) * n)) AS d FROM units JOIN n ON g = subject_id GROUP BY 1)
+        SELECT (SELECT count(*) FROM n) AS subjects, round(inter, 6) AS inter, round(avg(d), 6) AS intra, round(inter / avg(d), 6) AS ratio FROM w, o GROUP BY inter""",
+    "cosine_silhouettes": with_("units") + """, u AS (SELECT sample_id, unit_id, label, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u FROM units WHERE label IS NOT NULL), d AS (SELECT p.sample_id AS ps, q.sample_id AS qs, p.unit_id, p.label AS own, q.label AS other, 1 - list_dot_product(p.u, q.u) AS d FROM u p JOIN u q ON p.unit_id <> q.unit_id),
+        e AS (SELECT ps AS k, unit_id, own, other, avg(d) AS d FROM d WHERE ps = qs GROUP BY 1, 2, 3, 4 UNION ALL SELECT NULL, unit_id, own, other, avg(d) FROM d GROUP BY 2, 3, 4), f AS (SELECT k, unit_id, own, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM e GROUP BY 1, 2, 3)
+        SELECT k AS sample_id, count(*) AS n, count(DISTINCT own) AS classes, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM f GROUP BY 1""",
     "stratified_draw": """WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal > 9900 THEN 'rare' ELSE c_mktsegment END AS class FROM customer), q AS (SELECT *, count(*) OVER (PARTITION BY class) AS n, count(*) OVER () AS a, row_number() OVER (PARTITION BY class ORDER BY md5('3:' || c_custkey), c_custkey) AS r FROM c)
         SELECT c_custkey, class FROM q WHERE r <= least(n, greatest(2, round_even(n * (60.0::DOUBLE / a), 0)))""",
     "coherence_z": "WITH RECURSIVE " + with_("units")[5:] + """, c AS (SELECT unit_id, label % 4 AS c, v FROM units WHERE label IS NOT NULL), q AS (SELECT *, count(*) OVER (PARTITION BY c) AS k, count(*) OVER () AS a, row_number() OVER (PARTITION BY c ORDER BY md5('6:' || unit_id), unit_id) AS r FROM c),
@@ -211,7 +249,7 @@ ORACLE = {
     "hypothesis_gates": """WITH r AS (SELECT CASE WHEN s_nationkey % 6 = 0 THEN 'infinity'::DOUBLE ELSE s_acctbal / 1000 / (s_nationkey % 6) END AS v, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS pos FROM supplier)
         SELECT 'label' AS gate, CASE WHEN abs(s_acctbal) / 10000 <= 0.5::DOUBLE THEN 'pass/biological' ELSE 'fail/diagnostic' END AS status, count(*) AS n, count(*) AS places FROM supplier GROUP BY 2
         UNION ALL SELECT 'held_out', 'pass/8', 1, 1 UNION ALL SELECT 'held_out_few', 'fail/7,8', 1, 1 UNION ALL SELECT 'held_out_least', 'fail', 1, 1
-        UNION ALL SELECT 'ratio', CASE WHEN v >= 1.2 THEN 'pass' ELSE 'fail' END, count(*), sum(pos) FROM r GROUP BY 2""",
+        UNION ALL SELECT 'ratio', CASE WHEN v >= 1.2 THEN 'pass' ELSE 'fail' END, count(*), sum(pos)::BIGINT FROM r GROUP BY 2""",
     "pathway_runs": f"""WITH {_PATHS}, wr AS (SELECT method_id, count(*) AS n FROM w GROUP BY 1) SELECT method_id, count(*) FILTER (view = 'z_he' AND testable) AS n_testable, count(*) FILTER (view = 'z_he' AND testable AND q < 0.5) AS n_significant,
         coalesce(string_agg(test, ',' ORDER BY test) FILTER (view = 'z_he' AND testable AND q < 0.5), '') AS significant, coalesce(string_agg(test, ',' ORDER BY test) FILTER (view = 'z_he' AND NOT testable), '') AS excluded, false AS circular, coalesce(any_value(wr.n), 0) AS n_disagreeing FROM t LEFT JOIN wr USING (method_id) GROUP BY 1""",
     "pathway_guards": f"WITH {_PATHS} SELECT 'pass' AS held_out, CASE WHEN count(*) = 0 THEN 'pass' ELSE 'flag_disagreement' END AS circular_supervision, count(*) AS n_disagreeing, count(*) FILTER (view = 'z_he') > 0 AS headline_affected FROM w",
