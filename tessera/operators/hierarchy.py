@@ -11,15 +11,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.permute import numbered
+from tessera.operators.ranks import before
 from tessera.operators.similarity import STRIPE, in_cells
 from tessera.operators.tables import materialise
 
-#: Distinct values of a range that ranks are counted in.
-RUN = 100_000
 MERGE = "round int, kept long, gone long, height double, size long"
 
 
@@ -118,12 +116,7 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
     counts = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("c"))
     values = materialise(counts.groupBy("x").agg(F.sum("c").alias("t")), "kruskal-values")
-    # values below, in ranges of the order that are added up by themselves and moved by what lies before them
-    place = numbered(values, [], ["x"]).withColumn("run", F.floor(F.col("place") / RUN))
-    runs = place.groupBy("run").agg(F.sum("t").alias("all"))
-    earlier = runs.select("run", (F.sum("all").over(Window.orderBy("run")) - F.col("all")).alias("before"))  # one row a range
-    inside = F.sum("t").over(Window.partitionBy("run").orderBy("place")) - F.col("t")
-    ranks = place.select("run", "x", "t", inside.alias("inside")).join(earlier, "run").select("x", (F.col("before") + F.col("inside") + (F.col("t") + 1) / 2).alias("rank"))
+    ranks = before(values, [], "x", "t").select("x", (F.col("before") + (F.col("t") + 1) / 2).alias("rank"))
     sums = counts.join(ranks, "x").groupBy("g").agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("n"))
     n, k, s = sums.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.col("r") * F.col("r") / F.col("n"))).first()
     ties = values.agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t"))).first()[0] or 0.0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators.permute import numbered, partner
+from tessera.operators.ranks import midranks
 from tessera.operators.statistics import null_shape, permuted
 from tessera.operators.tables import materialise
 
@@ -66,16 +67,11 @@ def paired(nulls_a: DataFrame, nulls_b: DataFrame) -> DataFrame:
     return nulls_a.join(nulls_b.select("perm", F.col("value").alias("other")), "perm").select("perm", (F.col("value") - F.col("other")).alias("value"))
 
 
-def average_ranks(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.withColumn(name, F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, column)) - 1) / 2)
-
-
 def geometric_faithfulness(a: DataFrame, b: DataFrame, samples: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(observed (delta: Spearman's rho, pearson, n_same: pairs), nulls) of two spaces' pairs (a, b, cosine): the first
     one's samples are relabelled as a whole.  Relabelling keeps the ranks, so they are computed once."""
-    first = average_ranks(a.select("a", "b", "cosine"), [], "cosine", "ra")
-    second = average_ranks(b.select("a", "b", F.col("cosine").alias("other")), [], "other", "rb")
+    first = midranks(a.select("a", "b", "cosine"), [], "cosine", "ra")
+    second = midranks(b.select("a", "b", F.col("cosine").alias("other")), [], "other", "rb")
     both = first.join(second, ["a", "b"])
     observed = both.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.corr("ra", "rb"), 9).alias("delta"), F.corr("cosine", "other").alias("pearson"))
     dealt = permuted(samples.select("sample_id", F.col("sample_id").alias("other_id")), "sample_id", "other_id", n, seed)

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators.permute import numbered
+from tessera.operators.ranks import before
 from tessera.operators.statistics import draw
+from tessera.operators.tables import materialise
 
 
 def cohort_counts(sections: DataFrame) -> DataFrame:
@@ -84,16 +87,14 @@ def autocorrelation_summary(morans: DataFrame, top: int = 5, bar: float = 0.3, n
 
 def auc_bootstrap(scores: DataFrame, key: str, reps: int, seed: int) -> DataFrame:
     """(rep, auc) of scores (key, score, positive) drawn again with replacement: a row's multiplicity weighs it in the sum of
-    midranks, so that rows are never copied; null
-    where only one kind was drawn."""
-    placed = scores.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)  # a sample of scores, as resampling takes
+    midranks, so that rows are never copied; null where only one kind was drawn.  Rows are numbered and ranked in ranges."""
+    placed = materialise(numbered(scores, [], [key]).drop("n"), "auc-scores")
     n = placed.count()
     draws = scores.sparkSession.range(1, reps + 1).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i"))
-    draws = draws.select("rep", (draw(F.lit(seed), "rep", "i") % max(n, 1)).cast("int").alias("place")).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("m"))
+    draws = draws.select("rep", (draw(F.lit(seed), "rep", "i") % max(n, 1)).alias("place")).groupBy("rep", "place").agg(F.count(F.lit(1)).alias("m"))
     weigh = lambda c: F.sum(F.when(c, F.col("m")).otherwise(0))
     bins = draws.join(placed, "place").groupBy("rep", "score").agg(weigh(F.col("positive")).alias("p"), weigh(~F.col("positive")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("rep").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = bins.withColumn("below", below).groupBy("rep").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
+    wins = before(bins, ["rep"], "score", "q", "below").groupBy("rep").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
     return wins
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import before
+
 
 def draw(*parts: Column | str) -> Column:
     """A number below 2^32 from the md5 of the parts joined by colons."""
@@ -122,14 +124,10 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def auc(scores: DataFrame) -> DataFrame:
-    """(n_pos, n_neg, auc) by midranks of scores (score, positive).  Equal scores are counted together first; ranges of
-    scores are then counted, and a running sum over the ranges, which are few, places each score's own range."""
+    """(n_pos, n_neg, auc) by midranks of scores (score, positive).  Equal scores are counted together first; the order of
+    scores is summed in ranges of equal numbers of them, whatever their spread."""
     bins = scores.groupBy(F.col("score").alias("s")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    placed = bins.withColumn("range", F.floor(F.col("s") * 4096))
-    ranges = placed.groupBy("range").agg(F.sum("q").alias("all"))
-    ranges = ranges.select("range", (F.sum("all").over(Window.orderBy("range")) - F.col("all")).alias("before"))  # one row a range
-    below = F.sum("q").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    wins = placed.join(ranges, "range").select("p", "q", (F.col("before") + F.coalesce(below, F.lit(0))).alias("below"))
+    wins = before(bins, [], "s", "q", "below")
     return wins.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import hierarchy, similarity
+from tessera.operators import hierarchy, ranks, similarity, statistics
 
 
 def _plain_ward(x):
@@ -40,7 +40,7 @@ def test_ward_of_one_or_none(spark):
 
 
 def test_kruskal_with_ties(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "RUN", 3)
+    monkeypatch.setattr(ranks, "RUN", 3)
     rows = [("a", x) for x in (1, 2, 2, 5, 9)] + [("b", x) for x in (2, 3, 3, 8)] + [("c", x) for x in (7, 8, 9, 9, 10)] + [(None, 1), ("a", None)]
     df = spark.createDataFrame([(g, None if x is None else float(x)) for g, x in rows], "g string, x double")
     good = [(g, x) for g, x in rows if g and x is not None]
@@ -58,3 +58,23 @@ def test_kruskal_with_ties(spark, monkeypatch):
 def test_chi_square_tail(x):
     assert hierarchy.chi_square_tail(x, 2) == pytest.approx(np.exp(-x / 2)) and hierarchy.chi_square_tail(x, 4) == pytest.approx(np.exp(-x / 2) * (1 + x / 2))
     assert hierarchy.chi_square_tail(x, 6) == pytest.approx(np.exp(-x / 2) * (1 + x / 2 + x * x / 8))
+
+
+def test_ranks_and_sums_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RUN", 4)
+    rng = np.random.default_rng(2)
+    rows = [(int(k), float(v) if v < 9 else None) for k, v in zip(rng.integers(0, 3, 60), rng.integers(0, 10, 60))]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(5)
+    for r in ranks.midranks(df, ["k"], "x", "r").collect():
+        own = [v for k, v in rows if k == r["k"] and v is not None]
+        assert r["r"] == (None if r["x"] is None else sum(v < r["x"] for v in own) + (sum(v == r["x"] for v in own) + 1) / 2)
+
+
+def test_auc_of_scores_of_any_spread(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "RUN", 5)
+    rng = np.random.default_rng(7)
+    score = np.round(np.concatenate([rng.normal(0, 1e-6, 30), rng.normal(0, 1e9, 30), np.full(10, 5.0)]), 7)
+    positive = rng.random(70) < 0.4
+    r = statistics.auc(spark.createDataFrame([(float(s), bool(p)) for s, p in zip(score, positive)], "score double, positive boolean")).first()
+    a, b = score[positive][:, None], score[~positive][None, :]
+    assert r["auc"] == pytest.approx(((a > b) + 0.5 * (a == b)).mean()) and (r["n_pos"], r["n_neg"]) == (positive.sum(), (~positive).sum())
