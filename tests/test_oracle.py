@@ -7,12 +7,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.plans import evidence, gates, sources, space, studies, summaries
+from tessera.plans import evidence, fits, gates, sources, space, studies, summaries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {q.__name__: q for part in (space, evidence, studies, summaries, sources, gates) for q in part.QUERIES}
-SQL = {**space.ORACLE, **evidence.ORACLE, **studies.ORACLE, **summaries.ORACLE, **sources.ORACLE, **gates.ORACLE}
+QUERIES = {q.__name__: q for part in (space, evidence, studies, summaries, sources, gates, fits) for q in part.QUERIES}
+SQL = {**space.ORACLE, **evidence.ORACLE, **studies.ORACLE, **summaries.ORACLE, **sources.ORACLE, **gates.ORACLE, **fits.ORACLE}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
