@@ -63,7 +63,7 @@ def shard_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [grouped_folds, fold_probe, contrastive_losses, contrastive_towers, shard_status, shard_report]
 
-_SHARDS = f"""WITH r AS (SELECT user_id, user_id || '/' || strftime(ts, '%Y-%m-%d') AS shard, epoch_ms(ts) AS ms, event_id, event_type AS k FROM events WHERE ts IS NOT NULL),
+_SHARDS = f"""WITH r AS (SELECT user_id, user_id || '/' || strftime(ts, '%Y-%m-%d') AS shard, epoch_us(ts) // 1000 AS ms, event_id, event_type AS k FROM events WHERE ts IS NOT NULL),
 s AS (SELECT user_id, shard, bool_or(k = 'purchase') AS done, count(*) FILTER (k = 'error')::INT AS failures, max(ms) AS last_ms, arg_max(k, (ms, event_id)) AS last FROM r GROUP BY 1, 2), w AS (SELECT max(ms) - 600000 AS w FROM r),
 st AS (SELECT user_id, shard, CASE WHEN done THEN 'done' WHEN failures >= {ATTEMPTS} THEN 'failed' WHEN last_ms + {SILENT} <= w THEN 'stalled' WHEN last = 'error' THEN 'retry' ELSE 'running' END AS status, failures, last_ms FROM s, w)"""
 _LOSSES = with_("units") + """, q AS (SELECT unit_id, sample_id, v[1:4] AS w, v[1:32] AS a, v[33:64] AS b, row_number() OVER (PARTITION BY sample_id ORDER BY md5('2:' || unit_id), unit_id) - 1 AS place, count(*) OVER (PARTITION BY sample_id) AS m FROM units),
