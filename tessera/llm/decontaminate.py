@@ -5,8 +5,9 @@ document's.  An item's sketch is its floor((1 - THRESHOLD) * n) + 1 smallest shi
 COMMON items come after all others, so that what many items and documents share calls up few items: a document that contains the
 item lacks at most floor((1 - THRESHOLD) * n) shingles, so it has one of the sketch, and no containing document is
 missed however long it is.  Documents are partitioned by size, in powers of four of their words; an item is looked up
-only in the partitions whose documents can be large enough, and only with shingles whose hash is not above the largest
-of that partition's sketches.  What is found is then checked on the shingles themselves.
+only in the partitions whose documents can be large enough.  Each partition has marks, a bit for each hash of its
+sketches: shingles without one are passed over inside the document's array, the others become rows and are joined with the
+sketches, and what that finds is checked on the shingles themselves.
 
 All of it is DataFrame operations.  Words are lower-cased runs without white space and ASCII punctuation.
 
@@ -25,6 +26,8 @@ from tessera.llm.common import Scope, columns_for, materialise, maybe_broadcast
 SIZE, THRESHOLD = 5, 0.8
 CLASSES = 16
 COMMON = 8
+#: Words of marks that a size class may have; with more hashes than these can tell apart more shingles go on to the join.
+MARK_WORDS = 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -52,6 +55,20 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", "shingles", F.array_sort(F.transform("shingles", lambda s: F.xxhash64(*[F.xxhash64(F.split(s, " ")[i]) for i in range(SIZE)]))).alias("hashes"))
 
 
+def _mark(hash_: Column, n: Column) -> Column:
+    """The place of a hash among n words of marks, a power of two."""
+    return F.shiftrightunsigned(hash_, 6).bitwiseAND(n.cast("long") - 1).cast("int")
+
+
+def _marks(sketches: DataFrame) -> DataFrame:
+    """(class, marks): a bit set for each hash of the class's sketches, in about as many 64-bit words as it has hashes."""
+    n = sketches.groupBy("class").agg(F.least(F.lit(MARK_WORDS), F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.countDistinct("hash") - 1)))).alias("n"))
+    empty = n.select("class", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"), F.lit(0).cast("long").alias("word"))
+    bits = sketches.join(F.broadcast(n), "class").select("class", _mark(F.col("hash"), F.col("n")).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hash").bitwiseAND(63).cast("int")).alias("word"))
+    words_ = empty.unionByName(bits).groupBy("class", "at").agg(F.bit_or("word").alias("word"))
+    return materialise(words_.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).select("class", F.col("w.word").alias("marks")), "marks")
+
+
 def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment) of every document and item that it contains."""
     items = materialise(items_of(benchmark), "items")
@@ -63,17 +80,14 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sketches = each.join(common, "hash").withColumn("i", F.row_number().over(order)).where("i <= take").select("item_id", "least_words", "hash")
     sketches = sketches.distinct().select("item_id", "hash", F.explode(F.sequence(_size_class(F.col("least_words")), F.lit(CLASSES - 1))).alias("class"))
     sketches = materialise(sketches, "sketches")
-    highest = {r["class"]: r["h"] for r in sketches.groupBy("class").agg(F.max("hash").alias("h")).collect()}
-    reach = F.lit(None).cast("long")
-    for c, h in sorted(highest.items()):
-        reach = F.when(F.col("class") == c, F.lit(h)).otherwise(reach)
+    marks = F.broadcast(_marks(sketches))  # a row for each class, at most MARK_WORDS numbers
 
     source = columns_for(docs, "doc_id", "text").where("doc_id is not null")
     # arrays of numbers, not rows, until few shingles are left; the generator keeps the optimiser from putting the words'
     # hashes into the lambda below, where they would be computed again for each shingle
     split = source.select("doc_id", F.explode(F.array(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("words")).where(F.size("words") >= SIZE)
-    split = split.withColumn("class", _size_class(F.size("words"))).withColumn("reach", reach).where("reach is not null")
-    low = split.select("doc_id", "class", F.array_distinct(F.filter(_hashes("words"), lambda h: h <= F.col("reach"))).alias("low"))
+    split = split.withColumn("class", _size_class(F.size("words"))).join(marks, "class")
+    low = split.select("doc_id", "class", F.array_distinct(F.filter(_hashes("words"), lambda h: F.getbit(F.col("marks")[_mark(h, F.size("marks"))], h.bitwiseAND(63).cast("int")) == 1)).alias("low"))
     hashed = low.select("doc_id", "class", F.explode("low").alias("hash"))
     pairs = hashed.join(maybe_broadcast(sketches), ["class", "hash"]).select("doc_id", "item_id").distinct()
     pairs = materialise(pairs, "contained-candidates")
