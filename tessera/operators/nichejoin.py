@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import large
+
 UNIT = ["sample_id", "unit_id"]
 
 
@@ -27,9 +29,9 @@ def neighbourhood(edges: DataFrame, present: DataFrame, k: int) -> DataFrame:
     """(sample_id, unit_id, pos, member): exactly k + 1 members of each present unit, the unit first.  Neighbours that are
     not present are passed over; missing places are filled with the unit itself."""
     here = present.select(*UNIT).distinct()
-    others = edges.where("pos > 0").join(here.withColumnRenamed("unit_id", "neighbour"), ["sample_id", "neighbour"], "left_semi")
+    others = edges.where("pos > 0").join(large(here.withColumnRenamed("unit_id", "neighbour")), ["sample_id", "neighbour"], "left_semi")
     lists = others.groupBy(*UNIT).agg(F.array_sort(F.collect_list(F.struct("pos", "neighbour"))).alias("l"))
-    own = here.join(lists, UNIT, "left").withColumn("l", F.slice(F.transform(F.coalesce("l", F.array().cast("array<struct<pos:int,neighbour:bigint>>")), lambda x: x["neighbour"]), 1, k))
+    own = here.join(large(lists), UNIT, "left").withColumn("l", F.slice(F.transform(F.coalesce("l", F.array().cast("array<struct<pos:int,neighbour:bigint>>")), lambda x: x["neighbour"]), 1, k))
     members = F.concat(F.array("unit_id"), "l", F.array_repeat("unit_id", F.lit(k) - F.size("l")))
     return own.select(*UNIT, F.posexplode(members).alias("pos", "member"))
 
@@ -38,14 +40,14 @@ def pooled(members: DataFrame, assay: DataFrame, columns: list[str]) -> DataFram
     """Mean of each column over a unit's members, with multiplicity, missing values passed over; `support` counts the
     members that have a row."""
     rows = assay.select("sample_id", F.col("unit_id").alias("member"), *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
-    return members.join(rows.withColumn("__row", F.lit(1)), ["sample_id", "member"], "left").groupBy(*UNIT).agg(F.count("__row").alias("support"), *[F.avg(c).alias(c) for c in columns])
+    return members.join(large(rows.withColumn("__row", F.lit(1))), ["sample_id", "member"], "left").groupBy(*UNIT).agg(F.count("__row").alias("support"), *[F.avg(c).alias(c) for c in columns])
 
 
 def tokens(members: DataFrame, assay: DataFrame, vec: str) -> DataFrame:
     """(sample_id, unit_id, tokens): the members' vectors in order, the unit's own first; a unit with a member without
     a vector is refused, that is, left out."""
     rows = assay.select("sample_id", F.col("unit_id").alias("member"), F.col(vec).alias("__v"))
-    made = members.join(rows, ["sample_id", "member"], "left").groupBy(*UNIT).agg(F.array_sort(F.collect_list(F.struct("pos", "__v"))).alias("l"))
+    made = members.join(large(rows), ["sample_id", "member"], "left").groupBy(*UNIT).agg(F.array_sort(F.collect_list(F.struct("pos", "__v"))).alias("l"))
     return made.where(~F.exists("l", lambda x: x["__v"].isNull())).select(*UNIT, F.transform("l", lambda x: x["__v"]).alias("tokens"))
 
 

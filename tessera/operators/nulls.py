@@ -10,7 +10,7 @@ from tessera.functions import vectors as V
 from tessera.operators.permute import numbered, partner
 from tessera.operators.ranks import midranks
 from tessera.operators.statistics import null_shape, permuted
-from tessera.operators.tables import materialise
+from tessera.operators.tables import large, materialise
 
 
 def pairs(samples: DataFrame, vec: str = "v") -> DataFrame:
@@ -97,10 +97,10 @@ def morans_test(values: DataFrame, edges: DataFrame, n: int, seed: int) -> DataF
     z = z.join(means, "sample_id").select("sample_id", "unit_id", "place", "n", (F.col("value") - F.col("mean")).alias("z"))
     perms = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("perm")  # 0 is the observed order
     order = z.select("sample_id", "unit_id", "place", "n", perms).select("perm", "sample_id", "unit_id", partner(F.col("place"), F.col("n"), F.col("perm"), seed).alias("place"))
-    dealt = order.join(z.select("sample_id", "place", "z"), ["sample_id", "place"]).select("perm", "sample_id", "unit_id", "z")
+    dealt = order.join(large(z.select("sample_id", "place", "z")), ["sample_id", "place"]).select("perm", "sample_id", "unit_id", "z")
     weights = edges.where("unit_id <> neighbour").withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("sample_id", "unit_id")))
     other = dealt.select("perm", "sample_id", F.col("unit_id").alias("neighbour"), F.col("z").alias("zn"))
-    cross = weights.join(dealt, ["sample_id", "unit_id"]).join(other, ["perm", "sample_id", "neighbour"]).groupBy("perm", "sample_id").agg(F.sum(F.col("w") * F.col("z") * F.col("zn")).alias("c"), F.sum("w").alias("s0"))
+    cross = weights.join(large(dealt), ["sample_id", "unit_id"]).join(large(other), ["perm", "sample_id", "neighbour"]).groupBy("perm", "sample_id").agg(F.sum(F.col("w") * F.col("z") * F.col("zn")).alias("c"), F.sum("w").alias("s0"))
     own = z.groupBy("sample_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.first("n").alias("n"))
     i = cross.join(own, "sample_id").select("perm", "sample_id", "n", F.when(F.col("zz") > 0, F.col("n") / F.col("s0") * F.col("c") / F.col("zz")).otherwise(0.0).alias("i"))
     g = i.groupBy("sample_id", "n").agg(F.max(F.when(F.col("perm") == 0, F.col("i"))).alias("moran"), F.avg(F.when(F.col("perm") > 0, F.col("i"))).alias("null_mean"), F.stddev_pop(F.when(F.col("perm") > 0, F.col("i"))).alias("null_sd"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators.tables import materialise
+from tessera.operators.tables import large, materialise, maybe_broadcast
 
 #: Bytes of vectors on either side of a cell of a search, and rows of one product inside it.
 SIDE_BYTES, STRIPE = 16 << 20, 1024
@@ -195,7 +195,7 @@ def _located(known: DataFrame, k: int) -> DataFrame:
     boxes = box.select("sample_id", low["x"].alias("x0"), low["y"].alias("y0"), side.alias("side"))  # one row a sample
     last = (1 << DEPTH) - 1
     at = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(float(last)), F.floor((F.col(c) - F.col(f"{c}0")) / F.col("side") * float(1 << DEPTH)).cast("double"))).cast("long")
-    celled = places.join(boxes, "sample_id").select("sample_id", "x", "y", "ids", at("x").alias("ix"), at("y").alias("iy"), "side")
+    celled = places.join(large(boxes), "sample_id").select("sample_id", "x", "y", "ids", at("x").alias("ix"), at("y").alias("iy"), "side")
     coded = celled.withColumn("code", _spread(F.col("ix")).bitwiseOR(F.shiftleft(_spread(F.col("iy")), 1)))
     order = Window.partitionBy("sample_id").orderBy("code")
     run = coded.withColumn("__l", _shared_level(F.col("code"), F.lead("code", k).over(order)))
@@ -208,9 +208,10 @@ def _around(due: DataFrame, places: DataFrame) -> DataFrame:
     cell = lambda c: F.call_function("shiftright", F.col(c), F.lit(DEPTH) - F.col("level"))
     shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
     look = due.select("sample_id", "place", "x", "y", "level", "side", cell("ix").alias("cx"), cell("iy").alias("cy"), shifts).withColumns({"cx": F.col("cx") + F.col("s.i"), "cy": F.col("cy") + F.col("s.j")}).drop("s")
-    levels = due.groupBy("sample_id").agg(F.collect_set("level").alias("levels"))  # at most DEPTH a sample
-    held = places.join(levels, "sample_id").select("sample_id", F.explode("levels").alias("level"), "ix", "iy", F.col("x").alias("nx"), F.col("y").alias("ny"), "ids")
-    return look.join(held.select("sample_id", "level", cell("ix").alias("cx"), cell("iy").alias("cy"), "nx", "ny", "ids"), ["sample_id", "level", "cx", "cy"])
+    levels = maybe_broadcast(due.groupBy("sample_id").agg(F.collect_set("level").alias("levels")))  # at most DEPTH a sample
+    held = large(places).join(levels, "sample_id").select("sample_id", F.explode("levels").alias("level"), "ix", "iy", F.col("x").alias("nx"), F.col("y").alias("ny"), "ids")
+    rows = held.select("sample_id", "level", cell("ix").alias("cx"), cell("iy").alias("cy"), "nx", "ny", "ids")
+    return look.join(large(rows), ["sample_id", "level", "cx", "cy"])
 
 
 def _searched(due: DataFrame, places: DataFrame, k: int) -> DataFrame:
@@ -237,9 +238,9 @@ def spatial_neighbours(spots: DataFrame, k: int) -> DataFrame:
     known = spots.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))  # neither null nor nan nor infinite
     places = materialise(_located(known, k).withColumn("place", F.monotonically_increasing_id()), "places")
     first = materialise(_searched(places, places, k), "neighbours")
-    again = places.join(first.where("NOT settled").select("sample_id", "place"), ["sample_id", "place"], "left_semi").withColumn("level", F.greatest(F.col("level") - 1, F.lit(0)))
+    again = places.join(large(first.where("NOT settled").select("sample_id", "place")), ["sample_id", "place"], "left_semi").withColumn("level", F.greatest(F.col("level") - 1, F.lit(0)))
     lists = first.where("settled").select("sample_id", "place", "near").unionByName(_searched(again, places, k).select("sample_id", "place", "near"))
-    found = lists.join(places.select("sample_id", "place", "x", "y"), ["sample_id", "place"]).select("sample_id", "x", "y", "near")
+    found = lists.join(large(places.select("sample_id", "place", "x", "y")), ["sample_id", "place"]).select("sample_id", "x", "y", "near")
     own = F.slice(F.filter("near", lambda s: s["id"] != F.col("unit_id")), 1, k)
-    rows = known.join(found, ["sample_id", "x", "y"]).select("sample_id", "unit_id", F.posexplode(own).alias("pos", "s"))
+    rows = known.join(large(found), ["sample_id", "x", "y"]).select("sample_id", "unit_id", F.posexplode(own).alias("pos", "s"))
     return rows.select("sample_id", "unit_id", (F.col("pos") + 1).alias("pos"), F.col("s.id").alias("neighbour")).unionByName(spots.select("sample_id", "unit_id", F.lit(0).alias("pos"), F.col("unit_id").alias("neighbour")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranks import before
+from tessera.operators.tables import large
 
 
 def draw(*parts: Column | str) -> Column:
@@ -107,7 +108,7 @@ def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
     z = values.join(means, "sample_id").select("sample_id", "unit_id", "n", (F.col("value") - F.col("m")).alias("z"))
     weights = edges.where("unit_id <> neighbour").withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("sample_id", "unit_id")))
     other = z.select("sample_id", F.col("unit_id").alias("neighbour"), F.col("z").alias("zn"))
-    cross = weights.join(z.drop("n"), ["sample_id", "unit_id"]).join(other, ["sample_id", "neighbour"]).groupBy("sample_id").agg(F.sum(F.col("w") * F.col("z") * F.col("zn")).alias("c"), F.sum("w").alias("s0"))
+    cross = weights.join(large(z.drop("n")), ["sample_id", "unit_id"]).join(large(other), ["sample_id", "neighbour"]).groupBy("sample_id").agg(F.sum(F.col("w") * F.col("z") * F.col("zn")).alias("c"), F.sum("w").alias("s0"))
     own = z.groupBy("sample_id").agg(F.sum(F.col("z") * F.col("z")).alias("zz"), F.first("n").alias("n"))
     i = F.when(F.col("zz") > 0, F.col("n") / F.col("s0") * F.col("c") / F.col("zz")).otherwise(0.0)
     return own.join(cross, "sample_id").select("sample_id", "n", i.alias("moran"))

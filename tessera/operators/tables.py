@@ -37,6 +37,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """`df`, a side that grows with the units, so that its join shuffles.  Spark takes an exploded row for one row and a
+    column of a compressed file for a few bytes, and would send such sides through the driver."""
+    return df.hint("merge")
+
+
 def maybe_broadcast(df: DataFrame, rows: int = 200_000, most: int = 64 << 20) -> DataFrame:
     """`df`, a written table, with a broadcast hint if it is small in rows and bytes, which is measured; else unchanged."""
     if not df.columns:

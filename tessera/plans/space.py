@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import gram, nichejoin, similarity, statistics
+from tessera.operators.tables import large
 from tessera.plans.tables import spots, table, units, views, with_
 
 K = 6
@@ -176,7 +177,7 @@ def lattice_spacing(spark: SparkSession, d: str) -> DataFrame:
     s = spots(spark, d)
     near = similarity.spatial_neighbours(s, 1).where("pos = 1")
     other = s.select("sample_id", F.col("unit_id").alias("neighbour"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    dist = near.join(s, ["sample_id", "unit_id"]).join(other, ["sample_id", "neighbour"]).select("sample_id", F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2).alias("dist"))
+    dist = near.join(large(s), ["sample_id", "unit_id"]).join(large(other), ["sample_id", "neighbour"]).select("sample_id", F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2).alias("dist"))
     g = dist.groupBy("sample_id").agg(F.median("dist").alias("spacing"), F.min("dist").alias("least"), F.max("dist").alias("most"))
     return g.select("sample_id", *[F.round(c, 6).alias(c) for c in ("spacing", "least", "most")], (F.abs(F.col("spacing") - 2.0) / 2.0 > 0.02).alias("escalate"))
 

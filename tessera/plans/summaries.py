@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import nulls, profiles, setscore, similarity, statistics
+from tessera.operators.tables import materialise
 from tessera.plans.evidence import _ring
 from tessera.plans.space import _edges, _members
 from tessera.plans.studies import _pooled, _subjects
@@ -76,7 +77,7 @@ def sample_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 def autocorrelation_summary(spark: SparkSession, d: str) -> DataFrame:
     """Moran's I of five features of the customers over their nations."""
-    s, edges = spots(spark, d), _edges(spark, d)
+    s, edges = spots(spark, d), materialise(_edges(spark, d), "edges")
     features = {"value": F.col("value"), "x": F.col("x"), "y": F.col("y"), "rich": (F.col("value") > 5000).cast("double"), "sum": F.col("x") + F.col("y")}
     m = None
     for name, c in features.items():

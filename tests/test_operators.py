@@ -1,11 +1,15 @@
 """Cases with known results, and properties that must hold."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import constraints, evidence, gram, learning, nichejoin, nulls, rules, setscore, similarity, statistics, units
+from tessera.operators import constraints, evidence, gram, learning, ledger, nichejoin, nulls, rules, setscore, similarity, statistics, units
+from tessera.operators.tables import materialise
 from tessera.sources import readers
 
 
@@ -348,3 +352,16 @@ def test_roles_name_all_that_is_missing(spark):
         units.mapped(spark.range(1), {"a": "x", "b": "y", "c": "id"})
     df = spark.createDataFrame([(0.2, 0.5, None), (0.3, 0.3, 0.4), (None, None, None), (0.6, 0.6, 0.1)], "p double, q double, r double")
     assert [r[0] for r in df.select(units.dominant({c: F.col(c) for c in "pqr"}, 0.45)).collect()] == ["q", "mixed", None, "p"]
+
+
+def test_neighbour_search_shuffles_what_grows_with_the_units(spark):
+    rows = [(i % 3, i, float(i % 17), float(i % 13)) for i in range(300)]
+    df = spark.createDataFrame(rows, "sample_id int, unit_id long, x double, y double")
+    places = materialise(similarity._located(df, 2).withColumn("place", F.monotonically_increasing_id()), "places")
+    plan = similarity._around(places, places)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [sample_id" in plan and plan.count("BroadcastExchange") <= 2, plan  # the samples' levels alone, in both shapes of the adaptive plan
+    value = df.withColumn("value", F.col("x"))
+    edges = materialise(similarity.spatial_neighbours(df, 2), "edges")
+    written = materialise(value, "values")
+    plan = nichejoin.tokens(materialise(nichejoin.neighbourhood(edges, written, 2), "members"), written.withColumn("v", F.array("x")), "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan
