@@ -13,9 +13,10 @@ def stable_id(*parts: str) -> Column:
     return F.substring(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256), 1, 12)
 
 
-def append_new(ledger: DataFrame, records: DataFrame) -> DataFrame:
-    """ledger and those records whose record_id it lacks, one of each."""
-    return ledger.unionByName(records.dropDuplicates(["record_id"]).join(ledger.select("record_id"), "record_id", "left_anti").select(ledger.columns))
+def append_new(ledger: DataFrame, records: DataFrame, told_apart: tuple[str, ...] = ()) -> DataFrame:
+    """ledger and those records whose record_id it lacks, one of each.  An id is a shortened hash, so different content can
+    have the same; records that differ in `told_apart` are both new."""
+    return ledger.unionByName(records.dropDuplicates(["record_id", *told_apart]).join(ledger.select("record_id"), "record_id", "left_anti").select(ledger.columns))
 
 
 def summary(records: DataFrame) -> DataFrame:

@@ -365,3 +365,11 @@ def test_neighbour_search_shuffles_what_grows_with_the_units(spark):
     written = materialise(value, "values")
     plan = nichejoin.tokens(materialise(nichejoin.neighbourhood(edges, written, 2), "members"), written.withColumn("v", F.array("x")), "v")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan, plan
+
+
+def test_records_with_one_shortened_id_are_told_apart(spark):
+    old = spark.createDataFrame([("a", "error")], "record_id string, kind string")
+    new = spark.createDataFrame([("a", "view"), ("b", "view"), ("b", "view"), ("b", "click")], "record_id string, kind string")
+    got = sorted(tuple(r) for r in ledger.append_new(old, new, ("kind",)).collect())
+    assert got == [("a", "error"), ("b", "click"), ("b", "view")]
+    assert ledger.append_new(old, new).count() == 2
