@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators.tables import large, materialise, maybe_broadcast
 
-#: Bytes of vectors on either side of a cell of a search, and rows of one product inside it.
-SIDE_BYTES, STRIPE = 16 << 20, 1024
+#: Bytes of vectors on either side of a cell of a search, and rows and columns of one product inside it.
+SIDE_BYTES, STRIPE, ACROSS = 8 << 20, 512, 2048
 
 
 def _groups(df: DataFrame, vec: str) -> int:
@@ -40,6 +40,25 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _first(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The first k (row, column, product) of each row, by product, rounded, then column."""
+    row, col, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((col, -np.round(s, 12), row))
+    row, col, s = row[order], col[order], s[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], s[keep]
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, ids: np.ndarray, own: np.ndarray, to: int, k: int) -> tuple[np.ndarray, ...]:
+    """The first k (row, column, product) of each row of `a` among ACROSS columns of `b` from `to` on."""
+    s = a @ b[:, to : to + ACROSS]
+    s[ids[:, None] == own[None, to : to + ACROSS]] = -np.inf
+    r = np.round(s, 12)
+    least = np.partition(r, -k, axis=1)[:, -k] if s.shape[1] > 4 * k else np.full(len(s), -np.inf)  # all that reach the k-th are ordered, so that ties stay
+    row, col = np.nonzero((r >= least[:, None]) & np.isfinite(s))
+    return _first([(row, to + col, s[row, col])], k)
+
+
 def nearest_vectors(units: DataFrame, k: int, queries: DataFrame | None = None, vec: str = "v") -> DataFrame:
     """(unit_id, pos, neighbour, similarity): the k most similar other units by cosine, ties by id.  Exact: executors pair
     groups of queries with groups of units and send k candidates for each query and group."""
@@ -52,19 +71,8 @@ def nearest_vectors(units: DataFrame, k: int, queries: DataFrame | None = None,
             by_id = np.argsort(own, kind="stable")
             own, b = own[by_id], b[:, by_id]
             for at in range(0, len(ids), STRIPE):
-                s = a[at : at + STRIPE] @ b
-                s[ids[at : at + STRIPE, None] == own[None, :]] = -np.inf
-                r = np.round(s, 12)
-                if s.shape[1] > 4 * k:  # all that reach the k-th are ordered, so that ties stay
-                    least = np.partition(r, -k, axis=1)[:, -k]
-                    row, col = np.nonzero(r >= least[:, None])
-                else:
-                    row, col = np.nonzero(np.isfinite(s))
-                order = np.lexsort((col, -r[row, col], row))
-                row, col = row[order], col[order]
-                first = np.searchsorted(row, np.arange(len(s)))
-                keep = (np.arange(len(row)) - first[row] < k) & np.isfinite(s[row, col])
-                out.append((ids[at + row[keep]], own[col[keep]], s[row[keep], col[keep]]))
+                top = _first([_candidates(a[at : at + STRIPE], b, ids[at : at + STRIPE], own, to, k) for to in range(0, len(own), ACROSS)], k)
+                out.append((ids[at + top[0]], own[top[1]], top[2]))
         parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"unit_id": pa.array(parts[0], pa.int64()), "neighbour": pa.array(parts[1], pa.int64()), "similarity": pa.array(parts[2], pa.float64())})
 
@@ -96,11 +104,13 @@ def retrieval(units: DataFrame, left: str, right: str, keys: list[str] | None =
             a, b = _matrix(q, left), _matrix(u, right).T
             for at in range(0, len(ids), STRIPE):
                 part = slice(at, at + STRIPE)
-                s = np.clip(a[part] @ b, -1, 1)
-                other = (ids[part, None] != own[None, :]) & (kq[part, None] == ku[None, :])
-                apart = np.round(s, 12) - m[part, None]
-                for x, y in zip(out, ((apart > 1e-12) & other, (np.abs(apart) <= 1e-12) & other, np.where(other, s, 0), other), strict=True):
-                    x[part] = y.sum(axis=1)
+                for to in range(0, len(own), ACROSS):
+                    some = slice(to, to + ACROSS)
+                    s = np.clip(a[part] @ b[:, some], -1, 1)
+                    other = (ids[part, None] != own[None, some]) & (kq[part, None] == ku[None, some])
+                    apart = np.round(s, 12) - m[part, None]
+                    for x, y in zip(out, ((apart > 1e-12) & other, (np.abs(apart) <= 1e-12) & other, np.where(other, s, 0), other), strict=True):
+                        x[part] += y.sum(axis=1)
         return pa.table({"unit_id": pa.array(ids, pa.int64()), **{c: pa.array(x) for c, x in zip(("above", "tied", "total", "n"), out, strict=True)}})
 
     asked = both.select("unit_id", left, "matched", code.alias("k"))

@@ -367,6 +367,29 @@ def test_neighbour_search_shuffles_what_grows_with_the_units(spark):
     assert "Broadcast" not in plan, plan
 
 
+def test_products_of_a_search_stay_small(spark, monkeypatch):
+    """The memory of a task doesn't follow the number of units it searches."""
+    rng, works = np.random.default_rng(4), []
+    monkeypatch.setattr(similarity, "in_cells", lambda q, u, a, b, work, schema: works.append(work) or spark.createDataFrame([], schema))
+    df = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 1.0])], "unit_id long, v array<double>, w array<double>")
+    similarity.nearest_vectors(df, 3)
+    similarity.retrieval(df, "v", "w")
+    x = rng.integers(-3, 4, (30_000, 2)).astype(float)
+    table = pa.table({"unit_id": np.arange(len(x)), "v": list(x), "w": list(x[:, ::-1]), "matched": np.zeros(len(x)), "k": np.zeros(len(x), np.int64)})
+    for work in works:
+        tracemalloc.start()
+        got = work(table.slice(0, 600), table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6 and got.num_rows in (600, 1800), peak
+    own = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    near = works[0](table.slice(0, 5), table).to_pylist()
+    for i in range(5):
+        s = np.round(own @ own[i], 12)
+        s[i] = -np.inf
+        assert [r["neighbour"] for r in near if r["unit_id"] == i] == np.lexsort((np.arange(len(s)), -s))[:3].tolist()
+
+
 def test_records_with_one_shortened_id_are_told_apart(spark):
     old = spark.createDataFrame([("a", "error")], "record_id string, kind string")
     new = spark.createDataFrame([("a", "view"), ("b", "view"), ("b", "view"), ("b", "click")], "record_id string, kind string")
