@@ -286,6 +286,20 @@ def test_near_duplicates_against_brute_force(spark, docs, awkward):
     assert Counter(r["doc_id"] for r in one) == {1: 1, 2: 1, 4: 1, 6: 1, 8: 1, None: 1}
 
 
+def test_only_what_most_of_a_run_of_rows_have_is_counted(spark, monkeypatch):
+    """Edits of their own make no rows in a large bucket; what more than half of it have is taken into the centre."""
+    made, plain = {}, neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, name, *a: made.setdefault(name, plain(df, name, *a)))
+    common = {1001: range(400), 1003: range(250), 1005: range(200), 1007: range(0, 400, 3)}
+    rows = [(7, i, 0.0, 9.0, 50.0, [e for e, of in common.items() if i in of] + [10_001 + 40 * i + 2 * j for j in range(20)]) for i in range(400)]
+    rows = [(*r, [1.0] * len(r[5])) for r in rows] + [(8, 900, 0.0, 9.0, 50.0, [1001, 5], [1.0, 1.0])]
+    members = spark.createDataFrame(rows, "bucket long, node long, share double, weight double, centre double, elements array<long>, weights array<double>").repartition(3)
+    got = {(r["bucket"], r["node"]): r for r in neardup.recentred(members).collect()}
+    assert sorted(made["taken"].where("bucket = 7").first()["taken"]) == [1001, 1003]
+    assert sum(len(r["asked"]) for r in made["likely"].collect()) < 20
+    assert len(got) == 401 and got[7, 300]["centre"] == 52.0 and sorted(got[7, 300]["elements"]) == [1002, 1007, *range(22_001, 22_041, 2)]
+
+
 @pytest.mark.parametrize("few", [1, 3, neardup.FEW])
 def test_large_groups_of_edited_copies(spark, monkeypatch, few):
     """Groups of copies with private, shared and repeated edits, with and without their original: no link is lost."""
