@@ -21,8 +21,12 @@ def before(rows: DataFrame, keys: list[str], value: str, weight: str, name: str
     return both.withColumn(name, F.col("__earlier") + F.col("__inside")).select(*rows.columns, name)
 
 
+def value_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, value, name): the mean rank, from 1, of each different value within `keys` among the rows that have one."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__t"))
+    return before(counts, keys, value, "__t", "__b").select(*keys, value, (F.col("__b") + (F.col("__t") + 1) / 2).alias(name))
+
+
 def midranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """rows with the mean rank, from 1, of each value within `keys`; a missing value has none."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__t"))
-    placed = before(counts, keys, value, "__t", "__b").select(*keys, value, (F.col("__b") + (F.col("__t") + 1) / 2).alias(name))
-    return rows.join(placed, [*keys, value], "left").select(*rows.columns, name)
+    return rows.join(value_ranks(rows, keys, value, name), [*keys, value], "left").select(*rows.columns, name)

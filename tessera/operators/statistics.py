@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranks import before
-from tessera.operators.tables import large
+from tessera.operators.ranks import RUN, before, value_ranks
+from tessera.operators.tables import dealt, large, materialise, maybe_broadcast
 
 
 def draw(*parts: Column | str) -> Column:
@@ -115,13 +115,22 @@ def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(keys, n, rho): correlation of average ranks within groups."""
-    w = Window.partitionBy(*keys)
-
-    def ranks(c: str) -> Column:
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
-
-    return df.select(*keys, ranks(a).alias("ra"), ranks(b).alias("rb")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho"))
+    """(keys, n, rho): correlation of average ranks within groups, missing values first.  Groups of up to RUN rows are ranked
+    each in one task, which holds few of them; if one is larger, all are ranked in ranges of the values' order."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (sizes[1] or 0) <= RUN:
+        w = Window.partitionBy(*keys)
+
+        def ranks(c: str) -> Column:
+            return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
+
+        rows = dealt(df.select(*keys, a, b), sizes[0] or 0, *keys) if keys else df
+        return rows.select(*keys, ranks(a).alias("ra"), ranks(b).alias("rb")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho"))
+    whole = lambda *c: F.struct(F.lit(0).alias("__all"), *c)  # never missing, so that missing keys and values join too
+    rows = df.select(whole(*keys).alias("__k"), whole(a).alias("__x"), whole(b).alias("__y"))
+    for c in ("__x", "__y"):
+        rows = rows.join(maybe_broadcast(materialise(value_ranks(rows.select("__k", c), ["__k"], c, f"{c}r"), "ranks")), ["__k", c])
+    return rows.groupBy("__k").agg(F.count(F.lit(1)).alias("n"), F.corr("__xr", "__yr").alias("rho")).select(*[F.col(f"__k.{k}") for k in keys], "n", "rho")
 
 
 def auc(scores: DataFrame) -> DataFrame:

@@ -43,10 +43,21 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of one task of a shuffle that is dealt by rows.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df`, shuffled by `keys` into tasks of about TASK_ROWS of `rows`, however many partitions the session sets, so that a
+    task's sorts and hash tables don't grow with the input.  What fits one task is left as it is."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
+
+
 def maybe_broadcast(df: DataFrame, rows: int = 200_000, most: int = 64 << 20) -> DataFrame:
-    """`df`, a written table, with a broadcast hint if it is small in rows and bytes, which is measured; else unchanged."""
+    """`df`, a written table, with a broadcast hint if it is small in rows and bytes, which is measured; else as a `large` one."""
     if not df.columns:
         return df
     size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held <= most else df
+    return F.broadcast(df) if n <= rows and held <= most else large(df)

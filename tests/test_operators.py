@@ -396,3 +396,14 @@ def test_records_with_one_shortened_id_are_told_apart(spark):
     got = sorted(tuple(r) for r in ledger.append_new(old, new, ("kind",)).collect())
     assert got == [("a", "error"), ("b", "click"), ("b", "view")]
     assert ledger.append_new(old, new).count() == 2
+
+
+def test_ranks_of_large_groups_are_those_of_small_ones(spark, monkeypatch):
+    rows = [(g, float(i * 7 % 5), None if i % 9 == 0 else float(i * i % 11)) for g in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    one = {r["g"]: (r["n"], r["rho"]) for r in statistics.spearman(df, ["g"], "a", "b").collect()}
+    monkeypatch.setattr(statistics, "RUN", 10)
+    got = statistics.spearman(df, ["g"], "a", "b")
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # no group is ranked in one task
+    many = {r["g"]: (r["n"], r["rho"]) for r in got.collect()}
+    assert set(one) == set(many) == {"a", "b", None} and all(many[g][0] == n and many[g][1] == pytest.approx(rho) for g, (n, rho) in one.items())
