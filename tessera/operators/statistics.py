@@ -104,7 +104,7 @@ def welch(df: DataFrame, group: str, value: str, first: object, second: object,
 def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(sample_id, n, moran): spatial autocorrelation with weights 1 / k over each unit's listed neighbours (itself left
     out); a constant sample has 0."""
-    means = values.groupBy("sample_id").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
+    means = maybe_broadcast(materialise(values.groupBy("sample_id").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")), "means"))  # Spark may take the units for the smaller side
     z = values.join(means, "sample_id").select("sample_id", "unit_id", "n", (F.col("value") - F.col("m")).alias("z"))
     weights = edges.where("unit_id <> neighbour").withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("sample_id", "unit_id")))
     other = z.select("sample_id", F.col("unit_id").alias("neighbour"), F.col("z").alias("zn"))

@@ -407,3 +407,13 @@ def test_ranks_of_large_groups_are_those_of_small_ones(spark, monkeypatch):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # no group is ranked in one task
     many = {r["g"]: (r["n"], r["rho"]) for r in got.collect()}
     assert set(one) == set(many) == {"a", "b", None} and all(many[g][0] == n and many[g][1] == pytest.approx(rho) for g, (n, rho) in one.items())
+
+
+def test_moran_means_go_to_the_units(spark, tmp_path):
+    """Spark takes a written table's units for smaller than their means and would broadcast them."""
+    spark.range(3000).selectExpr("id % 3 AS sample_id", "id AS unit_id", "cast(id % 7 AS double) AS value").write.parquet(f"{tmp_path}/v")
+    v = spark.read.parquet(f"{tmp_path}/v")
+    edges = v.select("sample_id", "unit_id", ((F.col("unit_id") + 3) % 3000).alias("neighbour"))
+    got = statistics.morans_i(v, edges)
+    assert got.count() == 3
+    assert "rightHint=(strategy=broadcast)" in got._jdf.queryExecution().optimizedPlan().toString()
