@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.operators.tables import materialise
+from tessera.operators.tables import dealt, materialise
 
 UNIT = ["sample_id", "unit_id"]
 
@@ -53,16 +53,25 @@ def gene_axis(counts: DataFrame, mapping: DataFrame, how: str, unmapped: str) ->
     return out.select(*UNIT, "symbol", "count")
 
 
-def member_sums(members: DataFrame, counts: DataFrame) -> DataFrame:
-    """(sample_id, unit_id, gene, count): raw counts added up over the members of each unit's niche."""
-    rows = counts.select("sample_id", F.col("unit_id").alias("member"), "gene", "count")
-    return members.join(rows, ["sample_id", "member"]).groupBy(*UNIT, "gene").agg(F.sum("count").alias("count"))
+def member_sums(members: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
+    """(sample_id, unit_id, gene, count): raw counts added up over the members of each unit's niche, about k + 1."""
+    return _of_members(members, counts, "count", k).groupBy(*UNIT, "gene").agg(F.sum("count").alias("count"))
+
+
+def _of_members(members: DataFrame, values: DataFrame, value: str, k: int) -> DataFrame:
+    """(sample_id, unit_id, gene, value): the members' rows, dealt by unit, so that what is done by unit needs no other shuffle
+    and no task holds more rows as there are more."""
+    n = values.count()
+    rows = values.select("sample_id", F.col("unit_id").alias("member"), "gene", value)
+    pulled = dealt(members, n, "sample_id", "member").join(dealt(rows, n, "sample_id", "member"), ["sample_id", "member"]).select(*UNIT, "gene", value)
+    return dealt(pulled, (k + 1) * n, *UNIT)
 
 
 def log_normalise(counts: DataFrame, target: float, floor: float = 1.0) -> DataFrame:
     """log1p(count * target / max(library, floor)) within a unit."""
-    library = counts.groupBy(*UNIT).agg(F.sum("count").alias("__library"))
-    return counts.join(library, UNIT).withColumn("value", F.log1p(F.col("count") * target / F.greatest("__library", F.lit(floor)))).drop("__library")
+    library = F.sum("count").over(Window.partitionBy(*UNIT))
+    known = counts.where(" AND ".join(f"{c} IS NOT NULL" for c in UNIT))
+    return known.withColumn("value", F.log1p(F.col("count") * target / F.greatest(library, F.lit(floor))))
 
 
 def niche_qc(counts: DataFrame, least_total: float, least_detected: int) -> DataFrame:
@@ -74,8 +83,7 @@ def niche_qc(counts: DataFrame, least_total: float, least_detected: int) -> Data
 def variability(members: DataFrame, values: DataFrame, k: int) -> DataFrame:
     """(sample_id, unit_id, gene, mean, ratio): over the k + 1 members of a niche, zeros included, the median absolute
     deviation from the median over the mean.  Zeros are never stored: lists are filled up to k + 1."""
-    rows = values.select("sample_id", F.col("unit_id").alias("member"), "gene", "value")
-    lists = members.join(rows, ["sample_id", "member"]).groupBy(*UNIT, "gene").agg(F.collect_list("value").alias("l"))
+    lists = _of_members(members, values, "value", k).groupBy(*UNIT, "gene").agg(F.collect_list("value").alias("l"))
     full = F.array_sort(F.concat("l", F.array_repeat(F.lit(0.0), F.lit(k + 1) - F.size("l"))))
     middle = lambda c: (F.element_at(c, F.floor((F.size(c) + 1) / 2).cast("int")) + F.element_at(c, F.ceil((F.size(c) + 1) / 2).cast("int"))) / 2
     made = lists.withColumn("f", full).withColumn("med", middle(F.col("f")))

@@ -49,9 +49,9 @@ TASK_ROWS = 250_000
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """`df`, shuffled by `keys` into tasks of about TASK_ROWS of `rows`, however many partitions the session sets, so that a
-    task's sorts and hash tables don't grow with the input.  What fits one task is left as it is."""
-    n = -(-rows // TASK_ROWS)
-    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
+    task's sorts and hash tables don't grow with the input.  What fits a few tasks is left as it is."""
+    n, spark = -(-rows // TASK_ROWS), df.sparkSession
+    return df.repartition(max(n, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys) if n > 4 else df
 
 
 def maybe_broadcast(df: DataFrame, rows: int = 200_000, most: int = 64 << 20) -> DataFrame:

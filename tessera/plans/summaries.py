@@ -28,19 +28,22 @@ def niche_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def background_floor(spark: SparkSession, d: str) -> DataFrame:
-    v = setscore.variability(_ring(spark, d), setscore.log_normalise(counts(spark, d), 1e4), 2)
+    c = counts(spark, d)
+    v = setscore.variability(_ring(c), setscore.log_normalise(c, 1e4), 2)
     return profiles.background(v, 12).groupBy("sample_id", "kept").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("genes"))
 
 
 def foreground_sets(spark: SparkSession, d: str) -> DataFrame:
-    v = setscore.variability(_ring(spark, d), setscore.log_normalise(counts(spark, d), 1e4), 2)
+    c = counts(spark, d)
+    v = setscore.variability(_ring(c), setscore.log_normalise(c, 1e4), 2)
     s = profiles.gene_sets(setscore.foreground(v.withColumn("ratio", F.round("ratio", 9)), 0.25, 5))
     return s.select("sample_id", "unit_id", F.concat_ws(",", "genes").alias("genes"))
 
 
 def niche_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Counts added up over niches, then normalised."""
-    n = setscore.log_normalise(setscore.member_sums(_ring(spark, d), counts(spark, d)), 1e4)
+    c = counts(spark, d)
+    n = setscore.log_normalise(setscore.member_sums(_ring(c), c), 1e4)
     return n.groupBy("sample_id", "unit_id").agg(F.count(F.lit(1)).alias("genes"), F.round(F.sum("value"), 4).alias("value"))
 
 

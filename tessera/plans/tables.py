@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import dealt, large, materialise
+
 SQL = {
     "spots": "spots AS (SELECT c_nationkey AS sample_id, c_custkey AS unit_id, (c_custkey * 7919 % 1000)::DOUBLE / 10 AS x, (c_custkey * 104729 % 997)::DOUBLE / 10 AS y, c_acctbal AS value, c_mktsegment AS label FROM customer)",
     "knn": """knn AS (SELECT sample_id, unit_id, neighbour, pos FROM (SELECT a.sample_id, a.unit_id, b.unit_id AS neighbour, row_number() OVER (PARTITION BY a.sample_id, a.unit_id
@@ -40,8 +42,12 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as units of their customer's nation, parts as genes."""
+    """Orders as units of their customer's nation, parts as genes: written, as most queries use them several times, by tasks
+    of about as many lines each."""
+    lines = table(spark, sf_dir, "lineitem")
+    n = lines.count()
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_custkey").alias("c_custkey"))
     units = orders.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("sample_id")), "c_custkey").drop("c_custkey")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.concat(F.lit("G"), "l_partkey").alias("gene"), "l_quantity")
-    return rows.join(units, "unit_id").groupBy("sample_id", "unit_id", "gene").agg(F.sum("l_quantity").alias("count"))
+    rows = lines.select(F.col("l_orderkey").alias("unit_id"), F.concat(F.lit("G"), "l_partkey").alias("gene"), "l_quantity")
+    both = dealt(rows, n, "unit_id").join(dealt(large(units), n, "unit_id"), "unit_id")
+    return materialise(both.groupBy("sample_id", "unit_id", "gene").agg(F.sum("l_quantity").alias("count")), "counts")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import constraints, evidence, gram, learning, ledger, nichejoin, nulls, rules, setscore, similarity, statistics, units
+from tessera.operators import constraints, evidence, gram, learning, ledger, nichejoin, nulls, rules, setscore, similarity, statistics, tables, units
 from tessera.operators.tables import materialise
 from tessera.sources import readers
 
@@ -417,3 +417,13 @@ def test_moran_means_go_to_the_units(spark, tmp_path):
     got = statistics.morans_i(v, edges)
     assert got.count() == 3
     assert "rightHint=(strategy=broadcast)" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """A join by unit and what is done by unit after it run in tasks whose number grows with the rows, in one shuffle of the members' rows."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    values = spark.range(300).selectExpr("cast(id % 2 AS int) AS sample_id", "id % 100 AS unit_id", "concat('G', id) AS gene", "cast(1 AS double) AS count")
+    members = spark.range(300).selectExpr("cast(id % 2 AS int) AS sample_id", "id % 100 AS unit_id", "(id % 100 + 2 * (id % 3)) % 100 AS member")
+    got = setscore.member_sums(members, values)
+    assert got.rdd.getNumPartitions() == 90
+    assert got.groupBy("sample_id", "unit_id").agg(F.sum("count").alias("s")).agg(F.sum("s")).first()[0] == 900
