@@ -93,7 +93,7 @@ def morans_test(values: DataFrame, edges: DataFrame, n: int, seed: int) -> DataF
     unit's partner is computed, see `permute`), and p from both tails of the normal distribution.  A sample whose nulls
     don't vary, as one that is constant or of mutual neighbours only, has z 0 and p 1."""
     z = materialise(numbered(values.select("sample_id", "unit_id", "value"), ["sample_id"], ["unit_id"]), "moran-values")
-    means = maybe_broadcast(materialise(z.groupBy("sample_id").agg(F.avg("value").alias("mean")), "means"))
+    means = maybe_broadcast(large(materialise(z.groupBy("sample_id").agg(F.avg("value").alias("mean")), "means")))
     z = z.join(means, "sample_id").select("sample_id", "unit_id", "place", "n", (F.col("value") - F.col("mean")).alias("z"))
     perms = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("perm")  # 0 is the observed order
     order = z.select("sample_id", "unit_id", "place", "n", perms).select("perm", "sample_id", "unit_id", partner(F.col("place"), F.col("n"), F.col("perm"), seed).alias("place"))

@@ -104,7 +104,7 @@ def welch(df: DataFrame, group: str, value: str, first: object, second: object,
 def morans_i(values: DataFrame, edges: DataFrame) -> DataFrame:
     """(sample_id, n, moran): spatial autocorrelation with weights 1 / k over each unit's listed neighbours (itself left
     out); a constant sample has 0."""
-    means = maybe_broadcast(materialise(values.groupBy("sample_id").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")), "means"))  # Spark may take the units for the smaller side
+    means = maybe_broadcast(large(materialise(values.groupBy("sample_id").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")), "means")))  # Spark may take the units for the smaller side
     z = values.join(means, "sample_id").select("sample_id", "unit_id", "n", (F.col("value") - F.col("m")).alias("z"))
     weights = edges.where("unit_id <> neighbour").withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("sample_id", "unit_id")))
     other = z.select("sample_id", F.col("unit_id").alias("neighbour"), F.col("z").alias("zn"))
@@ -129,7 +129,7 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     whole = lambda *c: F.struct(F.lit(0).alias("__all"), *c)  # never missing, so that missing keys and values join too
     rows = df.select(whole(*keys).alias("__k"), whole(a).alias("__x"), whole(b).alias("__y"))
     for c in ("__x", "__y"):
-        rows = rows.join(maybe_broadcast(materialise(value_ranks(rows.select("__k", c), ["__k"], c, f"{c}r"), "ranks")), ["__k", c])
+        rows = rows.join(maybe_broadcast(large(materialise(value_ranks(rows.select("__k", c), ["__k"], c, f"{c}r"), "ranks"))), ["__k", c])
     return rows.groupBy("__k").agg(F.count(F.lit(1)).alias("n"), F.corr("__xr", "__yr").alias("rho")).select(*[F.col(f"__k.{k}") for k in keys], "n", "rho")
 
 
