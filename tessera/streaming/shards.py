@@ -2,69 +2,34 @@
 
 A shard is a unit of work that is tried up to `attempts` times: done once any of its records says so, failed after that many
 failures without one, otherwise running or, after a failure, waiting to be tried again.  One that has been neither done nor
-failed for `silent` milliseconds of event time has stalled; a timer says so, as no record does.  State is one row a shard
-and doesn't depend on the order of records within a batch; a restart goes on from the checkpoint."""
+failed for `silent` milliseconds of event time has stalled, which no record says: each row carries the time at which it is
+due, and who reads it compares that with the latest time seen.  State is one row of aggregates a shard, which executors keep
+without calling Python, and doesn't depend on the order of records; a restart goes on from the checkpoint."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Kinds of records that the status depends on; any other only shows that the shard is alive.
 DONE, FAILED = "done", "failed"
-STATUS = "shard string, status string, failures int, last_ms long, version long"
+STATUS = "shard string, status string, failures int, last_ms long, due long, clock long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Shards(StatefulProcessor):
-    def __init__(self, attempts: int, silent: int) -> None:
-        self.attempts, self.silent = attempts, silent
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("shard", "done boolean, failures int, last_ms long, last_id long, last_failed boolean, version long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        done, failures, last, failed, version = False, 0, (-(1 << 62), -1), False, 0
-        if self.state.exists():
-            done, failures, ms, at, failed, version = self.state.get()
-            last = (ms, at)
-        for r in rows:
-            done = done or r["kind"] == DONE
-            failures += r["kind"] == FAILED
-            if (r["ms"], r["id"]) > last:
-                last, failed = (r["ms"], r["id"]), r["kind"] == FAILED
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.state.update((done, failures, last[0], last[1], failed, version + 1))
-        if done:
-            status = "done"
-        elif failures >= self.attempts:
-            status = "failed"
-        else:
-            status = "retry" if failed else "running"
-            self.handle.registerTimer(last[0] + self.silent)
-        yield Row(shard=key[0], status=status, failures=failures, last_ms=last[0], version=version + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        done, failures, ms, at, failed, version = self.state.get()
-        self.state.update((done, failures, ms, at, failed, version + 1))
-        yield Row(shard=key[0], status="stalled", failures=failures, last_ms=ms, version=version + 1)
-
-    def close(self) -> None:
-        pass
-
-
 def statuses(records: DataFrame, attempts: int = 3, silent: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
-    """A stream of STATUS rows, each time a shard has news or stalls, the version of a shard rising by one.  records: a stream
-    (shard, id, ts, kind); those without shard or time are left out, an absent kind shows life, an absent id comes before
-    others of that time.  Records behind the watermark, which follows the latest time by `late`, are dropped."""
-    rows = records.where("shard IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
-    keyed = rows.select(F.col("shard").cast("string").alias("shard"), "ts", F.unix_millis("ts").alias("ms"), F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("id"), "kind")
-    return keyed.groupBy("shard").transformWithState(_Shards(attempts, silent), STATUS, "Update", "EventTime")
+    """A stream of STATUS rows, each time a shard has news.  records: a stream (shard, id, ts, kind); those without shard or
+    time are left out, an absent kind shows life, an absent id comes before others of that time.  A shard that hasn't ended
+    stalls when the largest `clock` of all shards, the latest time less `late`, reaches its `due`.  Records that come late
+    count like others, as a shard's state is never let go."""
+    rows = records.where("shard IS NOT NULL AND ts IS NOT NULL")
+    is_ = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
+    known = rows.select(F.col("shard").cast("string").alias("shard"), F.unix_millis("ts").alias("ms"), F.unix_millis(F.col("ts") - F.lit(late).cast("interval")).alias("clock"), F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("id"), is_(DONE).alias("done"), is_(FAILED).alias("failed"))
+    last = F.max(F.struct("ms", "id", "failed")).alias("last")
+    state = known.groupBy("shard").agg(F.bool_or("done").alias("done"), F.count_if("failed").cast("int").alias("failures"), last, F.max("clock").alias("clock"))
+    ended = F.when(F.col("done"), "done").when(F.col("failures") >= attempts, "failed")
+    status = F.coalesce(ended, F.when(F.col("last.failed"), "retry").otherwise("running"))
+    return state.select("shard", status.alias("status"), "failures", F.col("last.ms").alias("last_ms"), F.when(ended.isNull(), F.col("last.ms") + silent).alias("due"), "clock")
 
 
 def run(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -86,9 +51,11 @@ def run(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    """(shard, status, failures, last_ms) of each shard's highest version."""
-    row = F.struct("status", "failures", "last_ms")
-    return rows.groupBy("shard").agg(F.max_by(row, "version").alias("r")).select("shard", "r.*")
+    """(shard, status, failures, last_ms) of each shard's last batch; those due by the clock of all rows have stalled."""
+    held = rows.groupBy("shard").agg(F.max_by(F.struct("status", "failures", "last_ms", "due"), "batch").alias("r"))
+    both = held.crossJoin(F.broadcast(rows.agg(F.max("clock").alias("now"))))  # now is one row
+    status = F.when(F.col("r.due") <= F.col("now"), "stalled").otherwise(F.col("r.status"))
+    return both.select("shard", status.alias("status"), "r.failures", "r.last_ms")
 
 
 def verdict(n: Column, done: Column, failed: Column, threshold: float) -> Column:

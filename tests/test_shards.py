@@ -48,6 +48,21 @@ def test_status_over_a_restart(spark, tmp_path):
     assert (r["n"], r["done"], r["failed"], r["stalled"], r["open"], r["verdict"]) == (7, 1, 1, 3, 2, "ask")
 
 
+def test_late_records_count(spark, tmp_path):
+    seen = tmp_path / "in"
+    seen.mkdir()
+    write(seen, "one", [("a", 1, at(300), "started", ""), ("b", 2, at(280), "started", "")])
+    assert states(shards.run(stream(spark, seen), f"{tmp_path}/out", f"{tmp_path}/state")) == {"a": ("running", 0), "b": ("running", 0)}
+    write(seen, "two", [("a", 3, at(2), "failed", ""), ("c", 4, at(1), "failed", ""), ("d", 5, at(1), "done", "")])
+    got = states(shards.run(stream(spark, seen), f"{tmp_path}/out", f"{tmp_path}/state"))
+    assert got == {"a": ("running", 1), "b": ("running", 0), "c": ("stalled", 1), "d": ("done", 0)}
+
+
+def test_state_is_kept_without_python(spark, tmp_path):
+    plan = stream(spark, tmp_path)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "InPySpark" not in plan and "TransformWithState" not in plan
+
+
 def test_report_of_total_failure_and_of_nothing(spark):
     df = spark.createDataFrame([("x", "failed"), ("y", "running")], "shard string, status string")
     assert shards.report(df, 0.9).first()["verdict"] == "refuse"
