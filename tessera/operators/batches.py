@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import gram, similarity
+from tessera.operators.tables import dealt, materialise, maybe_broadcast
 
 SCHEMA = "variable string, kind string, n_groups int, silhouette double, note string"
 STATUS = "n_samples long, n_components int, max_technical double, max_biological double, status string, reason string"
@@ -17,11 +18,11 @@ def sample_components(counts: DataFrame, units: DataFrame, most: int) -> tuple[l
     """(samples in order, coordinates): principal components of the logged mean expression of samples (counts: sample_id,
     unit_id, gene, count; units: sample_id, unit_id, those without counts too).  Genes far outnumber samples, so each gene
     is a row with a place for each sample, and the products of samples, samples x samples, are added up over genes; the
-    components are their eigenvectors after centring.  Samples are counted on the driver, genes and units never."""
-    sizes = units.groupBy("sample_id").agg(F.countDistinct("unit_id").alias("n_units"))
+    components are their eigenvectors after centring.  Rows are dealt by gene once.  Samples are counted on the driver, genes and units never."""
+    sizes = maybe_broadcast(materialise(units.groupBy("sample_id").agg(F.countDistinct("unit_id").alias("n_units")), "samples"))
     names = sorted(r[0] for r in sizes.select("sample_id").collect())
     of = F.array(*[F.lit(x) for x in names])
-    means = counts.groupBy("gene", "sample_id").agg(F.sum("count").alias("c")).join(sizes, "sample_id").select("gene", "sample_id", F.log1p(F.col("c") / F.col("n_units")).alias("m"))
+    means = dealt(counts, counts.count(), "gene").groupBy("gene", "sample_id").agg(F.sum("count").alias("c")).join(sizes, "sample_id").select("gene", "sample_id", F.log1p(F.col("c") / F.col("n_units")).alias("m"))
     wide = means.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "m"))).alias("held"))  # at most one entry a sample
     vec = wide.select(F.transform(of, lambda s: F.coalesce(F.try_element_at("held", s), F.lit(0.0))).alias("vec"))
     genes, _, products, _ = gram.moments(vec, ["vec"])
