@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.operators.tables import dealt, materialise
+from tessera.operators.tables import dealt, materialise, maybe_broadcast
 
 UNIT = ["sample_id", "unit_id"]
 
@@ -183,9 +183,11 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, most: int = 64) ->
 
 
 def pseudobulk(counts: DataFrame) -> DataFrame:
-    """(sample_id, gene, value): log1p of the mean count over a sample's units, zeros included."""
-    n = counts.groupBy("sample_id").agg(F.countDistinct("unit_id").alias("n"))
-    return counts.groupBy("sample_id", "gene").agg(F.sum("count").alias("s")).join(n, "sample_id").select("sample_id", "gene", F.log1p(F.col("s") / F.col("n")).alias("value"))
+    """(sample_id, gene, value): log1p of the mean count over a sample's units, zeros included.  Rows are dealt by gene,
+    so that what is done by gene needs no other shuffle."""
+    n = maybe_broadcast(materialise(counts.groupBy("sample_id").agg(F.countDistinct("unit_id").alias("n")), "samples"))
+    sums = dealt(counts, counts.count(), "gene").groupBy("sample_id", "gene").agg(F.sum("count").alias("s"))
+    return sums.join(n, "sample_id").select("sample_id", "gene", F.log1p(F.col("s") / F.col("n")).alias("value"))
 
 
 def leave_one_out_markers(loadings: DataFrame, top: int) -> DataFrame:
