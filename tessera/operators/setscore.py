@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.operators.tables import dealt, materialise, maybe_broadcast
+from tessera.operators.tables import dealt, materialise, maybe_broadcast, shuffled_if_large
 
 UNIT = ["sample_id", "unit_id"]
 
@@ -41,9 +41,9 @@ def gene_axis(counts: DataFrame, mapping: DataFrame, how: str, unmapped: str) ->
     """Counts on another gene axis: version suffixes go, ids are mapped, unmapped ones dropped or kept under their own
     id, and rows combined: sum; mean, by the number of ids that map to the symbol, zeros included; or first by id."""
     plain = counts.withColumn("id", F.substring_index("gene", ".", 1))
-    joined = plain.join(mapping.select(F.col("gene").alias("id"), "symbol").dropDuplicates(["id"]), "id", "left")
+    joined = plain.join(shuffled_if_large(mapping.select(F.col("gene").alias("id"), "symbol").dropDuplicates(["id"])), "id", "left")
     joined = joined.where("symbol IS NOT NULL") if unmapped == "drop" else joined.withColumn("symbol", F.coalesce("symbol", "id"))
-    grouped = joined.groupBy(*UNIT, "symbol")
+    grouped = dealt(joined, counts.count(), *UNIT).groupBy(*UNIT, "symbol")
     if how == "first":
         return grouped.agg(F.min_by("count", "id").alias("count"))
     out = grouped.agg(F.sum("count").alias("count"))

@@ -43,6 +43,11 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def shuffled_if_large(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`df`, a side that needn't grow with the units, told to shuffle only if it has more than `rows` rows."""
+    return large(df) if df.limit(rows + 1).count() > rows else df
+
+
 #: Rows of one task of a shuffle that is dealt by rows.
 TASK_ROWS = 250_000
 

@@ -427,3 +427,23 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     got = setscore.member_sums(members, values)
     assert got.rdd.getNumPartitions() == 90
     assert got.groupBy("sample_id", "unit_id").agg(F.sum("count").alias("s")).agg(F.sum("s")).first()[0] == 900
+
+
+def test_counts_are_dealt_by_rows_before_they_are_added_up(spark, monkeypatch):
+    from tessera.operators import batches
+
+    rows = [(s, u, f"G{g}.1", float(g % 5 + u)) for s in range(3) for u in range(4) for g in range(25)]
+    counts = spark.createDataFrame(rows, "sample_id int, unit_id int, gene string, count double")
+    mapping = spark.createDataFrame([(f"G{g}", f"S{g % 4}") for g in range(20)], "gene string, symbol string")
+    got = lambda: [setscore.gene_axis(counts, mapping, "sum", "drop"), setscore.pseudobulk(counts)]
+    values = lambda: [sorted(map(tuple, df.collect())) for df in got()]
+    few, held = values(), batches.sample_components(counts, counts, 2)[1]
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    assert values() == few and np.allclose(np.abs(batches.sample_components(counts, counts, 2)[1]), np.abs(held))
+    assert all(df.rdd.getNumPartitions() >= 30 for df in got())  # 300 rows
+
+
+def test_a_large_mapping_is_not_sent_through_the_driver(spark):
+    many = spark.range(200_001).select(F.concat(F.lit("G"), "id").alias("gene"), F.lit("S").alias("symbol"))
+    shuffled = lambda df: "merge" in str(tables.shuffled_if_large(df)._jdf.queryExecution().logical().toString()).lower()
+    assert shuffled(many) and not shuffled(many.limit(200_000))
