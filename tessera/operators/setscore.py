@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.operators.tables import dealt, materialise, maybe_broadcast, shuffled_if_large
+from tessera.operators.tables import dealt, large, materialise, maybe_broadcast, shuffled_if_large
 
 UNIT = ["sample_id", "unit_id"]
 
@@ -74,22 +75,139 @@ def log_normalise(counts: DataFrame, target: float, floor: float = 1.0) -> DataF
     return known.withColumn("value", F.log1p(F.col("count") * target / F.greatest(library, F.lit(floor))))
 
 
+def log_normalised_lists(counts: DataFrame, target: float, rows: int, floor: float = 1.0) -> DataFrame:
+    """(sample_id, unit_id, l): `log_normalise` as one list (gene, value) a unit, from one aggregate of `rows` counts."""
+    known = counts.where(" AND ".join(f"{c} IS NOT NULL" for c in UNIT))
+    held = dealt(known, rows, *UNIT).groupBy(*UNIT).agg(F.sum("count").alias("library"), F.collect_list(F.struct("gene", "count")).alias("c"))
+    scale = F.greatest(F.col("library"), F.lit(floor))
+    return held.select(*UNIT, F.transform("c", lambda x: F.struct(x["gene"].alias("gene"), F.log1p(x["count"] * target / scale).alias("value"))).alias("l"))
+
+
 def niche_qc(counts: DataFrame, least_total: float, least_detected: int) -> DataFrame:
     """(sample_id, unit_id, total, detected, cause): the first gate that a unit fails, null if none."""
     u = counts.groupBy(*UNIT).agg(F.sum("count").alias("total"), F.count_if(F.col("count") > 0).alias("detected"))
     return u.withColumn("cause", F.when(F.col("total") < least_total, "total").when(F.col("detected") < least_detected, "detected"))
 
 
-def variability(members: DataFrame, values: DataFrame, k: int) -> DataFrame:
+def _niche_rows(members: DataFrame, values: DataFrame, k: int, rows: int | None) -> DataFrame:
+    """(sample_id, unit_id, gene, value): the members' rows, those of a unit one after another in one task.  Until they are
+    there a member's rows travel as one list, so that what is joined, shuffled and sorted is k + 1 rows a unit."""
+    n = values.count() if rows is None else rows
+    if "l" not in values.columns:
+        values = values.select(*UNIT, F.struct("gene", F.col("value").cast("double").alias("value")).alias("r")).groupBy(*UNIT).agg(F.collect_list("r").alias("l"))
+    pulled = dealt(members, n, "sample_id", "member").join(large(values.withColumnRenamed("unit_id", "member")), ["sample_id", "member"]).select(*UNIT, "l")
+    by_unit = dealt(pulled, (k + 1) * n, *UNIT)
+    by_unit = pulled.repartition(*UNIT) if by_unit is pulled else by_unit
+    return by_unit.sortWithinPartitions(*UNIT).select(*UNIT, F.inline("l"))
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables that end where a unit ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in (b for b in batches if b.num_rows):
+        same = lambda row: np.logical_and.reduce([pc.equal(batch.column(c), row.column(c)[-1]).to_numpy(zero_copy_only=False) for c in UNIT])  # noqa: E731, B023
+        if held and not same(held[-1])[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = batch.num_rows - int(same(batch).sum())
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spread_of(values: np.ndarray, groups: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n groups (of values side by side), filled up to `least` with zeros: the sum over `least`, and the median
+    absolute deviation from the median over that."""
+    size = np.bincount(groups, minlength=n)
+    pos, width = np.arange(len(groups)) - (np.cumsum(size) - size)[groups], np.maximum(size, least)
+    mean, ratio, place = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    middle = lambda x: (x[:, (x.shape[1] - 1) // 2] + x[:, x.shape[1] // 2]) / 2
+    for w in np.unique(width):  # one, unless a member has several rows of a gene
+        some = np.flatnonzero(width == w)
+        place[some] = np.arange(len(some))
+        f, inside = np.zeros((len(some), w)), width[groups] == w
+        f[place[groups[inside]], pos[inside]] = values[inside]
+        f.sort(axis=1)
+        total = np.zeros(len(some))
+        for j in range(w):
+            total += f[:, j]
+        mean[some] = total / least
+        ratio[some] = middle(np.sort(np.abs(f - middle(f)[:, None]), axis=1)) / (mean[some] + 1e-9)
+    return mean, ratio
+
+
+def _gene_statistics(rows: pa.Table, k: int) -> tuple[np.ndarray, ...]:
+    """(unit, gene, first, mean, ratio) by unit and gene of the rows of whole units: the unit's number, the gene's place in
+    the order of genes, one of their rows."""
+    apart = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in (rows.column(u).combine_chunks() for u in UNIT)]
+    unit = np.concatenate([[0], np.cumsum(np.logical_or.reduce(apart))])
+    coded = rows.column("gene").combine_chunks().dictionary_encode()
+    place = np.empty(len(coded.dictionary) + 1, np.int64)
+    place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(1, len(place))
+    place[-1] = 0  # a null name
+    gene = place[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+    key = unit * len(place) + gene
+    order = np.argsort(key, kind="stable")
+    starts = np.concatenate([[True], np.diff(key[order]) > 0])
+    group, first = np.cumsum(starts) - 1, order[starts]
+    value = rows.column("value").combine_chunks()
+    there = value.is_valid().to_numpy(zero_copy_only=False)[order]
+    mean, ratio = _spread_of(value.to_numpy(zero_copy_only=False)[order][there], group[there], len(first), k + 1)
+    return unit[first], gene[first], first, mean, ratio
+
+
+def variability(members: DataFrame, values: DataFrame, k: int, rows: int | None = None) -> DataFrame:
     """(sample_id, unit_id, gene, mean, ratio): over the k + 1 members of a niche, zeros included, the median absolute
-    deviation from the median over the mean.  Zeros are never stored: lists are filled up to k + 1."""
-    lists = _of_members(members, values, "value", k).groupBy(*UNIT, "gene").agg(F.collect_list("value").alias("l"))
-    full = F.array_sort(F.concat("l", F.array_repeat(F.lit(0.0), F.lit(k + 1) - F.size("l"))))
-    middle = lambda c: (F.element_at(c, F.floor((F.size(c) + 1) / 2).cast("int")) + F.element_at(c, F.ceil((F.size(c) + 1) / 2).cast("int"))) / 2
-    made = lists.withColumn("f", full).withColumn("med", middle(F.col("f")))
-    made = made.withColumn("d", F.array_sort(F.transform("f", lambda x: F.abs(x - F.col("med")))))
-    mean = F.aggregate("f", F.lit(0.0), lambda s, x: s + x) / (k + 1)
-    return made.select(*UNIT, "gene", mean.alias("mean"), (middle(F.col("d")) / (mean + 1e-9)).alias("ratio"))
+    deviation from the median over the mean.  Zeros are never stored: lists are filled up to k + 1.  `values` are
+    rows (gene, value) or lists `l` of them by unit; `rows` is their number, counted if it isn't given."""
+    held = _niche_rows(members, values, k, rows)
+    schema = held.select(*UNIT, "gene", F.col("value").alias("mean"), F.col("value").alias("ratio")).schema
+    arrow = to_arrow_schema(schema)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_units(batches):
+            _, _, first, mean, ratio = _gene_statistics(table, k)
+            named = table.select([*UNIT, "gene"]).take(pa.array(first))
+            yield from pa.table([*named.columns, pa.array(mean), pa.array(ratio)], names=arrow.names).cast(arrow).to_batches()
+
+    return held.mapInArrow(measured, schema)
+
+
+def _kept(unit: np.ndarray, gene: np.ndarray, mean: np.ndarray, ratio: np.ndarray, fraction: float, least: int) -> np.ndarray:
+    """The rows that `foreground` keeps, by unit and place."""
+    some = np.flatnonzero(~(mean <= 0))
+    n = np.bincount(unit[some], minlength=int(unit.max()) + 1)
+    keep = np.minimum(np.maximum(least, np.floor(n * fraction)), n)
+    by = some[np.lexsort((gene[some], np.where(np.isnan(ratio[some]), -np.inf, -ratio[some]), unit[some]))]
+    return by[np.arange(len(by)) - (np.cumsum(n) - n)[unit[by]] < keep[unit[by]]]
+
+
+def niche_foreground(members: DataFrame, values: DataFrame, k: int, fraction: float, least: int, digits: int | None = None, rows: int | None = None) -> DataFrame:
+    """(sample_id, unit_id, top): `foreground` of `variability` as one list (gene, mean, ratio) a unit, by place, made where
+    the ratios are, so that no gene is a row again; ratios are rounded to `digits`, half up, before they are ordered."""
+    held = _niche_rows(members, values, k, rows)
+    schema = held.select(*UNIT, F.array(F.struct("gene", F.col("value").alias("mean"), F.col("value").alias("ratio"))).alias("top")).schema
+    arrow = to_arrow_schema(schema)
+    inner = arrow.field("top").type.value_type
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_units(batches):
+            unit, gene, first, mean, ratio = _gene_statistics(table, k)
+            if digits is not None:
+                y = ratio * 10.0**digits
+                ratio = (np.floor(y) + (y - np.floor(y) >= 0.5)) / 10.0**digits
+            top = _kept(unit, gene, mean, ratio, fraction, least)
+            if len(top):
+                ends = np.concatenate([np.flatnonzero(np.diff(unit[top])) + 1, [len(top)]])
+                parts = [table.column("gene").combine_chunks().take(pa.array(first[top])), pa.array(mean[top]), pa.array(ratio[top])]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(inner)))
+                units = table.select(UNIT).take(pa.array(first[top[ends - 1]]))
+                yield from pa.table([*units.columns, lists], names=arrow.names).cast(arrow).to_batches()
+
+    return held.mapInArrow(chosen, schema)
 
 
 def foreground(ratios: DataFrame, fraction: float, least: int) -> DataFrame:

@@ -29,15 +29,16 @@ def niche_membership(spark: SparkSession, d: str) -> DataFrame:
 
 def background_floor(spark: SparkSession, d: str) -> DataFrame:
     c = counts(spark, d)
-    v = setscore.variability(_ring(c), setscore.log_normalise(c, 1e4), 2)
+    n = c.count()
+    v = setscore.variability(_ring(c), setscore.log_normalised_lists(c, 1e4, n), 2, n)
     return profiles.background(v, 12).groupBy("sample_id", "kept").agg(F.count(F.lit(1)).alias("units"), F.sum("n").alias("genes"))
 
 
 def foreground_sets(spark: SparkSession, d: str) -> DataFrame:
     c = counts(spark, d)
-    v = setscore.variability(_ring(c), setscore.log_normalise(c, 1e4), 2)
-    s = profiles.gene_sets(setscore.foreground(v.withColumn("ratio", F.round("ratio", 9)), 0.25, 5))
-    return s.select("sample_id", "unit_id", F.concat_ws(",", "genes").alias("genes"))
+    n = c.count()
+    f = setscore.niche_foreground(_ring(c), setscore.log_normalised_lists(c, 1e4, n), 2, 0.25, 5, digits=9, rows=n)
+    return f.select("sample_id", "unit_id", F.concat_ws(",", F.sort_array("top.gene")).alias("genes"))
 
 
 def niche_normalised(spark: SparkSession, d: str) -> DataFrame:
