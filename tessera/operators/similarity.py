@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators.tables import large, materialise, maybe_broadcast
 
-#: Bytes of vectors on either side of a cell of a search, and rows and columns of one product inside it.
-SIDE_BYTES, STRIPE, ACROSS = 8 << 20, 512, 2048
+#: Bytes of vectors on either side of a cell of a search, rows and columns of one product inside it, and columns of the first.
+SIDE_BYTES, STRIPE, ACROSS, FEW = 8 << 20, 512, 2048, 256
 
 
 def _groups(df: DataFrame, vec: str) -> int:
@@ -49,14 +49,23 @@ def _first(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...
     return row[keep], col[keep], s[keep]
 
 
-def _candidates(a: np.ndarray, b: np.ndarray, ids: np.ndarray, own: np.ndarray, to: int, k: int) -> tuple[np.ndarray, ...]:
-    """The first k (row, column, product) of each row of `a` among ACROSS columns of `b` from `to` on."""
-    s = a @ b[:, to : to + ACROSS]
-    s[ids[:, None] == own[None, to : to + ACROSS]] = -np.inf
-    r = np.round(s, 12)
-    least = np.partition(r, -k, axis=1)[:, -k] if s.shape[1] > 4 * k else np.full(len(s), -np.inf)  # all that reach the k-th are ordered, so that ties stay
-    row, col = np.nonzero((r >= least[:, None]) & np.isfinite(s))
-    return _first([(row, to + col, s[row, col])], k)
+def _nearest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first k (row, column, product) of each row of `a` among the columns of `b` but its own.  Of later columns only
+    products that reach the k-th found so far are looked at, or would when rounded, so that ties stay."""
+    top, least = None, np.full(len(a), -np.inf)
+    edges = [0, *range(FEW, len(own), ACROSS), len(own)] if len(own) > FEW else [0, len(own)]
+    for to, end in zip(edges, edges[1:], strict=False):
+        s = a @ b[:, to:end]
+        if top is None and s.shape[1] > 4 * k:
+            least = np.partition(np.where(np.isnan(s), -np.inf, s), -k - 1, axis=1)[:, -k - 1] - 2e-12  # one may be its own
+        row, col = np.nonzero(s >= least[:, None])
+        other = (ids[row] != own[to + col]) & np.isfinite(s[row, col])
+        row, col = row[other], col[other]
+        found = (row, to + col, s[row, col])
+        top = _first([found] if top is None else [top, found], k)
+        full = np.flatnonzero(np.diff(np.concatenate([np.searchsorted(top[0], np.arange(len(a))), [len(top[0])]])) == k)
+        least[full] = top[2][np.searchsorted(top[0], full, "right") - 1] - 2e-12
+    return top
 
 
 def nearest_vectors(units: DataFrame, k: int, queries: DataFrame | None = None, vec: str = "v") -> DataFrame:
@@ -71,7 +80,7 @@ def nearest_vectors(units: DataFrame, k: int, queries: DataFrame | None = None,
             by_id = np.argsort(own, kind="stable")
             own, b = own[by_id], b[:, by_id]
             for at in range(0, len(ids), STRIPE):
-                top = _first([_candidates(a[at : at + STRIPE], b, ids[at : at + STRIPE], own, to, k) for to in range(0, len(own), ACROSS)], k)
+                top = _nearest(a[at : at + STRIPE], ids[at : at + STRIPE], b, own, k)
                 out.append((ids[at + top[0]], own[top[1]], top[2]))
         parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"unit_id": pa.array(parts[0], pa.int64()), "neighbour": pa.array(parts[1], pa.int64()), "similarity": pa.array(parts[2], pa.float64())})

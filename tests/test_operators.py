@@ -447,3 +447,29 @@ def test_a_large_mapping_is_not_sent_through_the_driver(spark):
     many = spark.range(200_001).select(F.concat(F.lit("G"), "id").alias("gene"), F.lit("S").alias("symbol"))
     shuffled = lambda df: "merge" in str(tables.shuffled_if_large(df)._jdf.queryExecution().logical().toString()).lower()
     assert shuffled(many) and not shuffled(many.limit(200_000))
+
+
+@pytest.mark.parametrize(("n", "width", "different"), [(1, 4, 1), (5, 4, 5), (256, 3, 9), (257, 2, 257), (2600, 3, 40), (4700, 3, 4700)])
+def test_nearest_of_a_cell_by_brute_force(n, width, different):
+    """Copies, its own among them, vectors that are no numbers, and more columns than one product has."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(different, width))[rng.integers(0, different, n)]
+    x[::7] = np.nan if n > 100 else x[::7]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own, ids = np.arange(n) * 3, rng.integers(0, n, 30) * 3
+    row, col, s = similarity._nearest(x[ids // 3], ids, x.T, own, 6)
+    for i, q in enumerate(ids):
+        product = np.round(x @ x[q // 3], 12)
+        want = sorted((-p, j) for j, p in enumerate(product) if own[j] != q and np.isfinite(p))[:6]
+        assert col[row == i].tolist() == [j for _, j in want]
+        assert np.allclose(s[row == i], [-p for p, _ in want], atol=1e-11)
+
+
+def test_few_products_are_ordered(monkeypatch):
+    """Only what can reach the k-th found is ordered, not the k first of every product."""
+    seen, first = [], similarity._first
+    monkeypatch.setattr(similarity, "_first", lambda parts, k: seen.append(sum(len(p[0]) for p in parts)) or first(parts, k))
+    x = np.random.default_rng(0).normal(size=(20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    similarity._nearest(x[:100], np.arange(100), x.T, np.arange(20_000), 6)
+    assert sum(seen) < 100 * 6 * 30 and max(seen) < 100 * 6 * 10
