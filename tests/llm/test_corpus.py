@@ -322,6 +322,32 @@ def test_large_groups_of_edited_copies(spark, monkeypatch, few):
     assert all(want[a] == want[b] for a in range(110) for b in range(a) if got[a] == got[b]) and all(got[i] == i for i in range(110, len(rows)))
 
 
+@pytest.mark.parametrize("few", [3, neardup.FEW])
+def test_groups_of_copies_stay_linked_in_a_large_corpus(spark, monkeypatch, few):
+    """Edits weigh no more than what one text in RARE holds, however many texts there are."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    rng = np.random.default_rng(12)
+    rows, edits = [], [0, *rng.integers(1, 4, 59)]
+    for k, n in enumerate(edits):  # 106 shingles, of which an edit changes five
+        text = [f"w{i}" for i in range(110)]
+        for at in rng.choice(range(5, 105, 10), n, replace=False):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    for k in range(60, 120):
+        text = [f"v{i}" for i in range(120)]
+        for at in rng.choice(118, rng.integers(1, 4), replace=False):
+            text[at] = [f"new{rng.integers(0, 3)}", f"own{k}x{at}", ""][rng.integers(0, 3)]
+        rows.append((k, " ".join(text)))
+    rows += [(i, " ".join(f"lone{i}w{j}" for j in range(8))) for i in range(120, 20_000)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(60)] == [0 if n < 3 else k for k, n in enumerate(edits)]
+    unbounded = similar_classes(rows)
+    assert [unbounded[k] for k in range(60)] == [0 if n < 2 else k for k, n in enumerate(edits)]
+    with monkeypatch.context() as m:
+        m.setattr(math, "log10", lambda x, log10=math.log10: min(log10(x), log10(neardup.RARE)))
+        assert got == similar_classes(rows)
+
+
 def test_idf_tells_boilerplate_from_text(spark):
     """Texts that are mostly a passage of a third of all documents stay apart, those with as much of a rare one don't."""
     common, rare = [f"licence{i}" for i in range(86)], [f"rare{i}" for i in range(86)]
